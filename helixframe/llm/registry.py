@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from helixframe.llm import exact_dedup
+from helixframe.llm import exact_dedup, packing, pii
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_packing": packing.op8_packing,
+    "op10_pii_crf": pii.op10_pii_crf,
 }
 
 ORACLE_SQL = {
