@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,15 @@ def load(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def byte_chars() -> dict[int, str]:
+    """The character that byte-level vocabularies show each byte as: itself if it prints, else 256 and on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = byte_chars()
+
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 
 
@@ -132,25 +142,11 @@ class Encoder:
         self.begin, self.size, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Pieces without inner white space are encoded many at once with a line break after each.
-
-        A line break is always a piece and an id of its own there, so the ids
-        fall apart at it.
-        """
-        plain = [not any(c.isspace() for c in w[1:]) and (w[0] == " " or not w[0].isspace()) for w in words]
-        order = np.argsort(np.logical_not(plain), kind="stable")
-        keys, words = keys[order], [words[i] for i in order]
-        n = sum(plain)
-        texts = ["\n".join([*words[i : i + 4096][: max(0, n - i)], ""]) for i in range(0, n, 4096)]
-        found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        every = np.concatenate([np.zeros(0, np.uint32), *found])
-        ends = np.flatnonzero(every == self.tok.token_to_id("\u010a"))
-        if len(ends) != n:
-            raise ValueError("the tokenizer joins line breaks with pieces")
-        size = np.diff(np.r_[-1, ends]) - 1
-        rest = [e.ids for e in self.tok.encode_batch(words[n:], add_special_tokens=False)]
-        size = np.r_[size, np.fromiter(map(len, rest), np.int64, len(rest))]
-        flat_ids = np.r_[np.delete(every, ends), np.array([x for y in rest for x in y], np.uint32)]
+        """Pieces go to the library's merge model itself, which spares its text bookkeeping."""
+        merge = self.tok.model.tokenize
+        ids = [[t.id for t in merge(w)] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat_ids = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         self.begin = np.r_[self.begin, len(self.pool) + np.cumsum(size) - size]
         self.size = np.r_[self.size, size]
         self.pool = np.r_[self.pool, flat_ids]
@@ -185,7 +181,8 @@ class Encoder:
         if not known.all():
             new = np.flatnonzero(~known)
             # Pieces of unsure rows may be cut wrongly; they are learnt like others but never used.
-            self._learn(keys[new], [raw[start[i] : end[i]].decode("utf-8", "replace") for i in first[new]])
+            shown = raw.decode("latin-1").translate(BYTE_CHARS)
+            self._learn(keys[new], [shown[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.keys, keys)
         slot = self.slots[at][which] if len(keys) else np.zeros(0, np.int64)
         size = self.size[slot]
