@@ -41,7 +41,7 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-BYTE_CHARS = byte_chars()
+BYTE_CHARS = np.array([ord(byte_chars()[b]) for b in range(256)], "<u2")
 
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 
@@ -181,7 +181,7 @@ class Encoder:
         if not known.all():
             new = np.flatnonzero(~known)
             # Pieces of unsure rows may be cut wrongly; they are learnt like others but never used.
-            shown = raw.decode("latin-1").translate(BYTE_CHARS)
+            shown = BYTE_CHARS[body].tobytes().decode("utf-16-le")
             self._learn(keys[new], [shown[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.keys, keys)
         slot = self.slots[at][which] if len(keys) else np.zeros(0, np.int64)

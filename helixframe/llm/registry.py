@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from helixframe.llm import exact_dedup, packing, pii
+from helixframe.llm import exact_dedup, language, packing, pii, warc
 
 QUERIES = {
+    "op3_language_id": language.op3_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_warc": warc.op6_warc,
     "op8_packing": packing.op8_packing,
     "op10_pii_crf": pii.op10_pii_crf,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
 }

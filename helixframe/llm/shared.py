@@ -81,8 +81,8 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def rows_by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``most`` bytes of ``column`` each; a row is never cut."""
+def rows_by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``most`` bytes of ``column`` and ``rows`` rows at most; a row is never cut."""
     n = batch.num_rows
     if not n:
         return
@@ -91,7 +91,7 @@ def rows_by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> It
     at = 0
     while at < n:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, base + most, "right"))))
         yield batch.slice(at, to - at)
         at = to
 
