@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from helixframe.llm import exact_dedup, language, packing, pii, warc
+from helixframe.llm import embeddings, exact_dedup, language, packing, pii, warc
 
 QUERIES = {
+    "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
     "op3_language_id": language.op3_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_warc": warc.op6_warc,

@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 U64 = np.uint64
 PRIME = 0x9E3779B97F4A7C15
@@ -159,5 +158,55 @@ def segments(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-def literal_columns(df: DataFrame, **columns) -> DataFrame:
-    return df.withColumns({k: F.lit(v) for k, v in columns.items()})
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the bounds of each, from batches sorted by the integer columns ``keys``.
+
+    A group that reaches the end of a batch waits for the next one.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and _same(held[-1], batch, keys):
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        bounds = _bounds(table, keys)
+        last = int(bounds[-2])
+        if last:
+            yield table.slice(0, last), bounds[:-1]
+        held = table.slice(last).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _bounds(table, keys)
+
+
+def _same(a: pa.RecordBatch, b: pa.RecordBatch, keys: list[str]) -> bool:
+    """Whether all of ``b`` is the group that ``a`` ends with."""
+    n = b.num_rows - 1
+    return all(a.column(k)[a.num_rows - 1] == b.column(k)[n] for k in keys)
+
+
+def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        x = table.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.r_[np.flatnonzero(new), table.num_rows]
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 joined by pairs, the smallest node that each reaches."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
