@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import arrow_map, flat, rows_by_bytes
+from helixframe.llm.shared import arrow_map, flat, rows_by_bytes, tokens
 
 KINDS = ("email", "ip", "card", "phone", "key")
 LABELS = ("O", "email", "ip", "card", "+card", "phone", "+phone", "key")
@@ -150,8 +150,6 @@ _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123
 _BITS = np.full(256, 1 << len(_CLASSES), np.int32)
 for _i, _c in enumerate(_CLASSES):
     _BITS[list(_c)] = 1 << _i
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _NBITS = len(_CLASSES) + 1
 
 
@@ -188,23 +186,6 @@ def features(shape: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, 1).astype(np.float64)
 
 
-def tokens(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of the white-space tokens of all rows; tokens never cross rows."""
-    solid = ~_SPACE[body]
-    left = solid.copy()
-    left[1:] &= ~solid[:-1]
-    cuts = offsets[1:-1]
-    cuts = cuts[cuts < len(body)]
-    left[cuts] = solid[cuts]
-    start = np.flatnonzero(left)
-    right = np.zeros(len(body) + 1, bool)
-    right[1:] = solid
-    right[:-1] &= ~solid
-    right[cuts] |= solid[np.maximum(cuts - 1, 0)] & (cuts > 0)
-    end = np.flatnonzero(right)
-    return start, end, np.searchsorted(offsets, start, "right") - 1
-
-
 # ------------------------------------------------------------------- the CRF
 
 

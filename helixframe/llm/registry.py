@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from helixframe.llm import embeddings, exact_dedup, language, packing, pii, warc
+from helixframe.llm import embeddings, exact_dedup, jaccard, language, packing, pii, warc
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
     "op3_language_id": language.op3_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op6_warc": warc.op6_warc,
     "op8_packing": packing.op8_packing,
     "op10_pii_crf": pii.op10_pii_crf,

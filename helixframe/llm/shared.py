@@ -111,6 +111,26 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, o - o[0]
 
 
+SPACES = np.zeros(256, bool)
+SPACES[[32, 9, 10, 11, 12, 13]] = True
+
+
+def tokens(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the white-space tokens of all rows; tokens never cross rows."""
+    solid = ~SPACES[body]
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(body))]
+    left = solid.copy()
+    left[1:] &= ~solid[:-1]
+    left[cuts] = solid[cuts]
+    right = np.zeros(len(body) + 1, bool)
+    right[1:] = solid
+    right[:-1] &= ~solid
+    right[cuts] |= solid[cuts - 1]
+    start = np.flatnonzero(left)
+    return start, np.flatnonzero(right), np.searchsorted(offsets, start, "right") - 1
+
+
 class Rolling:
     """64-bit hashes of arbitrary substrings from one prefix sum.
 
