@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from helixframe.llm import embeddings, exact_dedup, jaccard, language, packing, pii, substring_dedup, warc
+from helixframe.llm import embeddings, exact_dedup, jaccard, language, packing, pii, sentence_pieces, substring_dedup, warc
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
+    "op2_sentencepiece": sentence_pieces.op2_sentencepiece,
     "op3_language_id": language.op3_language_id,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
