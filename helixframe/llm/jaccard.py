@@ -12,7 +12,8 @@ either set can no longer reach the overlap that the sizes ask for.
 Round 1 groups by each set's first n-gram only and finds the components of the
 usual near copies. Round 2 takes every prefix n-gram whose group still holds
 more than one component, which is all that can still matter, so nothing is
-lost. In each round a first trie pass over the prefixes alone, where the
+lost. A pair is looked at only in the group of the first n-gram that it shares.
+In each round a first trie pass over the prefixes alone, where the
 unknown rest counts in full, names the sets that may have a partner; only those
 are fetched whole for the second pass, which decides. A task emits a spanning
 forest of the links, never all pairs; a large group is dealt over a grid of
@@ -141,10 +142,12 @@ class Trie:
                 todo += [(a, b, to, number) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return 0
 
-    def partners(self, x: int, percent: int, skip):
+    def partners(self, x: int, percent: int, gram: int, skip):
         """Sets before ``x`` whose overlap may reach the threshold; exact if all keys are there.
 
-        ``skip(lo, hi)`` tells that no set of that range is of interest.
+        A subtree that shares a key below ``gram`` with ``x`` is left: its pairs
+        belong to that key's group. ``skip(lo, hi)`` tells that no set of that
+        range is of interest.
         """
         key, nx = self.keys[x], int(self.size[x])
         horizon = key[-1]
@@ -160,7 +163,10 @@ class Trie:
                 if path[-1] > horizon:
                     path, beyond = path[: int(np.searchsorted(path, horizon, "right"))], True
                 at = np.searchsorted(key, path)
-                overlap += int(np.count_nonzero(key[np.minimum(at, len(key) - 1)] == path))
+                shared = path[key[np.minimum(at, len(key) - 1)] == path]
+                if len(shared) and shared[0] < gram:
+                    continue
+                overlap += len(shared)
             depth = begin + len(path)
             seen = len(key) if beyond else int(np.searchsorted(key, self.keys[lo][to - 1], "right")) if to else 0
             if overlap + min(nx - seen, large - depth) < least:
@@ -174,8 +180,8 @@ class Trie:
                     yield y
 
 
-def join_group(raw: list[bytes], size: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int, exact: bool):
-    """Links of a group between sets of different components (and sides, where given).
+def join_group(raw: list[bytes], size: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int, exact: bool, gram: int = 0):
+    """Links of the group of ``gram`` between sets of different components (and sides, where given).
 
     exact: pairs of positions that make a spanning forest. Else: a mask of the
     sets that may have a partner.
@@ -197,7 +203,7 @@ def join_group(raw: list[bytes], size: np.ndarray, comp: np.ndarray, side: np.nd
                 dull |= marked[lo:hi]
             return dull.all()
 
-        for y in trie.partners(x, percent, skip):
+        for y in trie.partners(x, percent, U64(gram), skip):
             if root[y] == root[x] or (other is not None and not other[y]):
                 continue
             if exact:
@@ -295,7 +301,13 @@ def _prefix_rows(reps: DataFrame, most: int | None) -> DataFrame:
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
     """Rows of groups with several components, with their grid cells."""
-    groups = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    groups = rows.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.expr("bit_xor(xxhash64(rep, 1))").alias("h1"), F.expr("bit_xor(xxhash64(rep, 2))").alias("h2"),
+    )
+    # Of n-grams with the very same documents, the first in the order is where all their pairs belong.
+    first = F.min(F.struct(F.col("gram") < 0, F.col("gram"))).alias("first")
+    groups = groups.where("low < high").groupBy("k", "h1", "h2").agg(first).select("k", F.col("first.gram").alias("gram"))
     split = F.when(F.col("k") > block, F.ceil(F.col("k") * 2 / block)).otherwise(1).cast("int")
     rows = rows.join(groups.select("gram", split.alias("parts")), "gram")
     rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(rep, 5), parts) as int)"))
@@ -316,12 +328,13 @@ def _joined(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
             raw, n = table.column("keys").to_pylist(), table.column("n").to_numpy()
             rep, comp, own = (table.column(c).to_numpy() for c in ("rep", "comp", "own"))
             lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+            gram = table.column("gram").to_numpy().astype(U64)
             found: list = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
                 side = own[s:e] if lo[s] != hi[s] else None
-                got = join_group(raw[s:e], n[s:e], comp[s:e], side, percent, exact)
+                got = join_group(raw[s:e], n[s:e], comp[s:e], side, percent, exact, int(gram[s]))
                 found += [(s + i, s + j) for i, j in got] if exact else (s + np.flatnonzero(got)).tolist()
             if not found:
                 continue
