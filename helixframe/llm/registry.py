@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import embeddings, exact_dedup, jaccard, language, packing, pii, sentence_pieces, substring_dedup, warc
+from helixframe.llm import embeddings, exact_dedup, jaccard, language, lm_score, packing, pii, sentence_pieces, substring_dedup, warc
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_warc": warc.op6_warc,
+    "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op8_packing": packing.op8_packing,
     "op9_suffix_array_dedup": substring_dedup.op9_suffix_array_dedup,
     "op10_pii_crf": pii.op10_pii_crf,
