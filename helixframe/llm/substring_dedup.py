@@ -8,10 +8,10 @@ document with a smaller id.
 2. Every window of ``width`` bytes has a minimizer, the smallest hash of its
    ``mer``-byte substrings. Equal windows have equal minimizers, so windows are
    compared only within a minimizer's group. Neighbouring windows with one
-   minimizer are kept as one string (about 20 windows in 70 bytes).
+   minimizer are kept as one string (about 16 windows in 65 bytes).
 3. Minimizers that only one document has are left out: an aggregation with
    map-side minimum and maximum of the id. The strings of the others go on.
-4. Equal strings of a group are one, with their smallest id. The distinct
+4. Equal strings of a group (told by a second 64-bit hash) are one, with their smallest id. The distinct
    strings of a group stand end to end in a text whose suffix array is built by
    linear grouping; neighbours in it that share ``width`` bytes are equal
    windows, and their smallest id goes to each.
@@ -34,7 +34,7 @@ from helixframe.llm.byte_bpe import within
 from helixframe.llm.shared import Rolling, arrow_map, flat, rows_by_bytes, runs, segments, staged
 from helixframe.llm.suffix_array import suffix_array
 
-WIDTH, MER = 50, 12
+WIDTH, MER = 50, 20
 #: Windows to a string; a longer run of one minimizer is cut.
 STRETCH = 40
 #: Distinct strings of a group beyond which its windows are aggregated instead.
@@ -43,8 +43,6 @@ LARGE = 4096
 BROADCAST_ROWS = 4_000_000
 BROADCAST_MARKS = 400_000
 
-_ROW = "m long, id long, f long, start long, piece binary"
-
 
 def stretches(body: np.ndarray, offsets: np.ndarray, width: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, row, first window's byte in its row, windows) of every string of windows."""
@@ -113,7 +111,8 @@ def _occurrences(docs: DataFrame, width: int, mer: int) -> DataFrame:
                     pieces = _strings(body, offsets[row[s]] + start[s], size[s] + width - 1)
                     yield pa.RecordBatch.from_arrays([pa.array(m[s]), pa.array(ids[row[s]]), pa.array(f[row[s]]), pa.array(start[s]), pieces], ["m", "id", "f", "start", "piece"])
 
-    return arrow_map(docs.select("id", "f", "text"), run, _ROW)
+    occurrences = arrow_map(docs.select("id", "f", "text"), run, "m long, id long, f long, start long, piece binary")
+    return occurrences.withColumn("h", F.xxhash64("piece"))
 
 
 def _thin(docs: DataFrame, width: int, mer: int) -> DataFrame:
@@ -142,7 +141,7 @@ def _shared_occurrences(docs: DataFrame, shared: DataFrame, width: int, mer: int
     places = hits.groupBy(F.col("id").alias("pid"), F.col("f").alias("pf")).agg(F.collect_list(F.struct("m", "start", "size")).alias("at"))
     cut = docs.join(places, (F.col("id") == F.col("pid")) & (F.col("f") == F.col("pf"))).withColumn("bytes", F.encode("text", "UTF-8"))
     rows = cut.select("id", "f", "bytes", F.explode("at").alias("p"))
-    return rows.select("p.m", "id", "f", "p.start", F.expr(f"substring(bytes, cast(p.start + 1 as int), cast(p.size + {width - 1} as int))").alias("piece"))
+    return rows.select("p.m", "id", "f", "p.start", F.expr(f"substring(bytes, cast(p.start + 1 as int), cast(p.size + {width - 1} as int))").alias("piece")).withColumn("h", F.xxhash64("piece"))
 
 
 def lowest_ids(pieces: list[bytes], ids: np.ndarray, width: int) -> list[np.ndarray]:
@@ -181,18 +180,18 @@ def _by_suffix_array(strings: DataFrame, width: int) -> DataFrame:
             lows: list[np.ndarray] = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 lows += lowest_ids(pieces[s:e], ids[s:e], width)
-            yield from pa.Table.from_arrays([table.column("m"), table.column("piece"), pa.array(lows, pa.list_(pa.int64()))], ["m", "piece", "lows"]).to_batches()
+            yield from pa.Table.from_arrays([table.column("m"), table.column("h"), pa.array(lows, pa.list_(pa.int64()))], ["m", "h", "lows"]).to_batches()
 
-    dealt = strings.select("m", "piece", "low_id").repartition("m").sortWithinPartitions("m")
-    return arrow_map(dealt, run, "m long, piece binary, lows array<long>")
+    dealt = strings.select("m", "h", "piece", "low_id").repartition("m").sortWithinPartitions("m")
+    return arrow_map(dealt, run, "m long, h long, lows array<long>")
 
 
 def _by_windows(strings: DataFrame, width: int) -> DataFrame:
     """The same for groups that are too large: windows aggregated by content."""
-    each = strings.select("m", "piece", "low_id", F.posexplode(F.expr(f"transform(sequence(1, length(piece) - {width - 1}), i -> substring(piece, i, {width}))")).alias("k", "w"))
+    each = strings.select("m", "h", "low_id", F.posexplode(F.expr(f"transform(sequence(1, length(piece) - {width - 1}), i -> substring(piece, i, {width}))")).alias("k", "w"))
     low = each.groupBy("m", "w").agg(F.min("low_id").alias("low"))
-    back = each.select("m", "piece", "k", "w").join(low, ["m", "w"])
-    return back.groupBy("m", "piece").agg(F.expr("transform(array_sort(collect_list(struct(k, low))), x -> x.low)").alias("lows"))
+    back = each.select("m", "h", "k", "w").join(low, ["m", "w"])
+    return back.groupBy("m", "h").agg(F.expr("transform(array_sort(collect_list(struct(k, low))), x -> x.low)").alias("lows"))
 
 
 def _intervals(joined: DataFrame, width: int) -> DataFrame:
@@ -253,14 +252,14 @@ def marked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     firsts = docs.where("id is not null").join(hint, on, "left_anti")
     shared = staged(_minimizers(firsts, width, mer).groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("m"), "shared")
     places = staged(_shared_occurrences(firsts, shared, width, mer, most), "occurrences")
-    strings = staged(places.groupBy("m", "piece").agg(F.min("id").alias("low_id")), "strings")
+    strings = staged(places.groupBy("m", "h").agg(F.min("id").alias("low_id"), F.first("piece").alias("piece")), "strings")
     big = staged(strings.groupBy("m").count().where(F.col("count") > large).select("m"), "large-groups")
     if big.isEmpty():
         lows = _by_suffix_array(strings, width)
     else:
         lows = _by_suffix_array(strings.join(big, "m", "left_anti"), width).unionByName(_by_windows(strings.join(big, "m", "left_semi"), width))
     lows = staged(lows, "lows")
-    marks = _intervals(places.join(lows, ["m", "piece"]), width)
+    marks = _intervals(places.drop("piece").join(lows, ["m", "h"]), width)
     marks = staged(marks.groupBy(F.col("id").alias("mid"), F.col("f").alias("mf")).agg(F.collect_list(F.struct("a", "b")).alias("marks")), "marks")
     small = marks.count() <= BROADCAST_MARKS
     out = docs.join(hint, on, "left").withColumn("whole", F.col("cid").isNotNull())
