@@ -12,8 +12,9 @@ either set can no longer reach the overlap that the sizes ask for.
 Round 1 groups by each set's first n-gram only and finds the components of the
 usual near copies. Round 2 takes every prefix n-gram whose group still holds
 more than one component, which is all that can still matter, so nothing is
-lost. A pair is looked at only in the group of the first n-gram that it shares.
-In each round a first trie pass over the prefixes alone, where the
+lost. A pair is looked at only in the group of the first n-gram that it shares,
+and rows without a partner of fitting size and position go at once. In each
+round a first trie pass over the prefixes alone, where the
 unknown rest counts in full, names the sets that may have a partner; only those
 are fetched whole for the second pass, which decides. A task emits a spanning
 forest of the links, never all pairs; a large group is dealt over a grid of
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.byte_bpe import within
 from helixframe.llm.components import components
 from helixframe.llm.shared import U64, Rolling, arrow_map, flat, mix, rows_by_bytes, runs, staged, tokens
 
@@ -40,6 +42,7 @@ COUNTERS, FREQUENT = 1 << 16, 4096
 SHARE = 0.001
 #: Lists of ids are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
+BROADCAST_GROUPS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -280,7 +283,7 @@ def narrow_table(df: DataFrame, words: int, percent: int, order: Order) -> DataF
 
 
 def _prefix_rows(reps: DataFrame, most: int | None) -> DataFrame:
-    """(gram, rep, comp) for each of the first ``most`` prefix n-grams."""
+    """(gram, rep, comp, set size, position) for each of the first ``most`` prefix n-grams."""
 
     def run(batches):
         for batch in batches:
@@ -292,11 +295,11 @@ def _prefix_rows(reps: DataFrame, most: int | None) -> DataFrame:
                 gram = np.concatenate([gram[b : b + most] for b in begin.tolist()]) if len(begin) else gram
                 size = np.minimum(size, most)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array(np.repeat(batch.column("rep").to_numpy(), size)), pa.array(np.repeat(batch.column("comp").to_numpy(), size))],
-                ["gram", "rep", "comp"],
+                [pa.array(gram), *(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("rep", "comp", "n")), pa.array(within(size))],
+                ["gram", "rep", "comp", "n", "pos"],
             )
 
-    return arrow_map(reps.select("rep", "comp", "prefix"), run, "gram long, rep long, comp long")
+    return arrow_map(reps.select("rep", "comp", "n", "prefix"), run, "gram long, rep long, comp long, n long, pos long")
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -308,11 +311,37 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     # Of n-grams with the very same documents, the first in the order is where all their pairs belong.
     first = F.min(F.struct(F.col("gram") < 0, F.col("gram"))).alias("first")
     groups = groups.where("low < high").groupBy("k", "h1", "h2").agg(first).select("k", F.col("first.gram").alias("gram"))
+    groups = staged(groups, "groups")
+    few = groups.count() <= BROADCAST_GROUPS
     split = F.when(F.col("k") > block, F.ceil(F.col("k") * 2 / block)).otherwise(1).cast("int")
-    rows = rows.join(groups.select("gram", split.alias("parts")), "gram")
+    parts = groups.select("gram", split.alias("parts"))
+    rows = rows.join(F.broadcast(parts) if few else parts, "gram")
     rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(rep, 5), parts) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp")
+    return rows.select("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "n", "pos")
+
+
+def _compatible(cells: DataFrame, percent: int) -> DataFrame:
+    """The rows with a partner of another component whose size and position leave room for the overlap."""
+    names = [*_CELL, "own", "rep", "comp"]
+
+    def run(batches):
+        for table, bounds in runs(batches, _CELL):
+            comp, own, n, pos = (table.column(c).to_numpy() for c in ("comp", "own", "n", "pos"))
+            lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+            keep = np.zeros(table.num_rows, bool)
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                size, left = n[s:e], n[s:e] - pos[s:e]
+                fits = 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
+                fits &= (100 + percent) * np.minimum.outer(left, left) >= percent * np.add.outer(size, size)
+                fits &= comp[s:e, None] != comp[None, s:e]
+                if lo[s] != hi[s]:
+                    fits &= own[s:e, None] != own[None, s:e]
+                keep[s:e] = fits.any(1)
+            yield from table.select(names).filter(pa.array(keep)).to_batches()
+
+    dealt = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
+    return arrow_map(dealt, run, "gram long, lo int, hi int, own int, rep long, comp long")
 
 
 _CELL = ["gram", "lo", "hi"]
@@ -367,7 +396,7 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, words: int, order: Order) -> D
 
 def _round(df: DataFrame, reps: DataFrame, most: int | None, words: int, percent: int, block: int, order: Order) -> DataFrame:
     """Links between classes of different components that share one of the first ``most`` prefix n-grams."""
-    cells = _dealt(_prefix_rows(reps, most), block)
+    cells = _compatible(_dealt(_prefix_rows(reps, most), block), percent)
     sketch = cells.join(reps.select("rep", "n", F.col("prefix").alias("keys")), "rep")
     maybe = staged(_joined(sketch, percent, False), "maybe")
     if maybe.isEmpty():
