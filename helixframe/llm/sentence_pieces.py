@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from helixframe.llm.byte_bpe import public_path, within
@@ -307,7 +308,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)), mask=batch.column(text_col).is_null())
                 yield batch.append_column(out_col, lists)
 
-    return df.mapInArrow(run, df.schema.add(out_col, "array<int>"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None, threads: int = 2) -> DataFrame:
@@ -321,7 +322,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
             texts = codec.decode([x or [] for x in lists])
             yield batch.append_column(out_col, pa.array([t if x is not None else None for t, x in zip(texts, lists, strict=True)], pa.string()))
 
-    return df.mapInArrow(run, df.schema.add(out_col, "string"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, StringType())]))
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
