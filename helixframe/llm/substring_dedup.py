@@ -11,10 +11,12 @@ document with a smaller id.
    minimizer are kept as one string (about 16 windows in 65 bytes).
 3. Minimizers that only one document has are left out: an aggregation with
    map-side minimum and maximum of the id. The strings of the others go on.
-4. Equal strings of a group (told by a second 64-bit hash) are one, with their smallest id. The distinct
-   strings of a group stand end to end in a text whose suffix array is built by
-   linear grouping; neighbours in it that share ``width`` bytes are equal
-   windows, and their smallest id goes to each.
+4. Equal strings of a group (told by a second 64-bit hash) are one, with their
+   smallest id. A string is cut to the stretch between its first and last window
+   whose hash its group has twice; what is outside can't be shared. The cut
+   strings stand end to end in a text whose suffix array is built by linear
+   grouping; neighbours in it that share ``width`` bytes are equal windows, and
+   their smallest id goes to each.
 5. A group with very many distinct strings is not put into one task: its
    windows are aggregated by content over the cluster instead.
 6. Each string's result joins its occurrences; windows whose smallest id is
@@ -26,12 +28,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import within
-from helixframe.llm.shared import Rolling, arrow_map, flat, rows_by_bytes, runs, segments, staged
+from helixframe.llm.shared import Rolling, arrow_map, flat, mix, rows_by_bytes, runs, segments, staged
 from helixframe.llm.suffix_array import suffix_array
 
 WIDTH, MER = 50, 20
@@ -173,14 +176,52 @@ def lowest_ids(pieces: list[bytes], ids: np.ndarray, width: int) -> list[np.ndar
 _UP = bytes(min(i + 1, 255) for i in range(256))
 
 
+def _shared_ranges(body: np.ndarray, offsets: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string, the first and last window whose hash its group has twice; (0, -1) if none.
+
+    Other windows equal no window of another string, so what stands outside
+    these ranges needs no sorting.
+    """
+    size = np.diff(offsets) - width + 1
+    row = np.repeat(np.arange(len(size)), size)
+    at = offsets[:-1][row] + within(size)
+    key = Rolling(Rolling.LUT[body]).of(at, at + width) ^ mix(group[row].astype(np.uint64) + np.uint64(1))
+    which, _ = pd.factorize(key)
+    twice = np.bincount(which)[which] > 1
+    pos = within(size)
+    heads = np.cumsum(size) - size
+    first = np.minimum.reduceat(np.where(twice, pos, 1 << 40), heads)
+    last = np.maximum.reduceat(np.where(twice, pos, -1), heads)
+    return np.where(last < 0, 0, first), last
+
+
 def _by_suffix_array(strings: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for table, bounds in runs(batches, ["m"]):
-            pieces, ids = table.column("piece").to_pylist(), table.column("low_id").to_numpy()
-            lows: list[np.ndarray] = []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                lows += lowest_ids(pieces[s:e], ids[s:e], width)
-            yield from pa.Table.from_arrays([table.column("m"), table.column("h"), pa.array(lows, pa.list_(pa.int64()))], ["m", "h", "lows"]).to_batches()
+            column = table.column("piece").combine_chunks()
+            body, offsets = flat(column if isinstance(column, pa.Array) else column.chunk(0))
+            ids = table.column("low_id").to_numpy()
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            first, last = _shared_ranges(body, offsets, group, width)
+            size = np.diff(offsets) - width + 1
+            ends = np.r_[0, np.cumsum(size)]
+            lows = np.repeat(ids, size)
+            raw = body.tobytes()
+            busy = np.flatnonzero(last >= 0)
+            for g in np.split(busy, np.flatnonzero(np.diff(group[busy])) + 1) if len(busy) else []:
+                # Strings cut to their ranges; equal ones are one, with the smallest id.
+                cut: dict[bytes, int] = {}
+                parts = [raw[offsets[i] + first[i] : offsets[i] + last[i] + width] for i in g.tolist()]
+                for i, p in zip(g.tolist(), parts, strict=True):
+                    cut[p] = min(cut.get(p, ids[i]), ids[i])
+                pieces = list(cut)
+                found = dict(zip(pieces, lowest_ids(pieces, np.array([cut[p] for p in pieces]), width), strict=True))
+                for i, p in zip(g.tolist(), parts, strict=True):
+                    lows[ends[i] + first[i] : ends[i] + last[i] + 1] = found[p]
+            yield pa.RecordBatch.from_arrays(
+                [table.column("m").combine_chunks(), table.column("h").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lows))],
+                ["m", "h", "lows"],
+            )
 
     dealt = strings.select("m", "h", "piece", "low_id").repartition("m").sortWithinPartitions("m")
     return arrow_map(dealt, run, "m long, h long, lows array<long>")
