@@ -37,9 +37,9 @@ from helixframe.llm.shared import U64, Rolling, arrow_map, flat, mix, rows_by_by
 #: Words to a shingle; similarity in hundredths; sets to a block of a large group.
 WORDS, PERCENT, BLOCK = 4, 85, 512
 #: Counters of a task's Misra-Gries summary, and n-grams that may be ordered last.
-COUNTERS, FREQUENT = 1 << 16, 4096
+COUNTERS, FREQUENT = 1 << 16, 1 << 16
 #: An n-gram is frequent from this share of the documents on.
-SHARE = 0.001
+SHARE = 0.0002
 #: Lists of ids are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 BROADCAST_GROUPS = 1_000_000
