@@ -312,6 +312,8 @@ class Tagger:
 
     def labels(self, shape: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens that aren't ``O`` and their labels."""
+        if not len(shape):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         kinds, which = np.unique(shape, return_inverse=True)
         f = features(kinds)
         own, prev, after = (f @ self.w[0]), (f @ self.w[1]), (f @ self.w[2])
