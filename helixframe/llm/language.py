@@ -184,7 +184,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for whole in batches:
-            for batch in rows_by_bytes(whole, "text", rows=1024):
+            for batch in rows_by_bytes(whole, "text", rows=256):
                 names, score, rejected = model.predict(batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
@@ -201,7 +201,7 @@ def keep_known(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
 
     def run(batches):
         for whole in batches:
-            for batch in rows_by_bytes(whole, text_col, rows=1024):
+            for batch in rows_by_bytes(whole, text_col, rows=256):
                 rejected = model.predict(batch.column(text_col))[2]
                 yield batch.filter(pa.array(~rejected))
 
