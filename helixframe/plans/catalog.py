@@ -479,12 +479,8 @@ def mutate_branches(spark, sf):
     return proposals.Masked(0.05, 5).expand(seqs(spark, sf).select("pid", "seq"), 2, 0).select("pid", F.col("k").cast("long").alias("k"), "seq")
 
 
-def _cell1_sql(seq: str) -> str:
-    d = f"translate({seq}, 'ACGT', '0123')"
-    return f"list_sum(list_transform(range(1, 199), lambda j: ((16 * substr({d}, j, 1)::BIGINT + 4 * substr({d}, j + 1, 1)::BIGINT + substr({d}, j + 2, 1)::BIGINT) * 5 + 3) % 17 - 8)) / 1584.0"
-
-
-@query(f"""WITH {_TILES}, x AS (SELECT pid, k, seq AS parent, {_mutated_sql('k')} AS new FROM s, range(0, 2) r(k)), y AS (SELECT *, hamming(new, parent) <= 8 AS ok, {_cell1_sql('new')} AS v FROM x)
+@query(f"""WITH {_TILES}, x AS MATERIALIZED (SELECT pid, k, seq AS parent, {_mutated_sql('k')} AS new FROM s, range(0, 2) r(k)), d AS MATERIALIZED (SELECT *, translate(new, 'ACGT', '0123') AS d FROM x),
+y AS (SELECT *, hamming(new, parent) <= 8 AS ok, list_sum(list_transform(range(1, 199), lambda j: ((16 * substr(d, j, 1)::BIGINT + 4 * substr(d, j + 1, 1)::BIGINT + substr(d, j + 2, 1)::BIGINT) * 5 + 3) % 17 - 8)) / 1584.0 AS v FROM d)
 SELECT pid, CASE WHEN bool_or(ok) THEN arg_min(new, struct_pack(bad := NOT ok, v := -v, k := k)) ELSE any_value(parent) END AS seq, bool_or(ok) AS valid FROM y GROUP BY 1""")
 def branch_choice(spark, sf):
     rows = proposals.Masked(0.05, 5).expand(seqs(spark, sf).select("pid", "seq", F.col("seq").alias("parent"), F.col("seq").alias("origin")), 2, 0)
