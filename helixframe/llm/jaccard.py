@@ -40,7 +40,7 @@ WORDS, PERCENT, BLOCK = 4, 85, 512
 COUNTERS, FREQUENT = 1 << 16, 1 << 16
 #: An n-gram is frequent from this share of the documents on.
 SHARE = 0.0002
-#: Lists of ids are broadcast up to so many rows, else joined by shuffle.
+#: Lists of ids, grid rows and roots are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 BROADCAST_GROUPS = 1_000_000
 
@@ -394,10 +394,15 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, words: int, order: Order) -> D
     return arrow_map(df.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("want"), "left_semi"), run, "rep long, n long, keys binary")
 
 
+def _hinted(side: DataFrame) -> DataFrame:
+    """``side`` to be broadcast if it has few rows; else the join shuffles."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def _round(df: DataFrame, reps: DataFrame, most: int | None, words: int, percent: int, block: int, order: Order) -> DataFrame:
     """Links between classes of different components that share one of the first ``most`` prefix n-grams."""
-    cells = _compatible(_dealt(_prefix_rows(reps, most), block), percent)
-    sketch = cells.join(reps.select("rep", "n", F.col("prefix").alias("keys")), "rep")
+    cells = staged(_compatible(_dealt(_prefix_rows(reps, most), block), percent), "cells")
+    sketch = reps.select("rep", "n", F.col("prefix").alias("keys")).join(_hinted(cells), "rep")
     maybe = staged(_joined(sketch, percent, False), "maybe")
     if maybe.isEmpty():
         return maybe.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
@@ -431,7 +436,7 @@ def near_groups(
     reps = staged(some.join(mark, same).select("rep", F.col("rep").alias("comp"), "n", "prefix").dropDuplicates(["rep", "n", "prefix"]), "shingle-reps")
     first = _round(docs, reps, 1, words, percent, block, order)
     roots = components(first)
-    known = reps.drop("comp").join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("comp"), "n", "prefix")
+    known = reps.drop("comp").join(_hinted(roots), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("comp"), "n", "prefix")
     known = staged(known, "shingle-reps")
     second = _round(docs, known, None, words, percent, block, order)
     versions = some.join(classes, ["n", "f1", "f2"]).where("id <> rep")
