@@ -4,24 +4,32 @@ A small network sees the two tokens before and the two after a place, never
 the token itself, and gives the probability of every class there. A document's
 score is the sum of the log-probabilities of all its tokens.
 
-Tokens are words: the commonest words of the whole corpus are classes of their
-own, all others fall into classes by length and ending. The network (position
+Tokens are words, whatever their ASCII case: the commonest words of the whole
+corpus are classes of their own, all others fall into classes by length and
+ending. A word of such a group has the probability of the group there times its
+share of the group's tokens in the corpus, from the exact counts of all words.
+The counts are a table that grows with the corpus: words with a large share of
+all tokens, of which there can only be so many, are known to every task, all
+others are joined to the tokens by shuffle.
+
+The network (position
 embeddings, one tanh layer, softmax) is trained in numpy: every task runs
 mini-batch steps over all documents of its partition, at every fourth place,
 from the same weights; the weights are averaged by shuffle, by the number of
 tokens seen, and a second round starts from the average. So counts and training
 grow with the corpus, while what comes to the driver is a fixed number of
-weights and classes.
+weights, classes and common words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import U64, Rolling, arrow_map, flat, mix, rows_by_bytes, tokens
+from helixframe.llm.shared import U64, Rolling, arrow_map, flat, mix, rows_by_bytes, staged, tokens
 
 #: Classes: 0 beyond the text's ends, then words, then groups of other words.
 CLASSES, GROUPS, WIDTH = 256, 64, 24
@@ -29,6 +37,8 @@ SIDES = (-2, -1, 1, 2)
 ROUNDS, STRIDE, BATCH, RATE = 2, 4, 2048, 0.5
 #: Word counts that a task holds before it hands them on.
 HELD = 1 << 20
+#: Words with more than one in COMMON of all tokens aren't shuffled; there are fewer than COMMON of them.
+COMMON = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -45,30 +55,58 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, group, row
 
 
-def vocabulary(docs: DataFrame, size: int = CLASSES - GROUPS - 1) -> np.ndarray:
-    """Hashes of the commonest words over all documents, commonest first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), grp, n of every word of all documents; exact."""
 
     def run(batches):
-        keys, count = np.zeros(0, U64), np.zeros(0, np.int64)
+        keys, grp, count = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def told():
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(count)], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(grp), pa.array(count)], ["word", "grp", "n"])
 
         for whole in batches:
             for batch in rows_by_bytes(whole, "text"):
-                new, n = np.unique(words(batch.column("text"))[0], return_counts=True)
-                keys, where = np.unique(np.r_[keys, new], return_inverse=True)
+                key, group, _ = words(batch.column("text"))
+                new, first, n = np.unique(key, return_index=True, return_counts=True)
+                keys, at, where = np.unique(np.r_[keys, new], return_index=True, return_inverse=True)
+                grp = np.r_[grp, group[first]][at]
                 count = np.bincount(where, np.r_[count, n], len(keys)).astype(np.int64)
                 if len(keys) > HELD:
                     yield told()
-                    keys, count = keys[:0], count[:0]
+                    keys, grp, count = keys[:0], grp[:0], count[:0]
         yield told()
 
-    counts = arrow_map(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("text"), run, "word long, grp long, n long").groupBy("word").agg(F.first("grp").alias("grp"), F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, size: int = CLASSES - GROUPS - 1, counts: DataFrame | None = None) -> np.ndarray:
+    """Hashes of the commonest words over all documents, commonest first."""
+    counts = word_counts(docs) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     return np.array([r["word"] for r in top], np.int64).astype(U64)
 
 
+class Shares:
+    """What a task knows of the words in groups: each group's tokens, and the counts of common words."""
+
+    def __init__(self, counts: DataFrame, vocab: np.ndarray, common: int = COMMON):
+        self.least = (counts.agg(F.sum("n")).first()[0] or 0) // common
+        own = counts.sparkSession.createDataFrame([(int(w),) for w in vocab.astype(np.int64)], "word long")
+        grouped = counts.join(F.broadcast(own), "word", "left_anti")
+        size = np.ones(GROUPS)
+        for r in grouped.groupBy("grp").agg(F.sum("n").alias("n")).collect():
+            size[r["grp"]] = r["n"]
+        self.size = np.log(size)
+        top = grouped.where(F.col("n") > self.least).select("word", "n").toPandas()
+        word = top["word"].to_numpy(np.int64).astype(U64)
+        order = np.argsort(word)
+        self.word, self.log = word[order], np.log(top["n"].to_numpy(np.float64)[order])
+        self.rest = grouped.where(F.col("n") <= self.least).select("word", "n")
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.size, self.word, self.log
+
+
 class Network:
     """Weights and steps; all of them in one vector, so that they can be averaged."""
 
@@ -118,7 +156,9 @@ class Reader:
         self.sorted = vocab[self.order]
 
     def classes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        key, group, row = words(column)
+        return self.classed(*words(column))
+
+    def classed(self, key: np.ndarray, group: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = CLASSES - GROUPS + group
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
@@ -128,7 +168,10 @@ class Reader:
 
     def contexts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(classes around, class, row) of each token; beyond a text's ends stands class 0."""
-        y, row = self.classes(column)
+        return self.around(*self.classes(column))
+
+    @staticmethod
+    def around(y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(y)
         around = np.zeros((n, len(SIDES)), np.int64)
         for s, d in enumerate(SIDES):
@@ -161,9 +204,9 @@ def _trained_once(docs: DataFrame, vocab: np.ndarray, weights: np.ndarray, rate:
     return np.round(mean["w"].to_numpy(), 9) if len(mean) else weights
 
 
-def trained(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def trained(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(vocabulary, weights) learnt from all texts of ``docs``."""
-    vocab, weights = vocabulary(docs), Network.start()
+    vocab, weights = vocabulary(docs, counts=counts), Network.start()
     for r in range(rounds):
         weights = _trained_once(docs, vocab, weights, RATE / (1 + r))
     return vocab, weights
@@ -193,6 +236,47 @@ def score(df: DataFrame, vocab: np.ndarray, weights: np.ndarray, id_col: str = "
     return arrow_map(rows, run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
+def score_words(df: DataFrame, vocab: np.ndarray, weights: np.ndarray, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
+    """As ``score``, of the words themselves: a word of a group adds its log share of the group's tokens.
+
+    ``counts`` are the ``word_counts`` that the shares come from; a word that
+    isn't in them counts as seen once.
+    """
+    shares = Shares(counts, vocab, common)
+    size, known, logs = shares.tables()
+
+    def run(batches):
+        net, reader, uid = Network(weights), Reader(vocab), TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for batch in rows_by_bytes(whole, "text"):
+                key, group, row = words(batch.column("text"))
+                around, y, row = reader.around(*reader.classed(key, group, row))
+                each = np.zeros(len(y))
+                for k in range(0, len(y), 8192):
+                    each[k : k + 8192] = net.log_probability(around[k : k + 8192], y[k : k + 8192])
+                rare = y >= CLASSES - GROUPS
+                each[rare] -= size[group[rare]]
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    held = rare & (known[at] == key)
+                    each[held] += logs[at[held]]
+                    rare &= ~held
+                m = batch.num_rows
+                ends = np.r_[0, np.cumsum(np.bincount(row[rare], minlength=m))].astype(np.int32)
+                left = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[rare].astype(np.int64)))
+                columns = [batch.column("id"), pa.array(np.bincount(row, minlength=m)), pa.array(np.bincount(row, each, m)), pa.array(uid + np.arange(m)), left]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "part", "uid", "words"])
+                uid += m
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    parts = staged(arrow_map(rows, run, "doc_id long, n_tokens long, part double, uid long, words array<long>"), "lm-parts")
+    tail = parts.select("uid", F.explode("words").alias("word")).join(shares.rest, "word").groupBy("uid").agg(F.sum(F.log("n")).alias("more"))
+    total = F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 4)
+    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("log_likelihood") / F.col("n_tokens"), 6))
+    return parts.drop("words").join(tail, "uid", "left").select("doc_id", "n_tokens", total.alias("log_likelihood")).withColumn("mean_log_likelihood", mean)
+
+
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, *trained(docs))
+    counts = staged(word_counts(docs), "word-counts")
+    return score_words(docs, *trained(docs, counts=counts), counts)

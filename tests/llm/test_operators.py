@@ -184,6 +184,39 @@ def test_lm_scores(spark, sf, some):
     assert got[some[7][0]]["log_likelihood"] == pytest.approx(total, abs=0.05)
 
 
+def test_lm_scores_know_each_word(spark, sf, some):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    table = _docs(spark, some).select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    counts = lm_score.word_counts(table)
+    vocab, weights = lm_score.trained(table, rounds=1, counts=counts)
+    net, reader = lm_score.Network(weights), lm_score.Reader(vocab)
+    low = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+    n, of = {}, {}
+    for r in table.collect():
+        for w in low(r["text"]):
+            n[w] = n.get(w, 0) + 1
+    for w in n:
+        of[w] = int(reader.classes(pa.array([w.decode()]))[0][0])
+    size = {}
+    for w, k in of.items():
+        size[k] = size.get(k, 0) + n[w]
+    assert sum(k >= lm_score.CLASSES - lm_score.GROUPS for k in of.values()) > 1000
+    for common in (1, 3000, 1 << 40):  # all words joined by shuffle, some, and none
+        rows = lm_score.score_words(table, vocab, weights, counts, common=common).collect()
+        assert len(rows) == table.count()
+        got = {r["doc_id"]: r for r in rows}
+        assert got[1000]["n_tokens"] == 0 and got[1000]["log_likelihood"] == 0 and got[1000]["mean_log_likelihood"] is None
+        for doc, text in [*some[5:9], *some[-3:]]:
+            around, y, _ = reader.contexts(pa.array([text]))
+            want = float(net.log_probability(around, y).sum(dtype=float)) + sum(float(np.log(n[w] / size[of[w]])) for w in low(text))
+            assert got[doc]["log_likelihood"] == pytest.approx(want, abs=0.05)
+    # Two words of one length and ending, one of them rarer.
+    near = spark.createDataFrame([(1, "a qqzzkx b")] + [(i, "a wwzzkx b") for i in range(2, 6)] + [(9, " ".join(w.decode() for w in n))], "doc_id long, text string")
+    seen = lm_score.word_counts(near)
+    close = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score_words(near, vocab, weights, seen).collect()}
+    assert close[2] - close[1] == pytest.approx(np.log(4), abs=0.001)
+
+
 def test_byte_bpe_equals_library():
     import random
 
