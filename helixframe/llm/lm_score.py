@@ -14,8 +14,7 @@ others are joined to the tokens by shuffle.
 
 The network (position
 embeddings, one tanh layer, softmax) is trained in numpy: every task runs
-mini-batch steps over all documents of its partition, at every fourth place,
-from the same weights; the weights are averaged by shuffle, by the number of
+mini-batch steps over all tokens of its partition, from the same weights; the weights are averaged by shuffle, by the number of
 tokens seen, and a second round starts from the average. So counts and training
 grow with the corpus, while what comes to the driver is a fixed number of
 weights, classes and common words.
@@ -34,7 +33,7 @@ from helixframe.llm.shared import U64, Rolling, arrow_map, flat, mix, rows_by_by
 #: Classes: 0 beyond the text's ends, then words, then groups of other words.
 CLASSES, GROUPS, WIDTH = 256, 64, 24
 SIDES = (-2, -1, 1, 2)
-ROUNDS, STRIDE, BATCH, RATE = 2, 4, 2048, 0.5
+ROUNDS, BATCH, RATE = 2, 2048, 0.5
 #: Word counts that a task holds before it hands them on.
 HELD = 1 << 20
 #: Words with more than one in COMMON of all tokens aren't shuffled; there are fewer than COMMON of them.
@@ -117,6 +116,7 @@ class Network:
         self.embed = w[: s * k * d].reshape(s, k, d)
         self.out = w[s * k * d : s * k * d + d * k].reshape(d, k)
         self.bias = w[-k:]
+        self.room = np.zeros((0, k), np.float32)
 
     @staticmethod
     def start(seed: int = 5) -> np.ndarray:
@@ -127,27 +127,35 @@ class Network:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.embed[s][around[:, s]] for s in range(len(SIDES))))
 
+    def scores(self, h: np.ndarray) -> np.ndarray:
+        """Class scores less each row's largest; the next call writes over them."""
+        if len(self.room) < len(h):
+            self.room = np.empty((len(h), CLASSES), np.float32)
+        z = np.matmul(h, self.out, out=self.room[: len(h)])
+        z += self.bias
+        z -= z.max(1, keepdims=True)
+        return z
+
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        z = self.hidden(around) @ self.out + self.bias
-        top = z.max(1, keepdims=True)
-        return z[np.arange(len(target)), target] - top[:, 0] - np.log(np.exp(z - top).sum(1))
+        z = self.scores(self.hidden(around))
+        mine = z[np.arange(len(target)), target]
+        return mine - np.log(np.exp(z, out=z).sum(1))
 
     def step(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         n = len(target)
         h = self.hidden(around)
-        z = h @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
+        z = self.scores(h)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), target] -= 1
-        z /= n
+        z *= 1 / (n * z.sum(1, keepdims=True))
+        z[np.arange(n), target] -= np.float32(1 / n)
         back = (z @ self.out.T) * (1 - h * h)
         self.out -= rate * (h.T @ z)
         self.bias -= rate * z.sum(0)
         for s in range(len(SIDES)):
-            pick = np.zeros((n, CLASSES), np.float32)
-            pick[np.arange(n), around[:, s]] = 1
-            self.embed[s] -= rate * (pick.T @ back)
+            k = around[:, s].astype(np.uint8)
+            order = np.argsort(k, kind="stable")
+            first = np.flatnonzero(np.diff(k[order], prepend=-1))
+            self.embed[s][k[order[first]]] -= rate * np.add.reduceat(back[order], first)
 
 
 class Reader:
@@ -191,10 +199,9 @@ def _trained_once(docs: DataFrame, vocab: np.ndarray, weights: np.ndarray, rate:
         for whole in batches:
             for batch in rows_by_bytes(whole, "text"):
                 around, y, _ = reader.contexts(batch.column("text"))
-                for k in range(STRIDE - 1, len(y), STRIDE * BATCH):
-                    at = slice(k, k + STRIDE * BATCH, STRIDE)
-                    net.step(around[at], y[at], rate)
-                    seen += len(y[at])
+                for k in range(0, len(y), BATCH):
+                    net.step(around[k : k + BATCH], y[k : k + BATCH], rate)
+                seen += len(y)
         if seen:
             n = len(net.flat)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(net.flat.astype(np.float64)), pa.array(np.full(n, float(seen)))], ["i", "w", "seen"])
@@ -225,8 +232,8 @@ def score(df: DataFrame, vocab: np.ndarray, weights: np.ndarray, id_col: str = "
             for batch in rows_by_bytes(whole, "text"):
                 around, y, row = reader.contexts(batch.column("text"))
                 each = np.zeros(len(y))
-                for k in range(0, len(y), 8192):
-                    each[k : k + 8192] = net.log_probability(around[k : k + 8192], y[k : k + 8192])
+                for k in range(0, len(y), BATCH):
+                    each[k : k + BATCH] = net.log_probability(around[k : k + BATCH], y[k : k + BATCH])
                 n = np.bincount(row, minlength=batch.num_rows)
                 total = np.round(np.bincount(row, each, batch.num_rows), 4)
                 mean = np.round(total / np.maximum(n, 1), 6)
@@ -252,8 +259,8 @@ def score_words(df: DataFrame, vocab: np.ndarray, weights: np.ndarray, counts: D
                 key, group, row = words(batch.column("text"))
                 around, y, row = reader.around(*reader.classed(key, group, row))
                 each = np.zeros(len(y))
-                for k in range(0, len(y), 8192):
-                    each[k : k + 8192] = net.log_probability(around[k : k + 8192], y[k : k + 8192])
+                for k in range(0, len(y), BATCH):
+                    each[k : k + BATCH] = net.log_probability(around[k : k + BATCH], y[k : k + BATCH])
                 rare = y >= CLASSES - GROUPS
                 each[rare] -= size[group[rare]]
                 if len(known):

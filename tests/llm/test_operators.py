@@ -217,6 +217,24 @@ def test_lm_scores_know_each_word(spark, sf, some):
     assert close[2] - close[1] == pytest.approx(np.log(4), abs=0.001)
 
 
+def test_lm_trains_on_every_token(spark):
+    texts = ["alpha", "beta", "", "gamma delta", "alpha beta alpha beta gamma", "eps"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    vocab, weights = lm_score.trained(docs, rounds=1)
+    around, y, _ = lm_score.Reader(vocab).contexts(pa.array(texts))
+    assert len(y) == 10
+    # One step, written out with one-hot places, over all ten tokens.
+    net = lm_score.Network(lm_score.Network.start())
+    h = net.hidden(around)
+    z = np.exp(h @ net.out + net.bias)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(10), y] -= 1
+    back = (z @ net.out.T) * (1 - h * h) / 10
+    want = [net.embed[s] - lm_score.RATE * np.eye(lm_score.CLASSES)[around[:, s]].T @ back for s in range(len(lm_score.SIDES))]
+    want = np.concatenate([np.ravel(want), np.ravel(net.out - lm_score.RATE * h.T @ z / 10), net.bias - lm_score.RATE * z.sum(0) / 10])
+    assert np.abs(weights - want).max() < 1e-5
+
+
 def test_byte_bpe_equals_library():
     import random
 
