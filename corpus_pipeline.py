@@ -14,6 +14,10 @@ from helixframe.llm import exact_dedup, jaccard, language, packing, pii
 from helixframe.llm.shared import fresh, staged
 
 
+#: The near-copy stage's own shingles and similarity in hundredths; op4 keeps its contract's.
+WORDS, PERCENT = 5, 80
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language classifier rejects go."""
     return language.keep_known(docs)
@@ -25,9 +29,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id stays."""
+    """Of each component of near copies (five-word shingles, 80 %), the document with the smallest id stays."""
     gone = fresh(docs, "gone_id")
-    later = jaccard.near_groups(docs).where("doc_id > component_id").select(F.col("doc_id").alias(gone)).distinct()
+    later = jaccard.near_groups(docs, words=WORDS, percent=PERCENT).where("doc_id > component_id").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(later, docs["doc_id"] == F.col(gone), "left_anti")
 
 

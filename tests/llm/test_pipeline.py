@@ -1,5 +1,6 @@
 """The pipeline against a plain version of each stage's decision."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -38,3 +39,40 @@ def test_stages(spark, sf):
     assert set(kept["pii"]["doc_id"]) == set(kept["ngram_jaccard"]["doc_id"]) == set(kept["packing"]["doc_id"])
     assert not kept["pii"]["text"].str.contains(r"@mail\d\.example\.com").any()
     assert (kept["pii"]["n_chars"] == kept["pii"]["text"].str.len()).all()
+
+
+def test_near_copies_take_five_words_and_80(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    base = words[:104]  # 100 five-word shingles
+    texts = [base, base + words[200:220], base + words[200:226], words[104:180], words[104:112] + words[300:368]]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    far = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= far(0, 1) < 0.85 and far(0, 2) < 0.8 and far(3, 4) < 0.2
+    docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in (0, 1, 3, 4)], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {0, 3, 4}
+    docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in (0, 2, 3, 4)], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {0, 2, 3, 4}
+
+
+def test_near_copies_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()}
+    assert got == {i for i in ids if find(i) == i}
