@@ -28,11 +28,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def text_digest(text: Column) -> Column:
+    """The SHA-256 of the normalised text, as 32 bytes."""
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+
+
 def digest_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, digest): the SHA-256 of the normalised text, as 32 bytes."""
     return df.select(
         F.col(id_col).alias("id"),
-        F.unhex(F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)).alias("digest"),
+        text_digest(F.col(text_col)).alias("digest"),
     )
 
 
@@ -71,9 +76,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows whose text a row with a smaller id has; all columns stay."""
     groups = exact_groups(df, id_col, text_col)
-    gone = fresh(df, "gone_id")
-    lost = groups.where("id > keep").select(F.col("id").alias(gone))
-    return df.join(lost, df[id_col] == F.col(gone), "left_anti")
+    gone, what = fresh(df, "gone_id"), fresh(df, "gone_digest")
+    lost = groups.where("id > keep").select(F.col("id").alias(gone), F.col("digest").alias(what))
+    # As a condition that is no join key, texts are digested where an id matches only.
+    same = F.array_contains(F.array(what), text_digest(df[text_col]))
+    return df.join(lost, (df[id_col] == F.col(gone)) & same, "left_anti")
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -166,6 +166,12 @@ def test_warc_round_trip_and_damage(spark, tmp_path):
     assert warc.read(warc.write(df.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_exact_copies_by_id_and_text(spark):
+    df = _docs(spark, [(1, "a b"), (2, "a  b"), (2, "own text"), (3, None), (4, ""), (4, "x"), (None, "a b")])
+    kept = [(r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a b"), (2, "own text"), (3, None), (4, "x"), (None, "a b")], key=str)
+
+
 def test_lm_scores(spark, sf, some):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     vocab, weights = lm_score.trained(docs)
