@@ -172,6 +172,23 @@ def test_exact_copies_by_id_and_text(spark):
     assert sorted(kept, key=str) == sorted([(1, "a b"), (2, "own text"), (3, None), (4, "x"), (None, "a b")], key=str)
 
 
+def test_round_trip_is_the_decoders(monkeypatch):
+    held = []
+    monkeypatch.setattr(sentence_pieces, "arrow_map", lambda df, fn, schema: held.append(fn))
+    frame = type("Frame", (), {"select": lambda self, *c: self})()
+    column = type("Column", (), {"cast": lambda self, t: self, "alias": lambda self, n: self})()
+    monkeypatch.setattr(sentence_pieces.F, "col", lambda name: column)
+    sentence_pieces.encode_report(frame)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some text", "other"])], ["id", "text"])
+    assert [r["round_trip"] for b in held[0]([batch]) for r in b.to_pylist()] == [True, True]
+    real = sentence_pieces.Codec.decode
+    monkeypatch.setattr(sentence_pieces.Codec, "decode", lambda self, ids: ["wrong", *real(self, ids)[1:]])
+    assert [r["round_trip"] for b in held[0]([batch]) for r in b.to_pylist()] == [False, True]
+    monkeypatch.setattr(sentence_pieces, "verify", lambda path, texts: texts[:1])
+    with pytest.raises(ValueError):
+        sentence_pieces.op2_sentencepiece(None, "")
+
+
 def test_lm_scores(spark, sf, some):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     vocab, weights = lm_score.trained(docs)
