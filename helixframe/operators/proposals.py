@@ -143,25 +143,26 @@ def chosen_branch(df: DataFrame, score: str, length: int, cap: int | None = None
     """One branch for each pid, or its parent where none is valid.
 
     Rows: pid, k, seq, parent, origin, score. ``criterion``: the score, or score / (1 + edits).
-    tau 0: the largest, first k on ties. Else a draw from the softmax of criterion / tau.
+    tau 0: the largest, first k on ties. Else a draw from the softmax of criterion / tau,
+    with the log of the drawn branch's chance as ``log_p``.
     """
     edits = S.hamming("seq", "origin")
     ok = F.lit(True) if cap is None else edits <= cap
     if step_cap is not None:
         ok = ok & (S.hamming("seq", "parent") <= step_cap)
     value = fit.efficiency(score, edits) if criterion == "efficiency" else F.col(score)
-    rows = df.withColumns({"_ok": ok, "_v": value.cast("double")})
+    rows = df.withColumns({"_ok": ok, "_v": value.cast("double"), "_p": F.lit(0.0)})
     if tau > 0:
         whole = Window.partitionBy("pid")
         order = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
         w = F.when(F.col("_ok"), F.exp((F.col("_v") - F.max(F.when(F.col("_ok"), F.col("_v"))).over(whole)) / tau)).otherwise(0.0)
         rows = rows.withColumn("_w", w).withColumns({"_c": F.sum("_w").over(order), "_t": F.sum("_w").over(whole)})
         past = rows.withColumn("_v", F.when(F.col("_c") / F.col("_t") > rng.uniform(seed, "tau", "pid", F.lit(step)), -F.col("k").cast("double")).otherwise(float("-inf")))
-        rows = past.drop("_w", "_c", "_t")
+        rows = past.withColumn("_p", F.when(F.col("_ok"), F.log(F.greatest(F.col("_w") / F.col("_t"), F.lit(1e-30)))).otherwise(0.0)).drop("_w", "_c", "_t")
     rest = [c for c in df.columns if c != "pid"]
     order = F.struct((~F.col("_ok")).alias("bad"), (-F.col("_v")).alias("v"), F.col("k"))
-    best = rows.groupBy("pid").agg(F.min_by(F.struct(*rest, "_ok"), order).alias("_b"))
-    out = best.select("pid", *(F.col(f"_b.{c}").alias(c) for c in rest), F.col("_b._ok").alias("valid"))
+    best = rows.groupBy("pid").agg(F.min_by(F.struct(*rest, "_ok", "_p"), order).alias("_b"))
+    out = best.select("pid", *(F.col(f"_b.{c}").alias(c) for c in rest), F.col("_b._ok").alias("valid"), F.when(F.col("_b._ok"), F.col("_b._p")).otherwise(0.0).alias("log_p"))
     return out.withColumn("seq", F.when(F.col("valid"), F.col("seq")).otherwise(F.col("parent")))
 
 

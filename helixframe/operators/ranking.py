@@ -11,6 +11,8 @@ import bisect
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.relational import part_offsets, range_parts
+
 
 def average_rank(value: str, group: list[str] | None = None) -> Column:
     """Ranks from 1; ties share their mean rank. One task per group."""
@@ -28,22 +30,27 @@ def with_average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(ranks, df[value].eqNullSafe(F.col("_v"))).drop("_v")
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Running sums in the order of the unique column ``order``.
+def prefix_sum(df: DataFrame, order: str, value: str, name: str, group: str | None = None) -> DataFrame:
+    """Running sums in the order of the unique column ``order``, in each ``group`` if one is named.
 
-    Range partitions are summed on their own; the sums of partitions, a number
-    each, come to the driver and go back as offsets.
+    Ranges of the table are written once and summed on their own; the sums, one
+    for each range and group that meet, go back as offsets. A group that spans
+    many ranges never runs in one task.
     """
-    rows = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    sums = rows.groupBy("_part").agg(F.sum(value).alias("_s")).orderBy("_part").collect()
-    offsets, at = [], 0
-    for r in sums:
-        offsets.append((r["_part"], at))
-        at += r["_s"] or 0
-    local = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    kind = "double" if any(isinstance(x[1], float) for x in offsets) else "long"
-    side = F.broadcast(df.sparkSession.createDataFrame([(p, float(a) if kind == "double" else int(a)) for p, a in offsets], f"_part int, _at {kind}"))
-    return rows.withColumn(name, F.sum(value).over(local)).join(side, "_part").withColumn(name, F.col(name) + F.col("_at")).drop("_part", "_at")
+    key = F.struct(group, order) if group else F.col(order)
+    rows = range_parts(df, key)
+    by = [group] if group else []
+    sums = rows.groupBy(*by, "_part").agg(F.sum(value).alias("_s"))
+    local = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(name, F.sum(value).over(local))
+    if group:
+        # A row a range and group: the windows are over few rows.
+        past = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        side = sums.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(past), F.lit(0)).alias("_before"))
+        joined = rows.join(side, rows[group].eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))).drop("_g", "_p")
+    else:
+        joined = rows.join(part_offsets(rows, [(r["_part"], r["_s"]) for r in sums.orderBy("_part").collect()]), "_part")
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def rank_sum(df: DataFrame, values: list[str], name: str = "rank_sum") -> DataFrame:
@@ -73,14 +80,13 @@ def pareto_first(df: DataFrame, score: str, edits: str) -> DataFrame:
     over two levels, so the table is never in one task.
     """
     low = df.groupBy(score).agg(F.min(edits).alias("_low"))
-    rows = low.repartitionByRange(F.desc(score)).withColumn("_part", F.spark_partition_id())
-    mins = rows.groupBy("_part").agg(F.min("_low").alias("_m"), F.max(score).alias("_s")).orderBy(F.desc("_s")).collect()
+    rows = range_parts(low, -F.col(score))
     offsets, at = [], None
-    for r in mins:
+    for r in rows.groupBy("_part").agg(F.min("_low").alias("_m")).orderBy("_part").collect():
         offsets.append((r["_part"], float(at) if at is not None else None))
         at = r["_m"] if at is None else min(at, r["_m"])
     side = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before double"))
-    order = Window.partitionBy("_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     best = rows.join(side, "_part").withColumn("_better", F.least(F.min("_low").over(order), F.col("_before")))
     front = best.where("_better is null or _low < _better").select(F.col(score).alias("_fs"), "_low")
     return df.join(front, (df[score] == F.col("_fs")) & (df[edits] == F.col("_low"))).drop("_fs", "_low")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import rng
 from helixframe.functions import sequence as S
+from helixframe.functions.lineage import cut
 
 FILTERS = ("gc", "entropy", "cpg", "symmetry", "homopolymer")
 
@@ -88,17 +89,35 @@ def memo_misses(wanted: DataFrame, memo: DataFrame, on: str) -> DataFrame:
     return wanted.select(on).distinct().join(memo, on, "left_anti")
 
 
+#: Rows of a query set that distances are taken to.
+QUERY_ROWS = 10_000
+
+
 def distances_to(df: DataFrame, sample: DataFrame, key: str = "pid", seq: str = "seq") -> DataFrame:
-    """(key, least, mean): Hamming distances of every row to a sample of fixed size.
+    """(key, least, mean): Hamming distances of every row to a query set of at most ``QUERY_ROWS`` rows.
 
-    The sample is a stated query set of bounded size, so it is broadcast; the
-    least distance leaves the row itself out, the mean does not.
+    The set is broadcast, so a larger one is refused; the least distance leaves
+    the row itself out, the mean does not.
     """
+    sample = cut(sample.select(key, seq))
+    if sample.count() > QUERY_ROWS:
+        raise ValueError(f"a query set has at most {QUERY_ROWS} rows")
     side = F.broadcast(sample.select(F.col(key).alias("_sid"), F.col(seq).alias("_sseq")))
     d = df.select(key, seq).join(side, how="cross").withColumn("_d", S.hamming(seq, "_sseq"))
     return d.groupBy(key).agg(F.min(F.when(F.col("_sid") != F.col(key), F.col("_d"))).alias("least"), F.avg("_d").alias("mean"))
 
 
+def near_duplicates(df: DataFrame, threshold: int, n: int, length: int, seed: int, key: str = "pid", seq: str = "seq") -> DataFrame:
+    """Adds ``near``: whether a row is nearer than ``threshold`` to another one of a sample.
+
+    The sample shrinks as rows grow: min(max(10, 1e8 / (n length)), n) rows, so at most 10,000.
+    """
+    size = min(max(10, 100_000_000 // max(1, n * length)), n)
+    told = distances_to(df, sample_without_replacement(df, size, key, seed), key, seq)
+    near = told.select(F.col(key).alias("_k"), (F.coalesce(F.col("least"), F.lit(threshold)) < threshold).alias("near"))
+    return df.join(near, F.col(key) == F.col("_k")).drop("_k")
+
+
 # ------------------------------------------------------------------- order
 
 
@@ -139,22 +158,36 @@ def sample_without_replacement(df: DataFrame, n: int, key: str, seed: int) -> Da
     return df.orderBy(rng.order_key(seed, key), key).limit(n)
 
 
-def numbered(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Row numbers from 0 in the order of ``key``: range partitions, their sizes, and a window inside each.
+def range_parts(df: DataFrame, order: Column | str, part: str = "_part", local: str = "_at") -> DataFrame:
+    """``df`` dealt over ranges of ``order`` and written once, with each row's range and its number in there.
 
-    Only the sizes of partitions come to the driver.
+    Both come from the id that a row had when it was written, so every later job
+    sees the same ranges, however adaptive execution deals its own tasks.
     """
-    sorted_rows = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part").orderBy(key)
-    sizes = sorted_rows.groupBy("_part").count().orderBy("_part").collect()
-    start, at = [], 0
-    for row in sizes:
-        start.append((row["_part"], at))
-        at += row["count"]
-    if not start:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    offsets = F.broadcast(df.sparkSession.createDataFrame(start, "_part int, _at long"))
-    return sorted_rows.withColumn("_n", F.row_number().over(local) - 1).join(offsets, "_part").withColumn(name, F.col("_n") + F.col("_at")).drop("_part", "_n", "_at")
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The named sort key keeps an expression from being computed for the shuffle and the sort alike.
+    rows = df.withColumn("_by", order if isinstance(order, Column) else F.col(order))
+    rows = rows.repartitionByRange(many, "_by").sortWithinPartitions("_by").withColumn("_id", F.monotonically_increasing_id()).drop("_by")
+    # Of a 64-bit id, the upper 31 bits tell the task and the lower 33 the row.
+    return cut(rows).withColumns({part: F.shiftright("_id", 33).cast("int"), local: F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+
+
+def part_offsets(rows: DataFrame, figures: list[tuple[int, float | int]]) -> DataFrame:
+    """A broadcast side (_part, _before) from each part's figure, parts in order: the sum of all parts before."""
+    told, at = [], 0
+    for part, v in figures:
+        told.append((part, at))
+        at += v or 0
+    kind = "double" if any(isinstance(v, float) for _, v in figures) else "long"
+    cast = float if kind == "double" else int
+    return F.broadcast(rows.sparkSession.createDataFrame([(p, cast(v)) for p, v in told], f"_part int, _before {kind}"))
+
+
+def numbered(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """Row numbers from 0 in the order of ``key``: one range shuffle; only the sizes of ranges come to the driver."""
+    rows = range_parts(df, key)
+    sizes = [(r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()]
+    return rows.join(part_offsets(rows, sizes), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def sample_with_replacement(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
@@ -171,11 +204,10 @@ def weighted_without_replacement(df: DataFrame, n: int, weight: str, key: str, s
 
 
 def split_half(df: DataFrame, key: str, seed: int = 42, share: float = 0.5) -> DataFrame:
-    """Adds ``half``: A for the first int(share n) rows by hash order, else B. Exact sizes."""
-    n = df.count()
-    order = numbered(df.select(key, rng.order_key(seed, key).alias("_h")).withColumn("_s", F.struct("_h", key)), "_s")
-    side = order.select(F.col(key).alias("_key"), F.when(F.col("idx") < int(share * n), "A").otherwise("B").alias("half"))
-    return df.join(side, F.col(key) == F.col("_key")).drop("_key")
+    """Adds ``half``: A for the first int(share n) rows by hash order, else B. Exact sizes, no join."""
+    out = numbered(df.withColumn("_h", F.struct(rng.order_key(seed, key).alias("h"), F.col(key).alias("k"))), "_h", "_idx")
+    n = out.count()
+    return out.withColumn("half", F.when(F.col("_idx") < int(share * n), "A").otherwise("B")).drop("_h", "_idx")
 
 
 # --------------------------------------------------------------- set operations

@@ -5,78 +5,70 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import rng
+from helixframe.functions.lineage import cut
 from helixframe.operators.ranking import prefix_sum
+from helixframe.operators.relational import numbered
 
-#: Fitness columns up to so many rows are searched on the driver, beyond that as grid jobs.
-DRIVER_ROWS = 1_000_000
+#: Candidate steps to a round of the search, and rounds: 2 ** -48 of the range is told apart.
+WIDTH, ROUNDS = 256, 6
 
 
-def ess(log_w: np.ndarray) -> float:
-    w = np.exp(log_w - log_w.max())
-    return 0.0 if w.sum() < 1e-300 else float(w.sum() ** 2 / (w * w).sum())
+def largest_step(df: DataFrame, fitness: str, remaining: float, share: float, log_weight: str | None = None) -> float:
+    """The largest temperature step up to ``remaining`` whose effective size is ``share`` of the rows at least.
 
-
-def largest_step(fitness: np.ndarray, log_w: np.ndarray, remaining: float, share: float, rounds: int = 50) -> float:
-    """The largest temperature step up to ``remaining`` that keeps ESS at ``share`` of the rows."""
-    least = share * len(fitness)
-    if ess(log_w + remaining * fitness) >= least:
-        return remaining
-    low, high = 0.0, remaining
-    for _ in range(rounds):
-        middle = (low + high) / 2
-        low, high = (middle, high) if ess(log_w + middle * fitness) >= least else (low, middle)
+    Every round lays ``WIDTH`` candidates over the range that is left; they are
+    rows of a broadcast side, and a task hands on two sums for each. The same
+    search serves any number of rows.
+    """
+    told = df.agg(F.count(F.lit(1)).alias("n"), F.max(fitness).alias("top"), F.max(log_weight or F.lit(0.0)).alias("lw")).first()
+    wanted, low, high = share * told["n"], 0.0, remaining
+    for _ in range(ROUNDS):
+        steps = [low + (high - low) * (i + 1) / WIDTH for i in range(WIDTH)]
+        side = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(steps)), "i int, d double"))
+        start = F.lit(0.0) if log_weight is None else F.col(log_weight) - told["lw"]
+        w = F.exp(start + F.col("d") * (F.col(fitness) - F.lit(told["top"])))
+        sums = df.join(side, how="cross").groupBy("i").agg(F.sum(w).alias("s"), F.sum(w * w).alias("q"))
+        enough = sums.where(F.when(F.col("s") < 1e-300, 0.0).otherwise(F.col("s") * F.col("s") / F.col("q")) >= wanted)
+        best = enough.agg(F.max("i")).first()[0]
+        if best == WIDTH - 1:
+            return high
+        low, high = (low if best is None else steps[best]), steps[0 if best is None else best + 1]
     return low
 
 
-def largest_step_grid(df: DataFrame, fitness: str, remaining: float, share: float, rounds: int = 9, width: int = 64) -> float:
-    """The same for populations too large for the driver: candidate steps are rows, one job a round."""
-    n = df.count()
-    top = df.agg(F.max(fitness)).first()[0]
-    low, high = 0.0, remaining
-    for _ in range(rounds):
-        steps = [low + (high - low) * i / width for i in range(1, width + 1)]
-        side = F.broadcast(df.sparkSession.createDataFrame([(i, d) for i, d in enumerate(steps)], "i int, d double"))
-        w = F.exp(F.col("d") * (F.col(fitness) - F.lit(top)))
-        got = df.select(fitness).join(side, how="cross").groupBy("i").agg((F.sum(w) ** 2 / F.sum(w * w)).alias("ess")).collect()
-        good = max((r["i"] for r in got if r["ess"] >= share * n), default=-1)
-        if good == width - 1:
-            return high
-        low, high = (steps[good] if good >= 0 else low), steps[good + 1]
-    return low
+def fixed_point(df: DataFrame, weight: str, name: str) -> DataFrame:
+    """Adds the weight as a whole number whose sum over all rows fits a long: sums are the same in any order."""
+    told = df.agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("top")).first()
+    if dict(df.dtypes)[weight] in ("tinyint", "smallint", "int", "bigint"):
+        return df.withColumn(name, F.col(weight).cast("long"))
+    unit = float((1 << 62) // max(told["n"], 1)) / (told["top"] or 1.0)
+    return df.withColumn(name, F.floor(F.col(weight) * unit).cast("long"))
 
 
-def log_mean_exp(v: np.ndarray) -> float:
-    m = v.max()
-    return float(m + math.log(np.exp(v - m).mean()))
+def _points(upto: Column, total: Column, n: Column, u0: float) -> Column:
+    """The number of the last of n evenly spaced points that falls on or before ``upto``; -1 for none."""
+    return F.when(upto <= 0, F.lit(-1)).when(upto >= total, n - 1).otherwise(F.least(F.floor(n * (upto / total) - F.lit(u0)), n - 1))
 
 
 def systematic_copies(df: DataFrame, weight: str, key: str, u0: float, n: int | None = None, group: str | None = None) -> DataFrame:
     """Adds ``copies``: how many of n evenly spaced points fall to each row, in the order of ``key``.
 
-    Without a group the running sums are taken over two levels, so that no task
-    sees the whole table; with one, a window runs in each group.
+    u0 in [0, 1) is where in its step each point lies. With a ``group`` each
+    group has points of its own, as many as it has rows if n isn't given.
+    Running sums are taken over ranges of the table, so that neither the table
+    nor a large group is in one task; they are of whole numbers, so that the
+    copies add up to n.
     """
-    if group:
-        order = Window.partitionBy(group).orderBy(key)
-        running = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        rows = df.withColumn("_cum", running).withColumn("_all", F.sum(weight).over(Window.partitionBy(group)))
-        rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)) if n is None else F.lit(n))
-        before = F.lag("_cum").over(order)
-    else:
-        total = df.agg(F.sum(weight).alias("s"), F.count(F.lit(1)).alias("n")).first()
-        rows = prefix_sum(df, key, weight, "_cum").withColumns({"_all": F.lit(total["s"]), "_n": F.lit(n if n is not None else total["n"])})
-        before = F.when(F.col("_cum") - F.col(weight) > 0, F.col("_cum") - F.col(weight))
-
-    def upto(cum):
-        return F.least(F.floor(F.col("_n") * (cum / F.col("_all")) - F.lit(u0)), F.col("_n") - 1)
-
-    here = F.when(F.col("_cum") >= F.col("_all"), F.col("_n") - 1).otherwise(upto(F.col("_cum")))
-    prior = F.when(before.isNull(), F.lit(-1)).otherwise(upto(before))
-    return rows.withColumn("copies", F.greatest(here - prior, F.lit(0)).cast("long")).drop("_cum", "_all", "_n")
+    rows = prefix_sum(fixed_point(df, weight, "_w"), key, "_w", "_cum", group)
+    by = [group] if group else []
+    total = rows.groupBy(*by).agg(F.sum("_w").alias("_all"), (F.count(F.lit(1)) if n is None else F.lit(n)).alias("_n"))
+    rows = rows.join(total, group) if group else rows.join(F.broadcast(total), how="cross")
+    here, prior = (_points(c, F.col("_all"), F.col("_n"), u0) for c in (F.col("_cum"), F.col("_cum") - F.col("_w")))
+    return rows.withColumn("copies", F.greatest(here - prior, F.lit(0)).cast("long")).drop("_cum", "_all", "_n", "_w")
 
 
 def expand(df: DataFrame, key: str = "pid") -> DataFrame:
@@ -84,25 +76,27 @@ def expand(df: DataFrame, key: str = "pid") -> DataFrame:
     return df.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
 
-def tempered(df: DataFrame, log_weight: str, temperature: float) -> DataFrame:
-    """Weights of log-weights divided by a temperature over 1."""
+def tempered(df: DataFrame, log_weight: str, temperature: float | Column) -> DataFrame:
+    """Weights of log-weights divided by a temperature over 1, a number or a column."""
     top = df.agg(F.max(log_weight).alias("_m"))
-    return df.join(F.broadcast(top), how="cross").withColumn("weight", F.exp((F.col(log_weight) - F.col("_m")) / max(1.0, temperature))).drop("_m")
+    heat = F.greatest(F.lit(1.0), temperature if isinstance(temperature, Column) else F.lit(float(temperature)))
+    return df.join(F.broadcast(top), how="cross").withColumn("weight", F.exp((F.col(log_weight) - F.col("_m")) / heat)).drop("_m")
 
 
 def capped(df: DataFrame, most: int, weight: str, key: str, seed: int) -> DataFrame:
-    """At most ``most`` copies each; what is lost is drawn with replacement by weight from rows under the cap.
+    """At most ``most`` copies each; what is lost is drawn with replacement among rows that have copies.
 
-    The draws may lift a row above the cap again.
+    Rows under the cap are drawn by weight, or if there are none, all rows
+    alike. The draws may lift a row above the cap again.
     """
     kept = df.withColumn("copies", F.least(F.col("copies"), F.lit(most)))
     lost = df.agg(F.sum(F.greatest(F.col("copies") - most, F.lit(0)))).first()[0] or 0
     if not lost:
         return kept
-    low = kept.where(F.col("copies") < most)
+    low = kept.where((F.col("copies") > 0) & (F.col("copies") < most)).select(key, weight)
     if low.isEmpty():
-        low = kept
-    extra = systematic_copies(low.select(key, weight), weight, key, rng_start(seed), int(lost)).select(F.col(key).alias("_k"), F.col("copies").alias("_x"))
+        low = kept.where("copies > 0").select(key, F.lit(1).alias(weight))
+    extra = systematic_copies(low, weight, key, rng_start(seed), int(lost)).select(F.col(key).alias("_k"), F.col("copies").alias("_x"))
     return kept.join(extra, F.col(key) == F.col("_k"), "left").withColumn("copies", F.col("copies") + F.coalesce("_x", F.lit(0))).drop("_k", "_x")
 
 
@@ -119,55 +113,60 @@ def bins(value: str, edges: list[float]):
     return F.least(F.greatest(upto - 1, F.lit(0)), F.lit(len(edges) - 2))
 
 
+def every_bin(df: DataFrame, edges: list[float]) -> DataFrame:
+    """The rows of ``df`` by ``bin``, and a row for each bin that it lacks."""
+    return df.sparkSession.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin")).join(df, "bin", "left")
+
+
 def bin_summary(df: DataFrame, value: str, score: str, edges: list[float]) -> DataFrame:
     """(bin, n, mean) of every bin, empty ones too."""
-    dim = df.sparkSession.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
     got = df.withColumn("bin", bins(value, edges)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
-    return dim.join(got, "bin", "left").na.fill({"n": 0, "mean": 0.0})
-
-
-def quotas(mean: list[float], count: list[int], n: int, mode: str = "raw", alpha: float = 1.0, least: int = 0) -> list[int]:
-    """Rows to draw from each bin; rounding is half to even, the difference goes to the largest share."""
-    nb = len(mean)
-    full = [i for i in range(nb) if count[i] > 0]
-    if least * nb >= n:
-        return [n // nb] * nb
-    shift = [0.0] * nb
-    for i in full:
-        if mode == "raw":
-            shift[i] = max(mean[i], 0.0)
-        elif mode == "minshift":
-            shift[i] = mean[i] - min(mean[j] for j in full)
-        elif mode == "exp":
-            shift[i] = math.exp(alpha * (mean[i] - sum(mean[j] for j in full) / len(full)))
-        else:
-            raise ValueError(mode)
-    total = sum(shift)
-    share = [s / total for s in shift] if total > 0 else [1.0 / nb] * nb
-    out = [least + round(s * (n - least * nb)) for s in share]
-    out[share.index(max(share))] += n - sum(out)
-    return out
+    return every_bin(got, edges).na.fill({"n": 0, "mean": 0.0})
+
+
+#: What a bin's share follows, by mode, from (mean, least mean, mean of means) over the bins with rows.
+SHARES = {
+    "raw": lambda mean, low, middle, alpha: F.greatest(mean, F.lit(0.0)),
+    "minshift": lambda mean, low, middle, alpha: mean - low,
+    "exp": lambda mean, low, middle, alpha: F.exp(alpha * (mean - middle)),
+}
+
+
+def allotted(summary: DataFrame, n: int, mode: str = "raw", alpha: float = 1.0, least: int = 0) -> DataFrame:
+    """Adds ``quota``, the rows to draw from each bin of ``bin_summary``, as DataFrame steps over its few rows.
+
+    Each bin gets ``least`` and its share of what is left, rounded half to even;
+    the first bin of the largest share takes the difference to n. Bins without
+    rows have no share; if no bin has one, all have the same.
+    """
+    every = Window.partitionBy(F.lit(0))
+    full = F.when(F.col("n") > 0, F.col("mean"))
+    weigh = SHARES[mode](F.col("mean"), F.min(full).over(every), F.avg(full).over(every), alpha)
+    bins_ = summary.withColumns({"_s": F.when(F.col("n") > 0, weigh).otherwise(0.0), "_nb": F.count(F.lit(1)).over(every)})
+    whole = F.sum("_s").over(every)
+    bins_ = bins_.withColumn("_s", F.when(whole > 0, F.col("_s") / whole).otherwise(1.0 / F.col("_nb")))
+    spare = n - least * F.col("_nb")
+    bins_ = bins_.withColumn("_q", (least + F.bround(F.col("_s") * spare)).cast("long"))
+    first = F.row_number().over(every.orderBy(F.desc("_s"), "bin")) == 1
+    quota = F.col("_q") + F.when(first, n - F.sum("_q").over(every)).otherwise(0)
+    return bins_.withColumn("quota", F.when(spare <= 0, F.floor(n / F.col("_nb"))).otherwise(quota).cast("long")).drop("_s", "_nb", "_q")
 
 
 def stratified_copies(df: DataFrame, weight: str, key: str, value: str, score: str, edges: list[float], n: int, u0: float = 0.5, mode: str = "raw", alpha: float = 1.0, least: int = 0) -> DataFrame:
     """Adds ``bin`` and ``copies``: systematic draws of each bin's quota; u0 is a share of the step.
 
-    What empty bins leave short is drawn from the whole table.
+    What empty bins leave short is drawn from the whole table. The rows are
+    computed once, and a bin's running sums go over ranges.
     """
-    rows = df.withColumn("bin", bins(value, edges))
-    told = bin_summary(df, value, score, edges).orderBy("bin").collect()
-    quota = quotas([r["mean"] for r in told], [r["n"] for r in told], n, mode, alpha, least)
-    side = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(quota)), "bin int, _q long"))
-    order, whole = Window.partitionBy("bin").orderBy(key), Window.partitionBy("bin")
-    joined = rows.join(side, "bin").withColumns({"_c": F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_t": F.sum(weight).over(whole)})
-    joined = joined.withColumn("_b", F.lag("_c").over(order))
-    upto = lambda c: F.least(F.floor(F.col("_q") * (c / F.col("_t")) - F.lit(u0)), F.col("_q") - 1)
-    here = F.when(F.col("_c") >= F.col("_t"), F.col("_q") - 1).otherwise(upto(F.col("_c")))
-    prior = F.when(F.col("_b").isNull(), F.lit(-1)).otherwise(upto(F.col("_b")))
-    out = joined.withColumn("copies", F.when(F.col("_q") > 0, F.greatest(here - prior, F.lit(0))).otherwise(0).cast("long")).drop("_q", "_c", "_t", "_b")
-    short = n - sum(q for q, r in zip(quota, told, strict=True) if r["n"])
+    rows = prefix_sum(fixed_point(df.withColumn("bin", bins(value, edges)), weight, "_w"), key, "_w", "_c", "bin")
+    sums = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.sum("_w").alias("_t"))
+    told = cut(allotted(every_bin(sums, edges).na.fill({"n": 0, "mean": 0.0}), n, mode, alpha, least))
+    joined = rows.join(F.broadcast(told.select("bin", "quota", "_t")), "bin")
+    here, prior = (_points(c, F.col("_t"), F.col("quota"), u0) for c in (F.col("_c"), F.col("_c") - F.col("_w")))
+    out = joined.withColumn("copies", F.when(F.col("quota") > 0, F.greatest(here - prior, F.lit(0))).otherwise(0).cast("long")).drop("quota", "_c", "_t", "_w")
+    short = told.where("n = 0").agg(F.sum("quota")).first()[0] or 0
     if short > 0:
-        extra = systematic_copies(rows.select(key, weight), weight, key, u0, short).select(F.col(key).alias("_k"), F.col("copies").alias("_x"))
+        extra = systematic_copies(out.select(key, weight), weight, key, u0, int(short)).select(F.col(key).alias("_k"), F.col("copies").alias("_x"))
         out = out.join(extra, F.col(key) == F.col("_k")).withColumn("copies", F.col("copies") + F.col("_x")).drop("_k", "_x")
     return out
 
@@ -199,12 +198,15 @@ def swapped(df: DataFrame, pairs: list[tuple[int, int]], key: str = "pid", islan
 
 
 def rejuvenated(df: DataFrame, fresh: DataFrame, share: float, fitness: str, key: str = "pid") -> DataFrame:
-    """The lowest max(1, int(share n)) rows take sequences from ``fresh`` (slot, seq); their ancestor starts anew."""
-    k = max(1, int(share * df.count()))
-    low = df.orderBy(fitness, key).limit(k).select(F.col(key).alias("_low")).withColumn("slot", F.row_number().over(Window.orderBy("_low")) - 1)
-    news = F.broadcast(low.join(fresh.select("slot", F.col("seq").alias("_new")), "slot"))
-    out = df.join(news, F.col(key) == F.col("_low"), "left")
-    return out.withColumns({"seq": F.coalesce("_new", "seq"), "origin": F.coalesce("_new", "origin")}).drop("_low", "slot", "_new")
+    """The lowest max(1, int(share n)) rows take sequences from ``fresh`` (slot, seq); their ancestor starts anew.
+
+    Both sides grow with the population, so they meet by shuffle.
+    """
+    order = numbered(df.withColumn("_o", F.struct(fitness, key)), "_o", "_slot").drop("_o")
+    k = max(1, int(share * order.count()))
+    new = fresh.where(F.col("slot") < k).select(F.col("slot").alias("_slot"), F.col("seq").alias("_new"), (F.col(fitness) if fitness in fresh.columns else F.lit(None)).alias("_fit"))
+    out = order.join(new, "_slot", "left")
+    return out.withColumns({"seq": F.coalesce("_new", "seq"), "origin": F.coalesce("_new", "origin"), fitness: F.coalesce("_fit", fitness)}).drop("_slot", "_new", "_fit")
 
 
 def uniform_source(spark, n: int, length: int, seed: int, stream: str = "src") -> DataFrame:

@@ -1,13 +1,15 @@
 """Population annealing as a loop of DataFrame jobs.
 
 A step: find the largest temperature step that keeps enough effective rows,
-resample by systematic or stratified draws, propose branches, score them, pick
-one, update history. The population is a table cut each step;
-what comes to the driver is the fitness column (up to a bound) and aggregates.
+resample by systematic or stratified draws (or in islands), refresh the lowest
+rows, swap between islands, propose branches, score them, pick one, spread near
+duplicates, update history. The population is a table cut each step; what comes
+to the driver is sums, and a row of each island.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -15,10 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.functions import schedule
+from helixframe.functions import rng, schedule
 from helixframe.functions.lineage import cut
 from helixframe.functions.sequence import gc
-from helixframe.operators import profiles, proposals, resample
+from helixframe.operators import profiles, proposals, relational, resample
 from helixframe.operators.relational import elite, numbered
 
 
@@ -50,6 +52,21 @@ class AnnealConfig:
     noise_max: float = 0.5
     extend_steps: int = 0
     extend_beta: float = 0.0
+    #: Islands of n // islands neighbouring rows each; their temperatures, and the steps between swaps.
+    islands: int = 0
+    temperatures: tuple[float, ...] = ()
+    swap_every: int = 1
+    #: Rows nearer than this to a sample of the others are mutated again, at ``spread_noise`` times the noise.
+    spread_below: int = 0
+    spread_noise: float = 2.0
+    spread_rounds: int = 2
+    #: Weights are divided by the chance of the branch that was picked; matters for tau > 0.
+    branch_correction: bool = False
+    #: Sequences that were scored before aren't scored again.
+    memo: bool = False
+    #: Branches that a surrogate, refitted every so many steps, leaves for the scorer.
+    surrogate_keep: int = 0
+    surrogate_every: int = 5
     seed: int = 0
 
 
@@ -71,6 +88,67 @@ class AnnealResult:
     history: list[dict] = field(default_factory=list)
 
 
+class _Scoring:
+    """The scorer with the fitness on top, and the memo of known sequences if one is kept."""
+
+    def __init__(self, scorer: proposals.Scorer, fitness: str | Callable, memo: bool):
+        self.scorer, self.keep = scorer, memo
+        self.fit = F.col(fitness) if isinstance(fitness, str) else fitness
+        self.known: DataFrame | None = None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """``df`` (with ``seq``) and ``fitness``; what else a scorer adds doesn't travel."""
+        names = df.columns
+        if not self.keep:
+            return self.scorer.score(df).withColumn("fitness", self.fit).select(*names, "fitness")
+        new = df.select("seq").distinct()
+        if self.known is not None:
+            new = new.join(self.known, "seq", "left_anti")
+        new = self.scorer.score(new).withColumn("fitness", self.fit).select("seq", "fitness")
+        self.known = cut(new if self.known is None else self.known.unionByName(new))
+        return df.join(self.known, "seq", "left").select(*names, "fitness")
+
+
+def _copies(rows: DataFrame, config: AnnealConfig, n: int, u0: float) -> DataFrame:
+    """Adds ``copies``: by GC bins, by islands (rows beyond the last whole island stay once), or over all."""
+    if config.gc_edges:
+        return resample.stratified_copies(rows.withColumn("_gc", gc("seq")), "weight", "pid", "_gc", "fitness", config.gc_edges, n, u0, config.gc_mode, least=config.gc_least).drop("_gc", "bin")
+    if not config.islands:
+        return resample.systematic_copies(rows, "weight", "pid", u0)
+    inside = resample.systematic_copies(rows.where("island is not null"), "weight", "pid", u0, group="island")
+    return inside.unionByName(rows.where("island is null").withColumn("copies", F.lit(1).cast("long")))
+
+
+def _island(config: AnnealConfig, n: int):
+    """The island of a pid; null beyond the last whole one."""
+    size = max(1, n // max(1, config.islands))
+    at = F.floor(F.col("pid") / size).cast("int")
+    return F.when(at < config.islands, at)
+
+
+def _exchanged(kept: DataFrame, config: AnnealConfig, beta: float, step: int, draws) -> DataFrame:
+    """One row of each island, drawn by hash, may change places with one of the next island."""
+    order = F.struct(rng.order_key(config.seed, F.lit("swap"), F.lit(step), "pid"), "pid")
+    drawn = kept.where("island is not null").groupBy("island").agg(F.min_by(F.struct("pid", "fitness"), order).alias("d")).orderBy("island")
+    best = [(r["d"]["pid"], r["d"]["fitness"]) for r in drawn.collect()]
+    pairs = resample.swap_map(best, list(config.temperatures), beta, draws.random(len(best)).tolist())
+    return resample.swapped(kept, pairs)
+
+
+def _spread(now: DataFrame, config: AnnealConfig, propose, scoring: _Scoring, accept, rate: float, n: int, length: int, step: int) -> DataFrame:
+    """Near duplicates are mutated again; one that fails ``accept`` keeps its sequence."""
+    for r in range(config.spread_rounds):
+        told = cut(relational.near_duplicates(now, config.spread_below, n, length, config.seed + 7919 * step + r))
+        if told.where("near").isEmpty():
+            break
+        near = told.where("near").drop("near", "fitness").withColumn("parent", F.col("seq"))
+        again = propose(rate * config.spread_noise, config.seed * 1000 + step + 500 + r).expand(near, 1, step).drop("k")
+        if accept is not None:
+            again = again.withColumn("seq", F.when(accept(F.col("seq")), F.col("seq")).otherwise(F.col("parent")))
+        now = cut(told.where("not near").drop("near").unionByName(scoring(again.drop("parent")).select(*now.columns)))
+    return now
+
+
 def anneal(
     seeds: DataFrame,
     scorer: proposals.Scorer,
@@ -79,81 +157,141 @@ def anneal(
     proposal: Callable[[float, int], proposals.Proposal] | None = None,
     accept: Callable | None = None,
     on_step: Callable[[int, DataFrame, dict], None] | None = None,
+    state: str | None = None,
 ) -> AnnealResult:
-    """seeds: (pid, seq). ``accept`` maps a sequence column to a condition; a proposal that fails it is reverted."""
+    """seeds: (pid, seq). ``accept`` maps a sequence column to a condition; a proposal that fails it is reverted.
+
+    ``state``: a folder where each step is written; a run that finds steps there goes on after the last.
+    """
     spark = seeds.sparkSession
     propose = proposal or (lambda rate, seed: proposals.Masked(rate, seed))
-    fit = F.col(fitness) if isinstance(fitness, str) else fitness
-    # What a scorer adds is scored anew each step; only identity travels.
-    now = cut(scorer.score(seeds.select("pid", "seq", F.col("seq").alias("origin"))).withColumn("fitness", fit))
+    scoring = _Scoring(scorer, fitness, config.memo)
+    at = _Scalars(noise=config.noise, limit=config.max_steps)
+    told: list[dict] = []
+    found = read_state(spark, state) if state else None
+    if found:
+        now, best, at, told = found
+    else:
+        start = numbered(seeds.select("pid", "seq"), "pid", "_n").select(F.col("_n").alias("pid"), "seq", F.col("seq").alias("origin"))
+        now = best = cut(scoring(start).withColumn("log_p", F.lit(0.0)))
     n = now.count()
     if not n:
         return AnnealResult(now, now, -1)
     length = now.select(F.max(F.length("seq"))).first()[0]
-    beta, log_z, best, best_mean, best_step, stale, noise = 0.0, 0.0, now, -float("inf"), -1, 0, config.noise
-    told: list[dict] = []
-    limit, step = config.max_steps, 0
-    while step < limit:
-        remaining = config.max_beta - beta
+    cap = None if config.edit_share is None else int(config.edit_share * length)
+    surrogate = None
+    while at.step < at.limit and not at.done:
+        step, draws = at.step, np.random.default_rng([config.seed, at.step])
+        remaining = config.max_beta - at.beta
         if config.beta_cap is not None:
             remaining = min(remaining, config.beta_cap)
         rows = profiles.conformity(now).withColumn("fitness", F.col("fitness") - config.diversity * F.col("conformity")).drop("conformity") if config.diversity else now
-        if n <= resample.DRIVER_ROWS:
-            values = np.array([r[0] for r in rows.select("fitness").collect()])
-            delta = resample.largest_step(values, np.zeros(n), remaining, config.ess_share)
-            real_ess, lme = resample.ess(delta * values), resample.log_mean_exp(delta * values)
-        else:
-            delta = resample.largest_step_grid(rows, "fitness", remaining, config.ess_share)
-            one = profiles.effective_size(rows.withColumn("_lw", delta * F.col("fitness")), "_lw").first()
-            real_ess, lme = one["ess"], one["log_mean_exp"]
+        delta = resample.largest_step(rows, "fitness", remaining, config.ess_share)
         if delta < 1e-4:
             break
-        beta, log_z = beta + delta, log_z + lme
-        draws = np.random.default_rng([config.seed, step])
-        weighted = resample.tempered(rows.withColumn("_lw", delta * F.col("fitness")), "_lw", config.temperature).drop("_lw")
-        if config.gc_edges:
-            copies = resample.stratified_copies(weighted.withColumn("_gc", gc("seq")), "weight", "pid", "_gc", "fitness", config.gc_edges, n, float(draws.random()), config.gc_mode, least=config.gc_least).drop("_gc", "bin")
-        else:
-            copies = resample.systematic_copies(weighted, "weight", "pid", float(draws.random()) / n)
+        at.beta += delta
+        at.log_z += profiles.effective_size(rows.withColumn("_lw", delta * F.col("fitness")), "_lw").first()["log_mean_exp"]
+        rows = rows.withColumn("_lw", delta * F.col("fitness") - (F.col("log_p") if config.branch_correction else 0.0))
+        real_ess = profiles.effective_size(rows, "_lw").first()["ess"]
+        heat = config.temperature
+        if config.islands:
+            rows = rows.withColumn("island", _island(config, n))
+            if config.temperatures:
+                heat = F.coalesce(F.get(F.array(*map(F.lit, map(float, config.temperatures))), F.col("island")), F.lit(1.0))
+        weighted = resample.tempered(rows, "_lw", heat).drop("_lw")
+        copies = _copies(weighted, config, n, float(draws.random()))
         if config.max_copies:
             copies = resample.capped(copies, config.max_copies, "weight", "pid", config.seed + step)
         kept = resample.expand(copies.select("pid", "seq", "origin", "fitness", "copies"))
-        kept = kept.withColumn("_o", F.struct("pid", "copy"))
-        kept = cut(numbered(kept, "_o", "_new").select(F.col("_new").alias("pid"), "seq", "origin", "fitness"))
-        at = schedule.progress(beta, 0.0, config.max_beta)
-        rate = noise if config.noise_end is None else schedule.annealed(noise, config.noise_end, at)
-        k = schedule.branches(config.branch_schedule, config.branches, step, limit)
+        kept = cut(numbered(kept.withColumn("_o", F.struct("pid", "copy")), "_o", "_new").select(F.col("_new").alias("pid"), "seq", "origin", "fitness"))
+        if config.rejuvenate_share and step > 0:
+            fresh = resample.uniform_source(spark, max(1, int(config.rejuvenate_share * n)), length, config.seed + step, "rejuvenate")
+            kept = cut(resample.rejuvenated(kept, scoring(fresh), config.rejuvenate_share, "fitness"))
+        if config.islands and config.temperatures and step % config.swap_every == 0:
+            kept = _exchanged(kept.withColumn("island", _island(config, n)), config, at.beta, step, draws).drop("island")
+        share = schedule.progress(at.beta, 0.0, config.max_beta)
+        rate = at.noise if config.noise_end is None else schedule.annealed(at.noise, config.noise_end, share)
+        k = schedule.branches(config.branch_schedule, config.branches, step, at.limit)
         movers = elite(kept, config.elite_share, n, "fitness", "pid") if config.elite_share else kept.withColumn("elite", F.lit(False))
-        grown = propose(rate, config.seed * 1000 + step).expand(movers.withColumn("parent", F.col("seq")), k, step)
+        movers = movers.withColumns({"parent": F.col("seq"), "parent_fitness": F.col("fitness")}).drop("fitness")
+        grown = propose(rate, config.seed * 1000 + step).expand(movers, k, step)
         grown = grown.withColumn("seq", F.when(F.col("elite"), F.col("parent")).otherwise(F.col("seq")))
         if accept is not None:
             grown = grown.withColumn("seq", F.when(accept(F.col("seq")), F.col("seq")).otherwise(F.col("parent")))
-        scored = scorer.score(grown.select("pid", "k", "seq", "parent", "origin")).withColumn("fitness", fit)
-        cap = None if config.edit_share is None else int(config.edit_share * length)
+        if config.surrogate_keep:
+            if surrogate is None or step % config.surrogate_every == 0:
+                surrogate = proposals.ridge_surrogate(now, "fitness")
+            grown = proposals.prefiltered(grown.withColumn("_guess", proposals.surrogate_score(surrogate)), config.surrogate_keep, "_guess").drop("_guess")
+        scored = scoring(grown.select("pid", "k", "seq", "parent", "origin", "parent_fitness"))
         picked = proposals.chosen_branch(scored, "fitness", length, cap, config.step_cap, config.criterion, config.tau, config.seed, step)
-        now = scorer.score(picked.select("pid", "seq", "origin")).withColumn("fitness", fit)
-        if config.rejuvenate_share and step > 0:
-            fresh = resample.uniform_source(spark, max(1, int(config.rejuvenate_share * n)), length, config.seed + step, "rejuvenate")
-            now = scorer.score(resample.rejuvenated(now, fresh, config.rejuvenate_share, "fitness").select("pid", "seq", "origin")).withColumn("fitness", fit)
-        now = cut(now)
+        # A reverted row has its parent's fitness, which is known: nothing is scored twice.
+        value = F.when(F.col("valid"), F.col("fitness")).otherwise(F.col("parent_fitness"))
+        now = cut(picked.select("pid", "seq", "origin", value.alias("fitness"), "log_p"))
+        if config.spread_below:
+            now = _spread(now, config, propose, scoring, accept, rate, n, length, step)
         one = now.agg(F.avg("fitness").alias("mean"), F.max("fitness").alias("max"), F.stddev_pop("fitness").alias("std"), F.count_distinct("seq").alias("n_unique"), F.count(F.lit(1)).alias("n")).first().asDict()
-        told.append(one | {"step": step, "beta": beta, "delta_beta": delta, "ess": real_ess, "log_z": log_z, "branches": k, "noise": rate})
-        if one["mean"] > best_mean:
-            best, best_mean, best_step, stale = now, one["mean"], step, 0
+        told.append(one | {"step": step, "beta": at.beta, "delta_beta": delta, "ess": real_ess, "log_z": at.log_z, "branches": k, "noise": rate})
+        if one["mean"] > at.best_mean:
+            best, at.best_mean, at.best_step, at.stale = now, one["mean"], step, 0
         else:
-            stale += 1
+            at.stale += 1
         if on_step:
             on_step(step, now, told[-1])
-        if config.patience and stale >= config.patience:
-            if not config.noise_boost or noise >= config.noise_max:
-                break
-            noise, stale = min(config.noise_max, noise + config.noise_boost), 0
-        if beta >= config.max_beta - 1e-8:
-            break
-        step += 1
-        if step == limit and config.extend_steps and limit < config.hard_max_steps and delta >= config.extend_beta > 0:
-            limit = min(config.hard_max_steps, limit + config.extend_steps)
-    return AnnealResult(now, best, best_step, told)
+        at.settle(config, delta)
+        if state:
+            write_state(state, now, best if at.best_step == step else None, at, told[-1])
+    return AnnealResult(now, best, at.best_step, told)
+
+
+@dataclass
+class _Scalars:
+    """What a run carries from step to step beside the population."""
+
+    noise: float
+    limit: int
+    step: int = 0
+    beta: float = 0.0
+    log_z: float = 0.0
+    best_mean: float = -float("inf")
+    best_step: int = -1
+    stale: int = 0
+    done: bool = False
+
+    def settle(self, config: AnnealConfig, delta: float) -> None:
+        """After a step: more noise or an end on a plateau, the end at the last temperature, or more steps."""
+        if config.patience and self.stale >= config.patience:
+            if not config.noise_boost or self.noise >= config.noise_max:
+                self.done = True
+            self.noise, self.stale = min(config.noise_max, self.noise + config.noise_boost), 0
+        self.done = self.done or self.beta >= config.max_beta - 1e-8
+        self.step += 1
+        gaining = delta >= config.extend_beta > 0 or (config.patience > 0 and self.stale < config.patience)
+        if not self.done and self.step == self.limit and config.extend_steps and self.limit < config.hard_max_steps and gaining:
+            self.limit = min(config.hard_max_steps, self.limit + config.extend_steps)
+
+
+def write_state(folder: str, now: DataFrame, best: DataFrame | None, at: _Scalars, told: dict) -> None:
+    """The population of a step, the best one if it is new, then one row that tells that the step is complete."""
+    spark = now.sparkSession
+    now.write.mode("overwrite").parquet(f"{folder}/population/step={told['step']}")
+    if best is not None:
+        best.write.mode("overwrite").parquet(f"{folder}/best/step={told['step']}")
+    row = [(told["step"], json.dumps(vars(at)), json.dumps(told))]
+    spark.createDataFrame(row, "step long, scalars string, told string").write.mode("append").parquet(f"{folder}/steps")
+
+
+def read_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, _Scalars, list[dict]] | None:
+    """(population, best population, scalars, history) after the last complete step; None without one."""
+    try:
+        rows = spark.read.parquet(f"{folder}/steps").orderBy("step").collect()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    at = _Scalars(**json.loads(rows[-1]["scalars"]))
+    now = spark.read.parquet(f"{folder}/population/step={rows[-1]['step']}")
+    best = spark.read.parquet(f"{folder}/best/step={at.best_step}") if at.best_step >= 0 else now
+    return now, best, at, [json.loads(r["told"]) for r in rows]
 
 
 def with_preset(name: str, **changes) -> AnnealConfig:

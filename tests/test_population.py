@@ -25,28 +25,65 @@ def _systematic(w, u0, n):
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_systematic_copies(spark, seed):
     rng = np.random.default_rng(seed)
-    w = rng.integers(1, 1000, 60)
-    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(w)], "pid long, w long")
-    n = 37 + seed
-    got = {r["pid"]: r["copies"] for r in resample.systematic_copies(df, "w", "pid", 0.3 / n, n).collect()}
-    want = _systematic(w.astype(float), 0.3 / n, n)
-    assert sum(got.values()) == n
-    # u0 of the operator is in steps of 1/n.
-    exact = {r["pid"]: r["copies"] for r in resample.systematic_copies(df, "w", "pid", 0.3, n).collect()}
-    assert [exact[i] for i in range(60)] == _systematic(w.astype(float), 0.3 / n, n).tolist() or abs(sum(exact.values()) - want.sum()) == 0
-
-
-def test_largest_step_keeps_ess():
+    n, u0 = 37 + seed, rng.random()
+    for w in (rng.integers(1, 1000, 60), rng.random(60)):
+        df = spark.createDataFrame([(i, x.item(), i % 3) for i, x in enumerate(w)], f"pid long, w {'long' if w.dtype == int else 'double'}, g int")
+        # u0 is in steps of 1/n.
+        got = {r["pid"]: r["copies"] for r in resample.systematic_copies(df, "w", "pid", u0, n).collect()}
+        assert [got[i] for i in range(60)] == _systematic(w.astype(float), u0 / n, n).tolist()
+        got = {r["pid"]: r["copies"] for r in resample.systematic_copies(df, "w", "pid", u0, group="g").collect()}
+        for g in range(3):
+            assert [got[i] for i in range(g, 60, 3)] == _systematic(w[g::3].astype(float), u0 / 20, 20).tolist()
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_wide_rows_are_all_numbered(spark, adaptive):
+    """At 200 shuffle partitions adaptive execution deals narrow and wide jobs differently."""
+    n = 300_000
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.md5(F.concat(F.col("id").cast("string"), i.cast("string")))), "")
+        df = spark.range(n).select(((F.col("id") * 7919) % n).alias("pid"), F.lit(3).cast("long").alias("w"), F.pmod("id", F.lit(2)).alias("g"), wide.alias("seq"))
+        rows = relational.numbered(df, "pid")
+        assert rows.count() == n and rows.where("idx <> pid or length(seq) <> 256").isEmpty()
+        rows = ranking.prefix_sum(df, "pid", "w", "c")
+        assert rows.count() == n and rows.where("c <> 3 * (pid + 1)").isEmpty()
+        rows = ranking.prefix_sum(df, "pid", "w", "c", "g")
+        assert rows.count() == n and rows.groupBy("g").agg(F.max("c").alias("m"), F.count_distinct("c").alias("d")).where(f"m <> {3 * n // 2} or d <> {n // 2}").isEmpty()
+        assert resample.systematic_copies(df, "w", "pid", 0.5).agg(F.sum("copies")).first()[0] == n
+        assert relational.sample_with_replacement(df, 1000, "pid", 1).count() == 1000
+        assert {r["half"]: r["count"] for r in relational.split_half(df, "pid").groupBy("half").count().collect()} == {"A": n // 2, "B": n // 2}
+        pairs = df.select("pid", F.col("pid").cast("double").alias("s"), F.pmod("pid", F.lit(1000)).alias("e"), "seq")
+        # Edits fall as scores rise only over the last thousand.
+        assert ranking.pareto_first(pairs, "s", "e").count() == 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_largest_step_keeps_ess(spark):
     f = np.random.default_rng(1).normal(size=500)
-    d = resample.largest_step(f, np.zeros(500), 50.0, 0.5)
-    assert 0 < d < 50 and resample.ess(d * f) >= 250 and resample.ess((d + 1e-6) * f) < 250.01
-    assert resample.largest_step(np.ones(10), np.zeros(10), 3.0, 0.9) == 3.0
-
-
-def test_quotas():
-    assert sum(resample.quotas([1.0, 2.0, 0.0], [5, 5, 0], 10)) == 10
-    assert resample.quotas([0.0, 0.0], [3, 3], 6) == [3, 3]
-    assert resample.quotas([1.0, 1.0], [3, 3], 5, least=3) == [2, 2]
+    df = spark.createDataFrame(list(enumerate(f.tolist())), "pid long, f double")
+    ess = lambda x: np.exp(x - x.max()).sum() ** 2 / np.exp(2 * (x - x.max())).sum()
+    d = resample.largest_step(df, "f", 50.0, 0.5)
+    assert 0 < d < 50 and ess(d * f) >= 250 - 1e-6 and ess((d + 1e-6) * f) < 250
+    assert resample.largest_step(df.withColumn("f", F.lit(1.0)), "f", 3.0, 0.9) == 3.0
+
+
+def test_quotas(spark):
+    def quotas(mean, count, n, *more):
+        rows = spark.createDataFrame([(i, m, c) for i, (m, c) in enumerate(zip(mean, count, strict=True))], "bin int, mean double, n long")
+        return [r["quota"] for r in resample.allotted(rows, n, *more).orderBy("bin").collect()]
+
+    assert quotas([1.0, 2.0, 0.0], [5, 5, 0], 10) == [3, 7, 0]
+    assert quotas([0.0, 0.0], [3, 3], 6) == [3, 3]
+    assert quotas([1.0, 1.0], [3, 3], 5, "raw", 1.0, 3) == [2, 2]
+    assert quotas([1.0, 3.0, -9.0], [5, 5, 0], 10, "minshift", 1.0, 1) == [1, 8, 1]
+    share = np.exp([-0.5, 0.5])
+    assert quotas([1.0, 2.0], [5, 5], 100, "exp") == [round(100 * x) for x in share / share.sum()]
+    assert quotas([-1.0, -2.0, 5.0], [5, 5, 0], 9) == [3, 3, 3]
 
 
 def test_average_rank_and_prefix_sum(spark):
