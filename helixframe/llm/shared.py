@@ -10,8 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Bytes of an Arrow batch while a table is staged: workers hold a few copies of one.
+BATCH_BYTES = 16 << 20
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -29,10 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if got:
         return got.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    # Else the folder that setCheckpointDir named, on a cluster too.
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
@@ -42,17 +46,57 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/helixframe/{what}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
+#: Rows to a file of a staged table whose size is known beforehand.
+FILE_ROWS = 250_000
+
+
+def staged(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    It cuts the lineage and survives the loss of any executor.
+    It cuts the lineage and survives the loss of any executor. ``rows``: about
+    how many there are at most, so that a small table isn't written as a file a task.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(1 + rows // FILE_ROWS)
     path = new_path(spark, what)
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(batch, None)
+    if before is not None:
+        spark.conf.set(batch, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with over 1 / TRACK of the rows is heavy, so there are fewer than TRACK heavy keys.
+TRACK = 2048
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", track: int = TRACK) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key and the key's number of rows in ``size``.
+
+    Keys with over 1/track of ``total`` rows are broadcast, fewer than ``track``
+    of them whatever the input, so that their rows stay where they are; all
+    others meet by shuffle. ``how``: inner or left; nulls in keys match nothing.
+    """
+    heavy = F.col(size) > max(total / track, 1)
+    mark, names = "_heavy", [c for c in table.columns if c not in keys and c != size]
+    top = F.broadcast(table.where(heavy).select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(names)), F.lit(True).alias(mark)))
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k) == F.col(f"_h{i}")
+        on = same if on is None else on & same
+    split = rows.join(top, on, "left")
+    out = [*rows.columns, *names]
+    settled = split.where(F.col(mark)).select(*rows.columns, *(F.col(f"_v{i}").alias(c) for i, c in enumerate(names)))
+    rest = split.where(F.col(mark).isNull()).select(*rows.columns).join(table.where(~heavy).drop(size), keys, how)
+    return settled.unionByName(rest.select(*out))
+
+
 def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of staged tables that no later job reads."""
     jvm = spark.sparkContext._jvm
@@ -67,6 +111,32 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows that go are broadcast up to so many, else they meet the table by shuffle.
+GONE_ROWS = 1_000_000
+
+
+def keep_rows(df: DataFrame, told: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that ``told`` (id, mark, stays) lets stay, where mark is ``xxhash64`` of the text.
+
+    Rows are told apart by id and text. Of rows that agree in both and stay, one
+    is kept; rows without an id all stay.
+    """
+    told = staged(told.where("id is not null"), "decisions", df.count())
+    gone, mark, text_mark = fresh(df, "gone_id"), fresh(df, "gone_mark"), F.xxhash64(df[text_col])
+    lost = told.where("not stays").select(F.col("id").alias(gone), F.col("mark").alias(mark)).distinct()
+    hint = F.broadcast if lost.count() <= GONE_ROWS else lambda side: side
+    same = (df[id_col].cast("long") == F.col(gone)) & (text_mark == F.col(mark))
+    kept = df.join(hint(lost), same, "left_anti")
+    again = told.where("stays").groupBy(F.col("id").alias(gone), F.col("mark").alias(mark)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    few = again.count()
+    if not few:
+        return kept
+    hint = F.broadcast if few <= GONE_ROWS else lambda side: side
+    same = (kept[id_col].cast("long") == F.col(gone)) & (F.xxhash64(kept[text_col]) == F.col(mark))
+    once = kept.join(hint(again), same, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(hint(again), same, "left_anti").unionByName(once)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     have = {c.lower() for c in df.columns}
