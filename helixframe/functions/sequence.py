@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 BASES = "ACGT"
 
+#: Codes of bytes; what is no base counts as A.
+_CODES = np.zeros(256, np.uint8)
+for _code, _base in enumerate(BASES):
+    _CODES[ord(_base)] = _code
+
 # The 15-base adapters either side of a 200-base core.
 ADAPTER_5, ADAPTER_3 = "AGGACCGGATCAACT", "CATTGCGTGAACCGA"
 
@@ -15,6 +25,81 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# ----------------------------------------------------- whole batches in numpy
+# What looks at every base of a sequence is done on the bytes of an Arrow batch:
+# the same in column expressions makes an array of strings for each row.
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes end to end and each row's bounds; null is empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    o = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    body = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None and len(o) else np.zeros(0, np.uint8)
+    return body, o - o[0]
+
+
+def kmer_codes(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, base-4 number) of every k-mer of a batch; k-mers never cross rows."""
+    body, offsets = _joined(column)
+    code, n = _CODES[body].astype(np.int64), max(len(body) - k + 1, 0)
+    number = np.zeros(n, np.int64)
+    for i in range(k):
+        number = number * 4 + code[i : i + n]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    whole = row[:n] == row[k - 1 : k - 1 + n] if n else np.zeros(0, bool)
+    return row[:n][whole], number[whole]
+
+
+def kmer_table_sum(seq: Column | str, table: tuple[int, ...], k: int = 3) -> Column:
+    """The sum of whole numbers that ``table`` has for a sequence's k-mers; null for a null sequence."""
+    return _table_sum(table, k)(_c(seq))
+
+
+@lru_cache(64)
+def _table_sum(table: tuple[int, ...], k: int):
+    values = np.array(table, np.int64)
+
+    @F.arrow_udf(LongType())
+    def total(column: pa.Array) -> pa.Array:
+        row, number = kmer_codes(column, k)
+        out = np.zeros(len(column), np.int64)
+        np.add.at(out, row, values[number])
+        return pa.array(out, mask=column.is_null().to_numpy(zero_copy_only=False))
+
+    return total
+
+
+@F.arrow_udf(LongType())
+def _differing(a: pa.Array, b: pa.Array) -> pa.Array:
+    (x, ox), (y, oy) = _joined(a), _joined(b)
+    size = np.minimum(np.diff(ox), np.diff(oy))
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    differ = x[ox[row] + at] != y[oy[row] + at]
+    out = np.bincount(row[differ], minlength=len(size)) + np.abs(np.diff(ox) - np.diff(oy))
+    null = a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(out, mask=null)
+
+
+_IS_BASE = np.zeros(256, bool)
+_IS_BASE[[ord(b) for b in BASES]] = True
+
+
+@F.arrow_udf(LongType())
+def _longest_run(column: pa.Array) -> pa.Array:
+    body, offsets = _joined(column)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    new = np.ones(len(body), bool)
+    new[1:] = (body[1:] != body[:-1]) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.r_[begin, len(body)])
+    base = _IS_BASE[body[begin]]
+    out = np.zeros(len(column), np.int64)
+    np.maximum.at(out, row[begin[base]], size[base])
+    return pa.array(out, mask=column.is_null().to_numpy(zero_copy_only=False))
+
+
 def encode(seq: Column | str) -> Column:
     """Digits 0..3 for ACGT."""
     return F.translate(_c(seq), BASES, "0123")
@@ -74,8 +159,8 @@ def asymmetry(seq: Column | str, a: str, b: str) -> Column:
 
 
 def homopolymer(seq: Column | str) -> Column:
-    runs = F.regexp_extract_all(_c(seq), F.lit("(A+|C+|G+|T+)"), F.lit(0))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)).cast("long")
+    """The longest run of one base; 0 without a base."""
+    return _longest_run(_c(seq))
 
 
 def entropy(seq: Column | str) -> Column:
@@ -138,10 +223,8 @@ def splice_shift(seq: Column | str, by: int, left: str, right: str) -> Column:
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
-    """Differing positions of two strings of equal length."""
-    x, y = _c(a), _c(b)
-    same = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: (p != q).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda acc, v: acc + v).cast("long")
+    """Differing positions of two strings of ASCII letters; what one is longer counts as differing."""
+    return _differing(_c(a), _c(b))
 
 
 def motif_count(seq: Column | str, motif: str) -> Column:

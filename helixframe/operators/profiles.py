@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from helixframe.functions import sequence as S
+from helixframe.operators import ranking
 
 EPSILON = 1e-10
 # The reference correlation and its spread.
@@ -22,12 +26,41 @@ def dimension(spark, k: int = 3) -> DataFrame:
 def pool_profile(df: DataFrame, seq: str = "seq", k: int = 3, group: list[str] | None = None) -> DataFrame:
     """(group, kmer, n, share) over all rows; k-mers that don't occur count 0 only after a join with ``dimension``."""
     group = group or []
-    n = df.select(*group, F.explode(S.kmers(seq, k)).alias("kmer")).groupBy(*group, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    n = kmer_counts(df, seq, k, group)
     total = n.groupBy(*group).agg(F.sum("n").alias("total"))
-    joined = n.join(F.broadcast(total), group) if group else n.join(F.broadcast(total), how="cross")
+    if group:  # groups grow with the data: no broadcast is asked for
+        same = [F.col(g).eqNullSafe(F.col(f"_t{i}")) for i, g in enumerate(group)]
+        joined = n.join(total.select(*(F.col(g).alias(f"_t{i}") for i, g in enumerate(group)), "total"), same).drop(*(f"_t{i}" for i in range(len(group))))
+    else:
+        joined = n.join(F.broadcast(total), how="cross")
     return joined.withColumn("share", F.col("n") / F.col("total")).drop("total")
 
 
+def kmer_counts(df: DataFrame, seq: str, k: int, group: list[str]) -> DataFrame:
+    """(group, kmer, n): a batch's k-mers are counted as one array, so a task hands on a row for each group and k-mer of a batch."""
+    rows = df.select(*group, F.col(seq).alias("_seq"))
+    schema = StructType([*rows.select(*group).schema.fields, StructField("kmer", StringType()), StructField("n", LongType())])
+    names = np.array(["".join(p) for p in product(S.BASES, repeat=k)])
+
+    def run(batches):
+        for batch in batches:
+            keys = [batch.column(i) for i in range(len(group))]
+            which = np.zeros(batch.num_rows, np.int64)
+            if group:
+                seen: dict[tuple, int] = {}
+                codes = [np.asarray(c.dictionary_encode(null_encoding="encode").indices) for c in keys]
+                rows_ = list(zip(*(c.tolist() for c in codes), strict=True))
+                which = np.array([seen.setdefault(r, len(seen)) for r in rows_], np.int64)
+                first = np.unique(which, return_index=True)[1]
+            row, number = S.kmer_codes(batch.column("_seq"), k)
+            n = np.bincount(which[row] * 4**k + number, minlength=(which.max() + 1) * 4**k if len(which) else 0)
+            at = np.flatnonzero(n)
+            out = [c.take(pa.array(first[at // 4**k])) for c in keys] if group else []
+            yield pa.RecordBatch.from_arrays([*out, pa.array(names[at % 4**k], pa.string()), pa.array(n[at], pa.int64())], schema.names)
+
+    return rows.mapInArrow(run, schema).groupBy(*group, "kmer").agg(F.sum("n").alias("n"))
+
+
 def sequence_profile(df: DataFrame, key: str = "pid", seq: str = "seq", k: int = 3) -> DataFrame:
     """(key, kmer, share) of the k-mers that occur."""
     rows = df.select(key, F.length(seq).alias("_l"), F.explode(S.kmers(seq, k)).alias("kmer"))
@@ -37,20 +70,22 @@ def sequence_profile(df: DataFrame, key: str = "pid", seq: str = "seq", k: int =
 def correlation_with(df: DataFrame, reference: DataFrame, key: str = "pid", seq: str = "seq", k: int = 3) -> DataFrame:
     """(key, r, z): correlation with a reference profile (kmer, share) over all 4^k cells; no variance gives r = 0.
 
-    Absent cells add nothing to the sums, so only those that occur are rows;
-    they leave a task already counted.
+    The profile is a fixed number of shares, which every task gets; a row's r
+    needs no other row.
     """
-    cells = dimension(df.sparkSession, k).join(reference.select("kmer", F.col("share").alias("y")), "kmer", "left").na.fill(0.0, ["y"])
-    whole = cells.agg(F.avg("y").alias("my"), (F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.avg("y")).alias("syy"))
-    counts = df.select(key, F.explode(S.kmers(seq, k)).alias("kmer")).groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
-    side = F.broadcast(cells.join(F.broadcast(whole), how="cross"))
-    total = F.sum("n")
-    sums = counts.join(side, "kmer").groupBy(key).agg(
-        (F.sum(F.col("n") * F.col("y")) - total * F.max("my")).alias("sxy"), (F.sum(F.col("n") * F.col("n")) - total * total / F.lit(float(4**k))).alias("sxx"), F.max("syy").alias("syy")
-    )
-    bottom = F.sqrt(F.greatest(F.col("sxx"), F.lit(0.0)) * F.col("syy"))
-    out = sums.select(key, F.when(bottom > 0, F.col("sxy") / bottom).otherwise(0.0).alias("r"))
-    return out.withColumn("z", (F.col("r") - R_MEAN) / R_SD)
+    share = {r["kmer"]: r["share"] for r in reference.select("kmer", "share").limit(4**k).collect()}
+    y = np.array([share.get("".join(p), 0.0) for p in product(S.BASES, repeat=k)])
+    syy = float((y * y).sum() - y.sum() * y.mean())
+
+    @F.arrow_udf(DoubleType())
+    def r(column: pa.Array) -> pa.Array:
+        row, number = S.kmer_codes(column, k)
+        n = np.bincount(row * 4**k + number, minlength=len(column) * 4**k).reshape(len(column), -1)
+        total = n.sum(1)
+        bottom = np.sqrt(np.maximum((n * n).sum(1) - total * total / 4**k, 0) * syy)
+        return pa.array(np.where(bottom > 0, (n @ y - total * y.mean()) / np.where(bottom > 0, bottom, 1), 0.0))
+
+    return df.select(key, r(F.col(seq)).alias("r")).withColumn("z", (F.col("r") - R_MEAN) / R_SD)
 
 
 def divergence(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
@@ -95,11 +130,12 @@ def pairwise_identity(df: DataFrame, seq: str = "seq", group: list[str] | None =
     return joined.select(*group, "n", F.when(F.col("n") > 1, F.col("_same") / F.nullif(pairs, F.lit(0.0))).otherwise(1.0).alias("identity"))
 
 
-def summary(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
+def summary(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     """Mean, maximum, population deviation and 99th percentile (linear)."""
-    return df.groupBy(*(group or [])).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"), F.percentile(value, F.lit(0.99)).alias("p99")
-    )
+    by = [group] if group else []
+    told = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"))
+    top = ranking.quantiles(df, value, {"p99": 0.99}, group)
+    return told.join(top, by) if group else told.join(F.broadcast(top), how="cross")
 
 
 def effective_size(df: DataFrame, log_weight: str, group: list[str] | None = None) -> DataFrame:
@@ -113,12 +149,10 @@ def effective_size(df: DataFrame, log_weight: str, group: list[str] | None = Non
     return out.select(*group, "n", ess.alias("ess"), (F.col("_m") + F.log(F.col("_s") / F.col("n"))).alias("log_mean_exp"))
 
 
-def agreement(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
-    """Pearson r, Spearman rho (of average ranks), mean squared error and n per group."""
-    from helixframe.operators.ranking import average_rank
-
-    ranked = df.withColumns({"_ra": average_rank(a, group), "_rb": average_rank(b, group)})
-    return ranked.groupBy(*group).agg(F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), F.avg((F.col(a) - F.col(b)) ** 2).alias("mse"), F.count(F.lit(1)).alias("n"))
+def agreement(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
+    """Pearson r, Spearman rho (of average ranks), mean squared error and n per group; no group is in one task."""
+    ranked = ranking.with_average_rank(ranking.with_average_rank(df.select(group, a, b), a, "_ra", group), b, "_rb", group)
+    return ranked.groupBy(group).agg(F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), F.avg((F.col(a) - F.col(b)) ** 2).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
 def lagrange_step(multiplier: float, mean_gc: float, target: float, tolerance: float, rate: float) -> float:

@@ -73,14 +73,10 @@ class Masked:
 
 
 def cell_scores(seq: Column | str = "seq") -> dict[str, Column]:
-    """Three linear 3-mer scorers: integer sums and one division."""
-    index = S.kmer_indices(seq)
-    per = F.size(index) * F.lit(8.0)
-
-    def total(a: int, b: int) -> Column:
-        return F.aggregate(index, F.lit(0).cast("long"), lambda acc, i: acc + (i * a + b) % 17 - 8)
-
-    return {name: total(a, b) / per for name, (a, b) in CELLS.items()}
+    """Three linear 3-mer scorers: sums of whole numbers and one division."""
+    s = F.col(seq) if isinstance(seq, str) else seq
+    per = F.greatest(F.length(s) - 2, F.lit(0)) * F.lit(8.0)
+    return {name: S.kmer_table_sum(s, tuple((i * a + b) % 17 - 8 for i in range(64))) / F.nullif(per, F.lit(0.0)) for name, (a, b) in CELLS.items()}
 
 
 @dataclass

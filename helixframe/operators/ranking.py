@@ -8,26 +8,38 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.relational import part_offsets, range_parts
 
 
-def average_rank(value: str, group: list[str] | None = None) -> Column:
-    """Ranks from 1; ties share their mean rank. One task per group."""
-    group = group or []
-    order = Window.partitionBy(*group).orderBy(value)
-    same = Window.partitionBy(*group, value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / 2.0
+def with_average_rank(df: DataFrame, value: str, name: str, group: str | None = None) -> DataFrame:
+    """Average ranks from 1 over a whole table, or in each group: distinct values are counted first, then summed over ranges."""
+    by = [group] if group else []
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    below = prefix_sum(counts, value, "_c", "_upto", group)
+    ranks = below.select(*(F.col(g).alias("_g") for g in by), F.col(value).alias("_v"), (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
+    same = df[value].eqNullSafe(F.col("_v"))
+    if group:
+        same = same & df[group].eqNullSafe(F.col("_g"))
+    return df.join(ranks, same).drop("_v", "_g")
+
 
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], group: str | None = None) -> DataFrame:
+    """A column for each wanted quantile (linear between neighbours), one row or one a group; nulls aside.
 
-def with_average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average ranks over a whole table: distinct values are counted first, then summed over two levels."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    below = prefix_sum(counts, value, "_c", "_upto")
-    ranks = below.select(F.col(value).alias("_v"), (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(name))
-    return df.join(ranks, df[value].eqNullSafe(F.col("_v"))).drop("_v")
+    Distinct values are counted and summed over ranges, so no task holds a whole column.
+    """
+    by = [group] if group else []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    below = prefix_sum(counts, value, "_c", "_upto", group)
+    size = below.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    rows = below.join(size, by) if group else below.join(F.broadcast(size), how="cross")
+    at = lambda p: F.max(F.when((F.col("_upto") > p) & (F.col("_upto") - F.col("_c") <= p), F.col(value)))
+    told = rows.groupBy(*by).agg(*(at(r(q * (F.col("_n") - 1))).alias(f"_{x}{k}") for k, q in wanted.items() for x, r in (("a", F.floor), ("b", F.ceil))), F.max("_n").alias("_n"))
+    part = lambda q: q * (F.col("_n") - 1) - F.floor(q * (F.col("_n") - 1))
+    return told.select(*by, *((F.col(f"_a{k}") + part(q) * (F.col(f"_b{k}") - F.col(f"_a{k}"))).alias(k) for k, q in wanted.items()))
 
 
 def prefix_sum(df: DataFrame, order: str, value: str, name: str, group: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import fitness as fit
 from helixframe.functions import rng
 from helixframe.functions import sequence as S
+from helixframe.functions.lineage import cut
 from helixframe.operators import archives, profiles, proposals, ranking, relational, resample
 from helixframe.sources.sequences import from_documents
 
@@ -205,9 +206,11 @@ def pool_kl(spark, sf):
 @query(METRICS + """SELECT count(*) AS n, round(avg(gc), 6) AS gc_mean, round(stddev_pop(gc), 6) AS gc_std, round(avg(cpg), 6) AS cpg_mean, round(avg(entropy), 6) AS entropy_mean,
   round(quantile_cont(asym_at, 0.95), 6) AS asym_at_p95, round(quantile_cont(asym_gc, 0.95), 6) AS asym_gc_p95, round(quantile_cont(homopolymer, 0.99), 6) AS homopolymer_p99 FROM m""")
 def reference_stats(spark, sf):
-    rows = seqs(spark, sf).select(S.gc("seq").alias("gc"), S.cpg("seq").alias("cpg"), S.entropy("seq").alias("entropy"), S.asymmetry("seq", "A", "T").alias("at"), S.asymmetry("seq", "G", "C").alias("gcs"), S.homopolymer("seq").alias("h"))
-    p = lambda c, q: r6(F.percentile(c, F.lit(q)))
-    return rows.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("gc")).alias("gc_mean"), r6(F.stddev_pop("gc")).alias("gc_std"), r6(F.avg("cpg")).alias("cpg_mean"), r6(F.avg("entropy")).alias("entropy_mean"), p("at", 0.95).alias("asym_at_p95"), p("gcs", 0.95).alias("asym_gc_p95"), p("h", 0.99).alias("homopolymer_p99"))
+    rows = cut(seqs(spark, sf).select(S.gc("seq").alias("gc"), S.cpg("seq").alias("cpg"), S.entropy("seq").alias("entropy"), S.asymmetry("seq", "A", "T").alias("at"), S.asymmetry("seq", "G", "C").alias("gcs"), S.homopolymer("seq").alias("h")))
+    out = rows.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("gc")).alias("gc_mean"), r6(F.stddev_pop("gc")).alias("gc_std"), r6(F.avg("cpg")).alias("cpg_mean"), r6(F.avg("entropy")).alias("entropy_mean"))
+    for c, name, q in (("at", "asym_at_p95", 0.95), ("gcs", "asym_gc_p95", 0.95), ("h", "homopolymer_p99", 0.99)):
+        out = out.join(F.broadcast(ranking.quantiles(rows, c, {name: q}).select(r6(name).alias(name))), how="cross")
+    return out
 
 
 @query(f"""WITH {_TILES}, {_CELLS}, top AS (SELECT pid, seq FROM c ORDER BY c1 DESC, pid LIMIT (SELECT greatest(1, floor(count(*) * 0.1))::BIGINT FROM c)),
@@ -331,9 +334,11 @@ def seed_backfill_join(spark, sf):
 SELECT (c1 >= m1)::INT::VARCHAR || (c2 >= m2)::INT::VARCHAR || (c3 >= m3)::INT::VARCHAR AS label, count(*) AS n FROM d, m GROUP BY 1""")
 def median_labels(spark, sf):
     rows = relational.split_half(cells(spark, sf).select("pid", "c1", "c2", "c3"), "pid")
-    med = F.broadcast(rows.where("half = 'A'").agg(*(F.percentile(c, F.lit(0.5)).alias(f"m{c}") for c in ("c1", "c2", "c3"))))
+    train = rows.where("half = 'A'")
+    for c in ("c1", "c2", "c3"):
+        rows = rows.join(F.broadcast(ranking.quantiles(train, c, {f"m{c}": 0.5})), how="cross")
     bits = F.concat(*((F.col(c) >= F.col(f"m{c}")).cast("int").cast("string") for c in ("c1", "c2", "c3")))
-    return rows.join(med, how="cross").groupBy(bits.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(bits.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1")
@@ -349,7 +354,7 @@ def memo_misses(spark, sf):
 
 @query("SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, max(l_extendedprice) AS max, round(stddev_pop(l_extendedprice), 4) AS std, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1")
 def score_summary(spark, sf):
-    got = profiles.summary(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    got = profiles.summary(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
     return got.select("l_returnflag", "n", F.round("mean", 4).alias("mean"), "max", F.round("std", 4).alias("std"), F.round("p99", 4).alias("p99"))
 
 
@@ -365,7 +370,7 @@ def ess_by_type(spark, sf):
   rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS rb FROM lineitem)
 SELECT l_returnflag, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(avg((a - b) * (a - b)), 2) AS mse, count(*) AS n FROM r GROUP BY 1""")
 def corr_by_group(spark, sf):
-    got = profiles.agreement(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    got = profiles.agreement(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
     return got.select("l_returnflag", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"), F.round("mse", 2).alias("mse"), "n")
 
 
