@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from helixframe.functions import rng
 from helixframe.functions import sequence as S
 from helixframe.operators import ranking
 
@@ -138,6 +139,20 @@ def summary(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     return told.join(top, by) if group else told.join(F.broadcast(top), how="cross")
 
 
+def ranges(df: DataFrame, columns: list[str], n: int, key: str, seed: int) -> DataFrame:
+    """(cell, min, max, mean) of each column on n rows drawn by hash."""
+    drawn = df.orderBy(rng.order_key(seed, key), key).limit(n).select(*columns)
+    one = drawn.agg(*(f(c).alias(f"{c}_{name}") for c in columns for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg))))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("cell"), *(F.col(f"{c}_{x}").alias(x) for x in ("min", "max", "mean"))) for c in columns))).alias("r")).select("r.*")
+
+
+def last_generation(df: DataFrame, score: str, edits: str, step: str = "generation") -> DataFrame:
+    """One row: n, mean and largest score, its sample deviation and the mean edits, over the rows of the last generation."""
+    last = df.agg(F.max(step).alias("_last"))
+    rows = df.join(F.broadcast(last), F.col(step) == F.col("_last"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.max(score).alias("max"), F.stddev_samp(score).alias("std"), F.avg(edits).alias("edits"))
+
+
 def effective_size(df: DataFrame, log_weight: str, group: list[str] | None = None) -> DataFrame:
     """ESS and log-mean-exp in two passes, shifted by the largest log-weight."""
     group = group or []

@@ -121,6 +121,59 @@ class PandasScorer:
         return df.mapInPandas(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
 
 
+@dataclass
+class InjectingScorer:
+    """Scores the core between its adapters by another scorer; the rows keep their core."""
+
+    inner: Scorer
+
+    def score(self, df: DataFrame) -> DataFrame:
+        core = F.col("seq").alias("_core")
+        scored = self.inner.score(df.select("*", core).withColumn("seq", S.inject_adapters("seq")))
+        return scored.withColumn("seq", F.col("_core")).drop("_core")
+
+
+@dataclass
+class NeighbourLikelihood:
+    """Pseudo-log-likelihood of masked bases, given both neighbours, from a pool's 3-mer counts.
+
+    Each inner base is masked with probability ``rate`` by the hash PRNG; the
+    score is the sum of ln P(base | left, right) over masked ones, with one
+    count added to each base. It stands where a masked model's likelihood would.
+    """
+
+    counts: dict[str, int]
+    rate: float = 0.15
+    seed: int = 0
+
+    @staticmethod
+    def of(pool: DataFrame, rate: float = 0.15, seed: int = 0) -> NeighbourLikelihood:
+        """From a profile (kmer, n) of 3-mers: a fixed number of rows."""
+        return NeighbourLikelihood({r["kmer"]: r["n"] for r in pool.select("kmer", "n").limit(64).collect()}, rate, seed)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        n = {k: self.counts.get(k, 0) + 1 for k in (a + b + c for a in S.BASES for b in S.BASES for c in S.BASES)}
+        told = F.create_map(*(F.lit(x) for k in n for x in (k, float(np.log(n[k] / sum(n[k[0] + b + k[2]] for b in S.BASES))))))
+        masked = F.filter(F.sequence(F.lit(1), F.length("seq") - 2), lambda i: rng.uniform(self.seed, "ppl", "pid", i) < self.rate)
+        return df.withColumn("score", F.aggregate(masked, F.lit(0.0), lambda acc, i: acc + F.element_at(told, F.col("seq").substr(i, F.lit(3)))))
+
+
+def mean_likelihood(df: DataFrame, counts: dict[str, int], rates: list[float], seed: int = 0) -> DataFrame:
+    """Adds ``approx_ll``: minus the mean over masking rates of the summed negative log-likelihood."""
+    out, names = df, []
+    for i, rate in enumerate(rates):
+        names.append(f"_ll{i}")
+        out = NeighbourLikelihood(counts, rate, seed + i).score(out).withColumnRenamed("score", names[-1])
+    return out.withColumn("approx_ll", sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)).drop(*names)
+
+
+def sampled_check(df: DataFrame, scorer: Scorer, known: str, n: int, seed: int, score: str = "score") -> DataFrame:
+    """One row: how far a scorer is from known values on n rows drawn by hash (n, largest and mean difference, correlation)."""
+    drawn = scorer.score(df.orderBy(rng.order_key(seed, "pid"), "pid").limit(n))
+    gap = F.abs(F.col(score) - F.col(known))
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("largest"), F.avg(gap).alias("mean"), F.corr(score, known).alias("r"))
+
+
 def cascade(df: DataFrame, fast: Scorer, accurate: Scorer, keep: int, fast_name: str, group: str = "pid") -> DataFrame:
     """Only the ``keep`` best of each group by the fast score reach the accurate one."""
     order = Window.partitionBy(group).orderBy(F.desc(fast_name), "k")
@@ -222,12 +275,19 @@ def single_substitutions(df: DataFrame, seq: str = "seq") -> DataFrame:
     return rows.withColumn("candidate", F.concat(s.substr(F.lit(1), F.col("position")), F.col("base"), s.substr(F.col("position") + 2, F.length(s))))
 
 
+def flipped(seq: Column, position: Column, base: Column) -> Column:
+    return F.concat(seq.substr(F.lit(1), position), base, seq.substr(position + 2, F.length(seq)))
+
+
 def best_flip(df: DataFrame, score: Callable[[Column | str], Column], key: str = "pid", require_gain: bool = False) -> DataFrame:
-    """The best candidate of each row; position, then base settle ties. Without ``require_gain`` it may be worse."""
-    keep = [c for c in df.columns if c != key]
-    rows = single_substitutions(df).withColumn("_v", score("candidate"))
-    best = rows.groupBy(key).agg(F.min_by(F.struct(*keep, "position", "base", "candidate", F.col("_v").alias("candidate_score")), F.struct((-F.col("_v")).alias("v"), "position", "base")).alias("_b"))
-    out = best.select(key, "_b.*")
+    """The best candidate of each row; position, then base settle ties. Without ``require_gain`` it may be worse.
+
+    Candidates are told apart by their score, place and base alone, so no more than that is aggregated.
+    """
+    best = F.min(F.struct((-F.col("_v")).alias("v"), "position", "base")).alias("_b")
+    found = single_substitutions(df.select(key, "seq")).withColumn("_v", score("candidate")).groupBy(key).agg(best)
+    out = df.join(found.select(F.col(key).alias("_k"), "_b.*"), F.col(key) == F.col("_k")).drop("_k")
+    out = out.withColumns({"candidate": flipped(F.col("seq"), F.col("position"), F.col("base")), "candidate_score": -F.col("v")}).drop("v")
     return out.where(F.col("candidate_score") > score("seq")) if require_gain else out
 
 
@@ -264,40 +324,105 @@ def ism_trajectory(df: DataFrame, score: Callable[[Column | str], Column], gener
     return out
 
 
-def tree_search(df: DataFrame, predict: Callable[[list[str]], np.ndarray], rounds: int, branches: int, rate: float, seed: int, explore: float = 1.4) -> DataFrame:
-    """UCB1 tree search for each row, in Arrow batches; the best node but the root is the result.
+def branch_tokens_climb(df: DataFrame, predict: Callable[[list[str]], np.ndarray], accept: Callable[[str], bool] | None = None, step_cap: int = 0, total_cap: int | None = None) -> DataFrame:
+    """Hill climb over the bases that a row's branches propose: (pid, seq, score, swaps).
 
-    Rows: pid, seq. The tree of a row never leaves its worker.
+    Rows: pid, k, seq, parent, origin, score; the climb starts from the best
+    branch (first k on ties). Positions where branches differ come by how many
+    bases they show there, most first, left ones first on ties. At each one the
+    other branches' bases are tried, and the best strictly better one stays,
+    unless ``step_cap`` edits of the parent are made already or ``total_cap``
+    edits of the origin would be passed. A row has a bounded number of
+    branches, so its group is small; each rank's trials are scored in one call
+    for all rows of a task's batch.
+    """
+    folded = df.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("k", "seq", "score"))).alias("b"), F.first("parent").alias("parent"), F.first("origin").alias("origin"))
+
+    def differ(a: str, b: str) -> int:
+        return sum(x != y for x, y in zip(a, b, strict=True))
+
+    def climbed(rows):
+        now, value, order, bases, swaps = [], [], [], [], [0] * len(rows)
+        for branches in rows["b"]:
+            best = max(branches, key=lambda r: (r["score"], -r["k"]))
+            now.append(best["seq"]), value.append(best["score"])
+            shown = [list(dict.fromkeys(column)) for column in zip(*(r["seq"] for r in branches), strict=True)]
+            order.append(sorted((i for i, x in enumerate(shown) if len(x) > 1), key=lambda i: (-len(shown[i]), i)))
+            bases.append(shown)
+        for rank in range(max(map(len, order), default=0)):
+            trials = []
+            for r, places in enumerate(order):
+                if rank >= len(places) or step_cap and differ(now[r], rows["parent"].iloc[r]) >= step_cap:
+                    continue
+                at = places[rank]
+                for base in bases[r][at]:
+                    new = now[r][:at] + base + now[r][at + 1 :]
+                    if base != now[r][at] and (accept is None or accept(new)):
+                        trials.append((r, new))
+            if not trials:
+                continue
+            gained: dict[int, tuple[float, str]] = {}
+            for (r, new), v in zip(trials, np.asarray(predict([x for _, x in trials]), float), strict=True):
+                if v > gained.get(r, (value[r], ""))[0]:
+                    gained[r] = (float(v), new)
+            for r, (v, new) in gained.items():
+                if total_cap is None or differ(new, rows["origin"].iloc[r]) <= total_cap:
+                    value[r], now[r] = v, new
+                    swaps[r] += 1
+        return rows[["pid"]].assign(seq=now, score=value, swaps=swaps)
+
+    return folded.mapInPandas(lambda batches: map(climbed, batches), "pid long, seq string, score double, swaps long")
+
+
+def tree_search(df: DataFrame, predict: Callable[[list[str]], np.ndarray], rounds: int, branches: int, rate: float, seed: int, explore: float = 1.4, depth: int = 10, mode: str = "ucb") -> DataFrame:
+    """Tree search for each row, all rows of a batch side by side; the best node but the root is the result.
+
+    Rows: pid, seq. A round goes down to a leaf of each tree, by UCB1 on the
+    mean of the values below a node or, in mode ``uniform``, by breadth; adds
+    ``branches`` mutated children to it, unless it is ``depth`` deep already;
+    and hands the best child's score up. All trees' new nodes are scored in one
+    call. The tree of a row never leaves its worker.
     """
 
+    def descend(tree: dict) -> int:
+        if mode == "uniform":  # the first node without children, by depth
+            return next((i for i, k in enumerate(tree["kids"]) if not k and tree["depth"][i] < depth), -1)
+        at = 0
+        while tree["kids"][at]:
+            logs = np.log(tree["visits"][at])
+            at = max(tree["kids"][at], key=lambda c: tree["total"][c] / tree["visits"][c] + explore * np.sqrt(logs / tree["visits"][c]))
+        return at if tree["depth"][at] < depth else -1
+
     def run(batches):
         for batch in batches:
-            found, value = [], []
-            for pid, seq in zip(batch["pid"], batch["seq"], strict=True):
-                rnd = np.random.default_rng([seed, int(pid)])
-                seqs, parent, visits, best, kids = [seq], [-1], [1], [float(predict([seq])[0])], [[]]
-                for _ in range(rounds):
-                    at = 0
-                    while kids[at]:
-                        logs = np.log(visits[at] + 1)
-                        at = max(kids[at], key=lambda c: best[c] + explore * np.sqrt(logs / visits[c]))
-                    new = []
-                    for _ in range(branches):
-                        chars = np.array(list(seqs[at]))
-                        hit = rnd.random(len(chars)) < rate
-                        chars[hit] = np.array(list("ACGT"))[rnd.integers(0, 4, hit.sum())]
-                        new.append("".join(chars))
-                    scores = np.asarray(predict(new), float)
-                    for s, v in zip(new, scores, strict=True):
-                        kids[at].append(len(seqs))
-                        seqs.append(s), parent.append(at), visits.append(1), best.append(float(v)), kids.append([])
-                    top, up = float(scores.max()), at
-                    while up >= 0:
-                        visits[up] += 1
-                        best[up] = max(best[up], top)
-                        up = parent[up]
-                leaf = max(range(1, len(seqs)), key=lambda i: (float(predict([seqs[i]])[0]), -i)) if len(seqs) > 1 else 0
-                found.append(seqs[leaf]), value.append(float(predict([seqs[leaf]])[0]))
-            yield batch[["pid"]].assign(seq=found, score=value)
+            seqs = batch["seq"].tolist()
+            first = np.asarray(predict(seqs), float) if seqs else np.zeros(0)
+            trees = [{"seq": [s], "up": [-1], "depth": [0], "visits": [1], "total": [float(v)], "score": [float(v)], "kids": [[]]} for s, v in zip(seqs, first, strict=True)]
+            draws = [np.random.default_rng([seed, int(p)]) for p in batch["pid"]]
+            for _ in range(rounds):
+                news = []
+                for r, tree in enumerate(trees):
+                    at = descend(tree)
+                    for _ in range(branches if at >= 0 else 0):
+                        chars = np.array(list(tree["seq"][at]))
+                        hit = draws[r].random(len(chars)) < rate
+                        chars[hit] = np.array(list(S.BASES))[draws[r].integers(0, 4, hit.sum())]
+                        news.append((r, at, "".join(chars)))
+                if not news:
+                    break
+                top: dict[tuple[int, int], float] = {}
+                for (r, at, new), v in zip(news, np.asarray(predict([x for _, _, x in news]), float).tolist(), strict=True):
+                    tree = trees[r]
+                    tree["kids"][at].append(len(tree["seq"]))
+                    for name, value in (("seq", new), ("up", at), ("depth", tree["depth"][at] + 1), ("visits", 1), ("total", v), ("score", v), ("kids", [])):
+                        tree[name].append(value)
+                    top[r, at] = max(top.get((r, at), v), v)
+                for (r, at), v in top.items():
+                    while at >= 0:
+                        trees[r]["visits"][at] += 1
+                        trees[r]["total"][at] += v
+                        at = trees[r]["up"][at]
+            best = [max(range(1, len(t["seq"])), key=lambda i, t=t: (t["score"][i], -i), default=0) for t in trees]
+            yield batch[["pid"]].assign(seq=[t["seq"][i] for t, i in zip(trees, best, strict=True)], score=[t["score"][i] for t, i in zip(trees, best, strict=True)])
 
     return df.select("pid", "seq").mapInPandas(run, "pid long, seq string, score double")

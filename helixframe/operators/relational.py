@@ -75,6 +75,30 @@ def require_known_orientation(df: DataFrame, seq: str = "seq") -> DataFrame:
     return df.withColumn("orientation", F.when(where.isNull(), F.raise_error(F.lit("no known adapter leads a row"))).otherwise(where))
 
 
+#: Names of splits and the flags that tell them.
+SPLITS = {"train": "is_train", "val": "is_val", "test": "is_test"}
+
+
+def of_split(df: DataFrame, split: str) -> DataFrame:
+    """The rows of one split, by its flag."""
+    return df.where(F.col(SPLITS[split]))
+
+
+def forward_only(df: DataFrame, flag: str = "rev") -> DataFrame:
+    """Rows that aren't reversed; a table without the flag has no other."""
+    return df.where(F.col(flag) == 0) if flag in df.columns else df
+
+
+def of_seed_type(df: DataFrame, kind: str, column: str = "seed_type") -> DataFrame:
+    """Rows of one kind of seed; ``both`` lets all pass."""
+    return df if kind == "both" else df.where(F.col(column) == kind)
+
+
+def head(df: DataFrame, n: int, index: str) -> DataFrame:
+    """The rows numbered below n, in the order that ``index`` gives."""
+    return df.where(F.col(index) < n)
+
+
 # ------------------------------------------------------------------- joins
 
 

@@ -413,11 +413,18 @@ def pareto_first(spark, sf):
     return ranking.pareto_first(table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_size")
 
 
-@query(None)
+@query("""WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT p_retailprice AS s, p_size AS e FROM part),
+c AS (SELECT s, e, 0 AS front FROM d UNION SELECT d.s, d.e, c.front + 1 FROM c JOIN d ON c.s >= d.s AND c.e <= d.e AND (c.s > d.s OR c.e < d.e)),
+f AS MATERIALIZED (SELECT p_partkey AS k, p_retailprice AS s, p_size AS e, m.front AS front FROM part JOIN (SELECT s, e, max(front) AS front FROM c GROUP BY 1, 2) m ON s = p_retailprice AND e = p_size),
+g AS (SELECT *, count(*) OVER w AS n, lag(s) OVER a AS s0, lead(s) OVER a AS s1, max(s) OVER w - min(s) OVER w AS sr, lag(e) OVER b AS e0, lead(e) OVER b AS e1, max(e) OVER w - min(e) OVER w AS er
+  FROM f WINDOW w AS (PARTITION BY front), a AS (PARTITION BY front ORDER BY s, k), b AS (PARTITION BY front ORDER BY e, k)),
+h AS (SELECT k, front, CASE WHEN n > 2 AND s0 IS NOT NULL AND s1 IS NOT NULL AND e0 IS NOT NULL AND e1 IS NOT NULL
+  THEN CASE WHEN sr > 0 THEN (s1 - s0) / sr ELSE 0 END + CASE WHEN er > 0 THEN (e1 - e0) / er ELSE 0 END END AS crowd FROM g)
+SELECT k AS p_partkey, front::BIGINT AS front, round((SELECT max(front) + 1 FROM h) - front + 0.5 * CASE WHEN crowd IS NULL THEN 1.0 ELSE crowd / (coalesce((SELECT max(crowd) FROM h), 1.0) + 1e-8) END, 6) AS pareto_fitness FROM h""")
 def pareto_fitness(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
     fronts = ranking.pareto_fronts(rows, "p_partkey", "p_retailprice", "p_size")
-    return ranking.pareto_fitness(ranking.crowding(fronts, "p_retailprice", "p_size", "p_partkey")).select("p_partkey", "front", "pareto_fitness")
+    return ranking.pareto_fitness(ranking.crowding(fronts, "p_retailprice", "p_size", "p_partkey")).select("p_partkey", "front", r6("pareto_fitness").alias("pareto_fitness"))
 
 
 # ----------------------------------------------------------------- resampling
@@ -464,7 +471,16 @@ def gc_bins(spark, sf):
     return resample.bin_summary(cells(spark, sf).withColumn("gc", S.gc("seq")), "gc", "c1", _EDGES).select("bin", "n", r6("mean").alias("mean"))
 
 
-@query(None)
+@query(f"""WITH {_TILES}, {_CELLS}, g AS MATERIALIZED (SELECT pid, c1, {_BIN} AS bin, floor(exp(c1) * 1000)::BIGINT AS w FROM (SELECT *, (length(replace(replace(seq, 'C', '__'), 'G', '__')) - 200) / 200 AS gc FROM c)),
+t AS (SELECT i::INT AS bin, count(c1) AS n, coalesce(avg(c1), 0) AS mean, sum(w) AS total FROM range(0, 5) d(i) LEFT JOIN g ON g.bin = i GROUP BY 1), z AS (SELECT count(*) AS n FROM g),
+h AS (SELECT *, CASE WHEN n > 0 THEN mean - (SELECT min(mean) FROM t WHERE n > 0) ELSE 0 END AS s FROM t), k AS (SELECT *, s / (SELECT sum(s) FROM h) AS share FROM h),
+q0 AS (SELECT bin, n, total, share, (20 + round_even(share * ((SELECT n FROM z) - 100), 0))::BIGINT AS q FROM k),
+q AS (SELECT bin, n, total, q + CASE WHEN row_number() OVER (ORDER BY share DESC, bin) = 1 THEN (SELECT n FROM z) - (SELECT sum(q) FROM q0) ELSE 0 END AS q FROM q0),
+r AS (SELECT pid, g.bin, w, q, total, sum(w) OVER (PARTITION BY g.bin ORDER BY pid ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM g JOIN q ON q.bin = g.bin),
+y AS (SELECT pid, bin, q, CASE WHEN cum >= total THEN q - 1 ELSE least(floor(q * (cum / total) - 0.5), q - 1) END - CASE WHEN cum - w <= 0 THEN -1 ELSE least(floor(q * ((cum - w) / total) - 0.5), q - 1) END AS c FROM r),
+v AS (SELECT coalesce(sum(q), 0) AS short, (SELECT sum(w) FROM g)::BIGINT AS total FROM q WHERE n = 0), o AS (SELECT pid, w, sum(w) OVER (ORDER BY pid ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM g),
+x AS (SELECT pid, CASE WHEN short > 0 THEN CASE WHEN cum >= total THEN short - 1 ELSE least(floor(short * (cum / total) - 0.5), short - 1) END - CASE WHEN cum - w <= 0 THEN -1 ELSE least(floor(short * ((cum - w) / total) - 0.5), short - 1) END ELSE 0 END AS c FROM o, v)
+SELECT pid, bin, (greatest(CASE WHEN q > 0 THEN y.c ELSE 0 END, 0) + greatest(x.c, 0))::BIGINT AS copies FROM y JOIN x USING (pid) WHERE greatest(CASE WHEN q > 0 THEN y.c ELSE 0 END, 0) + greatest(x.c, 0) > 0""")
 def stratified_resample(spark, sf):
     rows = cells(spark, sf).select("pid", S.gc("seq").alias("gc"), "c1", (F.floor(F.exp(F.col("c1")) * 1000)).alias("w"))
     return resample.stratified_copies(rows, "w", "pid", "gc", "c1", _EDGES, rows.count(), 0.5, "minshift", least=20).where("copies > 0").select("pid", "bin", "copies")
@@ -493,46 +509,56 @@ def branch_choice(spark, sf):
     return proposals.chosen_branch(rows, "score", 200, cap=8).select("pid", "seq", "valid")
 
 
-@query("""SELECT r_name, count(*) AS candidates, min(candidate) AS first, max(candidate) AS last FROM (SELECT r_name, p, b, left(n, p) || b || substr(n, p + 2) AS candidate
-  FROM (SELECT r_name, translate(regexp_replace(lower(r_name), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS n FROM region), (SELECT unnest(['A', 'C', 'G', 'T']) AS b), range(0, 20) r(p) WHERE p < length(n) AND substr(n, p + 1, 1) <> b) GROUP BY 1""")
-def ism_candidates(spark, sf):
-    from helixframe.sources.sequences import AS_BASES, LETTERS
+_FLIPS = "SELECT pid, p, b, left(seq, p) || b || substr(seq, p + 2) AS candidate FROM s, (SELECT unnest(['A', 'C', 'G', 'T']) AS b), range(0, 200) r(p) WHERE substr(seq, p + 1, 1) <> b"
 
-    rows = table(spark, sf, "region").select("r_name", F.translate(F.regexp_replace(F.lower("r_name"), "[^a-z]", ""), LETTERS, AS_BASES).alias("seq"))
-    return proposals.single_substitutions(rows).groupBy("r_name").agg(F.count(F.lit(1)).alias("candidates"), F.min("candidate").alias("first"), F.max("candidate").alias("last"))
 
+@query(TILES + f"SELECT pid, count(*) AS candidates, min(candidate) AS first, max(candidate) AS last FROM ({_FLIPS}) GROUP BY 1")
+def ism_candidates(spark, sf):
+    return proposals.single_substitutions(seqs(spark, sf).select("pid", "seq")).groupBy("pid").agg(F.count(F.lit(1)).alias("candidates"), F.min("candidate").alias("first"), F.max("candidate").alias("last"))
 
-_NAMES = "t AS (SELECT s_suppkey AS pid, translate(regexp_replace(lower(n_name || s_name || n_name), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 
+def _cg(seq):
+    """A small scorer for whole-table mutagenesis: GA and, twice, CG; neither overlaps itself."""
+    s = F.col(seq) if isinstance(seq, str) else seq
+    count = lambda m: (F.length(s) - F.length(F.replace(s, F.lit(m), F.lit("")))) / 2
+    return count("GA") + 2 * count("CG")
 
-def _named(spark, sf):
-    from helixframe.sources.sequences import AS_BASES, LETTERS
 
-    both = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    text = F.concat("n_name", "s_name", "n_name")
-    return both.select(F.col("s_suppkey").alias("pid"), F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), LETTERS, AS_BASES).alias("seq"))
+def _cg_sql(s):
+    return f"((200 - length(replace({s}, 'GA', ''))) / 2 + 2 * ((200 - length(replace({s}, 'CG', ''))) / 2))"
 
 
-def _cg(seq):
-    """A small scorer for whole-table mutagenesis: overlapping GA and CG."""
-    return (S.motif_count(seq, "GA") + 2 * S.motif_count(seq, "CG")).cast("double")
+def _flips_sql(table: str) -> str:
+    """The best flip of each row of ``table`` (pid, seq)."""
+    return f"""SELECT pid, arg_min(candidate, o) AS candidate, -min(o).v AS v, min(o).p AS p, min(o).b AS b FROM (SELECT pid, candidate, struct_pack(v := -{_cg_sql("candidate")}, p := p, b := b) AS o
+  FROM ({_FLIPS.replace("FROM s,", f"FROM {table},")})) GROUP BY 1"""
 
 
-@query(f"""WITH {_NAMES}, x AS (SELECT pid, p, b, left(seq, p) || b || substr(seq, p + 2) AS candidate FROM t, (SELECT unnest(['A', 'C', 'G', 'T']) AS b), range(0, 60) r(p) WHERE p < length(seq) AND substr(seq, p + 1, 1) <> b),
-v AS (SELECT *, (list_sum(list_transform(range(1, length(candidate)), lambda j: (substr(candidate, j, 2) = 'GA')::INT + 2 * (substr(candidate, j, 2) = 'CG')::INT)))::DOUBLE AS v FROM x)
-SELECT pid, arg_min(candidate, struct_pack(v := -v, p := p, b := b)) AS candidate, max(v) AS candidate_score FROM v GROUP BY 1""")
+@query(TILES + f"SELECT pid, candidate, v AS candidate_score FROM ({_flips_sql('s')})")
 def ism_best_flip(spark, sf):
-    return proposals.best_flip(_named(spark, sf), _cg).select("pid", "candidate", "candidate_score")
+    return proposals.best_flip(seqs(spark, sf).select("pid", "seq"), _cg).select("pid", "candidate", "candidate_score")
 
 
-@query(None)
+def _climb_sql(rounds: int, cap: int) -> str:
+    parts, now = ["t0 AS (SELECT pid, seq, seq AS origin FROM s)"], "t0"
+    for r in range(1, rounds + 1):
+        parts.append(f"f{r} AS MATERIALIZED ({_flips_sql(now)})")
+        ok = f"v > {_cg_sql('seq')} AND hamming(candidate, origin) <= {cap}"
+        parts.append(f"t{r} AS MATERIALIZED (SELECT pid, CASE WHEN {ok} THEN candidate ELSE seq END AS seq, origin FROM {now} JOIN f{r} USING (pid))")
+        now = f"t{r}"
+    return f"WITH {_TILES}, {', '.join(parts)} SELECT pid, seq, {_cg_sql('seq')} AS score FROM {now}"
+
+
+@query(_climb_sql(3, 2))
 def hill_climb(spark, sf):
-    return proposals.hill_climb(_named(spark, sf), _cg, 4, 60, cap=3).select("pid", "seq", "score")
+    return proposals.hill_climb(seqs(spark, sf).select("pid", "seq"), _cg, 3, 200, cap=2).select("pid", "seq", "score")
 
 
-@query(None)
+@query(f"""WITH {_TILES}, t1 AS MATERIALIZED ({_flips_sql("s")}), u AS (SELECT pid, candidate AS seq FROM t1), t2 AS ({_flips_sql("u")})
+SELECT pid, 0 AS generation, seq, {_cg_sql("seq")} AS score, -1 AS position, '' AS base FROM s
+UNION ALL SELECT pid, 1, candidate, v, p::INT, b FROM t1 UNION ALL SELECT pid, 2, candidate, v, p::INT, b FROM t2""")
 def ism_trajectory(spark, sf):
-    return proposals.ism_trajectory(_named(spark, sf), _cg, 2).select("pid", "generation", "seq", "score", "position", "base")
+    return proposals.ism_trajectory(seqs(spark, sf).select("pid", "seq"), _cg, 2).select("pid", "generation", "seq", "score", F.coalesce("position", F.lit(-1)).alias("position"), F.coalesce("base", F.lit("")).alias("base"))
 
 
 @query(None)
@@ -550,7 +576,55 @@ def _gata(seqs: list[str]):
 
 @query(None)
 def tree_search(spark, sf):
-    return proposals.tree_search(_named(spark, sf), _gata, rounds=6, branches=4, rate=0.08, seed=3)
+    return proposals.tree_search(seqs(spark, sf).select("pid", "seq"), _gata, rounds=6, branches=4, rate=0.08, seed=3)
+
+
+@query(None)
+def branch_tokens_climb(spark, sf):
+    rows = seqs(spark, sf).select("pid", "seq", F.col("seq").alias("parent"), F.col("seq").alias("origin"))
+    grown = proposals.Masked(0.05, 5).expand(rows, 3, 0).withColumn("score", S.motif_count("seq", "GATA").cast("double"))
+    return proposals.branch_tokens_climb(grown, _gata, step_cap=15, total_cap=20)
+
+
+@query(TILES + "SELECT pid, list_sum(list_transform(range(1, 228), lambda j: (substr(x, j, 4) = 'GATC')::BIGINT))::DOUBLE AS score FROM (SELECT pid, 'AGGACCGGATCAACT' || seq || 'CATTGCGTGAACCGA' AS x FROM s)")
+def injected_scorer(spark, sf):
+    return proposals.InjectingScorer(proposals.MotifScorer("GATC")).score(seqs(spark, sf).select("pid", "seq")).select("pid", "score")
+
+
+@query(f"""WITH {_TILES}, {_KMERS}, n AS (SELECT kmer, count(*) AS n FROM x GROUP BY 1), {ALL_KMERS}, c AS (SELECT dim.kmer, coalesce(n, 0) + 1 AS n FROM dim LEFT JOIN n USING (kmer)),
+lp AS (SELECT kmer, ln(n / sum(n) OVER (PARTITION BY kmer[1], kmer[3])) AS l FROM c), m AS (SELECT pid, substr(seq, i::BIGINT, 3) AS kmer FROM s, range(1, 199) r(i) WHERE {uniform_sql(4, 'ppl', 'pid', 'i')} < 0.15)
+SELECT s.pid, round(coalesce(sum(l), 0), 4) AS score FROM s LEFT JOIN m USING (pid) LEFT JOIN lp USING (kmer) GROUP BY 1""")
+def masked_likelihood(spark, sf):
+    rows = seqs(spark, sf).select("pid", "seq")
+    return proposals.NeighbourLikelihood.of(profiles.kmer_counts(rows, "seq", 3, []), 0.15, 4).score(rows).select("pid", F.round("score", 4).alias("score"))
+
+
+@query(CELLS + """, d AS (SELECT * FROM c ORDER BY md5('42:' || pid), pid LIMIT 5000), u AS (SELECT 'c1' AS cell, c1 AS v FROM d UNION ALL SELECT 'c2', c2 FROM d UNION ALL SELECT 'c3', c3 FROM d)
+SELECT cell, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean FROM u GROUP BY 1""")
+def oracle_ranges(spark, sf):
+    return profiles.ranges(cells(spark, sf), ["c1", "c2", "c3"], 5000, "pid", 42).select("cell", *(r6(x).alias(x) for x in ("min", "max", "mean")))
+
+
+@query(CELLS + """, g AS (SELECT tile AS generation, c1, hamming(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS edits FROM c WHERE tile < 5), z AS (SELECT max(generation) AS last FROM g)
+SELECT count(*) AS n, round(avg(c1), 6) AS mean, round(max(c1), 6) AS max, round(stddev_samp(c1), 6) AS std, round(avg(edits), 6) AS edits FROM g, z WHERE generation = last""")
+def last_generation(spark, sf):
+    rows = cells(spark, sf).where("tile < 5").select(F.col("tile").alias("generation"), "c1", S.hamming("seq", S.reverse_complement("seq")).alias("edits"))
+    return profiles.last_generation(rows, "c1", "edits").select("n", *(r6(x).alias(x) for x in ("mean", "max", "std", "edits")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0 AND lang = 'en' AND doc_id < 700")
+def split_filters(spark, sf):
+    flags = {"is_train": F.col("doc_id") % 3 == 0, "is_val": F.col("doc_id") % 3 == 1, "is_test": F.col("doc_id") % 3 == 2, "rev": F.col("doc_id") % 2}
+    rows = table(spark, sf, "documents").withColumns(flags)
+    rows = relational.of_seed_type(relational.forward_only(relational.of_split(rows, "train")), "en", "lang")
+    return relational.head(relational.of_seed_type(rows, "both"), 700, "doc_id").select("doc_id")
+
+
+@query(f"""WITH {_TILES}, q AS (SELECT pid AS sid, seq AS sseq FROM s ORDER BY md5('6:' || pid), pid LIMIT (SELECT least(greatest(10, 100000000 // (count(*) * 200)), count(*)) FROM s)),
+d AS (SELECT pid, min(hamming(seq, sseq)) FILTER (sid <> pid) AS h FROM s, q GROUP BY 1) SELECT pid, coalesce(h, 90) < 90 AS near FROM d""")
+def near_duplicates(spark, sf):
+    rows = seqs(spark, sf).select("pid", "seq")
+    return relational.near_duplicates(rows, 90, rows.count(), 200, 6).select("pid", "near")
 
 
 @query(TILES + "SELECT pid, (list_sum(list_transform(range(1, 198), lambda j: (substr(seq, j, 4) = 'GATA')::BIGINT)) + list_sum(list_transform(range(1, 198), lambda j: (substr(seq, j, 4) = 'TATC')::BIGINT))) / 2 AS score FROM s")
@@ -595,8 +669,12 @@ def best_eval_step(spark, sf):
 @query(None)
 def archive_budget(spark, sf):
     rows = checkpoints(spark, sf).select("step", F.col("event_id").alias("row_id"), "value", F.pmod("user_id", F.lit(17)).cast("double").alias("other"))
-    # Checkpoints are weeks, so that the archive takes a handful of merges.
-    return archives.budget(rows.withColumn("step", F.floor(F.col("step") / 7)), 100, ["value", "other"])
+    return archives.budget(rows, 100, ["value", "other"])
+
+
+@query(f"SELECT id, list_aggregate(list_transform(range(0, 100), lambda i: substr('ACGT', (floor({uniform_sql(9, 'src', 'id', 'i')} * 4) + 1)::BIGINT, 1)), 'string_agg', '') AS seq FROM range(0, 5000) r(id)")
+def uniform_source(spark, sf):
+    return resample.uniform_source(spark, 5000, 100, 9).select(F.col("slot").alias("id"), "seq")
 
 
 @query(None)
@@ -610,7 +688,7 @@ def random_sources(spark, sf):
 def anneal_toy(spark, sf):
     from helixframe.plans import anneal
 
-    run = anneal.anneal(seqs(spark, sf).select("pid", "seq"), proposals.MotifScorer(), anneal.with_preset("toy", max_steps=2, branches=2, seed=1))
+    run = anneal.anneal(seqs(spark, sf).select("pid", "seq"), proposals.MotifScorer(), anneal.with_preset("toy", seed=1))
     return anneal.history_frame(spark, run)
 
 

@@ -34,6 +34,13 @@ def write_archives(archives: dict[str, DataFrame], run: str) -> None:
         out.write.mode("overwrite").partitionBy("archive").parquet(f"{run}/archives")
 
 
+def write_threshold_archive(df: DataFrame, path: str, least: float, seq: str = "seq", score: str = "score", step: str = "step") -> None:
+    """Rows above ``least``, each sequence once with its largest score and the first step that reached it, best first."""
+    above = df.where(F.col(score) > least)
+    best = above.groupBy(seq).agg(F.max(score).alias(score), F.min_by(step, F.struct((-F.col(score)).alias("s"), step)).alias(step))
+    best.orderBy(F.desc(score), seq).write.mode("overwrite").parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     """CSV with a header, a folder for each value of ``by``."""
     writer = df.write.mode("overwrite").option("header", True)
