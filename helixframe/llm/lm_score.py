@@ -12,32 +12,41 @@ The counts are a table that grows with the corpus: words with a large share of
 all tokens, of which there can only be so many, are known to every task, all
 others are joined to the tokens by shuffle.
 
-The network (position
-embeddings, one tanh layer, softmax) is trained in numpy: every task runs
-mini-batch steps over all tokens of its partition, from the same weights; the weights are averaged by shuffle, by the number of
-tokens seen, and a second round starts from the average. So counts and training
-grow with the corpus, while what comes to the driver is a fixed number of
-weights, classes and common words.
+The network has position embeddings, one tanh layer and a softmax of two
+levels: first the cluster of a class, then the class within it, so that a
+token costs the sum of both sizes and not their product. It is trained in
+numpy. Texts are turned into class numbers once. Documents are dealt by the
+hash of their text into shards of about ``SHARD`` tokens, as many as the corpus
+fills; each shard takes mini-batch steps over all its tokens in a fixed order,
+all from the same weights, which are then averaged by the number of tokens. A
+second round starts from the average. So counts and training grow with the
+corpus, the result doesn't depend on how the input is partitioned, and what
+comes to the driver is a fixed number of weights, classes and common words.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import U64, Rolling, arrow_map, flat, mix, rows_by_bytes, staged, tokens
+from helixframe.llm.shared import U64, Rolling, arrow_map, flat, mix, rows_by_bytes, runs, small_batches, staged, tokens
 
-#: Classes: 0 beyond the text's ends, then words, then groups of other words.
-CLASSES, GROUPS, WIDTH = 256, 64, 24
+#: Clusters and classes to a cluster (a power of two). Class 0 stands beyond a text's ends, then come words, then groups of other words.
+CLUSTERS, MEMBERS, GROUPS, WIDTH = 32, 64, 256, 24
+CLASSES = CLUSTERS * MEMBERS
 SIDES = (-2, -1, 1, 2)
-ROUNDS, BATCH, RATE = 2, 2048, 0.5
+ROUNDS, BATCH, RATE = 2, 4096, 8.0
+#: Tokens to a shard of the training, and weights to a row when they are averaged.
+SHARD, CHUNK = 1 << 20, 1 << 12
 #: Word counts that a task holds before it hands them on.
 HELD = 1 << 20
 #: Words with more than one in COMMON of all tokens aren't shuffled; there are fewer than COMMON of them.
-COMMON = 1 << 17
+COMMON = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -78,9 +87,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), run, "word long, grp long, n long").groupBy("word").agg(F.first("grp").alias("grp"), F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = CLASSES - GROUPS - 1, counts: DataFrame | None = None) -> np.ndarray:
-    """Hashes of the commonest words over all documents, commonest first."""
-    counts = word_counts(docs) if counts is None else counts
+def vocabulary(counts: DataFrame, size: int = CLASSES - GROUPS - 1) -> np.ndarray:
+    """Hashes of the commonest words, commonest first; the smaller hash first on ties."""
     top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     return np.array([r["word"] for r in top], np.int64).astype(U64)
 
@@ -89,7 +97,8 @@ class Shares:
     """What a task knows of the words in groups: each group's tokens, and the counts of common words."""
 
     def __init__(self, counts: DataFrame, vocab: np.ndarray, common: int = COMMON):
-        self.least = (counts.agg(F.sum("n")).first()[0] or 0) // common
+        self.tokens = counts.agg(F.sum("n")).first()[0] or 0
+        self.least = self.tokens // common
         own = counts.sparkSession.createDataFrame([(int(w),) for w in vocab.astype(np.int64)], "word long")
         grouped = counts.join(F.broadcast(own), "word", "left_anti")
         size = np.ones(GROUPS)
@@ -102,188 +111,278 @@ class Shares:
         self.word, self.log = word[order], np.log(top["n"].to_numpy(np.float64)[order])
         self.rest = grouped.where(F.col("n") <= self.least).select("word", "n")
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.size, self.word, self.log
-
-
-class Network:
-    """Weights and steps; all of them in one vector, so that they can be averaged."""
-
-    def __init__(self, flat_weights: np.ndarray):
-        k, d, s = CLASSES, WIDTH, len(SIDES)
-        w = flat_weights.astype(np.float32)
-        self.flat = w
-        self.embed = w[: s * k * d].reshape(s, k, d)
-        self.out = w[s * k * d : s * k * d + d * k].reshape(d, k)
-        self.bias = w[-k:]
-        self.room = np.zeros((0, k), np.float32)
-
-    @staticmethod
-    def start(seed: int = 5) -> np.ndarray:
-        rng = np.random.default_rng(seed)
-        k, d, s = CLASSES, WIDTH, len(SIDES)
-        return np.concatenate([rng.normal(0, 0.1, s * k * d), rng.normal(0, 0.1, d * k), np.zeros(k)])
-
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.embed[s][around[:, s]] for s in range(len(SIDES))))
-
-    def scores(self, h: np.ndarray) -> np.ndarray:
-        """Class scores less each row's largest; the next call writes over them."""
-        if len(self.room) < len(h):
-            self.room = np.empty((len(h), CLASSES), np.float32)
-        z = np.matmul(h, self.out, out=self.room[: len(h)])
-        z += self.bias
-        z -= z.max(1, keepdims=True)
-        return z
-
-    def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        z = self.scores(self.hidden(around))
-        mine = z[np.arange(len(target)), target]
-        return mine - np.log(np.exp(z, out=z).sum(1))
-
-    def step(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
-        n = len(target)
-        h = self.hidden(around)
-        z = self.scores(h)
-        np.exp(z, out=z)
-        z *= 1 / (n * z.sum(1, keepdims=True))
-        z[np.arange(n), target] -= np.float32(1 / n)
-        back = (z @ self.out.T) * (1 - h * h)
-        self.out -= rate * (h.T @ z)
-        self.bias -= rate * z.sum(0)
-        for s in range(len(SIDES)):
-            k = around[:, s].astype(np.uint8)
-            order = np.argsort(k, kind="stable")
-            first = np.flatnonzero(np.diff(k[order], prepend=-1))
-            self.embed[s][k[order[first]]] -= rate * np.add.reduceat(back[order], first)
-
 
 class Reader:
+    """Words to classes."""
+
     def __init__(self, vocab: np.ndarray):
         self.order = np.argsort(vocab, kind="stable")
         self.sorted = vocab[self.order]
 
-    def classes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self.classed(*words(column))
-
-    def classed(self, key: np.ndarray, group: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def classes(self, key: np.ndarray, group: np.ndarray) -> np.ndarray:
         out = CLASSES - GROUPS + group
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
             hit = self.sorted[at] == key
             out[hit] = 1 + self.order[at[hit]]
-        return out, row
+        return out.astype(np.uint16)
+
+
+class Network:
+    """Weights and steps; all of them in one vector, so that they can be averaged.
+
+    ``y``: classes of texts end to end, with at least two zeros before, between
+    and after them; ``at``: the places to predict.
+    """
 
-    def contexts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(classes around, class, row) of each token; beyond a text's ends stands class 0."""
-        return self.around(*self.classes(column))
+    #: Position embeddings; then weights of both levels, the last row of each being what is added whatever stands around.
+    SHAPES = ((len(SIDES), CLASSES, WIDTH), (WIDTH + 1, CLUSTERS), (CLUSTERS, WIDTH + 1, MEMBERS))
 
-    @staticmethod
-    def around(y: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(y)
-        around = np.zeros((n, len(SIDES)), np.int64)
+    def __init__(self, flat_weights: np.ndarray):
+        self.flat = flat_weights.astype(np.float32)
+        parts, begin = [], 0
+        for shape in self.SHAPES:
+            n = int(np.prod(shape))
+            parts.append(self.flat[begin : begin + n].reshape(shape))
+            begin += n
+        self.embed, self.top, self.inner = parts
+
+    @classmethod
+    def start(cls, seed: int = 5) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        embed, top, inner = (rng.normal(0, 0.1, s) for s in cls.SHAPES)
+        top[-1] = inner[:, -1] = 0
+        return np.concatenate([embed.ravel(), top.ravel(), inner.ravel()])
+
+    def hidden(self, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.ones((len(at), WIDTH + 1), np.float32)
+        total = self.embed[0][y[at + SIDES[0]]]
+        for s in range(1, len(SIDES)):
+            total += self.embed[s][y[at + SIDES[s]]]
+        np.tanh(total, out=out[:, :WIDTH])
+        return out
+
+    def bounded(self) -> bool:
+        """Whether no score can be too large for an exponential: hidden values are at most 1."""
+        return max(float(np.abs(self.top).sum(0).max()), float(np.abs(self.inner).sum(1).max())) < 80
+
+    def by_cluster(self, y: np.ndarray, at: np.ndarray):
+        """Places in the order of their classes' clusters, both parts of the classes, and each cluster's bounds."""
+        order = np.argsort((y[at] // MEMBERS).astype(np.uint8), kind="stable")
+        cluster, member = np.divmod(y[at[order]].astype(np.int64), MEMBERS)
+        return order, cluster, member, np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
+
+    def log_probability(self, y: np.ndarray, at: np.ndarray, bounded: bool = False) -> np.ndarray:
+        order, cluster, member, ends = self.by_cluster(y, at)
+        h = self.hidden(y, at[order])
+        out = _log_softmax(h @ self.top, cluster, bounded)
+        for g in range(CLUSTERS):
+            a, b = ends[g], ends[g + 1]
+            if a < b:
+                out[a:b] += _log_softmax(h[a:b] @ self.inner[g], member[a:b], bounded)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def step(self, y: np.ndarray, at: np.ndarray, rate: float) -> None:
+        """One step on the mean loss of all places ``at``."""
+        order, cluster, member, ends = self.by_cluster(y, at)
+        at, n, bounded = at[order], len(at), self.bounded()
+        h = self.hidden(y, at)
+        z = _residual(h @ self.top, cluster, n, bounded)
+        back = z @ self.top[:WIDTH].T
+        for g in range(CLUSTERS):
+            a, b = ends[g], ends[g + 1]
+            if a < b:
+                u = _residual(h[a:b] @ self.inner[g], member[a:b], n, bounded)
+                back[a:b] += u @ self.inner[g, :WIDTH].T
+                self.inner[g] -= rate * (h[a:b].T @ u)
+        self.top -= rate * (h.T @ z)
+        h *= h
+        back *= np.subtract(1, h[:, :WIDTH])
+        # A class's place in the text tells which places saw it on which side.
+        edge = SIDES[-1]
+        seen = np.zeros((len(y) + 2 * edge, WIDTH), np.float32)
+        seen[at + edge] = back
+        places = np.argsort(y, kind="stable")
+        first = np.flatnonzero(np.diff(y[places].astype(np.int32), prepend=-1))
+        who = y[places[first]]
         for s, d in enumerate(SIDES):
-            k = abs(d)
-            if n > k:
-                same = row[k:] == row[:-k]
-                if d < 0:
-                    around[k:, s] = np.where(same, y[:-k], 0)
-                else:
-                    around[:-k, s] = np.where(same, y[k:], 0)
-        return around, y, row
+            self.embed[s][who] -= rate * np.add.reduceat(seen[places + (edge - d)], first)
 
 
-def _trained_once(docs: DataFrame, vocab: np.ndarray, weights: np.ndarray, rate: float) -> np.ndarray:
-    def run(batches):
-        net, reader, seen = Network(weights.copy()), Reader(vocab), 0
-        for whole in batches:
-            for batch in rows_by_bytes(whole, "text"):
-                around, y, _ = reader.contexts(batch.column("text"))
-                for k in range(0, len(y), BATCH):
-                    net.step(around[k : k + BATCH], y[k : k + BATCH], rate)
-                seen += len(y)
-        if seen:
-            n = len(net.flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(net.flat.astype(np.float64)), pa.array(np.full(n, float(seen)))], ["i", "w", "seen"])
-
-    told = arrow_map(docs.select("text"), run, "i long, w double, seen double")
-    mean = told.groupBy("i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w")).toPandas().sort_values("i")
-    return np.round(mean["w"].to_numpy(), 9) if len(mean) else weights
-
-
-def trained(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(vocabulary, weights) learnt from all texts of ``docs``."""
-    vocab, weights = vocabulary(docs, counts=counts), Network.start()
-    for r in range(rounds):
-        weights = _trained_once(docs, vocab, weights, RATE / (1 + r))
-    return vocab, weights
+def _log_softmax(z: np.ndarray, target: np.ndarray, bounded: bool) -> np.ndarray:
+    if not bounded:
+        z -= z.max(1, keepdims=True)
+    mine = z[np.arange(len(target)), target]
+    return mine - np.log(np.exp(z, out=z).sum(1))
 
 
-def score(df: DataFrame, vocab: np.ndarray, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (the sum) and mean_log_likelihood of each row.
+def _residual(z: np.ndarray, target: np.ndarray, n: int, bounded: bool) -> np.ndarray:
+    """The mean loss's slope by the scores ``z``: softmax less the target, over n."""
+    if not bounded:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= 1 / (n * z.sum(1, keepdims=True))
+    z[np.arange(len(target)), target] -= np.float32(1 / n)
+    return z
 
-    A text that is null or has no words has no tokens, the sum 0 and a null
-    mean. Rows that repeat are each scored; other columns are ignored.
-    """
 
-    def run(batches):
-        net, reader = Network(weights), Reader(vocab)
-        for whole in batches:
-            for batch in rows_by_bytes(whole, "text"):
-                around, y, row = reader.contexts(batch.column("text"))
-                each = np.zeros(len(y))
-                for k in range(0, len(y), BATCH):
-                    each[k : k + BATCH] = net.log_probability(around[k : k + BATCH], y[k : k + BATCH])
-                n = np.bincount(row, minlength=batch.num_rows)
-                total = np.round(np.bincount(row, each, batch.num_rows), 4)
-                mean = np.round(total / np.maximum(n, 1), 6)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(total), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+def spaced(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Classes of texts end to end with two zeros before, between and after them."""
+    edge = SIDES[-1]
+    out = np.zeros(len(classes) + edge * (len(sizes) + 1), np.uint16)
+    out[np.arange(len(classes)) + np.repeat(edge * np.arange(1, len(sizes) + 1), sizes)] = classes
+    return out
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
+def batches_of(y: np.ndarray, size: int = BATCH):
+    """(part of y, its places) for each batch; every place with a class once."""
+    at, edge = np.flatnonzero(y), SIDES[-1]
+    for k in range(0, len(at), size):
+        some = at[k : k + size]
+        low = some[0] - edge
+        yield y[low : some[-1] + edge + 1], some - low
 
-def score_words(df: DataFrame, vocab: np.ndarray, weights: np.ndarray, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
-    """As ``score``, of the words themselves: a word of a group adds its log share of the group's tokens.
 
-    ``counts`` are the ``word_counts`` that the shares come from; a word that
-    isn't in them counts as seen once.
-    """
-    shares = Shares(counts, vocab, common)
-    size, known, logs = shares.tables()
+@dataclass
+class Model:
+    vocab: np.ndarray
+    weights: np.ndarray
+    shares: Shares
+
+
+CODED = "doc_id long, mark long, uid long, n_tokens long, part double, classes binary, words array<long>"
+
+
+def coded(df: DataFrame, vocab: np.ndarray, shares: Shares, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row's classes (two bytes a token), what its common grouped words add to its score, and its other grouped words."""
+    size, known, logs = shares.size, shares.word, shares.log
 
     def run(batches):
-        net, reader, uid = Network(weights), Reader(vocab), TaskContext.get().partitionId() << 40
+        reader, uid = Reader(vocab), TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in rows_by_bytes(whole, "text"):
+                m = batch.num_rows
                 key, group, row = words(batch.column("text"))
-                around, y, row = reader.around(*reader.classed(key, group, row))
-                each = np.zeros(len(y))
-                for k in range(0, len(y), BATCH):
-                    each[k : k + BATCH] = net.log_probability(around[k : k + BATCH], y[k : k + BATCH])
-                rare = y >= CLASSES - GROUPS
-                each[rare] -= size[group[rare]]
+                y = reader.classes(key, group)
+                rare, each = y >= CLASSES - GROUPS, np.zeros(len(y))
+                each[rare] = -size[group[rare]]
                 if len(known):
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                     held = rare & (known[at] == key)
                     each[held] += logs[at[held]]
                     rare &= ~held
-                m = batch.num_rows
+                n = np.bincount(row, minlength=m)
+                bounds = np.r_[0, np.cumsum(n)].astype(np.int32)
                 ends = np.r_[0, np.cumsum(np.bincount(row[rare], minlength=m))].astype(np.int32)
                 left = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[rare].astype(np.int64)))
-                columns = [batch.column("id"), pa.array(np.bincount(row, minlength=m)), pa.array(np.bincount(row, each, m)), pa.array(uid + np.arange(m)), left]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "part", "uid", "words"])
+                binary = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(bounds * 2), pa.py_buffer(y.tobytes())])
+                columns = [batch.column("id"), batch.column("mark"), pa.array(uid + np.arange(m)), pa.array(n), pa.array(np.bincount(row, each, m)), binary, left]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CODED.split(", ")])
                 uid += m
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = staged(arrow_map(rows, run, "doc_id long, n_tokens long, part double, uid long, words array<long>"), "lm-parts")
-    tail = parts.select("uid", F.explode("words").alias("word")).join(shares.rest, "word").groupBy("uid").agg(F.sum(F.log("n")).alias("more"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    return arrow_map(rows, run, CODED)
+
+
+def _classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    body, offsets = flat(column)
+    return body.view(np.uint16), np.diff(offsets) // 2
+
+
+def _trained_once(dealt: DataFrame, weights: np.ndarray, rate: float) -> np.ndarray:
+    """The average of all shards' weights, by their tokens."""
+
+    def train(batches):
+        total, tokens_ = np.zeros(len(weights)), 0
+        for table, bounds in runs(batches, ["shard"]):
+            column = table.column("classes").combine_chunks()
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                net = Network(weights)
+                y = spaced(*_classes((column if isinstance(column, pa.Array) else column.chunk(0)).slice(s, e - s)))
+                for part, at in batches_of(y):
+                    net.step(part, at, rate)
+                seen = int(np.count_nonzero(y))
+                total += net.flat * float(seen)
+                tokens_ += seen
+        if tokens_:
+            cuts = range(0, len(total), CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([total[k : k + CHUNK].tobytes() for k in cuts], pa.binary()), pa.array([tokens_] * len(cuts), pa.int64())], ["chunk", "total", "seen"])
+
+    def average(batches):
+        for table, bounds in runs(batches, ["chunk"]):
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                some = table.slice(s, e - s)
+                rows = [np.frombuffer(x, np.float64) for x in some.column("total").to_pylist()]
+                seen = int(np.sum(some.column("seen").to_numpy()))
+                yield pa.RecordBatch.from_arrays([some.column("chunk").slice(0, 1).combine_chunks(), pa.array([(np.sum(rows, 0) / seen).tobytes()], pa.binary())], ["chunk", "mean"])
+
+    told = arrow_map(dealt, train, "chunk int, total binary, seen long")
+    told = told.repartition("chunk").sortWithinPartitions("chunk")
+    with small_batches(dealt.sparkSession):
+        mean = arrow_map(told, average, "chunk int, mean binary").orderBy("chunk").collect()
+    return np.round(np.concatenate([np.frombuffer(r["mean"], np.float64) for r in mean]), 7) if mean else weights
+
+
+def trained(texts: DataFrame, total: int, rounds: int = ROUNDS, shard: int = SHARD) -> np.ndarray:
+    """Weights learnt from all tokens of the ``coded`` texts, ``total`` of them; the same for any partitioning."""
+    weights, shards = Network.start(), max(1, -(-total // shard))
+    dealt = texts.where("n_tokens > 0").select(F.pmod("mark", F.lit(shards)).alias("shard"), "mark", "classes")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "mark").select("shard", "classes")
+    for r in range(rounds):
+        weights = _trained_once(dealt, weights, RATE / (1 + r))
+    return weights
+
+
+def _scored(texts: DataFrame, weights: np.ndarray, rest: DataFrame) -> DataFrame:
+    def run(batches):
+        net = Network(weights)
+        bounded = net.bounded()
+        for whole in batches:
+            for batch in rows_by_bytes(whole, "classes"):
+                y, sizes = _classes(batch.column("classes"))
+                each = np.zeros(len(y))
+                at = 0
+                for part, places in batches_of(spaced(y, sizes)):
+                    each[at : at + len(places)] = net.log_probability(part, places, bounded)
+                    at += len(places)
+                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("n_tokens"), pa.array(total + batch.column("part").to_numpy())], ["doc_id", "uid", "n_tokens", "part"])
+
+    parts = arrow_map(texts.select("doc_id", "uid", "n_tokens", "part", "classes"), run, "doc_id long, uid long, n_tokens long, part double")
+    tail = texts.select("uid", F.explode("words").alias("word")).join(rest, "word").groupBy("uid").agg(F.sum(F.log("n")).alias("more"))
     total = F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 4)
     mean = F.when(F.col("n_tokens") > 0, F.round(F.col("log_likelihood") / F.col("n_tokens"), 6))
-    return parts.drop("words").join(tail, "uid", "left").select("doc_id", "n_tokens", total.alias("log_likelihood")).withColumn("mean_log_likelihood", mean)
+    return parts.join(tail, "uid", "left").select("doc_id", "n_tokens", total.alias("log_likelihood")).withColumn("mean_log_likelihood", mean)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, common: int = COMMON) -> tuple[Model, DataFrame]:
+    """The model of all texts of ``docs``, and the texts as the model codes them."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counts = staged(word_counts(rows), "word-counts")
+    vocab = vocabulary(counts)
+    shares = Shares(counts, vocab, common)
+    texts = staged(coded(rows, vocab, shares), "coded")
+    return Model(vocab, trained(texts, shares.tokens, rounds), shares), texts
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (the sum) and mean_log_likelihood of each row.
+
+    A text that is null or has no words has no tokens, the sum 0 and a null
+    mean. A grouped word that the model hasn't counted counts as seen once.
+    Rows that repeat are each scored, equal texts alike; texts are read whole;
+    other columns are ignored; an empty table gives no rows.
+    """
+    return _scored(staged(coded(df, model.vocab, model.shares, id_col, text_col), "coded"), model.weights, model.shares.rest)
+
+
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """As ``score``, by a model of the very same texts, which are coded once."""
+    model, texts = fit(docs, id_col, text_col, rounds)
+    return _scored(texts, model.weights, model.shares.rest)
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = staged(word_counts(docs), "word-counts")
-    return score_words(docs, *trained(docs, counts=counts), counts)
+    return score_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of an Arrow batch while a table is staged: workers hold a few copies of one.
-BATCH_BYTES = 16 << 20
+#: Bytes of an Arrow batch of jobs that run here: workers hold a few copies of one.
+BATCH_BYTES = 8 << 20
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -46,6 +48,20 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/helixframe/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside hand their Python workers Arrow batches of ``BATCH_BYTES``."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    if before is not None:
+        spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
+
+
 #: Rows to a file of a staged table whose size is known beforehand.
 FILE_ROWS = 250_000
 
@@ -60,15 +76,8 @@ def staged(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.repartition(1 + rows // FILE_ROWS)
     path = new_path(spark, what)
-    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(batch, None)
-    if before is not None:
-        spark.conf.set(batch, str(BATCH_BYTES))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,26 +88,29 @@ TRACK = 2048
 def split_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", track: int = TRACK) -> DataFrame:
     """``rows`` joined to ``table``, which has one row a key and the key's number of rows in ``size``.
 
-    Keys with over 1/track of ``total`` rows are broadcast, fewer than ``track``
-    of them whatever the input, so that their rows stay where they are; all
-    others meet by shuffle. ``how``: inner or left; nulls in keys match nothing.
+    The rows of a key with over 1/track of ``total`` are dealt over as many
+    parts as it takes to have at most so many in each, and the key's row in
+    ``table`` is copied to each part. The list of such keys, fewer than
+    ``track`` whatever the input, is broadcast, and all copies together are
+    fewer than twice as many. ``how``: inner or left; nulls in keys match
+    nothing and are spread too.
     """
-    heavy = F.col(size) > max(total / track, 1)
-    mark, names = "_heavy", [c for c in table.columns if c not in keys and c != size]
-    top = F.broadcast(table.where(heavy).select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(names)), F.lit(True).alias(mark)))
-    on = None
+    many = F.when(F.col(size) > max(total / track, 1), F.ceil(F.col(size) * track / max(total, 1)).cast("int"))
+    names = [c for c in table.columns if c not in keys and c != size]
+    heavy = F.broadcast(table.select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)), many.alias("_many")).where("_many is not null"))
+    null, same, mine = F.lit(False), F.lit(True), F.lit(True)
     for i, k in enumerate(keys):
-        same = F.col(k) == F.col(f"_h{i}")
-        on = same if on is None else on & same
-    split = rows.join(top, on, "left")
-    out = [*rows.columns, *names]
-    settled = split.where(F.col(mark)).select(*rows.columns, *(F.col(f"_v{i}").alias(c) for i, c in enumerate(names)))
-    rest = split.where(F.col(mark).isNull()).select(*rows.columns).join(table.where(~heavy).drop(size), keys, how)
-    return settled.unionByName(rest.select(*out))
+        null, same = null | F.col(k).isNull(), same & (F.col(k) == F.col(f"_h{i}"))
+        mine = mine & (F.col(k) == F.col(f"_t{i}"))
+    part = F.when(null, F.lit(track)).otherwise(F.coalesce("_many", F.lit(1)))
+    dealt = rows.join(heavy, same, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), part)).drop("_many", *(f"_h{i}" for i in range(len(keys))))
+    copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(many, F.lit(1)).cast("long") - 1)))
+    copies = copies.select(*(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)), "_copy", *names)
+    return dealt.join(copies, mine & (F.col("_part") == F.col("_copy")), how).select(*rows.columns, *names)
 
 
 def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of staged tables that no later job reads."""
+    """Delete the files of staged tables that no later job reads, and let go of finished jobs' shuffle files."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     seen = set()
@@ -109,6 +121,13 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
                 seen.add(folder)
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that nothing refers to once the driver collects garbage; do so now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows that go are broadcast up to so many, else they meet the table by shuffle.
@@ -150,7 +169,7 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def rows_by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def rows_by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``most`` bytes of ``column`` and ``rows`` rows at most; a row is never cut."""
     n = batch.num_rows
     if not n:
