@@ -7,9 +7,11 @@ has several centroids, found by spherical k-means over its labelled rows; the
 nearest centroid by cosine names the language. A text that is farther from its
 centroid than nearly all labelled rows are is rejected.
 
-The classifier is fitted on ``SAMPLE`` labelled rows of each language, those
-with the smallest hash of their id; prediction reads every whole text in one
-pass without a shuffle.
+The classifier is fitted on at most ``SAMPLE`` labelled rows of each of the
+``LANGUAGES`` commonest languages, those with the smallest hash of their id.
+Their whole texts are counted where they are; what comes to the driver is a row
+of ``CELLS`` counts for each. Prediction reads every whole text in one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import arrow_map, flat, rows_by_bytes
+from helixframe.llm.shared import arrow_map, flat, rows_by_bytes, small_batches
 
 #: Cells of the hashed n-gram vector; labelled rows and centroids of each language.
-CELLS, SAMPLE, CENTROIDS = 4096, 300, 4
-#: Labelled rows that a centroid's rejection distance may leave out, and a factor of slack on it.
-LEFT_OUT, SLACK = 0.002, 0.4
+CELLS, SAMPLE, CENTROIDS, LANGUAGES = 4096, 300, 4, 64
+#: Labelled rows that a centroid's rejection distance may leave out, a factor of slack on it, and the
+#: rows that a centroid needs for a distance of its own.
+LEFT_OUT, SLACK, OWN_ROWS = 0.002, 0.5, 20
 UNKNOWN = "und"
 
 
@@ -82,8 +85,8 @@ class Model:
     owner: np.ndarray
     least: np.ndarray
 
-    def vectors(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        c = counts(body, offsets, len(self.idf))
+    def vectors(self, c: np.ndarray) -> np.ndarray:
+        """Normalised TF-IDF vectors of rows of counts."""
         v = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * self.idf
         norm = np.sqrt((v * v).sum(1, keepdims=True))
         return v / np.where(norm > 0, norm, 1)
@@ -94,7 +97,7 @@ class Model:
         sure = has_letter(column, body, offsets)
         if not self.languages:
             return [UNKNOWN] * len(sure), np.zeros(len(sure)), np.ones(len(sure), bool)
-        cosine = self.vectors(body, offsets) @ self.centroids.T
+        cosine = self.vectors(counts(body, offsets, len(self.idf))) @ self.centroids.T
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
         rejected = ~sure | (score < self.least[best])
@@ -112,16 +115,15 @@ def has_letter(column: pa.Array, body: np.ndarray, offsets: np.ndarray) -> np.nd
     return out
 
 
-def fit(texts: list[str], langs: list[str], cells: int = CELLS, k: int = CENTROIDS) -> Model:
-    """Centroids of each language from labelled texts; ties and order are settled by position."""
+def fit(c: np.ndarray, langs: list[str], k: int = CENTROIDS) -> Model:
+    """Centroids of each language from rows of counts; ties and order are settled by position."""
+    cells = c.shape[1]
     languages = sorted(set(langs))
     if not languages:
         return Model(np.ones(cells), np.zeros((0, cells)), [], np.zeros(0, int), np.zeros(0))
-    body, offsets = flat(pa.array(texts, pa.string()))
-    c = counts(body, offsets, cells)
-    idf = np.log((1 + len(texts)) / (1 + (c > 0).sum(0))) + 0.05
+    idf = np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 0.05
     model = Model(idf, np.zeros((0, cells)), languages, np.zeros(0, int), np.zeros(0))
-    v = model.vectors(body, offsets)
+    v = model.vectors(c)
     centers, owner = [], []
     which = np.array([languages.index(x) for x in langs])
     for i in range(len(languages)):
@@ -143,11 +145,13 @@ def fit(texts: list[str], langs: list[str], cells: int = CELLS, k: int = CENTROI
     if not centers:
         return Model(idf, np.zeros((0, cells)), [], np.zeros(0, int), np.zeros(0))
     model.centroids, model.owner = np.concatenate(centers), np.array(owner)
-    # One rejection distance for all centroids: what all but a few labelled rows stay within.
-    own = np.where(model.owner[None] == which[:, None], v @ model.centroids.T, -1).max(1)
-    own = own[own > 0]
-    floor = SLACK * float(np.quantile(own, LEFT_OUT)) if len(own) else 0.0
-    model.least = np.full(len(owner), floor)
+    # A centroid's rejection distance: what all but a few of the labelled rows that are nearest to it stay within.
+    own = np.where(model.owner[None] == which[:, None], v @ model.centroids.T, -1)
+    near, best = own.argmax(1), own.max(1)
+    distance = lambda x: SLACK * float(np.quantile(x, LEFT_OUT)) if len(x) else 0.0
+    every = distance(best[best > 0])
+    mine = [best[(near == j) & (best > 0)] for j in range(len(owner))]
+    model.least = np.array([distance(x) if len(x) >= OWN_ROWS else every for x in mine])
     return model
 
 
@@ -155,19 +159,32 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
-def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most ``sample`` labelled rows of each language outside the held-out fold, by hash of the id."""
+def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, languages: int = LANGUAGES, cells: int = CELLS) -> tuple[np.ndarray, list[str]]:
+    """Counts and languages of at most ``sample`` labelled rows of each language outside the held-out fold, by hash of the id.
+
+    Rows that agree in id and text count once; other rows may share an id.
+    """
     rows = df.where(f"{lang_col} is not null and {text_col} is not null and {id_col} is not null").where(fold(id_col) != 1)
-    narrow = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = narrow.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("id").distinct()
-    got = (
-        rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-        .join(F.broadcast(picked), "id", "left_semi")
-        .toPandas()
-        .sort_values(["lang", "id", "text"])
-    )
-    return got["text"].tolist(), got["lang"].tolist()
+    rows = rows.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # A uniform number of each id lets through some four times the sample, so that no task gets all rows of a language.
+    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.drop("text").join(F.broadcast(size), "lang").where(chance <= F.greatest(4 * sample / F.col("n"), F.lit(1e-9)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "mark")
+    picked = some.select("id", "mark", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
+
+    def run(batches):
+        for whole in batches:
+            for batch in rows_by_bytes(whole, "text", rows=256):
+                c = counts(*flat(batch.column("text")), cells).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("lang", "id", "mark")), pa.array([r.tobytes() for r in c], pa.binary())], ["lang", "id", "mark", "counts"])
+
+    found = rows.join(F.broadcast(picked), ["id", "mark", "lang"], "left_semi").select("lang", "id", "mark", "text")
+    told = arrow_map(found, run, f"lang string, id {dict(rows.dtypes)['id']}, mark long, counts binary").dropDuplicates(["lang", "id", "mark"]).orderBy("lang", "id", "mark")
+    with small_batches(df.sparkSession):
+        told = told.collect()
+    c = np.array([np.frombuffer(r["counts"], np.int32) for r in told]) if told else np.zeros((0, cells), np.int64)
+    return c, [r["lang"] for r in told]
 
 
 def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -179,7 +196,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null text or one without a letter is ``und`` with score 0 and rejected;
     so is every text if there was nothing to learn from. Only the text is an
-    input. Rows that repeat are each predicted; other columns are ignored.
+    input, and it is read whole. Of centroids at the same distance the first
+    one counts, by the name of its language. Rows that repeat are each
+    predicted; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):
@@ -196,7 +215,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_known(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """``df`` without the rows that the classifier rejects; all columns stay as they are."""
+    """``df`` without the rows that the classifier rejects: null texts, texts without a letter, and those far from every centroid.
+
+    Rows with an id are not told apart by it, so repeated ids don't matter. All
+    columns stay as they are, whatever their names; with nothing to learn from,
+    every row is rejected.
+    """
     model = trained(df, id_col, text_col, lang_col)
 
     def run(batches):

@@ -6,10 +6,13 @@ and is decoded by Viterbi in numpy. It adds spans that the patterns miss
 (access keys, national phone numbers, masked e-mail addresses); a CRF span that
 touches a base span is left out, so base spans always stay as they are.
 
-Viterbi is exact but skips most tokens: if at a token the score of ``O`` leads
-every other label by more than any two transitions can give back, the best path
-has ``O`` there whatever stands around it. Text falls apart at such tokens, and
-only the short stretches between them are decoded, side by side.
+Viterbi is exact but skips most tokens. Were a token anything but ``O`` on the
+best path, making it ``O`` would win its lead in emissions and lose what two
+transitions can differ by; if the next token carries the entity on, that one
+becomes its first, at the cost of a third transition and of what it prefers. A
+token whose lead is larger than all this is ``O`` whatever stands around it.
+Text falls apart at such tokens, and only the short stretches between them are
+decoded, side by side.
 """
 
 from __future__ import annotations
@@ -90,6 +93,20 @@ key=value; a=b; foo_bar baz_qux CamelCase snake_case_name
 2020-01-31 and 31/01/2020 at 10:45:30 are dates
 0 1 2 3 4 5 6 7 8 9 10
 UPPER123 and lower456 are short ids
+the router [ip|2001:db8:85a3::8a2e:370:7334] was reached
+ping [ip|fe80::1ff:fe23:4567:890a] from the lab
+adresse [ip|2001:0db8:0000:0042:0000:8a2e:0370:7334] im netz
+at 12:45:07 and 9:30 they met, by 3:2
+Authorization: Bearer [key|eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0] was sent
+use [key|token=7b1f0c93ad5e48c2b6d0] for now
+mit [key|secret=Zk39fLq81WmX02bTvR7y] im skript
+avec [key|api_key=4f9a1c7e2b8d4056a3e1] dans le fichier
+con [key|passwd=e81b03c7f25d9a4461] en el texto
+the file [key|sk-a93kfLQ02mxPz8RtB6vYw1] was pushed
+anruf unter [phone|030-901-8200] bis acht
+appeler [phone|01-70-36-39-50] le soir
+version=2.1 and size=1024 and mode=fast are settings
+commit 4f9a1c7 fixes issue 1024 in build 20240131
 """
 
 _EMAIL_TAIL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -224,6 +241,28 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
 
 
+def slopes(data: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of the labelled sentences and its slopes by weights and transitions, from forward and backward sums."""
+    total, gw, gt, tt = 0.0, np.zeros_like(w), np.zeros_like(t), t + banned()
+    for x, y in data:
+        n, e = len(y), x @ w
+        a, b = np.empty(e.shape), np.zeros(e.shape)
+        a[0] = e[0] + start_scores()
+        for i in range(1, n):
+            a[i] = _lse(a[i - 1][:, None] + tt, 0) + e[i]
+        for i in range(n - 2, -1, -1):
+            b[i] = _lse(tt + (e[i + 1] + b[i + 1])[None], 1)
+        z = _lse(a[-1], 0)
+        gold = np.zeros(e.shape)
+        gold[np.arange(n), y] = 1
+        gw += x.T @ (gold - np.exp(a + b - z))
+        total += e[np.arange(n), y].sum() + tt[y[:-1], y[1:]].sum() - z
+        for i in range(1, n):
+            gt[y[i - 1], y[i]] += 1
+            gt -= np.exp(a[i - 1][:, None] + tt + (e[i] + b[i])[None] - z)
+    return float(total), gw, gt
+
+
 @lru_cache(1)
 def trained(rounds: int = 250, rate: float = 0.25, l2: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x labels) and transitions by AdaGrad on the exact log-likelihood.
@@ -235,27 +274,9 @@ def trained(rounds: int = 250, rate: float = 0.25, l2: float = 2e-3) -> tuple[np
     k = len(LABELS)
     w, t = np.zeros((data[0][0].shape[1], k)), np.zeros((k, k))
     gw2, gt2 = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
-    ban = banned()
     for _ in range(rounds):
-        gw, gt = -l2 * len(data) * w, -l2 * len(data) * t
-        for x, y in data:
-            n = len(y)
-            e = x @ w
-            tt = t + ban
-            a, b = np.empty((n, k)), np.zeros((n, k))
-            a[0] = e[0] + start_scores()
-            for i in range(1, n):
-                a[i] = _lse(a[i - 1][:, None] + tt, 0) + e[i]
-            for i in range(n - 2, -1, -1):
-                b[i] = _lse(tt + (e[i + 1] + b[i + 1])[None], 1)
-            z = _lse(a[-1], 0)
-            p = np.exp(a + b - z)
-            gold = np.zeros((n, k))
-            gold[np.arange(n), y] = 1
-            gw += x.T @ (gold - p)
-            for i in range(1, n):
-                gt[y[i - 1], y[i]] += 1
-                gt -= np.exp(a[i - 1][:, None] + tt + (e[i] + b[i])[None] - z)
+        _, gw, gt = slopes(data, w, t)
+        gw, gt = gw - l2 * len(data) * w, gt - l2 * len(data) * t
         gw2 += gw * gw
         gt2 += gt * gt
         w += rate * gw / np.sqrt(gw2)
@@ -277,14 +298,17 @@ def start_scores() -> np.ndarray:
     return np.array([-1e9 if x[0] == "+" else 0.0 for x in LABELS])
 
 
-def viterbi(e: np.ndarray, lengths: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Best labels of many stretches laid end to end in ``e``; each begins and ends beside an ``O``."""
+def viterbi(e: np.ndarray, lengths: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Best labels of many stretches laid end to end in ``e``.
+
+    Each begins and ends beside an ``O``, but for those that begin (``first``) or end (``last``) a text.
+    """
     k, total = e.shape[1], len(e)
     begin = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
-    begin, lengths = begin[order], lengths[order]
+    begin, lengths, first, last = begin[order], lengths[order], first[order], last[order]
     out, back = np.zeros(total, np.int64), np.zeros((total, k), np.int8)
-    score = e[begin] + t[0][None]
+    score = e[begin] + np.where(first[:, None], start_scores(), t[0])
     final = np.zeros((len(lengths), k))
     for i in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
         alive = int(np.searchsorted(-lengths, -i, "left"))
@@ -295,7 +319,7 @@ def viterbi(e: np.ndarray, lengths: np.ndarray, t: np.ndarray) -> np.ndarray:
         best = step.argmax(1)
         back[begin[:alive] + i] = best
         score = np.take_along_axis(step, best[:, None], 1)[:, 0] + e[begin[:alive] + i]
-    now = (final + t[:, 0][None]).argmax(1) if len(lengths) else np.zeros(0, np.int64)
+    now = (final + np.where(last[:, None], 0.0, t[:, 0])).argmax(1) if len(lengths) else np.zeros(0, np.int64)
     for i in range(int(lengths[0]) - 1 if len(lengths) else -1, -1, -1):
         alive = int(np.searchsorted(-lengths, -i, "left"))
         at = begin[:alive] + i
@@ -304,41 +328,64 @@ def viterbi(e: np.ndarray, lengths: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The columns of each continued kind and its continuation.
+_HEADS = [LABELS.index(x[1:]) for x in LABELS if x[0] == "+"]
+_TAILS = [i for i, x in enumerate(LABELS) if x[0] == "+"]
+
+
 class Tagger:
     def __init__(self, w: np.ndarray, t: np.ndarray):
         self.w, self.t = w.reshape(3, -1, w.shape[1]), t + banned()
-        soft = t  # what two transitions can differ by, ban aside
-        self.slack = 2 * (soft.max() - soft.min())
+        # What one transition can differ by, forbidden ones aside.
+        self.slack = t.max() - t.min()
 
     def labels(self, shape: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens that aren't ``O`` and their labels."""
+        none = np.zeros(0, np.int64)
         if not len(shape):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none
         kinds, which = np.unique(shape, return_inverse=True)
         f = features(kinds)
         own, prev, after = (f @ self.w[0]), (f @ self.w[1]), (f @ self.w[2])
         lead = lambda m: m[:, 0] - m[:, 1:].max(1)
-        # A token whose own lead beats all that neighbours can add is O for certain.
-        worst = lead(own) + min(0, lead(prev).min()) + min(0, lead(after).min())
-        unsure = np.flatnonzero((worst <= self.slack)[which])
+        pull = lambda m: (m[:, _TAILS] - m[:, _HEADS]).max(1)
+        n = len(shape)
+        ends = np.ones(n, bool)
+        ends[:-1] = row[1:] != row[:-1]
+        # First by bounds over all that neighbours can add, then by the emissions themselves.
+        low = lead(own) + min(0, lead(prev).min()) + min(0, lead(after).min())
+        high = pull(own) + max(0, pull(prev).max()) + max(0, pull(after).max())
+        unsure = np.flatnonzero(self._open(low[which], np.r_[high[which[1:]], 0], ends))
         if not len(unsure):
-            return unsure, unsure
-        e = own[which[unsure]]
-        before = (unsure > 0) & (row[unsure - 1] == row[unsure])
-        e[before] += prev[which[unsure[before] - 1]]
-        behind = unsure < len(shape) - 1
-        behind[behind] = row[unsure[behind] + 1] == row[unsure[behind]]
-        e[behind] += after[which[unsure[behind] + 1]]
-        keep = lead(e) <= self.slack
+            return none, none
+
+        def emissions(at):
+            e = own[which[at]]
+            before = (at > 0) & ~ends[at - 1]
+            e[before] += prev[which[at[before] - 1]]
+            behind = ~ends[at]
+            e[behind] += after[which[at[behind] + 1]]
+            return e
+
+        e = emissions(unsure)
+        keep = self._open(lead(e), pull(emissions(np.minimum(unsure + 1, n - 1))), ends[unsure])
         unsure, e = unsure[keep], e[keep]
         if not len(unsure):
-            return unsure, unsure
-        new = np.r_[True, (unsure[1:] != unsure[:-1] + 1) | (row[unsure[1:]] != row[unsure[:-1]])]
-        lengths = np.diff(np.r_[np.flatnonzero(new), len(unsure)])
-        y = viterbi(e, lengths, self.t)
+            return none, none
+        new = np.r_[True, (unsure[1:] != unsure[:-1] + 1) | ends[unsure[:-1]]]
+        head = np.flatnonzero(new)
+        lengths = np.diff(np.r_[head, len(unsure)])
+        begin = unsure[head]
+        y = viterbi(e, lengths, self.t, (begin == 0) | ends[begin - 1], ends[begin + lengths - 1])
         return unsure[y > 0], y[y > 0]
 
+    def _open(self, lead: np.ndarray, pull: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether a token may be other than ``O``: pull is what the next one prefers to carry on rather than begin."""
+        return lead <= np.where(last, 2 * self.slack, np.maximum(2 * self.slack, 3 * self.slack + pull))
+
 
+#: Digits that a span of the CRF has at least, by kind.
+LEAST_DIGITS = {"email": 0, "ip": 4, "card": 7, "phone": 7, "key": 1}
 _TRIM = b".,;:!?)('\"*$#%&|"
 
 
@@ -365,7 +412,8 @@ def crf_spans(tagger: Tagger, body: np.ndarray, offsets: np.ndarray) -> dict[int
                 b -= 1
             while a < b and raw[a] in b".,;:!?'\"*$#%&|":
                 a += 1
-            if b - a >= 7 and sum(c in b"0123456789" for c in raw[a:b]) >= (0 if kind == "email" else 4 if kind in ("ip",) else 7 if kind in ("card", "phone") else 1):
+            digits = sum(c in b"0123456789" for c in raw[a:b])
+            if b - a >= 7 and digits >= LEAST_DIGITS[kind] and (kind != "ip" or b":" in raw[a:b] or b"." in raw[a:b]):
                 trimmed.append((kind, a, b))
         out[r] = trimmed
     return out
@@ -410,8 +458,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """Counts and spans per row of ``df``, by code points, end exclusive.
 
     Null and empty texts have no spans; rows that repeat are each reported;
-    other columns are ignored. The text is read whole, in one pass without a
-    shuffle.
+    other columns are ignored; an empty table gives no rows. The text is read
+    whole, however long, in one pass without a shuffle.
     """
     w, t = trained()
     none = hashlib.sha256(b"").hexdigest()
@@ -438,7 +486,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with each span of personal data replaced by its kind in brackets; all columns stay."""
+    """``df`` with each span of personal data replaced by its kind in brackets.
+
+    All rows and columns stay, whatever their names; a null text stays null.
+    """
     w, t = trained()
     schema = df.schema
 

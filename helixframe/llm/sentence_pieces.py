@@ -108,13 +108,27 @@ def merges(model: Model) -> list[tuple[str, str]]:
     return [x[3:] for x in out]
 
 
+def _lattice(model: Model) -> list[tuple[str, float]]:
+    """Pieces and scores of a unigram model; what no text may match is renamed, or worth less than any way round it."""
+    out = []
+    for i, (piece, score, kind) in enumerate(zip(model.pieces, model.scores, model.kinds, strict=True)):
+        if kind in (CONTROL, UNK, UNUSED):
+            piece, score = f"\U0010fffd{i}\U0010fffd", 0.0
+        elif kind == BYTE:  # the library finds these by their name, so that stays
+            score = -1e6
+        out.append((piece, score))
+    return out
+
+
 def build(model: Model) -> tuple[Tokenizer, Tokenizer]:
     """(tokenizer of whole texts, tokenizer of units that are already normalised)."""
     if model.suffix_marker or not model.escape:
         raise ValueError("models with a trailing marker or unescaped blanks aren't supported")
+    if USER in model.kinds:
+        raise ValueError("models with user-defined pieces aren't supported")
     if model.model_type == 1:
         def core():
-            return models.Unigram(list(zip(model.pieces, model.scores, strict=True)), model.unk, model.byte_fallback)
+            return models.Unigram(_lattice(model), model.unk, model.byte_fallback)
     elif model.model_type == 2:
         vocab, pairs = {p: i for i, p in enumerate(model.pieces)}, merges(model)
 
@@ -242,7 +256,9 @@ class Codec:
         return np.fromiter((x for y in parts for x in y), np.uint32, int(sizes.sum())), np.r_[0, np.cumsum(sizes)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of id lists, by the library's decoder."""
+        """Texts of id lists, by the library's decoder. Without byte fallback, unknown pieces stand for no text: they are refused."""
+        if not self.model.byte_fallback and any(self.model.unk in x for x in ids):
+            raise ValueError("ids with unknown pieces have no text")
         return self.whole.decode_batch(ids, skip_special_tokens=True)
 
 
@@ -252,8 +268,9 @@ REPORT = "doc_id long, n_tokens long, n_bytes_fallen_back long, ids_crc32 long,
 def encode_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, threads: int = 2) -> DataFrame:
     """Token counts, a checksum of the ids and whether they decode to the very text, for each row.
 
-    Null and empty texts have no ids. Rows that repeat are each encoded; other
-    columns are ignored. One pass, no shuffle.
+    Null and empty texts have no ids. Rows that repeat are each encoded; texts
+    are read whole; other columns are ignored; an empty table gives no rows.
+    One pass, no shuffle.
     """
     path = path or public_path("piece_bpe_32k.model")
 
@@ -279,8 +296,10 @@ def encode_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: str | None = None, threads: int = 2) -> DataFrame:
-    """``df`` with the ids of a text column; null stays null."""
-    path = path or public_path("piece_bpe_32k.model")
+    """``df`` with the ids of a text column; null stays null. A column that is named ``out_col`` already is replaced."""
+    if out_col == text_col:
+        raise ValueError("ids and texts need columns of their own")
+    df, path = df.drop(out_col), path or public_path("piece_bpe_32k.model")
 
     def run(batches):
         codec = Codec(path, threads)
@@ -294,8 +313,10 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None, threads: int = 2) -> DataFrame:
-    """``df`` with the texts of an id column; null stays null."""
-    path = path or public_path("piece_bpe_32k.model")
+    """``df`` with the texts of an id column; null stays null. A column that is named ``out_col`` already is replaced."""
+    if out_col == ids_col:
+        raise ValueError("ids and texts need columns of their own")
+    df, path = df.drop(out_col), path or public_path("piece_bpe_32k.model")
 
     def run(batches):
         codec = Codec(path, threads)

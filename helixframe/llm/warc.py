@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import arrow_map, new_path, staged
+from helixframe.llm.shared import GONE_ROWS, arrow_map, new_path, rows_by_bytes, split_join, staged
 
 #: Payloads under this many bytes are never revisits.
 SMALLEST = 100
@@ -73,17 +73,17 @@ class WarcError(ValueError):
     """A record that doesn't hold what it says."""
 
 
-def members(stream: BinaryIO, chunk: int = 1 << 16) -> Iterator[bytes]:
-    """The content of each gzip member, read in order; a cut-off member is an error."""
+def members(stream: BinaryIO, chunk: int = 1 << 16) -> Iterator[tuple[bytes, bool]]:
+    """The content of the gzip members in pieces of ``chunk`` bytes at most, with whether a member ends; a cut-off one is an error."""
     rest = stream.read(chunk)
     while rest:
-        unpack, parts = zlib.decompressobj(31), []
+        unpack = zlib.decompressobj(31)
         while not unpack.eof:
             if not rest:
                 raise WarcError("the archive ends within a record")
-            parts.append(unpack.decompress(rest))
-            rest = unpack.unused_data if unpack.eof else stream.read(chunk)
-        yield b"".join(parts)
+            part = unpack.decompress(rest, chunk)
+            rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail or stream.read(chunk)
+            yield part, unpack.eof
         rest = rest or stream.read(chunk)
 
 
@@ -100,25 +100,67 @@ def parse_head(raw: bytes, at: int = 0) -> tuple[str, dict[str, str], int]:
     return lines[0], fields, end + 4
 
 
-def read_record(raw: bytes) -> tuple[int | None, int, str, str, int | None, bytes]:
-    """(page, payload bytes, digest, type, page referred to, payload as stored) after all checks."""
-    version, fields, at = parse_head(raw)
-    if not version.startswith("WARC/1."):
-        raise WarcError(f"not a record: {version[:40]!r}")
-    length = int(fields["content-length"])
-    if raw[at + length :] != b"\r\n\r\n":
-        raise WarcError("Content-Length does not frame the block")
-    block = raw[at : at + length]
-    _, http, begin = parse_head(block)
-    payload, size = block[begin:], int(http["content-length"])
-    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    kind = fields["warc-type"]
-    refers = None
-    if kind == "revisit":
-        refers = page_of(fields["warc-refers-to"])
-    elif len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
-        raise WarcError("the payload is not the one that was digested")
-    return page_of(fields["warc-record-id"]), size, digest, kind, refers, payload
+class Framer:
+    """Checks one record as its bytes arrive; holds its heads, never its payload."""
+
+    #: A head beyond this many bytes is an error.
+    LONGEST = 1 << 20
+
+    def __init__(self):
+        self.held, self.fields, self.http = b"", None, None
+        self.left = self.seen = 0
+        self.hash = hashlib.sha256()
+
+    def _head(self) -> tuple[str, dict[str, str]] | None:
+        if b"\r\n\r\n" not in self.held:
+            if len(self.held) > self.LONGEST:
+                raise WarcError("a head without an end")
+            return None
+        first, fields, at = parse_head(self.held)
+        self.held = self.held[at:]
+        return first, fields
+
+    def feed(self, data: bytes) -> bytes:
+        """Takes bytes; returns those of the payload among them."""
+        self.held += data
+        if self.fields is None:
+            if (got := self._head()) is None:
+                return b""
+            if not got[0].startswith("WARC/1."):
+                raise WarcError(f"not a record: {got[0][:40]!r}")
+            self.fields, self.left = got[1], int(got[1]["content-length"])
+        if self.http is None:
+            before = len(self.held)
+            if (got := self._head()) is None:
+                return b""
+            self.http, self.left = got[1], self.left - (before - len(self.held))
+        part, self.held = self.held[: max(self.left, 0)], self.held[max(self.left, 0) :]
+        self.left -= len(part)
+        self.seen += len(part)
+        self.hash.update(part)
+        return part
+
+    def done(self) -> tuple[int | None, int, str, str, int | None]:
+        """(page, payload bytes, digest, type, page referred to) after all checks."""
+        if self.http is None or self.left != 0 or self.held != b"\r\n\r\n":
+            raise WarcError("Content-Length does not frame the block")
+        size, kind = int(self.http["content-length"]), self.fields["warc-type"]
+        digest = self.fields["warc-payload-digest"].removeprefix("sha256:")
+        refers = page_of(self.fields["warc-refers-to"]) if kind == "revisit" else None
+        if kind != "revisit" and (self.seen != size or self.hash.hexdigest() != digest):
+            raise WarcError("the payload is not the one that was digested")
+        return page_of(self.fields["warc-record-id"]), size, digest, kind, refers
+
+
+def records(stream: BinaryIO) -> Iterator[tuple[int | None, int, str, str, int | None]]:
+    """Every record of an archive, verified, one gzip member after the other."""
+    framer = None
+    for part, last in members(stream):
+        framer = framer or Framer()
+        framer.feed(part)
+        if last:
+            yield framer.done()
+            framer = None
 
 
 def _files(uri: str):
@@ -128,14 +170,19 @@ def _files(uri: str):
 
 
 def with_references(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """id, url, html, digest, size and the page referred to, if any."""
-    body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
+    """id, url, html and the page referred to, if any."""
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    narrow = pages.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).alias("size"))
-    large = staged(narrow.where(F.col("size") >= SMALLEST).select("id", "digest"), "page-digests")
-    first = large.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = large.join(first, "digest").where("id > first").select(F.col("id").alias("again"), "first").distinct()
-    return source.join(again, source["id"] == again["again"], "left").select("id", "url", "html", F.col("first").alias("refers_to"))
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    mark = F.xxhash64(body)
+    total = pages.count()
+    large = source.where(F.octet_length(body) >= SMALLEST).select("id", mark.alias("mark"), F.unhex(F.sha2(body, 256)).alias("digest"))
+    large = staged(large, "page-digests", total)
+    first = staged(large.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-pages", total)
+    again = split_join(large, first, ["digest"], "n", total).where("id > first").select(F.col("id").alias("again"), F.col("mark").alias("again_mark"), "first").distinct()
+    again = staged(again, "revisits", total)
+    few = again.count() <= GONE_ROWS
+    same = (source["id"] == F.col("again")) & (mark == F.col("again_mark"))
+    return source.join(F.broadcast(again) if few else again, same, "left").select("id", "url", "html", F.col("first").alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -143,8 +190,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     A null page is an empty payload. A page without an id is written as a
     response and read back without one. Rows that repeat an id are written
-    each; the id that others refer to is always a response. Other columns are
-    ignored; an empty table makes no archive.
+    each, as what their own payload makes them; the id that others refer to is
+    always a response. Pages are written whole, a few at a time however large.
+    Other columns are ignored; an empty table makes no archive.
     """
 
     def run(batches):
@@ -153,7 +201,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         files.create_dir(root, recursive=True)
         out, name, done = None, "", []
         count = size = roll = 0
-        for batch in batches:
+        some = (part for batch in batches for part in rows_by_bytes(batch, "html"))
+        for batch in some:
             for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{roll}.warc.gz"
@@ -173,7 +222,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             ["path", "records", "bytes"],
         )
 
-    return staged(arrow_map(with_references(pages, id_col, url_col, html_col), run, "path string, records long, bytes long"), "manifest")
+    return staged(arrow_map(with_references(pages, id_col, url_col, html_col), run, "path string, records long, bytes long"), "manifest", 0)
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -185,8 +234,8 @@ def read(archives: DataFrame) -> DataFrame:
                 files, name = _files(path)
                 with files.open_input_stream(name, compression=None) as stream:
                     rows = []
-                    for raw in members(stream):
-                        rows.append(read_record(raw)[:5])
+                    for record in records(stream):
+                        rows.append(record)
                         if len(rows) == 4096:
                             yield _rows(rows)
                             rows = []
