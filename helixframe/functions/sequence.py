@@ -244,3 +244,9 @@ def prefix_tokens(label: Column | str, seq: Column | str, offset: int = 7) -> Co
     """Label digits, then base codes, both moved by ``offset`` into the model's token space."""
     digits = F.transform(F.split(_c(label), ""), lambda t: t.cast("int") + offset)
     return F.concat(digits, F.transform(tokens(seq), lambda t: t + offset))
+
+
+def logit_mask(vocabulary: int, offset: int = 7, allowed: str = BASES) -> Column:
+    """0 for the tokens of ``allowed`` bases in a model's token space, minus infinity for all others."""
+    codes = [BASES.index(b) + offset for b in allowed]
+    return F.transform(F.sequence(F.lit(0), F.lit(vocabulary - 1)), lambda i: F.when(i.isin(codes), 0.0).otherwise(float("-inf")))

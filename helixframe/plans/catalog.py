@@ -14,7 +14,7 @@ from helixframe.functions import rng
 from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut
 from helixframe.operators import archives, profiles, proposals, ranking, relational, resample
-from helixframe.sources.sequences import from_documents
+from helixframe.sources.sequences import from_documents, seed_pool
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -127,6 +127,27 @@ def plausibility_score(spark, sf):
     return seqs(spark, sf).select("pid", r6(fit.plausibility("seq")).alias("plausibility"))
 
 
+@query(f"""WITH {_TILES}, {_COUNTS}, {_METRICS}, x AS (SELECT pid, unnest(list_transform(range(1, 199), lambda j: substr(seq, j, 3))) AS kmer FROM s), p AS (SELECT dim.kmer, coalesce(n, 0) / (SELECT count(*) FROM x) AS y
+  FROM (SELECT a || b || c AS kmer FROM (VALUES ('A'),('C'),('G'),('T')) x(a), (VALUES ('A'),('C'),('G'),('T')) y(b), (VALUES ('A'),('C'),('G'),('T')) z(c)) dim LEFT JOIN (SELECT kmer, count(*) AS n FROM x GROUP BY 1) USING (kmer)),
+o AS (SELECT pid, kmer, count(*) AS n FROM x GROUP BY 1, 2), st AS (SELECT avg(y) AS my, sum((y - (SELECT avg(y) FROM p)) * (y - (SELECT avg(y) FROM p))) AS syy FROM p),
+t AS (SELECT pid, sum(n * y) - 198 * max(my) AS sxy, sum(n * n) - 198 * 198 / 64 AS sxx, max(syy) AS syy FROM o JOIN p USING (kmer), st GROUP BY 1)
+SELECT pid, round((exp(-0.5 * pow((gc - 0.52) / 0.08, 2)) + 1 / (1 + exp(-20 * (entropy - 1.9))) + exp(-0.5 * pow((cpg - 0.036) / 0.03, 2)) + (exp(-0.5 * pow(asym_at / 0.1, 2)) + exp(-0.5 * pow(asym_gc / 0.1, 2))) / 2
+  + CASE WHEN homopolymer <= 6 THEN 1.0 WHEN homopolymer <= 12 THEN 1.0 - (homopolymer - 6) / 12.0 ELSE 0.0 END + 1 / (1 + exp(-((sxy / sqrt(sxx * syy) - 0.51) / 0.14)))) / 6, 5) AS plausibility FROM m JOIN t USING (pid)""")
+def plausibility_by_profile(spark, sf):
+    rows = seqs(spark, sf).select("pid", "seq")
+    z = profiles.correlation_with(rows, profiles.pool_profile(rows)).select("pid", "z")
+    return rows.join(z, "pid").select("pid", F.round(fit.plausibility("seq", F.col("z")), 5).alias("plausibility"))
+
+
+@query(TILES + """, g AS (SELECT pid, seq, (length(replace(replace(seq, 'C', '__'), 'G', '__')) - 200) / 200 AS gc FROM s), r AS (SELECT 'natural' AS kind, pid, seq FROM g WHERE gc BETWEEN 0.45 AND 0.55 ORDER BY md5('5:' || pid), pid LIMIT 300),
+b AS (SELECT 'best' AS kind, pid, seq FROM g WHERE gc BETWEEN 0.45 AND 0.55 ORDER BY length(replace(seq, 'GA', '')), pid LIMIT 300)
+SELECT * FROM r UNION ALL SELECT * FROM b""")
+def seed_pools(spark, sf):
+    rows = seqs(spark, sf).select("pid", "seq", (-F.length(F.replace("seq", F.lit("GA"), F.lit("")))).alias("v"))
+    a = seed_pool("natural", rows, n=300, seed=5).select(F.lit("natural").alias("kind"), "pid", "seq")
+    return a.unionByName(seed_pool("best", rows, "v", n=300).select(F.lit("best").alias("kind"), "pid", "seq"))
+
+
 # -------------------------------------------------------------------- fitness
 
 _FIT = {

@@ -66,6 +66,19 @@ def dense_profile(counts: DataFrame, k: int = 3) -> DataFrame:
     return dimension(counts.sparkSession, k).join(counts, "kmer", "left").na.fill(0)
 
 
+def seed_pool(kind: str, natural: DataFrame | None = None, score: str | None = None, n: int = 1000, length: int = LENGTH, low: float = 0.45, high: float = 0.55, seed: int = 0, spark: SparkSession | None = None) -> DataFrame:
+    """A pool of n seeds: ``random`` sequences, or of the ``natural`` ones (pid, seq) with GC in the band a draw by hash, or the ``best`` by score."""
+    from helixframe.functions import rng
+    from helixframe.functions.sequence import gc
+    from helixframe.operators import resample
+
+    if kind == "random":
+        return resample.uniform_source(spark or natural.sparkSession, n, length, seed, "pool").select(F.col("slot").alias("pid"), "seq")
+    rows = natural.where(gc("seq").between(low, high))
+    order = [F.desc(score), F.asc("pid")] if kind == "best" else [rng.order_key(seed, "pid"), F.col("pid")]
+    return rows.orderBy(*order).limit(n)
+
+
 def from_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Sequences of whole texts: letters become bases in turn, and every full tile of ``length`` is a row.
 

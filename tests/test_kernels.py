@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import sequence as S
 from helixframe.operators import archives, profiles, proposals, ranking, relational, resample
 from helixframe.plans import anneal
-from helixframe.sources import sinks
+from helixframe.sources import sequences, sinks
 
 
 def _u(seed, stream, *keys):
@@ -238,3 +238,10 @@ def test_populations_columns_and_reports(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{run}/archive").select("seq", "score", "step").orderBy(F.desc("score")).collect()] == [("A", 0.9, 1), ("C", 0.6, 2)]
     best = archives.best_snapshot(steps, "score")
     assert {r["step"] for r in best.collect()} == {2}
+
+
+def test_logit_mask_and_random_pool(spark):
+    mask = spark.range(1).select(S.logit_mask(13, 7, "CT").alias("m")).first()["m"]
+    assert [i for i, x in enumerate(mask) if x == 0.0] == [8, 10] and mask[7] == float("-inf")
+    pool = sequences.seed_pool("random", n=20, length=30, seed=2, spark=spark)
+    assert pool.count() == 20 and pool.where("length(seq) <> 30").isEmpty()
