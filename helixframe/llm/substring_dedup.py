@@ -17,10 +17,14 @@ document with a smaller id.
    strings stand end to end in a text whose suffix array is built by linear
    grouping; neighbours in it that share ``width`` bytes are equal windows, and
    their smallest id goes to each.
-5. A group with very many distinct strings is not put into one task: its
-   windows are aggregated by content over the cluster instead.
+5. A group with very many distinct strings is cut before it comes to one task:
+   the hashes of its windows are counted over the cluster, and only the
+   stretches between shared ones go on. Strings that differ outside such a
+   stretch become one, so what reaches the suffix array is as small as the
+   group's shared text.
 6. Each string's result joins its occurrences; windows whose smallest id is
-   smaller than their document's give the removed intervals.
+   smaller than their document's give the removed intervals. Strings, windows
+   and texts that very many places share are joined where the places are.
 """
 
 from __future__ import annotations
@@ -34,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import within
-from helixframe.llm.shared import Rolling, arrow_map, flat, mix, rows_by_bytes, runs, segments, staged
+from helixframe.llm.shared import Rolling, arrow_map, drop_staged, flat, mix, rows_by_bytes, runs, segments, split_join, staged
 from helixframe.llm.suffix_array import suffix_array
 
 WIDTH, MER = 50, 20
 #: Windows to a string; a longer run of one minimizer is cut.
 STRETCH = 40
-#: Distinct strings of a group beyond which its windows are aggregated instead.
+#: Distinct strings of a group beyond which they are cut over the cluster.
 LARGE = 4096
 #: Sides are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 4_000_000
@@ -80,24 +84,22 @@ def stretches(body: np.ndarray, offsets: np.ndarray, width: int, mer: int) -> tu
 
 def _strings(body: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
     ends = np.r_[0, np.cumsum(length)].astype(np.int32)
-    data = body[np.repeat(begin, length) + within(length)]
+    # The places of all bytes at once: a count, moved by where each string begins.
+    place = np.repeat((begin - ends[:-1]).astype(np.int32), length)
+    place += np.arange(ends[-1], dtype=np.int32)
+    data = body[place]
     return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 def _minimizers(docs: DataFrame, width: int, mer: int) -> DataFrame:
-    """Distinct (m, id) of each document."""
+    """(m, id) of each string of windows."""
 
     def run(batches):
         for whole in batches:
-            for batch in rows_by_bytes(whole, "text", 2 << 20):
+            for batch in rows_by_bytes(whole, "text"):
                 body, offsets = flat(batch.column("text"))
                 m, row, _, _ = stretches(body, offsets, width, mer)
-                order = np.lexsort((m, row))
-                m, row = m[order], row[order]
-                new = np.ones(len(m), bool)
-                new[1:] = (m[1:] != m[:-1]) | (row[1:] != row[:-1])
-                ids = batch.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(m[new]), pa.array(ids[row[new]])], ["m", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(batch.column("id").to_numpy()[row])], ["m", "id"])
 
     return arrow_map(docs.select("id", "text"), run, "m long, id long")
 
@@ -105,7 +107,7 @@ def _minimizers(docs: DataFrame, width: int, mer: int) -> DataFrame:
 def _occurrences(docs: DataFrame, width: int, mer: int) -> DataFrame:
     def run(batches):
         for whole in batches:
-            for batch in rows_by_bytes(whole, "text", 2 << 20):
+            for batch in rows_by_bytes(whole, "text"):
                 body, offsets = flat(batch.column("text"))
                 m, row, start, size = stretches(body, offsets, width, mer)
                 ids, f = batch.column("id").to_numpy(), batch.column("f").to_numpy()
@@ -123,7 +125,7 @@ def _thin(docs: DataFrame, width: int, mer: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in rows_by_bytes(whole, "text", 2 << 20):
+            for batch in rows_by_bytes(whole, "text"):
                 m, row, start, size = stretches(*flat(batch.column("text")), width, mer)
                 ids, f = batch.column("id").to_numpy(), batch.column("f").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids[row]), pa.array(f[row]), pa.array(start), pa.array(size)], ["m", "id", "f", "start", "size"])
@@ -149,28 +151,25 @@ def _shared_occurrences(docs: DataFrame, shared: DataFrame, width: int, mer: int
 
 def lowest_ids(pieces: list[bytes], ids: np.ndarray, width: int) -> list[np.ndarray]:
     """For each window of each string, the smallest id of any string that holds the window's bytes."""
-    out = [np.full(len(p) - width + 1, i, np.int64) for p, i in zip(pieces, ids.tolist(), strict=True)]
+    sizes = np.array([len(p) for p in pieces])
     if len(pieces) < 2:
-        return out
+        return [np.full(n - width + 1, i, np.int64) for n, i in zip(sizes.tolist(), ids.tolist(), strict=True)]
     # A zero ends each string; bytes move up by one, the highest two (never in UTF-8) being one.
     text = b"\0".join(p.translate(_UP) for p in pieces) + b"\0"
-    owner = np.repeat(np.arange(len(pieces)), [len(p) + 1 for p in pieces])
-    begin = np.r_[0, np.cumsum([len(p) + 1 for p in pieces])]
+    begin = np.r_[0, np.cumsum(sizes + 1)]
+    owner = np.repeat(np.arange(len(pieces)), sizes + 1)
     order = np.array(suffix_array(text))
-    where = order - begin[owner[order]]
-    whole = where <= np.array([len(p) for p in pieces])[owner[order]] - width
-    order, where = order[whole].tolist(), where[whole]
-    who = owner[np.array(order, np.int64)]
-    last, same = None, [False] * len(order)
-    for k, s in enumerate(order):
-        w = text[s : s + width]
-        same[k] = w == last
-        last = w
-    heads = np.flatnonzero(~np.array(same))
-    low = np.minimum.reduceat(ids[who], heads)
-    for k, v in zip(range(len(order)), np.repeat(low, np.diff(np.r_[heads, len(order)])).tolist(), strict=True):
-        out[who[k]][where[k]] = v
-    return out
+    order = order[order - begin[owner[order]] <= sizes[owner[order]] - width]
+    # Neighbours in the order are equal windows if their bytes are.
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), width)
+    new = np.ones(len(order), bool)
+    for k in range(1, len(order), 1 << 14):
+        to = min(k + (1 << 14), len(order))
+        new[k:to] = (windows[order[k:to]] != windows[order[k - 1 : to - 1]]).any(1)
+    heads = np.flatnonzero(new)
+    low = np.zeros(len(text), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(ids[owner[order]], heads), np.diff(np.r_[heads, len(order)]))
+    return [low[b : b + n - width + 1] for b, n in zip(begin.tolist(), sizes.tolist(), strict=False)]
 
 
 _UP = bytes(min(i + 1, 255) for i in range(256))
@@ -219,20 +218,43 @@ def _by_suffix_array(strings: DataFrame, width: int) -> DataFrame:
                 for i, p in zip(g.tolist(), parts, strict=True):
                     lows[ends[i] + first[i] : ends[i] + last[i] + 1] = found[p]
             yield pa.RecordBatch.from_arrays(
-                [table.column("m").combine_chunks(), table.column("h").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lows))],
-                ["m", "h", "lows"],
+                [*(table.column(c).combine_chunks() for c in ("m", "h", "n")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lows))],
+                ["m", "h", "n", "lows"],
             )
 
-    dealt = strings.select("m", "h", "piece", "low_id").repartition("m").sortWithinPartitions("m")
-    return arrow_map(dealt, run, "m long, h long, lows array<long>")
+    dealt = strings.select("m", "h", "n", "piece", "low_id").repartition("m").sortWithinPartitions("m")
+    return arrow_map(dealt, run, "m long, h long, n long, lows array<long>")
 
 
-def _by_windows(strings: DataFrame, width: int) -> DataFrame:
-    """The same for groups that are too large: windows aggregated by content."""
-    each = strings.select("m", "h", "low_id", F.posexplode(F.expr(f"transform(sequence(1, length(piece) - {width - 1}), i -> substring(piece, i, {width}))")).alias("k", "w"))
-    low = each.groupBy("m", "w").agg(F.min("low_id").alias("low"))
-    back = each.select("m", "h", "k", "w").join(low, ["m", "w"])
-    return back.groupBy("m", "h").agg(F.expr("transform(array_sort(collect_list(struct(k, low))), x -> x.low)").alias("lows"))
+def _lows_of_large(strings: DataFrame, width: int) -> DataFrame:
+    """The same for large groups, whose strings are first cut to their shared stretches over the cluster."""
+
+    def hashed(batches):
+        for whole in batches:
+            for batch in rows_by_bytes(whole, "piece", 1 << 20):
+                body, offsets = flat(batch.column("piece"))
+                size = np.diff(offsets) - width + 1
+                row, pos = np.repeat(np.arange(len(size)), size), within(size)
+                at = offsets[:-1][row] + pos
+                w = Rolling(Rolling.LUT[body]).of(at, at + width).astype(np.int64)
+                m, h = (batch.column(c).to_numpy()[row] for c in ("m", "h"))
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(w), pa.array(pos.astype(np.int32))], ["m", "h", "w", "k"])
+
+    each = staged(arrow_map(strings.select("m", "h", "piece"), hashed, "m long, h long, w long, k int"), "window-hashes")
+    twice = staged(each.groupBy("m", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-windows")
+    shared = split_join(each, twice, ["m", "w"], "n", each.count())
+    ranges = shared.groupBy("m", "h").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    cut = strings.join(ranges, ["m", "h"], "left").withColumn("all", F.length("piece") - (width - 1))
+    # A string without a shared window keeps its own id throughout.
+    part = F.expr(f"case when first is not null then substring(piece, first + 1, last - first + {width}) end")
+    cut = staged(cut.select("m", "h", F.col("n").alias("rows"), "low_id", "all", "first", "last", part.alias("part")).withColumn("g", F.xxhash64("part")), "cut-strings")
+    parts = cut.where("part is not null").groupBy("m", F.col("g").alias("h")).agg(F.first("part").alias("piece"), F.min("low_id").alias("low_id"), F.count(F.lit(1)).alias("n"))
+    parts = staged(parts, "parts")
+    lows = staged(_by_suffix_array(parts, width).withColumnRenamed("h", "g"), "part-lows")
+    told = split_join(cut, lows, ["m", "g"], "n", cut.count(), "left")
+    own = lambda n: F.array_repeat("low_id", n.cast("int"))
+    whole = F.when(F.col("lows").isNull(), own(F.col("all"))).otherwise(F.concat(own(F.col("first")), "lows", own(F.col("all") - F.col("last") - 1)))
+    return told.select("m", "h", F.col("rows").alias("n"), whole.alias("lows"))
 
 
 def _intervals(joined: DataFrame, width: int) -> DataFrame:
@@ -281,29 +303,38 @@ REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def marked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, mer: int = MER, large: int = LARGE, most: int = BROADCAST_ROWS) -> DataFrame:
     """id, text and the intervals to remove (``marks``, and ``whole`` for later copies) of each row."""
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    docs = docs.withColumn("digest", digest).withColumn("f", F.xxhash64("digest"))
-    narrow = staged(docs.select("id", "digest"), "digests")
-    groups = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    copies = staged(narrow.join(groups, "digest").where("id > first").select(F.col("id").alias("cid"), F.col("digest").alias("cd")).distinct(), "copies")
+    bytes_ = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    # Two hashes of a text stand for it: f wherever a row is matched by its id too.
+    docs = docs.withColumns({"f": F.xxhash64(bytes_), "g": F.xxhash64(F.lit(1), bytes_)})
+    rows = df.count()
+    narrow = staged(docs.select("id", "f", "g"), "digests", rows)
+    groups = narrow.groupBy("f", "g").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = split_join(narrow, staged(groups, "equal-texts", rows), ["f", "g"], "n", rows)
+    copies = staged(copies.where("id > first").select(F.col("id").alias("cid"), F.col("f").alias("cf")).distinct(), "copies", rows)
     few = copies.count() <= BROADCAST_MARKS
-    on = (F.col("id") == F.col("cid")) & (F.col("digest") == F.col("cd"))
+    on = (F.col("id") == F.col("cid")) & (F.col("f") == F.col("cf"))
     hint = F.broadcast(copies) if few else copies
-    firsts = docs.where("id is not null").join(hint, on, "left_anti")
+    firsts = docs.where("id is not null").select("id", "f", "text").join(hint, on, "left_anti")
     shared = staged(_minimizers(firsts, width, mer).groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("m"), "shared")
     places = staged(_shared_occurrences(firsts, shared, width, mer, most), "occurrences")
-    strings = staged(places.groupBy("m", "h").agg(F.min("id").alias("low_id"), F.first("piece").alias("piece")), "strings")
-    big = staged(strings.groupBy("m").count().where(F.col("count") > large).select("m"), "large-groups")
+    strings = places.groupBy("m", "h").agg(F.min("id").alias("low_id"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("n"))
+    strings = staged(strings, "strings")
+    places = places.drop("piece")
+    big = staged(strings.groupBy("m").count().where(F.col("count") > large).select("m"), "large-groups", strings.count() // large)
+    few_big = big.count() <= BROADCAST_MARKS
+    side = F.broadcast(big) if few_big else big
     if big.isEmpty():
         lows = _by_suffix_array(strings, width)
     else:
-        lows = _by_suffix_array(strings.join(big, "m", "left_anti"), width).unionByName(_by_windows(strings.join(big, "m", "left_semi"), width))
+        lows = _by_suffix_array(strings.join(side, "m", "left_anti"), width).unionByName(_lows_of_large(strings.join(side, "m", "left_semi"), width))
     lows = staged(lows, "lows")
-    marks = _intervals(places.drop("piece").join(lows, ["m", "h"]), width)
-    marks = staged(marks.groupBy(F.col("id").alias("mid"), F.col("f").alias("mf")).agg(F.collect_list(F.struct("a", "b")).alias("marks")), "marks")
+    found = _intervals(split_join(places, lows, ["m", "h"], "n", places.count()), width)
+    marks = staged(found.groupBy(F.col("id").alias("mid"), F.col("f").alias("mf")).agg(F.collect_list(F.struct("a", "b")).alias("marks")), "marks", rows)
+    drop_staged(spark, narrow, shared, places, strings, lows)
     small = marks.count() <= BROADCAST_MARKS
-    out = docs.join(hint, on, "left").withColumn("whole", F.col("cid").isNotNull())
+    out = docs.select("id", "f", "text").join(hint, on, "left").withColumn("whole", F.col("cid").isNotNull())
     side = F.broadcast(marks) if small else marks
     return out.join(side, (F.col("id") == F.col("mid")) & (F.col("f") == F.col("mf")), "left").select("id", "text", "whole", "marks")
 
@@ -318,19 +349,38 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, text, whole, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                body = (text or "").encode("utf-8", "surrogatepass")
-                spans = [(0, len(body))] if whole and len(body) >= width else [] if whole else [(m["a"], m["b"]) for m in marks or []]
-                removed, n, keep = _cut(body, spans)
-                rows.append((doc, len(body), removed, n, hashlib.sha256(b"".join(keep)).hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in REPORT.split(", ")])
+        for whole in batches:
+            for batch in rows_by_bytes(whole, "text"):
+                body, offsets = flat(batch.column("text"))
+                raw, ids = body.tobytes(), batch.column("id").to_pylist()
+                copy, marks = batch.column("whole").to_pylist(), batch.column("marks").to_pylist()
+                rows = []
+                for i in range(batch.num_rows):
+                    text = raw[offsets[i] : offsets[i + 1]]
+                    spans = [(0, len(text))] if copy[i] and len(text) >= width else [] if copy[i] else [(m["a"], m["b"]) for m in marks[i] or []]
+                    removed, n, keep = _cut(text, spans)
+                    rows.append((ids[i], len(text), removed, n, hashlib.sha256(b"".join(keep)).hexdigest()))
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in REPORT.split(", ")])
 
     return arrow_map(marked(df, id_col, text_col, width, **more), run, REPORT)
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All windows in hexadecimal, each with the smallest id that has it; runs of covered bytes by gaps between window starts.
+ORACLE = """
+WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS k FROM h WHERE length(h) >= 100)),
+f AS (SELECT w, min(doc_id) AS low FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, k FROM w JOIN f USING (w) WHERE low < doc_id),
+n AS (SELECT doc_id, k, coalesce(k > lag(k) OVER o + 50, true) AS new FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+r AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM (SELECT doc_id, k, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM n) GROUP BY doc_id, run),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM r),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS kept
+  FROM c JOIN h USING (doc_id) JOIN (SELECT doc_id, max(b) AS last FROM r GROUP BY 1) USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM h LEFT JOIN t USING (doc_id)
+"""
