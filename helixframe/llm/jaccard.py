@@ -9,16 +9,22 @@ A group's sets stand in a compressed trie. One traversal per set carries the
 overlap along shared paths and leaves a subtree as soon as what remains of
 either set can no longer reach the overlap that the sizes ask for.
 
-Round 1 groups by each set's first n-gram only and finds the components of the
-usual near copies. Round 2 takes every prefix n-gram whose group still holds
-more than one component, which is all that can still matter, so nothing is
-lost. A pair is looked at only in the group of the first n-gram that it shares,
-and rows without a partner of fitting size and position go at once. In each
+The first round groups by each set's first n-gram only and finds the components
+of the usual near copies, the next one by a few. The last round takes every
+prefix n-gram whose group still holds more than one component, which is all that
+can still matter, so nothing is lost. A pair is looked at only in the group of
+the first n-gram that it shares, and rows without a partner of fitting size and
+position go at once. In each
 round a first trie pass over the prefixes alone, where the
 unknown rest counts in full, names the sets that may have a partner; only those
 are fetched whole for the second pass, which decides. A task emits a spanning
-forest of the links, never all pairs; a large group is dealt over a grid of
-block pairs.
+forest of the links, never all pairs.
+
+What is moved are numbers: a prefix n-gram's row is its hash, two ids and two
+small numbers, dealt once by n-gram. Only the listed frequent n-grams, of which
+there is a fixed number, can be many rows' own; their rows are filtered where
+they are. A group is dealt over a grid of block pairs only beyond a number of
+rows or keys, so that a cell holds a bounded number of bytes.
 """
 
 from __future__ import annotations
@@ -27,22 +33,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import within
 from helixframe.llm.components import components
-from helixframe.llm.shared import U64, Rolling, arrow_map, flat, mix, rows_by_bytes, runs, staged, tokens
+from helixframe.llm.shared import MASK, PRIME, U64, Rolling, arrow_map, drop_staged, flat, keep_rows, mix, release, rows_by_bytes, runs, small_batches, split_join, staged, tokens
 
-#: Words to a shingle; similarity in hundredths; sets to a block of a large group.
-WORDS, PERCENT, BLOCK = 4, 85, 512
+#: Words to a shingle; similarity in hundredths; sets and their n-grams to a cell of the grid.
+WORDS, PERCENT, BLOCK, KEYS = 4, 85, 2048, 1 << 20
 #: Counters of a task's Misra-Gries summary, and n-grams that may be ordered last.
 COUNTERS, FREQUENT = 1 << 16, 1 << 16
 #: An n-gram is frequent from this share of the documents on.
 SHARE = 0.0002
-#: Lists of ids, grid rows and roots are broadcast up to so many rows, else joined by shuffle.
+#: Prefix n-grams of each set that a round looks at; the last one looks at all.
+ROUNDS = (1, 8, None)
+#: Ids of wanted documents and changed roots are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
-BROADCAST_GROUPS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,11 +121,15 @@ class Trie:
     segment, its children, and the least and largest size below it.
     """
 
-    def __init__(self, raw: list[bytes], size: np.ndarray):
+    def __init__(self, body: np.ndarray, offsets: np.ndarray, size: np.ndarray):
+        raw = [body[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         self.order = sorted(range(len(raw)), key=raw.__getitem__)
-        self.keys = [np.frombuffer(raw[i], ">u8").astype(U64) for i in self.order]
-        self.size = size[self.order]
         m = len(raw)
+        del raw
+        keys = body[offsets[0] : offsets[-1]].view(">u8").astype(U64)
+        at = (offsets - offsets[0]) // 8
+        self.keys = [keys[at[i] : at[i + 1]] for i in self.order]
+        self.size = size[self.order]
         lcp = np.zeros(m, np.int64)
         for i in range(1, m):
             a, b = self.keys[i - 1], self.keys[i]
@@ -183,20 +194,24 @@ class Trie:
                     yield y
 
 
-def join_group(raw: list[bytes], size: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int, exact: bool, gram: int = 0):
+def join_group(body: np.ndarray, offsets: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray | None, old: np.ndarray, percent: int, exact: bool, gram: int = 0):
     """Links of the group of ``gram`` between sets of different components (and sides, where given).
 
+    Two ``old`` sets met here in the round before.
+
     exact: pairs of positions that make a spanning forest. Else: a mask of the
     sets that may have a partner.
     """
-    trie = Trie(raw, size)
-    order = np.array(trie.order)
+    trie = Trie(body, offsets, size)
+    order, m = np.array(trie.order), len(size)
     _, root = np.unique(comp[order], return_inverse=True)
-    at = None if side is None else side[order]
-    marked = np.zeros(len(raw), bool)
+    at, old = None if side is None else side[order], old[order]
+    marked = np.zeros(m, bool)
     pairs = []
-    for x in range(1, len(raw)):
+    for x in range(1, m):
         other = None if at is None else at != at[x]
+        if old[x]:
+            other = ~old if other is None else other & ~old
 
         def skip(lo, hi, x=x, other=other):
             dull = root[lo:hi] == root[x]
@@ -216,7 +231,7 @@ def join_group(raw: list[bytes], size: np.ndarray, comp: np.ndarray, side: np.nd
                 marked[[x, y]] = True
     if exact:
         return pairs
-    out = np.zeros(len(raw), bool)
+    out = np.zeros(m, bool)
     out[order] = marked
     return out
 
@@ -243,15 +258,13 @@ def frequent_ngrams(df: DataFrame, words: int) -> np.ndarray:
                 if len(keys) > COUNTERS:
                     count = count - np.partition(count, -COUNTERS - 1)[-COUNTERS - 1]
                     keys, count = keys[count > 0], count[count > 0]
-        if docs:
-            keep = count > max(1, SHARE * docs / 4)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(count[keep]), pa.array(np.zeros(keep.sum(), np.int64))], ["gram", "n", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], ["gram", "n", "docs"])
-
-    told = staged(arrow_map(df.select("text"), run, "gram long, n long, docs long"), "frequent")
-    docs = told.agg(F.sum("docs")).first()[0] or 0
-    rows = told.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, math.ceil(SHARE * docs)))
-    top = rows.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
+        keep = count > max(1, SHARE * docs / 4)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(count[keep])], ["gram", "n"])
+
+    told = arrow_map(df.select("text"), run, "gram long, n long")
+    rows = told.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, math.ceil(SHARE * df.count())))
+    with small_batches(df.sparkSession):
+        top = rows.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
     return np.array([r["gram"] for r in reversed(top)], np.int64).astype(U64)
 
 
@@ -260,195 +273,269 @@ def _fingerprint(keys: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def narrow_table(df: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
-    """id, n, two fingerprints of the set, and the prefix's keys."""
+def shingle_table(df: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
+    """id, mark (of the text), n, two fingerprints of the set, and the prefix's keys."""
 
     def run(batches):
         for whole in batches:
             for batch in rows_by_bytes(whole, "text"):
                 sets = [order.keys(s) for s in shingle_sets(batch.column("text"), words)]
-                marks = [_fingerprint(s) for s in sets]
+                prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(len(sets), 2)
+                prefixes = [s[: prefix_length(len(s), percent)].astype(">u8").tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([m[0] for m in marks], pa.int64()),
-                        pa.array([m[1] for m in marks], pa.int64()),
-                        pa.array([s[: prefix_length(len(s), percent)].astype(">u8").tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                    ],
-                    ["id", "n", "f1", "f2", "prefix"],
+                    [batch.column("id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(prefixes, pa.binary())],
+                    ["id", "mark", "n", "f1", "f2", "prefix"],
                 )
 
-    return arrow_map(df, run, "id long, n long, f1 long, f2 long, prefix binary")
+    return arrow_map(df.select("id", "mark", "text"), run, "id long, mark long, n int, f1 long, f2 long, prefix binary")
 
 
-def _prefix_rows(reps: DataFrame, most: int | None) -> DataFrame:
-    """(gram, rep, comp, set size, position) for each of the first ``most`` prefix n-grams."""
+def _prefix_rows(classes: DataFrame, most: int | None, common: bool) -> DataFrame:
+    """(gram, cid, comp, n, pos) for each of the first ``most`` prefix n-grams: the frequent ones (below 0), or the others."""
 
     def run(batches):
-        for batch in batches:
-            body, offs = flat(batch.column("prefix"))
-            gram = body.view(">u8").astype(U64).astype(np.int64)
-            size = np.diff(offs) // 8
-            if most:
-                begin = offs[:-1] // 8
-                gram = np.concatenate([gram[b : b + most] for b in begin.tolist()]) if len(begin) else gram
-                size = np.minimum(size, most)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), *(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("rep", "comp", "n")), pa.array(within(size))],
-                ["gram", "rep", "comp", "n", "pos"],
-            )
-
-    return arrow_map(reps.select("rep", "comp", "n", "prefix"), run, "gram long, rep long, comp long, n long, pos long")
-
-
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Rows of groups with several components, with their grid cells."""
+        for whole in batches:
+            for batch in rows_by_bytes(whole, "prefix", 1 << 20):
+                body, offs = flat(batch.column("prefix"))
+                size = np.minimum(np.diff(offs) // 8, most) if most else np.diff(offs) // 8
+                pos = within(size)
+                gram = body.view(">u8").astype(U64).astype(np.int64)[np.repeat(offs[:-1] // 8, size) + pos]
+                of = np.repeat(np.arange(len(size)), size)
+                keep = (gram < 0) == common
+                of, pos = of[keep], pos[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram[keep]), *(pa.array(batch.column(c).to_numpy()[of]) for c in ("cid", "comp", "n")), pa.array(pos.astype(np.int32))],
+                    ["gram", "cid", "comp", "n", "pos"],
+                )
+
+    # Frequent n-grams stand last, so the last key tells whether a prefix has any.
+    some = classes.where("hex(substring(prefix, -8, 1)) >= '80'") if common else classes
+    return arrow_map(some.select("cid", "comp", "n", "prefix"), run, "gram long, cid long, comp long, n int, pos int")
+
+
+def _met(classes: DataFrame, most: int | None, done: int) -> DataFrame:
+    """The prefix rows of n-grams that several components have, and that stand beyond the first ``done`` of some set.
+
+    ``old`` rows are those within: two of them met in the round before.
+
+    Frequent n-grams are counted with map-side partial sums and their list, of
+    a fixed length at most, goes back to the rows; all others meet by n-gram.
+    """
+    mixed = f"low < high and far >= {done}"
+    common = _prefix_rows(classes, most, True)
+    listed = common.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("pos").alias("far")).where(mixed).select("gram")
+    every = Window.partitionBy("gram")
+    rare = _prefix_rows(classes, most, False).withColumns({"low": F.min("comp").over(every), "high": F.max("comp").over(every), "far": F.max("pos").over(every)})
+    met = common.join(F.broadcast(listed), "gram", "left_semi").unionByName(rare.where(mixed).drop("low", "high", "far"))
+    return met.withColumn("old", F.col("pos") < done)
+
+
+def _dealt(rows: DataFrame, block: int, keys: int) -> DataFrame:
+    """The grid cells of the rows. Of n-grams with the very same documents, the first in the order keeps its group."""
     groups = rows.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"),
-        F.expr("bit_xor(xxhash64(rep, 1))").alias("h1"), F.expr("bit_xor(xxhash64(rep, 2))").alias("h2"),
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.expr("bit_xor(xxhash64(cid, 1))").alias("h1"), F.expr("bit_xor(xxhash64(cid, 2))").alias("h2")
     )
-    # Of n-grams with the very same documents, the first in the order is where all their pairs belong.
-    first = F.min(F.struct(F.col("gram") < 0, F.col("gram"))).alias("first")
-    groups = groups.where("low < high").groupBy("k", "h1", "h2").agg(first).select("k", F.col("first.gram").alias("gram"))
-    groups = staged(groups, "groups")
-    few = groups.count() <= BROADCAST_GROUPS
-    split = F.when(F.col("k") > block, F.ceil(F.col("k") * 2 / block)).otherwise(1).cast("int")
-    parts = groups.select("gram", split.alias("parts"))
-    rows = rows.join(F.broadcast(parts) if few else parts, "gram")
-    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(rep, 5), parts) as int)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "n", "pos")
+    first = F.min_by(F.struct("gram", "w"), F.struct(F.col("gram") < 0, F.col("gram"))).alias("first")
+    groups = groups.groupBy("k", "h1", "h2").agg(first).select("first.gram", "k", F.ceil(F.greatest(F.col("k") / block, F.col("first.w") / keys)).alias("cells"))
+    parts = staged(groups.select("gram", "k", F.when(F.col("cells") > 1, F.col("cells") * 2).otherwise(1).cast("int").alias("parts")), "groups", rows.count())
+    dealt = split_join(rows, parts, ["gram"], "k", rows.count())
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(cid, 5), parts) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "comp", "n", "pos", "old")
+
+
+_CELL = ["gram", "lo", "hi"]
 
 
 def _compatible(cells: DataFrame, percent: int) -> DataFrame:
     """The rows with a partner of another component whose size and position leave room for the overlap."""
-    names = [*_CELL, "own", "rep", "comp"]
+    names = [*_CELL, "own", "cid", "comp", "old"]
+
+    def fits(n, left, comp, own, old, some, split):
+        ok = (comp[some, None] != comp[None]) & ~(old[some, None] & old[None])
+        if split:
+            ok &= own[some, None] != own[None]
+        ok &= 100 * np.minimum.outer(n[some], n) >= percent * np.maximum.outer(n[some], n)
+        return (ok & ((100 + percent) * np.minimum.outer(left[some], left) >= percent * np.add.outer(n[some], n))).any(1)
 
     def run(batches):
         for table, bounds in runs(batches, _CELL):
             comp, own, n, pos = (table.column(c).to_numpy() for c in ("comp", "own", "n", "pos"))
             lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
-            keep = np.zeros(table.num_rows, bool)
+            old = table.column("old").to_numpy(zero_copy_only=False)
+            n, left, keep = n.astype(np.int64), (n - pos).astype(np.int64), np.zeros(table.num_rows, bool)
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                size, left = n[s:e], n[s:e] - pos[s:e]
-                fits = 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
-                fits &= (100 + percent) * np.minimum.outer(left, left) >= percent * np.add.outer(size, size)
-                fits &= comp[s:e, None] != comp[None, s:e]
-                if lo[s] != hi[s]:
-                    fits &= own[s:e, None] != own[None, s:e]
-                keep[s:e] = fits.any(1)
-            yield from table.select(names).filter(pa.array(keep)).to_batches()
+                for k in range(s, e, 128):
+                    keep[k : min(k + 128, e)] = fits(n[s:e], left[s:e], comp[s:e], own[s:e], old[s:e], slice(k - s, min(k + 128, e) - s), lo[s] != hi[s])
+            # A cell's rows that stay, as two sums over their numbers.
+            cid, cell = table.column("cid").to_numpy().astype(U64), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            prints = []
+            for salt in (1, 2):
+                each = np.where(keep, mix(cid + U64(salt * PRIME & MASK)), U64(0))
+                prints.append(pa.array(np.add.reduceat(each, bounds[:-1])[cell].astype(np.int64)))
+            out = table.select(names).append_column("s1", prints[0]).append_column("s2", prints[1])
+            yield from out.filter(pa.array(keep)).to_batches()
 
     dealt = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
-    return arrow_map(dealt, run, "gram long, lo int, hi int, own int, rep long, comp long")
-
-
-_CELL = ["gram", "lo", "hi"]
+    found = arrow_map(dealt, run, "gram long, lo int, hi int, own int, cid long, comp long, old boolean, s1 long, s2 long")
+    # Of cells with the very same rows left, the one of the first n-gram in the order is where all their pairs belong.
+    place = F.struct(F.col("gram") < 0, *_CELL)
+    same = Window.partitionBy("s1", "s2", "cid")
+    return found.withColumn("first", F.min(place).over(same)).where(F.col("first") == place).drop("first", "s1", "s2")
 
 
 def _joined(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """The trie join of each cell: edges (a, b) if exact, else the rows that may have a partner."""
-    out = "a long, b long" if exact else "gram long, lo int, hi int, own int, rep long, comp long"
+    """The trie join of each cell: edges (ra, a, rb, b) if exact, else the rows that may have a partner."""
+    out = "ra long, a long, rb long, b long" if exact else "gram long, lo int, hi int, own int, cid long, comp long, old boolean"
     names = [x.split()[0] for x in out.split(", ")]
 
     def run(batches):
         for table, bounds in runs(batches, _CELL):
-            raw, n = table.column("keys").to_pylist(), table.column("n").to_numpy()
-            rep, comp, own = (table.column(c).to_numpy() for c in ("rep", "comp", "own"))
+            n = table.column("n").to_numpy().astype(np.int64)
+            rep, cid, comp, own = (table.column(c).to_numpy() for c in ("rep", "cid", "comp", "own"))
             lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
-            gram = table.column("gram").to_numpy().astype(U64)
+            gram, old = table.column("gram").to_numpy().astype(U64), table.column("old").to_numpy(zero_copy_only=False)
             found: list = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
+                column = table.column("keys").slice(s, e - s).combine_chunks()
+                body, offsets = flat(column if isinstance(column, pa.Array) else column.chunk(0))
                 side = own[s:e] if lo[s] != hi[s] else None
-                got = join_group(raw[s:e], n[s:e], comp[s:e], side, percent, exact, int(gram[s]))
+                got = join_group(body, offsets, n[s:e], comp[s:e], side, old[s:e], percent, exact, int(gram[s]))
                 found += [(s + i, s + j) for i, j in got] if exact else (s + np.flatnonzero(got)).tolist()
             if not found:
                 continue
             if exact:
                 at = np.array(found)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at[:, 0]]), pa.array(rep[at[:, 1]])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at[:, i]]) for i in (0, 1) for x in (rep, cid)], names)
             else:
                 yield from table.select(names).take(pa.array(found)).to_batches()
 
-    dealt = rows.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep")
-    return arrow_map(dealt.select(*_CELL, "own", "rep", "comp", "n", "keys"), run, out)
+    dealt = rows.repartition(*_CELL).sortWithinPartitions(*_CELL, "cid")
+    return arrow_map(dealt.select(*_CELL, "own", "rep", "cid", "comp", "old", "n", "keys"), run, out)
 
 
 def _whole_sets(df: DataFrame, wanted: DataFrame, words: int, order: Order) -> DataFrame:
-    """(rep, n, keys) of the documents whose id is wanted."""
+    """(cid, rep, n, keys) of the wanted classes, from the row that names each.
+
+    Rows that agree in id and text give a set twice; both belong to one class, so they never link.
+    """
 
     def run(batches):
         for whole in batches:
             for batch in rows_by_bytes(whole, "text"):
                 sets = [order.keys(s) for s in shingle_sets(batch.column("text"), words)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(">u8").tobytes() for s in sets], pa.binary())],
-                    ["rep", "n", "keys"],
+                    [batch.column("cid"), batch.column("rep"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.astype(">u8").tobytes() for s in sets], pa.binary())],
+                    ["cid", "rep", "n", "keys"],
                 )
 
-    ids = staged(wanted.select(F.col("rep").alias("want")).distinct(), "wanted")
-    small = ids.count() <= BROADCAST_ROWS
-    return arrow_map(df.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("want"), "left_semi"), run, "rep long, n long, keys binary")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = df.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("rep")) & (F.col("mark") == F.col("rep_mark")))
+    return arrow_map(texts.select("cid", "rep", "text"), run, "cid long, rep long, n int, keys binary")
 
 
-def _hinted(side: DataFrame) -> DataFrame:
-    """``side`` to be broadcast if it has few rows; else the join shuffles."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+def _round(df: DataFrame, classes: DataFrame, most: int | None, done: int, words: int, percent: int, block: int, keys: int, order: Order) -> DataFrame:
+    """Links between classes of different components that share one of the first ``most`` prefix n-grams, but not of the first ``done``."""
+    spark, total = df.sparkSession, classes.count()
+    rows = staged(_met(classes, most, done), "met", total * (most or 8))
+    few = rows.count()
+    release(spark)
+    cells = _compatible(_dealt(rows, block, keys), percent)
+    sketch = classes.select("rep", "cid", "n", F.col("prefix").alias("keys")).join(cells, "cid")
+    maybe = staged(_joined(sketch, percent, False), "maybe", few)
+    wanted = staged(classes.select("rep", "rep_mark", "cid").join(maybe.select("cid").distinct(), "cid", "left_semi"), "wanted", min(few, total))
+    sets = _whole_sets(df, wanted, words, order)
+    links = staged(_joined(maybe.join(sets, "cid"), percent, True), "links", few)
+    drop_staged(spark, rows, maybe, wanted)
+    return links.select(F.struct(F.col("ra").alias("rep"), F.col("a").alias("cid")).alias("a"), F.struct(F.col("rb").alias("rep"), F.col("b").alias("cid")).alias("b"))
 
 
-def _round(df: DataFrame, reps: DataFrame, most: int | None, words: int, percent: int, block: int, order: Order) -> DataFrame:
-    """Links between classes of different components that share one of the first ``most`` prefix n-grams."""
-    cells = staged(_compatible(_dealt(_prefix_rows(reps, most), block), percent), "cells")
-    sketch = reps.select("rep", "n", F.col("prefix").alias("keys")).join(_hinted(cells), "rep")
-    maybe = staged(_joined(sketch, percent, False), "maybe")
-    if maybe.isEmpty():
-        return maybe.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    sets = staged(_whole_sets(df, maybe, words, order), "sets")
-    return staged(_joined(maybe.join(sets, "rep"), percent, True), "links")
-
-
-def near_groups(
+def near_rows(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = WORDS,
     percent: int = PERCENT,
     block: int = BLOCK,
+    keys: int = KEYS,
 ) -> DataFrame:
+    """id, mark (``xxhash64`` of the text), n, component_id and stays of each row of ``df``.
+
+    ``stays``: of a component's rows, those of its smallest id and, among
+    them, the smallest mark. Rows without a set or an id stay.
+    """
+    spark = df.sparkSession
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    order = Order(frequent_ngrams(docs, words))
+    every = staged(shingle_table(docs, words, percent, order), "shingles")
+    # Equal sets are one class, named by its first row; the class's number tells apart those that share an id.
+    some = every.where("n > 0 and id is not null")
+    one = some.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "mark")).alias("r"), F.count(F.lit(1)).alias("size"), F.min("prefix").alias("prefix"))
+    classes = staged(one.select(F.col("r.id").alias("rep"), F.col("r.mark").alias("rep_mark"), F.monotonically_increasing_id().alias("cid"), "n", "f1", "f2", "size", "prefix"), "shingle-classes")
+    total = every.count()
+    narrow = staged(every.drop("prefix"), "documents", total)
+    drop_staged(spark, every)
+    known, roots = classes.withColumn("comp", F.col("cid")), None
+    for done, most in zip((0, *ROUNDS), ROUNDS, strict=False):
+        links = _round(docs, known, most, done, words, percent, block, keys, order)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
+        moved = roots.select(F.col("node.cid").alias("cid"), F.col("root.cid").alias("comp"))
+        few = roots.count() <= BROADCAST_ROWS
+        known = classes.join(F.broadcast(moved) if few else moved, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    root = roots.select(F.col("node.cid").alias("cid"), F.col("root.rep").alias("component_id"))
+    told = classes.join(root, "cid", "left").select("n", "f1", "f2", "size", "rep", "rep_mark", "component_id")
+    told = staged(told.withColumns({"first": F.col("component_id").isNull(), "component_id": F.coalesce("component_id", "rep")}), "class-components", total)
+    # Rows without an id link with nothing, whatever their set.
+    rows = narrow.withColumn("f1", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("f1")))
+    alone = F.col("rep").isNull()
+    stays = alone | (F.col("first") & (F.col("id") == F.col("rep")) & (F.col("mark") == F.col("rep_mark")))
+    joined = split_join(rows, told, ["n", "f1", "f2"], "size", total, "left")
+    return joined.select("id", "mark", F.col("n").cast("long").alias("n"), F.coalesce("component_id", "id").alias("component_id"), stays.alias("stays"))
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``df``.
 
     A text that is null or has no words has the empty set and links with
-    nothing. Equal sets always link. Rows that share an id count as one
-    document; each row is listed. A row without an id links with nothing.
-    Other columns are ignored; an empty table gives no rows.
+    nothing. Equal sets always link. Rows that share an id are documents of
+    their own that share it; each row is listed. A row without an id links with
+    nothing. Texts are read whole, however long. Other columns are ignored; an
+    empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = Order(frequent_ngrams(docs, words))
-    narrow = staged(narrow_table(docs, words, percent, order), "shingles")
-    some = narrow.where("n > 0 and id is not null")
-    classes = some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    classes = staged(classes, "shingle-classes")
-    mark = classes.select("rep", F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"))
-    same = (F.col("id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))
-    reps = staged(some.join(mark, same).select("rep", F.col("rep").alias("comp"), "n", "prefix").dropDuplicates(["rep", "n", "prefix"]), "shingle-reps")
-    first = _round(docs, reps, 1, words, percent, block, order)
-    roots = components(first)
-    known = reps.drop("comp").join(_hinted(roots), F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("comp"), "n", "prefix")
-    known = staged(known, "shingle-reps")
-    second = _round(docs, known, None, words, percent, block, order)
-    versions = some.join(classes, ["n", "f1", "f2"]).where("id <> rep")
-    twice = versions.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second).unionByName(twice))
-    told = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("component_id"))
-    return (
-        narrow.withColumn("f1", F.when(F.col("id").isNotNull(), F.col("f1")))
-        .join(told, ["n", "f1", "f2"], "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    )
+    return near_rows(df, id_col, text_col, **more).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``df`` with one row of each component: that of the smallest id, and of the smallest hash of the text among these.
+
+    Rows go, not ids: a text that shares its id with a dropped one stays if it
+    is no copy itself. Rows with a null or wordless text, or without an id,
+    stay. All columns stay, whatever their names.
+    """
+    return keep_rows(df, near_rows(df, id_col, text_col, **more).select("id", "mark", "stays"), id_col, text_col)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Shared shingles of all pairs by a join on shingles; a recursive search for the smallest id that each document reaches.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s FROM w
+), e AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(g) AS h, g FROM (SELECT doc_id, s, unnest(s) AS g FROM s)),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+  HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))
+), l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c ON c.node = doc_id
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_near_dedup": embeddings.ORACLE,
+    "op4_ngram_jaccard_join": jaccard.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op9_suffix_array_dedup": substring_dedup.ORACLE,
 }
