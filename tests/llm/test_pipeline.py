@@ -41,6 +41,40 @@ def test_stages(spark, sf):
     assert (kept["pii"]["n_chars"] == kept["pii"]["text"].str.len()).all()
 
 
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, id long, mark long, digest string, stays boolean, gone_id long"
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 8, "d", None, 9) for i, t in rows], EXTRA)
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, empty and very long texts, repeated ids and rows, and columns with the names that stages use inside."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(40)
+    good = [r["text"] for r in docs.collect() if len(r["text"]) > 300]
+    a, b, c = good[0], good[1], good[2]
+    rows = [(i, t) for i, t in enumerate(good[3:])] + [(100, a), (107, a), (107, b), (109, c), (109, c), (None, a), (120, None), (121, ""), (122, a + " " + b[:40]), (123, b * 60)]
+    df = _rows(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    known = stages["language_id"](spark, df, sf)
+    assert known.columns == df.columns and {120, 121} & {r["doc_id"] for r in known.collect()} == set()
+    copies = stages["exact_dedup"](spark, df, sf)
+    told = sorted((r["doc_id"] or 0, r["text"] or "") for r in copies.where("doc_id >= 100 or doc_id is null").collect())
+    assert copies.columns == df.columns
+    assert told == sorted([(0, a), (100, a), (107, b), (109, c), (120, ""), (122, a + " " + b[:40]), (123, b * 60)])
+    near = stages["ngram_jaccard"](spark, df, sf)
+    told = sorted((r["doc_id"] or 0, r["text"] or "") for r in near.where("doc_id >= 100 or doc_id is null").collect())
+    assert near.columns == df.columns
+    near_a = [] if len(b[:40]) < 0.15 * len(a) else [(122, a + " " + b[:40])]
+    assert told == sorted([(0, a), (100, a), (107, b), (109, c), (120, ""), (121, ""), *near_a])
+    clean = stages["pii"](spark, df, sf)
+    assert clean.columns == df.columns and clean.count() == len(rows) and clean.where("text is null").count() == 1
+    pieces = stages["packing"](spark, df, sf)
+    assert pieces.where("start = 0").count() == len(rows)
+    for stage in stages.values():
+        assert stage(spark, df.limit(0), sf).count() == 0
+
+
 def test_near_copies_take_five_words_and_80(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
