@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again as the next stage's docs. All but the last return
-the columns of ``documents``.
+the columns of ``documents``, and any others that the input has, whatever their
+names. Rows are told apart by id and text: rows may share an id, and rows
+without one are never copies of others. Texts are read whole. An empty table
+passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, jaccard, language, packing, pii
-from helixframe.llm.shared import fresh, staged
+from helixframe.llm.shared import staged
 
 
 #: The near-copy stage's own shingles and similarity in hundredths; op4 keeps its contract's.
@@ -19,30 +22,31 @@ WORDS, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language classifier rejects go."""
+    """Documents that the language classifier rejects go; null texts and texts without a letter are among them."""
     return language.keep_known(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest id stays."""
+    """Of equal texts, the row with the smallest id stays; nulls count as empty. Rows without an id stay."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, 80 %), the document with the smallest id stays."""
-    gone = fresh(docs, "gone_id")
-    later = jaccard.near_groups(docs, words=WORDS, percent=PERCENT).where("doc_id > component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(later, docs["doc_id"] == F.col(gone), "left_anti")
+    """Of each component of near copies (five-word shingles, 80 %), the row with the smallest id stays.
+
+    Texts that are null or have no words have no copies.
+    """
+    return jaccard.drop_near_copies(docs, words=WORDS, percent=PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to their kind in brackets; ``n_chars`` follows the text."""
+    """Spans of personal data give way to their kind in brackets; ``n_chars`` follows the text. Every row stays."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows."""
+    """The pieces of all documents in windows; a null or empty text is its end id."""
     return packing.pack(docs)
 
 
