@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.byte_bpe import within
 from helixframe.llm.components import components
-from helixframe.llm.shared import MASK, PRIME, U64, Rolling, arrow_map, drop_staged, flat, keep_rows, mix, release, rows_by_bytes, runs, small_batches, split_join, staged, tokens
+from helixframe.llm.shared import MASK, PRIME, U64, Rolling, arrow_map, drop_staged, flat, keep_rows, mix, release, rows_by_bytes, runs, split_join, staged, tokens
 
 #: Words to a shingle; similarity in hundredths; sets and their n-grams to a cell of the grid.
 WORDS, PERCENT, BLOCK, KEYS = 4, 85, 2048, 1 << 20
@@ -263,8 +263,7 @@ def frequent_ngrams(df: DataFrame, words: int) -> np.ndarray:
 
     told = arrow_map(df.select("text"), run, "gram long, n long")
     rows = told.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, math.ceil(SHARE * df.count())))
-    with small_batches(df.sparkSession):
-        top = rows.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
+    top = rows.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
     return np.array([r["gram"] for r in reversed(top)], np.int64).astype(U64)
 
 

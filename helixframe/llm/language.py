@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import arrow_map, flat, rows_by_bytes, small_batches
+from helixframe.llm.shared import arrow_map, flat, rows_by_bytes
 
 #: Cells of the hashed n-gram vector; labelled rows and centroids of each language.
 CELLS, SAMPLE, CENTROIDS, LANGUAGES = 4096, 300, 4, 64
@@ -181,8 +181,7 @@ def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: i
 
     found = rows.join(F.broadcast(picked), ["id", "mark", "lang"], "left_semi").select("lang", "id", "mark", "text")
     told = arrow_map(found, run, f"lang string, id {dict(rows.dtypes)['id']}, mark long, counts binary").dropDuplicates(["lang", "id", "mark"]).orderBy("lang", "id", "mark")
-    with small_batches(df.sparkSession):
-        told = told.collect()
+    told = told.collect()
     c = np.array([np.frombuffer(r["counts"], np.int32) for r in told]) if told else np.zeros((0, cells), np.int64)
     return c, [r["lang"] for r in told]
 
@@ -229,7 +228,7 @@ def keep_known(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
                 rejected = model.predict(batch.column(text_col))[2]
                 yield batch.filter(pa.array(~rejected))
 
-    return df.mapInArrow(run, df.schema)
+    return arrow_map(df, run, df.schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -512,7 +512,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
                     batch = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
                 yield batch
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def op10_pii_crf(spark, sf_dir: str) -> DataFrame:

@@ -309,7 +309,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)), mask=batch.column(text_col).is_null())
                 yield batch.append_column(out_col, lists)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, ArrayType(IntegerType()))]))
+    return arrow_map(df, run, StructType([*df.schema.fields, StructField(out_col, ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None, threads: int = 2) -> DataFrame:
@@ -325,7 +325,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
             texts = codec.decode([x or [] for x in lists])
             yield batch.append_column(out_col, pa.array([t if x is not None else None for t, x in zip(texts, lists, strict=True)], pa.string()))
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, StringType())]))
+    return arrow_map(df, run, StructType([*df.schema.fields, StructField(out_col, StringType())]))
 
 
 #: Blanks, controls, bytes without a piece, the marker, and pieces that look like controls.

@@ -6,7 +6,6 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of an Arrow batch of jobs that run here: workers hold a few copies of one.
+#: Bytes of an Arrow batch.
 BATCH_BYTES = 8 << 20
 PRIME = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -48,20 +47,6 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/helixframe/{what}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs inside hand their Python workers Arrow batches of ``BATCH_BYTES``."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    if before is not None:
-        spark.conf.set(name, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        if before is not None:
-            spark.conf.set(name, before)
-
-
 #: Rows to a file of a staged table whose size is known beforehand.
 FILE_ROWS = 250_000
 
@@ -76,8 +61,7 @@ def staged(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.repartition(1 + rows // FILE_ROWS)
     path = new_path(spark, what)
-    with small_batches(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -164,8 +148,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` for a ``fn(batches) -> batches``."""
+def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for a ``fn(batches) -> batches``.
+
+    From here on the session hands Python workers batches of ``BATCH_BYTES``, as
+    a worker and its executor hold a few copies of one each.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
