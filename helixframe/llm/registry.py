@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import embeddings, exact_dedup, filter_audit, jaccard, language, lm_score, packing, pii, sentence_pieces, substring_dedup, warc
+from helixframe.llm import embeddings, exact_dedup, filter_audit, jaccard, language, lm_score, packing, pii, sentence_pieces, substring_dedup, token_alignment, warc
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_array_dedup": substring_dedup.op9_suffix_array_dedup,
     "op10_pii_crf": pii.op10_pii_crf,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLE_SQL = {
