@@ -3,12 +3,13 @@
 1. One pass encodes each text with both tokenizers and marks the bytes where
    tokens end in two packed bitsets. Their AND holds the shared cuts, which
    group the tokens; counts of set bits before a byte (a running sum over words
-   of 64 bits) turn cuts into token ranges. Ids are kept as two bytes each,
-   with a block number, in a written table; texts never shuffle.
+   of 64 bits) turn cuts into token ranges.
 2. Their OR holds one bit for each pair of overlapping tokens: such a pair
    shares exactly one stretch between neighbouring bits. The same ranks give
    both tokens of each, so links are listed without looking at pairs that don't
-   overlap. Each block counts its id pairs.
+   overlap. Links are written as numbers of id pairs within a block of texts
+   (the commonest first, so that they compress), beside the block's pairs and
+   how many links each has there. Texts and ids never shuffle.
 3. Block counts are summed over the corpus. A pair asks once a block, however
    often it occurs there, and pairs that very many blocks hold are dealt over
    parts. The answers go back to their blocks, where each document looks up its links.
@@ -39,7 +40,7 @@ STRIDE = 1 << 16
 
 def a_encoder(path: str) -> Encoder:
     """An encoder that takes special tokens' strings for plain text."""
-    out = Encoder(path)
+    out = Encoder(path, 1 << 19)
     out.tok = Tokenizer.from_file(path)
     out.tok.encode_special_tokens = True
     out.special = []
@@ -117,7 +118,7 @@ class Aligner:
     """Both encoders with their tokens' bytes."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = a_encoder(a_path), Codec(b_path, 1)
+        self.a, self.b = a_encoder(a_path), Codec(b_path, 1, 1 << 19)
         self.a_pool = Pool(a_bytes(self.a.tok))
         self.b_pool = Pool(b_bytes(self.b.model.pieces, self.b.model.kinds))
 
@@ -189,32 +190,58 @@ def spelled(a: np.ndarray, b: np.ndarray, a_upto: np.ndarray, b_upto: np.ndarray
     return body, np.cumsum(size + 1)[b_at[b_upto - 1]] if len(group) else np.zeros(0, np.int64)
 
 
-ENCODED = "id long, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary"
+ENCODED = "id long, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, pairs array<long>, counts array<long>"
+
+
+def packed_numbers(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Each row's numbers as four planes of bytes, compressed."""
+    out = []
+    for s, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        raw = np.ascontiguousarray(values[s:e].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        out.append(pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+    return out
+
+
+def unpacked_numbers(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    out = [np.frombuffer(pa.decompress(x, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x, n in zip(blobs, sizes.tolist(), strict=True) if n]
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def encoded(df: DataFrame, id_col: str, text_col: str, a_path: str, b_path: str) -> DataFrame:
-    """The ids of both tokenizers, as two little-endian bytes each, and what a text's own tokens tell."""
+    """What a text's own tokens tell, and its links by their number among the pairs of its block; a block's first row has its pairs."""
 
     def run(batches):
         aligner, block = Aligner(a_path, b_path), TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in rows_by_bytes(whole, "text", BLOCK_BYTES):
-                column = batch.column("text")
-                a, a_rows, b, b_rows = aligner.encode(column)
+                a, a_rows, b, b_rows = aligner.encode(batch.column("text"))
                 bits, rows = aligner.bits(a, b), aligner.row_bounds(a, a_rows)
                 both = bits[0] & bits[1]
                 cuts = both.places()
                 groups = _counted(both, rows)
                 body, upto = spelled(a, b, bits[0].before(cuts + 1), bits[1].before(cuts + 1))
                 # A row's groups without its last separator.
-                last = np.cumsum(groups)
-                ends = np.r_[0, upto][last]
+                ends = np.r_[0, upto][np.cumsum(groups)]
                 begins, raw = np.r_[0, ends[:-1]], body.tobytes()
                 sha = [hashlib.sha256(raw[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-                lists = [pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))]) for ids, bounds in ((a, a_rows), (b, b_rows))]
-                counts = [np.diff(a_rows), np.diff(b_rows), groups, _counted(bits[0] | bits[1], rows)]
+                links = _counted(bits[0] | bits[1], rows)
+                keys, which, n = np.unique(aligner.links(a, b, bits), return_inverse=True, return_counts=True)
+                order = np.argsort(-n, kind="stable")
+                number = np.zeros(len(order), np.uint32)
+                number[order] = np.arange(len(order))
+                blobs = packed_numbers(number[which], np.r_[0, np.cumsum(links)])
+                first = [None] * (batch.num_rows - 1)
+                counts = [np.diff(a_rows), np.diff(b_rows), groups, links]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(np.full(batch.num_rows, block)), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(sha, pa.string()), *lists],
+                    [
+                        batch.column("id"),
+                        pa.array(np.full(batch.num_rows, block)),
+                        *(pa.array(c.astype(np.int64)) for c in counts),
+                        pa.array(sha, pa.string()),
+                        pa.array(blobs, pa.binary()),
+                        pa.array([keys[order], *first], pa.list_(pa.int64())),
+                        pa.array([n[order].astype(np.int64), *first], pa.list_(pa.int64())),
+                    ],
                     [x.split()[0] for x in ENCODED.split(", ")],
                 )
                 block += 1
@@ -222,41 +249,6 @@ def encoded(df: DataFrame, id_col: str, text_col: str, a_path: str, b_path: str)
     return arrow_map(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, ENCODED)
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    body, offsets = flat(column)
-    return np.frombuffer(body.tobytes(), "<u2"), offsets // 2
-
-
-def _row_links(aligner: Aligner, batch) -> tuple[np.ndarray, np.ndarray]:
-    """The pair of each link of a batch of ``encoded``, and its row."""
-    (a, a_rows), (b, _) = (_ids(batch.column(c)) for c in "ab")
-    bits = aligner.bits(a, b)
-    pairs = aligner.links(a, b, bits)
-    return pairs, np.repeat(np.arange(batch.num_rows), _counted(bits[0] | bits[1], aligner.row_bounds(a, a_rows)))
-
-
-def _chunk(table: pa.Table) -> pa.RecordBatch:
-    """The rows of a table as one batch."""
-    got = table.combine_chunks().to_batches()
-    return got[0] if got else pa.RecordBatch.from_pylist([], table.schema)
-
-
-def block_pairs(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(block, pair, n): links of each id pair in a block; a block that tasks share may have a pair twice."""
-
-    def run(batches):
-        aligner = Aligner(a_path, b_path)
-        for batch in batches:
-            pairs, row = _row_links(aligner, batch)
-            block = batch.column("block").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, batch.num_rows] if batch.num_rows else np.zeros(1, np.int64)
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                keys, n = np.unique(pairs[np.searchsorted(row, s) : np.searchsorted(row, e)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block[s])), pa.array(keys), pa.array(n.astype(np.int64))], ["block", "pair", "n"])
-
-    return arrow_map(rows.select("block", "a", "b"), run, "block long, pair long, n long")
-
-
 def pair_counts(asked: DataFrame) -> DataFrame:
     """(pair, count, best, asks) of all id pairs: corpus-wide links, whether no other A id has more with the same B id, and rows of ``asked``."""
     sums = staged(asked.groupBy("pair").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("asks")), "pair-counts")
@@ -280,36 +272,26 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path:
     """
     a_path, b_path = a_path or public_path(A_NAME), b_path or public_path(B_NAME)
     rows = staged(encoded(df, id_col, text_col, a_path, b_path), "encoded")
-    asked = staged(block_pairs(rows, a_path, b_path), "block-pairs")
-    told = staged(split_join(asked.select("block", "pair"), pair_counts(asked), ["pair"], "asks", asked.count()).distinct(), "pair-answers")
+    asked = rows.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("at", "p")).select("block", "at", "p.pairs", "p.counts").toDF("block", "at", "pair", "n")
+    asked = staged(asked, "block-pairs")
+    told = staged(split_join(asked.select("block", "at", "pair"), pair_counts(asked), ["pair"], "asks", asked.count()).select("block", "at", "count", "best"), "pair-answers")
     drop_staged(df.sparkSession, asked)
 
     def look_up(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        aligner = _aligner(a_path, b_path)
-        batch = _chunk(mine)
-        pairs, row = _row_links(aligner, batch)
-        keys, counts, best = (answers.column(c).to_numpy() for c in ("pair", "count", "best"))
-        order = np.argsort(keys)
-        at = order[np.searchsorted(keys, pairs, sorter=order)] if len(pairs) else np.zeros(0, np.int64)
-        n = batch.num_rows
-        ends = np.searchsorted(row, np.arange(n + 1))
-        sums = [np.r_[0, np.cumsum(x[at].astype(np.int64))][ends] for x in (best, counts)]
-        add = [pa.array(x[1:] - x[:-1]) for x in sums]
-        have = [batch.column(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links")]
-        return pa.Table.from_arrays([*have, *add, batch.column("groups_sha256")], [x.split()[0] for x in REPORT.split(", ")])
-
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(look_up, REPORT)
-
-
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
-
+        links = mine.column("n_links").to_numpy()
+        number = unpacked_numbers(mine.column("links").to_pylist(), links)
+        at, ends, add = answers.column("at").to_numpy(), np.r_[0, np.cumsum(links)], []
+        for name in ("best", "count"):
+            told = np.zeros(len(at), np.int64)
+            told[at] = answers.column(name).to_numpy()
+            sums = np.r_[0, np.cumsum(told[number])][ends]
+            add.append(pa.array(sums[1:] - sums[:-1]))
+        have = [mine.column(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links")]
+        return pa.Table.from_arrays([*have, *add, mine.column("groups_sha256")], [x.split()[0] for x in REPORT.split(", ")])
 
-def _aligner(a_path: str, b_path: str) -> Aligner:
-    """A worker's aligner, made once."""
-    if (a_path, b_path) not in _ALIGNERS:
-        _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
-    return _ALIGNERS[a_path, b_path]
+    return rows.drop("pairs", "counts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(look_up, REPORT)
 
 
 def op13_token_alignment(spark, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     return align(table(spark, sf_dir, "documents"))
