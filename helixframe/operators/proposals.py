@@ -20,6 +20,8 @@ from helixframe.functions import fitness as fit
 from helixframe.functions import rng
 from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut
+from helixframe.operators import mutagenesis
+from helixframe.operators.mutagenesis import WindowScorer
 
 # Multiplier and shift of the three linear 3-mer scorers.
 CELLS = {"c1": (5, 3), "c2": (7, 1), "c3": (11, 6)}
@@ -268,22 +270,26 @@ def surrogate_score(weights: np.ndarray, seq: str = "seq", k: int = 3) -> Column
 
 
 def single_substitutions(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """All 3 L candidates of each row: position from 0, then the other bases in order."""
-    rows = df.withColumn("position", F.explode(F.sequence(F.lit(0), F.length(seq) - 1)))
-    rows = rows.withColumn("base", F.explode(F.array(*map(F.lit, S.BASES)))).where(F.col("base") != F.col(seq).substr(F.col("position") + 1, F.lit(1)))
-    s = F.col(seq)
-    return rows.withColumn("candidate", F.concat(s.substr(F.lit(1), F.col("position")), F.col("base"), s.substr(F.col("position") + 2, F.length(s))))
+    """All 3 L candidates of each row: position from 0, then the other bases in order. Rows without a base have none."""
+    return mutagenesis.with_candidates(df, seq, "_every").select(*df.columns, F.inline("_every"))
 
 
 def flipped(seq: Column, position: Column, base: Column) -> Column:
     return F.concat(seq.substr(F.lit(1), position), base, seq.substr(position + 2, F.length(seq)))
 
 
-def best_flip(df: DataFrame, score: Callable[[Column | str], Column], key: str = "pid", require_gain: bool = False) -> DataFrame:
+#: A scorer as a column; one that adds up windows is searched by deltas, any other by all candidates.
+Score = WindowScorer | Callable[[Column | str], Column]
+
+
+def best_flip(df: DataFrame, score: Score, key: str = "pid", require_gain: bool = False) -> DataFrame:
     """The best candidate of each row; position, then base settle ties. Without ``require_gain`` it may be worse.
 
-    Candidates are told apart by their score, place and base alone, so no more than that is aggregated.
+    Candidates of a foreign scorer are told apart by their score, place and base
+    alone, so no more than that is aggregated.
     """
+    if isinstance(score, WindowScorer):
+        return mutagenesis.best_flip(df, score, require_gain)
     best = F.min(F.struct((-F.col("_v")).alias("v"), "position", "base")).alias("_b")
     found = single_substitutions(df.select(key, "seq")).withColumn("_v", score("candidate")).groupBy(key).agg(best)
     out = df.join(found.select(F.col(key).alias("_k"), "_b.*"), F.col(key) == F.col("_k")).drop("_k")
@@ -291,11 +297,13 @@ def best_flip(df: DataFrame, score: Callable[[Column | str], Column], key: str =
     return out.where(F.col("candidate_score") > score("seq")) if require_gain else out
 
 
-def hill_climb(df: DataFrame, score: Callable[[Column | str], Column], budget: int, length: int, cap: int | None = None, key: str = "pid") -> DataFrame:
+def hill_climb(df: DataFrame, score: Score, budget: int, length: int, cap: int | None = None, key: str = "pid") -> DataFrame:
     """``budget`` rounds of the best strictly better substitution within the edit cap; stops when no row improves.
 
     A row whose best flip breaks the cap wastes its round.
     """
+    if isinstance(score, WindowScorer):
+        return mutagenesis.hill_climb(df, score, budget, cap, key)
     now = df.select(key, "seq", F.col("seq").alias("origin"))
     for _ in range(budget):
         flips = best_flip(now, score, key, True).select(F.col(key).alias("_k"), "candidate")
@@ -312,8 +320,10 @@ def hill_climb(df: DataFrame, score: Callable[[Column | str], Column], budget: i
     return now.withColumn("score", score("seq"))
 
 
-def ism_trajectory(df: DataFrame, score: Callable[[Column | str], Column], generations: int, key: str = "pid") -> DataFrame:
+def ism_trajectory(df: DataFrame, score: Score, generations: int, key: str = "pid") -> DataFrame:
     """Greedy mutagenesis: every generation applies the best flip, even if it lowers the score."""
+    if isinstance(score, WindowScorer):
+        return mutagenesis.ism_trajectory(df, score, generations, key)
     now = df.select(key, "seq").withColumns({"generation": F.lit(0), "score": score("seq"), "position": F.lit(None).cast("int"), "base": F.lit(None).cast("string")})
     out, first = now, now
     for g in range(1, generations + 1):

@@ -13,7 +13,7 @@ from helixframe.functions import fitness as fit
 from helixframe.functions import rng
 from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut
-from helixframe.operators import archives, profiles, proposals, ranking, relational, resample
+from helixframe.operators import archives, mutagenesis, profiles, proposals, ranking, relational, resample
 from helixframe.sources.sequences import from_documents, seed_pool
 
 QUERIES: dict = {}
@@ -535,14 +535,12 @@ _FLIPS = "SELECT pid, p, b, left(seq, p) || b || substr(seq, p + 2) AS candidate
 
 @query(TILES + f"SELECT pid, count(*) AS candidates, min(candidate) AS first, max(candidate) AS last FROM ({_FLIPS}) GROUP BY 1")
 def ism_candidates(spark, sf):
-    return proposals.single_substitutions(seqs(spark, sf).select("pid", "seq")).groupBy("pid").agg(F.count(F.lit(1)).alias("candidates"), F.min("candidate").alias("first"), F.max("candidate").alias("last"))
+    rows = mutagenesis.with_candidates(seqs(spark, sf).select("pid", "seq")).withColumn("every", F.col("candidates.candidate"))
+    return rows.select("pid", F.size("every").cast("long").alias("candidates"), F.array_min("every").alias("first"), F.array_max("every").alias("last"))
 
 
-def _cg(seq):
-    """A small scorer for whole-table mutagenesis: GA and, twice, CG; neither overlaps itself."""
-    s = F.col(seq) if isinstance(seq, str) else seq
-    count = lambda m: (F.length(s) - F.length(F.replace(s, F.lit(m), F.lit("")))) / 2
-    return count("GA") + 2 * count("CG")
+#: A small scorer for whole-table mutagenesis: GA and, twice, CG; neither overlaps itself.
+_CG = mutagenesis.WindowScorer.of_motifs({"GA": 1, "CG": 2})
 
 
 def _cg_sql(s):
@@ -557,7 +555,7 @@ def _flips_sql(table: str) -> str:
 
 @query(TILES + f"SELECT pid, candidate, v AS candidate_score FROM ({_flips_sql('s')})")
 def ism_best_flip(spark, sf):
-    return proposals.best_flip(seqs(spark, sf).select("pid", "seq"), _cg).select("pid", "candidate", "candidate_score")
+    return proposals.best_flip(seqs(spark, sf).select("pid", "seq"), _CG).select("pid", "candidate", "candidate_score")
 
 
 def _climb_sql(rounds: int, cap: int) -> str:
@@ -572,14 +570,14 @@ def _climb_sql(rounds: int, cap: int) -> str:
 
 @query(_climb_sql(3, 2))
 def hill_climb(spark, sf):
-    return proposals.hill_climb(seqs(spark, sf).select("pid", "seq"), _cg, 3, 200, cap=2).select("pid", "seq", "score")
+    return proposals.hill_climb(seqs(spark, sf).select("pid", "seq"), _CG, 3, 200, cap=2).select("pid", "seq", "score")
 
 
 @query(f"""WITH {_TILES}, t1 AS MATERIALIZED ({_flips_sql("s")}), u AS (SELECT pid, candidate AS seq FROM t1), t2 AS ({_flips_sql("u")})
 SELECT pid, 0 AS generation, seq, {_cg_sql("seq")} AS score, -1 AS position, '' AS base FROM s
 UNION ALL SELECT pid, 1, candidate, v, p::INT, b FROM t1 UNION ALL SELECT pid, 2, candidate, v, p::INT, b FROM t2""")
 def ism_trajectory(spark, sf):
-    return proposals.ism_trajectory(seqs(spark, sf).select("pid", "seq"), _cg, 2).select("pid", "generation", "seq", "score", F.coalesce("position", F.lit(-1)).alias("position"), F.coalesce("base", F.lit("")).alias("base"))
+    return proposals.ism_trajectory(seqs(spark, sf).select("pid", "seq"), _CG, 2).select("pid", "generation", "seq", "score", F.coalesce("position", F.lit(-1)).alias("position"), F.coalesce("base", F.lit("")).alias("base"))
 
 
 @query(None)

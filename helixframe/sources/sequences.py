@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from helixframe.functions.sequence import BASES
+
 LENGTH = 200
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -84,7 +86,8 @@ def from_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     pid = doc_id * 1000000 + tile.
     """
-    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS_BASES)
-    rows = docs.select("doc_id", "lang", "source", letters.alias("_s")).where(F.length("_s") >= length)
-    rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.floor(F.length("_s") / length).cast("int") - 1)))
-    return rows.select((F.col("doc_id") * 1000000 + F.col("tile")).alias("pid"), "doc_id", F.col("tile").cast("long").alias("tile"), "lang", "source", F.expr(f"substring(_s, tile * {length} + 1, {length})").alias("seq"))
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), LETTERS, AS_BASES)
+    # All tiles in one pass over a text; cut out one by one, each would walk the text from its start.
+    tiles = F.regexp_extract_all(letters, F.lit(f"[{BASES}]{{{length}}}"), F.lit(0))
+    rows = docs.select("doc_id", "lang", "source", F.posexplode(tiles).alias("_t", "seq"))
+    return rows.select((F.col("doc_id") * 1000000 + F.col("_t")).alias("pid"), "doc_id", F.col("_t").cast("long").alias("tile"), "lang", "source", "seq")
