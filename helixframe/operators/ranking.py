@@ -7,11 +7,15 @@ go over two levels: partial figures of range partitions, then a window in each.
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.relational import part_offsets, range_parts
+from helixframe.functions.lineage import cut
+from helixframe.operators.relational import numbered, part_offsets, range_parts
 
 
 def with_average_rank(df: DataFrame, value: str, name: str, group: str | None = None) -> DataFrame:
@@ -104,42 +108,136 @@ def pareto_first(df: DataFrame, score: str, edits: str) -> DataFrame:
     return df.join(front, (df[score] == F.col("_fs")) & (df[edits] == F.col("_low"))).drop("_fs", "_low")
 
 
-def pareto_fronts(df: DataFrame, key: str, score: str, edits: str) -> DataFrame:
-    """Adds ``front`` from 0.
+#: Distinct (score, edits) pairs to a row of blocks of ``pareto_fronts``, on average.
+PAIRS = 500_000
 
-    A row's front is the longest chain of rows that beat it, which is a patience
-    sort over (score, edits) pairs. Only distinct pairs are sorted, in one task
-    of pandas; the rows themselves stay where they are.
+
+class Staircase:
+    """The least edits of each front within a range of edits, as pairs come in order of the score.
+
+    ``below`` fronts have their least edits below the range. When one more has,
+    the first front of the range leaves it, or if it holds none, the fronts of
+    the ranges above have one more below them as well.
     """
-    pairs = df.select(F.col(score).cast("double").alias("s"), F.col(edits).cast("double").alias("e")).distinct()
 
-    def peel(batch):
-        batch = batch.sort_values(["s", "e"], ascending=[False, True])
-        ends: list[float] = []  # the least edits of each front so far, rising
-        out = []
-        for e in batch["e"]:
-            at = bisect.bisect_right(ends, e)
-            if at == len(ends):
-                ends.append(e)
-            else:
-                ends[at] = e
-            out.append(at)
-        return batch.assign(front=out)[["s", "e", "front"]]
+    def __init__(self, below: int, ends: list[float]):
+        self.below, self.ends, self.head = below, ends, 0
+
+    def lowered(self) -> bool:
+        """One more front below the range; whether the ranges above learn of it."""
+        self.below += 1
+        if self.head < len(self.ends):
+            self.head += 1
+            return False
+        return True
+
+    def placed(self, e: float) -> tuple[int, bool]:
+        """The front of a pair with ``e`` edits, and whether the ranges above have one more front below them."""
+        at = bisect.bisect_right(self.ends, e, self.head)
+        grown = at == len(self.ends)
+        if grown:
+            self.ends.append(e)
+        else:
+            self.ends[at] = e
+        return self.below + at - self.head, grown
+
+    def left(self) -> list[float]:
+        return self.ends[self.head :]
+
+
+def _block(at: np.ndarray, edits: np.ndarray, events: np.ndarray, stairs: Staircase) -> tuple[np.ndarray, np.ndarray]:
+    """(front of each pair of a block, events for the block of the next range of edits); pairs and events in the order of ``at``."""
+    fronts, out, k = np.zeros(len(at), np.int64), [], 0
+    events, edits = events.tolist(), edits.tolist()
+    for i, now in enumerate(at.tolist()):
+        while k < len(events) and events[k] < now:
+            if stairs.lowered():
+                out.append(events[k])
+            k += 1
+        fronts[i], grown = stairs.placed(edits[i])
+        if grown:
+            out.append(now)
+    out += [e for e in events[k:] if stairs.lowered()]
+    return fronts, np.array(out, np.int64)
+
+
+def pareto_fronts(df: DataFrame, key: str, score: str, edits: str, pairs_a_row: int = PAIRS) -> DataFrame:
+    """Adds ``front`` from 0; ``key`` tells rows apart. Rows whose score or edits are null are left out.
 
-    fronts = pairs.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(peel, "s double, e double, front long")
-    return df.join(fronts, (df[score].cast("double") == F.col("s")) & (df[edits].cast("double") == F.col("e"))).drop("s", "e")
+    A row's front is the longest chain of rows that beat it, which is a patience
+    sort of the distinct (score, edits) pairs. These are dealt over a grid:
+    equal ranges of the order by score, and ranges of edits. A block needs the
+    least edits of its fronts from the range of better scores, and from the
+    range of fewer edits when fronts leave for it, so the blocks of a diagonal
+    run side by side, each with the pairs of one range of scores at most.
+    """
+    spark = df.sparkSession
+    rows = df.withColumns({"_s": F.col(score).cast("double"), "_e": F.col(edits).cast("double")}).where("_s is not null and _e is not null")
+    pairs = cut(rows.select("_s", "_e").distinct())
+    many = 1 + pairs.count() // pairs_a_row
+    cuts = sorted(set(pairs.approxQuantile("_e", [(i + 1) / many for i in range(many - 1)], 0.2 / many))) if many > 1 else []
+    at = numbered(pairs.withColumn("_o", F.struct((-F.col("_s")).alias("s"), "_e")), "_o", "at").drop("_o")
+    column = sum((F.when(F.col("_e") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    grid = cut(at.select("_s", "_e", "at", F.floor(F.col("at") / pairs_a_row).cast("int").alias("i"), column.alias("j")))
+    told, wide = [], len(cuts) + 1
+    messages = spark.createDataFrame([], "i int, j int, below long, ends array<double>, events array<long>")
+
+    def run(mine: pa.Table, news: pa.Table) -> pa.Table:
+        i, j = ((mine if mine.num_rows else news).column(c)[0].as_py() for c in "ij")
+        mine = mine.sort_by("at")
+        told = {c: next((x for x in news.column(c).to_pylist() if x is not None), none) for c, none in (("below", 0), ("ends", []), ("events", []))}
+        stairs = Staircase(told["below"], told["ends"])
+        fronts, passed = _block(mine.column("at").to_numpy(), mine.column("_e").to_numpy(), np.array(told["events"], np.int64), stairs)
+        s, e = mine.column("_s").to_pylist(), mine.column("_e").to_pylist()
+        rows = [(i, j, a, b, f, None, None, None) for a, b, f in zip(s, e, fronts.tolist(), strict=True)]
+        rows += [(i + 1, j, None, None, None, stairs.below, stairs.left(), None), (i, j + 1, None, None, None, None, None, passed.tolist())]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), wire, strict=True)], schema=wire)
+
+    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+    wire = pa.schema(list(zip(("i", "j", "_s", "_e", "front", "below", "ends", "events"), kinds, strict=True)))
+    schema = "i int, j int, _s double, _e double, front long, below long, ends array<double>, events array<long>"
+    for diagonal in range(many + wide - 1):
+        here = grid.where(F.col("i") + F.col("j") == diagonal).groupBy("i", "j")
+        out = cut(here.cogroup(messages.where(F.col("i") + F.col("j") == diagonal).groupBy("i", "j")).applyInArrow(run, schema))
+        told.append(out.where("front is not null").select("_s", "_e", "front"))
+        messages = out.where((F.col("front").isNull()) & (F.col("i") < many) & (F.col("j") < wide)).select("i", "j", "below", "ends", "events")
+    fronts = reduce(DataFrame.unionByName, told) if told else pairs.select("_s", "_e", F.lit(0).cast("long").alias("front"))
+    return rows.join(fronts, ["_s", "_e"]).select(*df.columns, "front")
+
+
+def with_neighbours(df: DataFrame, group: str, order: str, key: str, before: str, after: str) -> DataFrame:
+    """Adds the value of ``order`` of the rows before and after, by (order, key) within each group; null at its ends.
+
+    Over ranges of the table: a group may span many, and only the first and last
+    row of each range go to the neighbouring ones.
+    """
+    rows = range_parts(df, F.struct(group, order, key))
+    local = Window.partitionBy("_part").orderBy("_at")
+    beside = lambda f: (f(group).over(local), f(order).over(local))
+    (bg, bv), (ag, av) = beside(F.lag), beside(F.lead)
+    rows = rows.withColumns({"_bg": bg, "_bv": bv, "_ag": ag, "_av": av, "_first": F.lag("_at").over(local).isNull(), "_last": F.lead("_at").over(local).isNull()})
+    edges = rows.where("_first or _last").select("_part", F.col("_first").alias("f"), F.col("_last").alias("l"), F.col(group).alias("g"), F.col(order).alias("v")).collect()
+    # Two rows a range: each range looks at the nearest one that has rows.
+    firsts, lasts = sorted((r for r in edges if r["f"]), key=lambda r: r["_part"]), sorted((r for r in edges if r["l"]), key=lambda r: r["_part"])
+    kinds = {c: t for c, t in df.dtypes}
+    side = df.sparkSession.createDataFrame(
+        [(a["_part"], *((p["g"], p["v"]) if p else (None, None)), *((n["g"], n["v"]) if n else (None, None))) for a, p, n in zip(firsts, [None, *lasts], [*firsts[1:], None])],
+        f"_part int, _pg {kinds[group]}, _pv {kinds[order]}, _ng {kinds[group]}, _nv {kinds[order]}",
+    )
+    rows = rows.join(F.broadcast(side), "_part")
+    of = lambda edge, g, v, og, ov: F.when(F.col(edge), F.when(F.col(og).eqNullSafe(F.col(group)), F.col(ov))).otherwise(F.when(F.col(g).eqNullSafe(F.col(group)), F.col(v)))
+    return rows.withColumns({before: of("_first", "_bg", "_bv", "_pg", "_pv"), after: of("_last", "_ag", "_av", "_ng", "_nv")}).select(*df.columns, before, after)
 
 
 def crowding(df: DataFrame, score: str, edits: str, key: str) -> DataFrame:
-    """Adds ``crowding`` within each front: ends, and fronts of at most two, are infinite."""
-    out = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("front")))
+    """Adds ``crowding`` within each front: ends, and fronts of at most two, are infinite. A front may span many tasks."""
+    spans = df.groupBy("front").agg(F.count(F.lit(1)).alias("_n"), *((F.max(c) - F.min(c)).alias(f"_w{i}") for i, c in enumerate((score, edits))))
+    out = df
     for i, c in enumerate((score, edits)):
-        order, whole = Window.partitionBy("front").orderBy(c, key), Window.partitionBy("front")
-        span = F.max(c).over(whole) - F.min(c).over(whole)
-        before, after = F.lag(c).over(order), F.lead(c).over(order)
-        part = F.when(before.isNull() | after.isNull(), F.lit(float("inf"))).when(span > 0, (after - before) / span).otherwise(0.0)
-        out = out.withColumn(f"_c{i}", part)
-    return out.withColumn("crowding", F.when(F.col("_n") <= 2, F.lit(float("inf"))).otherwise(F.col("_c0") + F.col("_c1"))).drop("_n", "_c0", "_c1")
+        out = with_neighbours(out, "front", c, key, f"_b{i}", f"_a{i}")
+    out = out.join(spans.withColumnRenamed("front", "_f"), F.col("front") == F.col("_f"))
+    part = lambda i: F.when(F.col(f"_b{i}").isNull() | F.col(f"_a{i}").isNull(), F.lit(float("inf"))).when(F.col(f"_w{i}") > 0, (F.col(f"_a{i}") - F.col(f"_b{i}")) / F.col(f"_w{i}")).otherwise(0.0)
+    return out.withColumn("crowding", F.when(F.col("_n") <= 2, F.lit(float("inf"))).otherwise(part(0) + part(1))).select(*df.columns, "crowding")
 
 
 def pareto_fitness(df: DataFrame) -> DataFrame:

@@ -81,6 +81,16 @@ def seed_pool(kind: str, natural: DataFrame | None = None, score: str | None = N
     return rows.orderBy(*order).limit(n)
 
 
+#: Tables of at most so many bytes are dealt over all cores.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores, as one task reads a file of one row group; a large one as it comes, without a shuffle."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+
+
 def from_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Sequences of whole texts: letters become bases in turn, and every full tile of ``length`` is a row.
 
@@ -89,5 +99,5 @@ def from_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), LETTERS, AS_BASES)
     # All tiles in one pass over a text; cut out one by one, each would walk the text from its start.
     tiles = F.regexp_extract_all(letters, F.lit(f"[{BASES}]{{{length}}}"), F.lit(0))
-    rows = docs.select("doc_id", "lang", "source", F.posexplode(tiles).alias("_t", "seq"))
+    rows = spread(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.posexplode(tiles).alias("_t", "seq"))
     return rows.select((F.col("doc_id") * 1000000 + F.col("_t")).alias("pid"), "doc_id", F.col("_t").cast("long").alias("tile"), "lang", "source", "seq")
