@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from helixframe.functions.lineage import cut
 from helixframe.operators import ranking, relational
 
 
@@ -39,10 +41,7 @@ def best_snapshot(df: DataFrame, score: str = "score", step: str = "step") -> Da
 
 
 def budget_merge(archive: DataFrame | None, new: DataFrame, capacity: int, signals: list[str], key: str = "row_id") -> DataFrame:
-    """archive and new together, cut to the largest rank sums if they exceed the capacity.
-
-    Ranks are among the merged rows, so checkpoints must come in order.
-    """
+    """archive and one new checkpoint together, cut to the largest rank sums if they exceed the capacity; for streams."""
     merged = new if archive is None else archive.unionByName(new)
     if capacity <= 0:
         return merged.limit(0)
@@ -52,12 +51,64 @@ def budget_merge(archive: DataFrame | None, new: DataFrame, capacity: int, signa
     return ranked.orderBy(F.desc("_rank"), key).limit(capacity).drop("_rank")
 
 
-def budget(df: DataFrame, capacity: int, signals: list[str], step: str = "step", key: str = "row_id") -> DataFrame:
-    """The budget archive over all checkpoints, in order; state is cut by checkpoint() after each."""
-    archive = None
-    for row in df.select(step).distinct().orderBy(step).collect():
-        archive = cut(budget_merge(archive, df.where(F.col(step) == row[0]), capacity, signals, key))
-    return archive if archive is not None else df
+def _average_ranks(values: np.ndarray) -> np.ndarray:
+    _, which, n = np.unique(values, return_inverse=True, return_counts=True)
+    upto = np.cumsum(n)
+    return (upto - (n - 1) / 2)[which]
+
+
+def _best_by_rank_sum(rows: pa.Table, capacity: int, signals: list[str], key: str) -> pa.Table:
+    """The ``capacity`` rows of the largest sum of average ranks, the smallest key on ties; nulls rank lowest."""
+    if rows.num_rows <= capacity:
+        return rows
+    ranks = sum(_average_ranks(rows.column(c).cast(pa.float64()).fill_null(-np.inf).to_numpy()) for c in signals)
+    order = np.lexsort((rows.column(key).to_numpy(), -ranks))
+    return rows.take(pa.array(np.sort(order[:capacity])))
+
+
+def budget(df: DataFrame, capacity: int, signals: list[str], step: str = "step", key: str = "row_id", group: str | None = None) -> DataFrame:
+    """The budget archive over all checkpoints in the order of ``step``, or one for each ``group``.
+
+    After each checkpoint the archive and its rows together are cut to the
+    ``capacity`` largest rank sums; ranks are among those rows, so checkpoints
+    depend on the ones before. The rows of a group pass once, in order, and what
+    is carried from one to the next is at most ``capacity`` rows; with them a task
+    holds one checkpoint's population. Groups run side by side.
+    """
+    schema = df.schema
+    wire = to_arrow_schema(schema)
+
+    def run(batches):
+        held: list[pa.Table] = []
+        archive, at = wire.empty_table(), None
+
+        def folded() -> pa.Table:
+            return _best_by_rank_sum(pa.concat_tables([archive, *held]), capacity, signals, key) if capacity > 0 else wire.empty_table()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]).cast(wire)
+            names = [*([group] if group else []), step]
+            marks = list(zip(*(table.column(c).to_pylist() for c in names), strict=True))
+            begin = 0
+            for i in range(1, len(marks) + 1):
+                if i < len(marks) and marks[i] == marks[begin]:
+                    continue
+                if at is not None and marks[begin] != at:
+                    archive, held = folded(), []
+                    if group and marks[begin][0] != at[0]:
+                        yield from archive.to_batches()
+                        archive = wire.empty_table()
+                at = marks[begin]
+                held.append(table.slice(begin, i - begin))
+                begin = i
+        if held:
+            yield from folded().to_batches()
+
+    order = [*([group] if group else []), step, key]
+    dealt = df.repartition(group) if group else df.repartition(1)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def history(df: DataFrame, score: str = "score", step: str = "step", window: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import rng
 from helixframe.functions.lineage import cut
 from helixframe.operators.ranking import prefix_sum
-from helixframe.operators.relational import numbered
+from helixframe.operators.relational import numbered, range_parts
 
 #: Candidate steps to a round of the search, and rounds: 2 ** -48 of the range is told apart.
 WIDTH, ROUNDS = 256, 6
@@ -83,11 +83,41 @@ def tempered(df: DataFrame, log_weight: str, temperature: float | Column) -> Dat
     return df.join(F.broadcast(top), how="cross").withColumn("weight", F.exp((F.col(log_weight) - F.col("_m")) / heat)).drop("_m")
 
 
+def weighted_draws(df: DataFrame, n: int, weight: str, key: str, seed: int, stream: str = "weighted") -> DataFrame:
+    """(draw, key): n independent draws with replacement, each row with the chance of its weight; rows of weight 0 never come.
+
+    Each draw is a whole number below the sum of the weights and goes to the
+    first row, by key, whose running sum is beyond it. Draws and running sums
+    are dealt over the same ranges, so the search is a window in each range; a
+    range's draws beyond its last row go to the first row of a later one.
+    """
+    rows = prefix_sum(fixed_point(df.select(key, weight).where(F.col(weight) > 0), weight, "_w"), key, "_w", "_upto")
+    total = rows.agg(F.max("_upto")).first()[0]
+    if not total or n <= 0:
+        return df.select(F.lit(0).cast("long").alias("draw"), key).limit(0)
+    half = lambda s: F.floor(rng.uniform(seed, s, "draw") * F.lit(4294967296.0)).cast("long")
+    point = F.pmod(F.floor(half(f"{stream}-high") / 2).cast("long") * F.lit(1 << 32) + half(f"{stream}-low"), F.lit(total))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_x", point)
+    # A row stands just before the first point that is no longer its own.
+    both = rows.select((F.col("_upto") - 1).alias("_x"), F.lit(None).cast("long").alias("draw"), F.struct(key).alias("_r")).unionByName(draws.withColumn("_r", F.lit(None).cast(f"struct<{key}:{dict(df.dtypes)[key]}>")))
+    parts = range_parts(both.withColumn("_o", F.struct("_x", F.col("_r").isNotNull().alias("row"), "draw")), "_o")
+    ahead = Window.partitionBy("_part").orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
+    found = parts.withColumn("_r", F.first("_r", ignorenulls=True).over(ahead)).where("draw is not null")
+    # One row a range: its first row, for the draws that end the ranges before it.
+    first = {r["_part"]: r["f"] for r in parts.where("_r is not null").groupBy("_part").agg(F.min_by("_r", "_at").alias("f")).collect()}
+    side, after = [], None
+    for p in range(max(first), -1, -1):
+        side.append((p, after))
+        after = first.get(p, after)
+    side = df.sparkSession.createDataFrame(side, f"_part int, _n struct<{key}:{dict(df.dtypes)[key]}>")
+    return found.join(F.broadcast(side), "_part", "left").select("draw", F.coalesce("_r", "_n")[key].alias(key))
+
+
 def capped(df: DataFrame, most: int, weight: str, key: str, seed: int) -> DataFrame:
     """At most ``most`` copies each; what is lost is drawn with replacement among rows that have copies.
 
     Rows under the cap are drawn by weight, or if there are none, all rows
-    alike. The draws may lift a row above the cap again.
+    alike; the draws are independent. They may lift a row above the cap again.
     """
     kept = df.withColumn("copies", F.least(F.col("copies"), F.lit(most)))
     lost = df.agg(F.sum(F.greatest(F.col("copies") - most, F.lit(0)))).first()[0] or 0
@@ -96,7 +126,7 @@ def capped(df: DataFrame, most: int, weight: str, key: str, seed: int) -> DataFr
     low = kept.where((F.col("copies") > 0) & (F.col("copies") < most)).select(key, weight)
     if low.isEmpty():
         low = kept.where("copies > 0").select(key, F.lit(1).alias(weight))
-    extra = systematic_copies(low, weight, key, rng_start(seed), int(lost)).select(F.col(key).alias("_k"), F.col("copies").alias("_x"))
+    extra = weighted_draws(low, int(lost), weight, key, seed, "fill").groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_x"))
     return kept.join(extra, F.col(key) == F.col("_k"), "left").withColumn("copies", F.col("copies") + F.coalesce("_x", F.lit(0))).drop("_k", "_x")
 
 

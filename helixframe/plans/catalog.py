@@ -516,6 +516,14 @@ def _mutated_sql(k: str) -> str:
     return f"list_aggregate(list_transform(range(0, 200), lambda i: CASE WHEN {hit} < 0.05 THEN substr('ACGT', (floor({base} * 4) + 1)::BIGINT, 1) ELSE substr(seq, i + 1, 1) END), 'string_agg', '')"
 
 
+@query(CELLS.rstrip() + f""", w AS MATERIALIZED (SELECT pid, floor(exp(c1) * 1000)::BIGINT AS w FROM c),
+p AS (SELECT d AS draw, ((floor({uniform_sql(11, 'weighted-high', 'd')} * 4294967296.0)::BIGINT // 2) * 4294967296 + floor({uniform_sql(11, 'weighted-low', 'd')} * 4294967296.0)::BIGINT) % (SELECT sum(w)::BIGINT FROM w) AS x FROM range(0, 20000) r(d)),
+q AS (SELECT pid, w, sum(w) OVER (ORDER BY pid) AS upto FROM w) SELECT draw, pid FROM p JOIN q ON p.x < q.upto AND p.x >= q.upto - q.w""")
+def weighted_draws(spark, sf):
+    rows = cells(spark, sf).select("pid", F.floor(F.exp(F.col("c1")) * 1000).cast("long").alias("w"))
+    return resample.weighted_draws(rows, 20_000, "w", "pid", 11)
+
+
 @query(f"WITH {_TILES} SELECT pid, k, {_mutated_sql('k')} AS seq FROM s, range(0, 2) r(k)")
 def mutate_branches(spark, sf):
     return proposals.Masked(0.05, 5).expand(seqs(spark, sf).select("pid", "seq"), 2, 0).select("pid", F.col("k").cast("long").alias("k"), "seq")
@@ -685,7 +693,12 @@ def best_eval_step(spark, sf):
     return archives.best_step(checkpoints(spark, sf), "value").select("step", r6("mean").alias("mean"), "n")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_CHECKPOINTS}, r AS MATERIALIZED (SELECT step, event_id AS row_id, value, (user_id % 17)::DOUBLE AS other, dense_rank() OVER (ORDER BY step) AS n FROM e),
+a AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS ids UNION ALL
+  SELECT i + 1, (SELECT list(row_id) FROM (SELECT row_id FROM (SELECT row_id, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2
+      + rank() OVER (ORDER BY other) + (count(*) OVER (PARTITION BY other) - 1) / 2 AS t FROM r WHERE r.n = a.i + 1 OR list_contains(a.ids, r.row_id)) ORDER BY t DESC, row_id LIMIT 100))
+  FROM a WHERE i < (SELECT max(n) FROM r))
+SELECT step, row_id, value, other FROM r WHERE row_id IN (SELECT unnest(ids) FROM a WHERE i = (SELECT max(n) FROM r))""")
 def archive_budget(spark, sf):
     rows = checkpoints(spark, sf).select("step", F.col("event_id").alias("row_id"), "value", F.pmod("user_id", F.lit(17)).cast("double").alias("other"))
     return archives.budget(rows, 100, ["value", "other"])

@@ -245,3 +245,24 @@ def test_logit_mask_and_random_pool(spark):
     assert [i for i, x in enumerate(mask) if x == 0.0] == [8, 10] and mask[7] == float("-inf")
     pool = sequences.seed_pool("random", n=20, length=30, seed=2, spark=spark)
     assert pool.count() == 20 and pool.where("length(seq) <> 30").isEmpty()
+
+
+def test_weighted_draws(spark):
+    w = [0, 5, 1, 0, 30, 2, 0, 7, 0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(w)], "pid long, w long")
+    got = sorted((r["draw"], r["pid"]) for r in resample.weighted_draws(df, 3000, "w", "pid", 4).collect())
+    assert [d for d, _ in got] == list(range(3000))
+    share = np.bincount([p for _, p in got], minlength=len(w)) / 3000
+    assert all(share[i] == 0 for i, x in enumerate(w) if not x) and np.abs(share - np.array(w) / sum(w)).max() < 0.03
+    assert got == sorted((r["draw"], r["pid"]) for r in resample.weighted_draws(df.repartition(7), 3000, "w", "pid", 4).collect())
+    assert resample.weighted_draws(df, 0, "w", "pid", 4).count() == resample.weighted_draws(df.where("w = 0"), 9, "w", "pid", 4).count() == 0
+
+
+def test_budget_by_group(spark):
+    rows = [(g, s, g * 1000 + s * 20 + i, float((i * 7 + s + g) % 13), float((i * 5) % 11)) for g in range(3) for s in range(4) for i in range(20)]
+    df = spark.createDataFrame(rows, "run long, step long, row_id long, a double, b double")
+    together = archives.budget(df, 25, ["a", "b"], group="run")
+    for g in range(3):
+        alone = archives.budget(df.where(F.col("run") == g), 25, ["a", "b"])
+        assert sorted(r["row_id"] for r in together.where(F.col("run") == g).collect()) == sorted(r["row_id"] for r in alone.collect())
+    assert archives.budget(df.limit(0), 5, ["a"]).count() == 0
