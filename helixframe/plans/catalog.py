@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from helixframe.functions import fitness as fit
 from helixframe.functions import rng
 from helixframe.functions import sequence as S
-from helixframe.functions.lineage import cut
+from helixframe.functions.lineage import cut, new_path
 from helixframe.operators import archives, mutagenesis, profiles, proposals, ranking, relational, resample
+from helixframe.sources import hdf5
 from helixframe.sources.sequences import from_documents, seed_pool
 
 QUERIES: dict = {}
@@ -507,6 +508,23 @@ def stratified_resample(spark, sf):
     return resample.stratified_copies(rows, "w", "pid", "gc", "c1", _EDGES, rows.count(), 0.5, "minshift", least=20).where("copies > 0").select("pid", "bin", "copies")
 
 
+# --------------------------------------------------------------- HDF5 pools
+
+
+@query(METRICS + "SELECT pid, seq, round(gc, 6) AS gc FROM m")
+def hdf5_pool(spark, sf):
+    path = new_path(spark, "pool")
+    hdf5.write_pool(seqs(spark, sf).select("pid", "seq", S.gc("seq").alias("gc")), path)
+    return hdf5.read_pool(spark, path).select("pid", "seq", r6("gc").alias("gc"))
+
+
+@query(TILES + "SELECT pid, seq FROM s")
+def hdf5_one_hot_pool(spark, sf):
+    path = new_path(spark, "hot-pool")
+    hdf5.write_pool(seqs(spark, sf).select("pid", "seq"), path, "arr_0")
+    return hdf5.read_pool(spark, path).select("pid", "seq")
+
+
 # ----------------------------------------------------- proposals and searches
 
 
