@@ -13,7 +13,7 @@ from helixframe.functions import fitness as fit
 from helixframe.functions import rng
 from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut, new_path
-from helixframe.operators import archives, mutagenesis, profiles, proposals, ranking, relational, resample
+from helixframe.operators import archives, markov, mutagenesis, profiles, proposals, ranking, relational, resample
 from helixframe.sources import hdf5
 from helixframe.sources.sequences import from_documents, seed_pool
 
@@ -547,6 +547,40 @@ def mutate_branches(spark, sf):
     return proposals.Masked(0.05, 5).expand(seqs(spark, sf).select("pid", "seq"), 2, 0).select("pid", F.col("k").cast("long").alias("k"), "seq")
 
 
+def _word_sql(stream: str) -> str:
+    """A 32-bit word of branch 0, step 0, round 0 at place i (from 1)."""
+    return f"('0x' || substr(md5('9:{stream}:' || pid || ':0:0:0:' || ((i - 1) // 4)), 1 + 8 * ((i - 1) % 4), 8))::BIGINT"
+
+
+@query(f"""WITH {_TILES}, x AS (SELECT unnest(list_transform(range(1, 199), lambda j: substr(seq, j, 3))) AS kmer FROM s),
+n AS MATERIALIZED (SELECT kmer, count(*) AS n FROM x GROUP BY 1),
+o AS (SELECT right(kmer[1:2], len) AS ctx, kmer[3] AS b, sum(n)::BIGINT AS n FROM n, (VALUES (0), (1), (2)) v(len) GROUP BY ALL),
+t AS (SELECT ctx, 1 + coalesce(sum(n) FILTER (b = 'A'), 0)::BIGINT AS a, 1 + coalesce(sum(n) FILTER (b = 'C'), 0)::BIGINT AS c, 1 + coalesce(sum(n) FILTER (b = 'G'), 0)::BIGINT AS g, 1 + coalesce(sum(n) FILTER (b = 'T'), 0)::BIGINT AS t FROM o GROUP BY 1),
+m AS MATERIALIZED (SELECT map(list(ctx), list([a, a + c, a + c + g, a + c + g + t])) AS m FROM t),
+w AS MATERIALIZED (SELECT pid, seq, list_transform(range(1, 201), lambda i: CASE WHEN {_word_sql('mask')} / 4294967296.0 < 0.1 THEN {_word_sql('base')} ELSE -1 END) AS w FROM s)
+SELECT pid, list_reduce(list_prepend('', string_split(seq, '')), lambda acc, base, i: acc || CASE WHEN w[i - 1] < 0 THEN base ELSE
+  substr('ACGT', 1 + (((w[i - 1] * m[right(acc, 2)][4]) >> 32) >= m[right(acc, 2)][1])::INT + (((w[i - 1] * m[right(acc, 2)][4]) >> 32) >= m[right(acc, 2)][2])::INT + (((w[i - 1] * m[right(acc, 2)][4]) >> 32) >= m[right(acc, 2)][3])::INT, 1) END) AS seq FROM w, m""")
+def markov_left_to_right(spark, sf):
+    rows = seqs(spark, sf).select("pid", "seq")
+    model = markov.MarkovModel.of(rows, 2)
+    return markov.MarkovProposal(model, 0.1, 9).expand(rows, 1, 0).select("pid", "seq")
+
+
+@query(None)
+def markov_two_sided(spark, sf):
+    rows = seqs(spark, sf).select("pid", "seq")
+    model = markov.MarkovModel.of(rows, 1)
+    return markov.MarkovProposal(model, 0.1, 9, "both").expand(rows, 2, 0).select("pid", "k", "seq", r6("log_p").alias("log_p"))
+
+
+@query(None)
+def guided_proposals(spark, sf):
+    rows = seqs(spark, sf).select("pid", "seq")
+    model = markov.MarkovModel.of(rows, 1)
+    out = markov.MarkovProposal(model, 0.1, 9, "guided", scorer=_CG, budget=1.0).expand(rows, 1, 0)
+    return out.select("pid", "seq", _CG("seq").alias("score"), r6("log_ratio").alias("log_ratio"))
+
+
 @query(f"""WITH {_TILES}, x AS MATERIALIZED (SELECT pid, k, seq AS parent, {_mutated_sql('k')} AS new FROM s, range(0, 2) r(k)), d AS MATERIALIZED (SELECT *, translate(new, 'ACGT', '0123') AS d FROM x),
 y AS (SELECT *, hamming(new, parent) <= 8 AS ok, list_sum(list_transform(range(1, 199), lambda j: ((16 * substr(d, j, 1)::BIGINT + 4 * substr(d, j + 1, 1)::BIGINT + substr(d, j + 2, 1)::BIGINT) * 5 + 3) % 17 - 8)) / 1584.0 AS v FROM d)
 SELECT pid, CASE WHEN bool_or(ok) THEN arg_min(new, struct_pack(bad := NOT ok, v := -v, k := k)) ELSE any_value(parent) END AS seq, bool_or(ok) AS valid FROM y GROUP BY 1""")
