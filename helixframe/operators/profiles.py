@@ -110,15 +110,46 @@ def consensus(df: DataFrame, seq: str = "seq", group: list[str] | None = None) -
     return position_counts(df, seq, group).groupBy(*group, "position").agg(best.alias("base"), F.max("n").alias("n"))
 
 
-def consensus_string(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """One row: the consensus as a string."""
-    return consensus(df, seq).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "base"))), lambda x: x["base"]), "").alias("consensus"))
+def consensus_string(df: DataFrame, seq: str = "seq", group: list[str] | None = None) -> DataFrame:
+    """The consensus as a string: one row, or one a group."""
+    group = group or []
+    bases = F.transform(F.array_sort(F.collect_list(F.struct("position", "base"))), lambda x: x["base"])
+    return consensus(df, seq, group).groupBy(*group).agg(F.array_join(bases, "").alias("consensus"))
+
+
+def conformity(df: DataFrame, seq: str = "seq", group: str | None = None) -> DataFrame:
+    """Adds ``conformity``: the share of positions that equal the consensus of all rows, or of the row's group; null for rows without a group."""
+    share = 1.0 - S.hamming(seq, "consensus") / F.length(seq)
+    if not group:
+        return df.join(F.broadcast(consensus_string(df, seq)), how="cross").withColumn("conformity", share).drop("consensus")
+    told = consensus_string(df.where(F.col(group).isNotNull()), seq, [group]).withColumnRenamed(group, "_g")
+    return df.join(told, F.col(group) == F.col("_g"), "left").withColumn("conformity", share).drop("consensus", "_g")
+
 
+def mean_distance(df: DataFrame, key: str = "pid", seq: str = "seq") -> DataFrame:
+    """(key, seq, mean_distance): the mean Hamming distance of each row to all rows, itself included.
 
-def conformity(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """Adds ``conformity``: the share of positions that equal the consensus (one broadcast string)."""
-    top = F.broadcast(consensus_string(df, seq))
-    return df.join(top, how="cross").withColumn("conformity", 1.0 - S.hamming(seq, "consensus") / F.length(seq)).drop("consensus")
+    In closed form: at each place, the share of rows with another base. The
+    counts are four figures a place, whatever the number of rows; sequences are
+    of one length.
+    """
+    counts = position_counts(df, seq).collect()
+    n, length = sum(r["n"] for r in counts if r["position"] == 0), 1 + max((r["position"] for r in counts), default=-1)
+    others = np.full((length, 256), n, np.int64)
+    for r in counts:
+        if r["base"]:
+            others[r["position"], ord(r["base"])] = n - r["n"]
+
+    @F.arrow_udf(DoubleType())
+    def distance(column: pa.Array) -> pa.Array:
+        body, offsets = S._joined(column)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        place = np.arange(len(body)) - offsets[row]
+        total = np.zeros(len(column), np.int64)
+        np.add.at(total, row, others[np.minimum(place, length - 1), body])
+        return pa.array(total / max(n, 1), mask=column.is_null().to_numpy(zero_copy_only=False))
+
+    return df.select(key, seq, distance(F.col(seq)).alias("mean_distance"))
 
 
 def pairwise_identity(df: DataFrame, seq: str = "seq", group: list[str] | None = None) -> DataFrame:

@@ -10,30 +10,79 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import rng
 from helixframe.functions.lineage import cut
+from helixframe.operators import profiles
 from helixframe.operators.ranking import prefix_sum
-from helixframe.operators.relational import numbered, range_parts
+from helixframe.operators.relational import numbered, range_parts, sample_with_replacement
 
 #: Candidate steps to a round of the search, and rounds: 2 ** -48 of the range is told apart.
 WIDTH, ROUNDS = 256, 6
+#: Bins over the range of the fitness, and powers kept of the distance to a bin's middle.
+BINS, POWERS = 1024, 9
+
+
+class _WeightSums:
+    """The sums of weights and of their squares, as functions of the temperature step.
+
+    Made from rows that are summed by bins of their fitness: for a step ``at``,
+    each bin has the sums of weight times (fitness - middle)^j. Another step
+    follows from these by the series of the exponential, which is exact to
+    rounding while the change times half a bin is small. Sums of bins merge by
+    addition, so a task hands on a row a bin at most.
+    """
+
+    def __init__(self, df: DataFrame, fitness: str, log_weight: str | None, at: float, top: float, low: float, start: float):
+        self.at, self.half = at, (top - low) / BINS / 2
+        place = F.least(F.floor((F.col(fitness) - F.lit(low)) / F.lit(2 * self.half)), F.lit(BINS - 1)).cast("int")
+        w = F.exp((F.lit(0.0) if log_weight is None else F.col(log_weight) - F.lit(start)) + F.lit(at) * (F.col(fitness) - F.lit(top)))
+        rows = df.where(F.col(fitness).isNotNull()).select(place.alias("bin"), w.alias("w"), (F.col(fitness) - F.lit(low)).alias("x"))
+        rows = rows.select("bin", "w", (F.col("x") - (F.col("bin") + 0.5) * F.lit(2 * self.half)).alias("x"))
+        power = lambda j: F.lit(1.0) if j == 0 else F.pow("x", F.lit(float(j)))
+        sums = rows.groupBy("bin").agg(*(F.sum(F.col("w") * power(j)).alias(f"s{j}") for j in range(POWERS)), *(F.sum(F.col("w") * F.col("w") * power(j)).alias(f"q{j}") for j in range(POWERS)))
+        got = sums.orderBy("bin").collect()
+        self.middle = low - top + (np.array([r["bin"] for r in got]) + 0.5) * 2 * self.half
+        self.s, self.q = (np.array([[r[f"{c}{j}"] for j in range(POWERS)] for r in got]) for c in "sq")
+
+    def near(self, step: float) -> bool:
+        return 2 * abs(step - self.at) * self.half <= 0.05
+
+    def effective(self, step: float) -> float:
+        """(sum of weights)^2 / sum of squares."""
+        change, out = step - self.at, []
+        for sums, c in ((self.s, change), (self.q, 2 * change)):
+            # Far from the step that was summed, a bin counts by its middle alone: rough, and summed anew before it is believed.
+            powers = POWERS if abs(c) * self.half <= 1 else 1
+            series = sum(sums[:, j] * c**j / math.factorial(j) for j in range(powers))
+            out.append(float((np.exp(np.clip(c * self.middle, -700, 700)) * series).sum()))
+        return 0.0 if out[0] < 1e-300 or out[1] <= 0 else out[0] ** 2 / out[1]
 
 
 def largest_step(df: DataFrame, fitness: str, remaining: float, share: float, log_weight: str | None = None) -> float:
     """The largest temperature step up to ``remaining`` whose effective size is ``share`` of the rows at least.
 
-    Every round lays ``WIDTH`` candidates over the range that is left; they are
-    rows of a broadcast side, and a task hands on two sums for each. The same
-    search serves any number of rows.
+    One job sums the rows by bins; every round of the search lays ``WIDTH``
+    candidates over the range that is left and reads them off the sums. If the
+    answer is far from the step that the sums were made for, they are made anew
+    there, mostly once. The same search serves any number of rows.
     """
-    told = df.agg(F.count(F.lit(1)).alias("n"), F.max(fitness).alias("top"), F.max(log_weight or F.lit(0.0)).alias("lw")).first()
-    wanted, low, high = share * told["n"], 0.0, remaining
+    told = df.agg(F.count(F.lit(1)).alias("n"), F.max(fitness).alias("top"), F.min(fitness).alias("low"), F.max(log_weight or F.lit(0.0)).alias("lw")).first()
+    if told["top"] is None or (told["top"] == told["low"] and log_weight is None):
+        return remaining
+    wanted, at = share * told["n"], 0.0
+    spread = float(told["top"]) - float(told["low"]) or 1.0
+    for _ in range(8):
+        sums = _WeightSums(df, fitness, log_weight, at, float(told["top"]), float(told["top"]) - spread, told["lw"])
+        found = _searched(sums, remaining, wanted)
+        if sums.near(found):
+            break
+        at = found
+    return found
+
+
+def _searched(sums: _WeightSums, remaining: float, wanted: float) -> float:
+    low, high = 0.0, remaining
     for _ in range(ROUNDS):
         steps = [low + (high - low) * (i + 1) / WIDTH for i in range(WIDTH)]
-        side = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(steps)), "i int, d double"))
-        start = F.lit(0.0) if log_weight is None else F.col(log_weight) - told["lw"]
-        w = F.exp(start + F.col("d") * (F.col(fitness) - F.lit(told["top"])))
-        sums = df.join(side, how="cross").groupBy("i").agg(F.sum(w).alias("s"), F.sum(w * w).alias("q"))
-        enough = sums.where(F.when(F.col("s") < 1e-300, 0.0).otherwise(F.col("s") * F.col("s") / F.col("q")) >= wanted)
-        best = enough.agg(F.max("i")).first()[0]
+        best = next((i for i in reversed(range(WIDTH)) if sums.effective(steps[i]) >= wanted), None)
         if best == WIDTH - 1:
             return high
         low, high = (low if best is None else steps[best]), steps[0 if best is None else best + 1]
@@ -215,28 +264,44 @@ def swap_map(best: list[tuple[int, float, float]], temperatures: list[float], be
     return out
 
 
-def swapped(df: DataFrame, pairs: list[tuple[int, int]], key: str = "pid", island: str = "island") -> DataFrame:
-    """Rows of the pairs change islands; everything that belongs to a row, its ancestor too, goes along."""
+def swapped(df: DataFrame, pairs: list[tuple[int, int]], key: str = "pid", island: str = "island", stay: tuple[str, ...] = ("origin",)) -> DataFrame:
+    """Rows of the pairs change islands and keys; the columns of ``stay`` (the ancestor) remain with the place, as they aren't part of the exchange."""
     if not pairs:
         return df
     both = [(a, b) for a, b in pairs] + [(b, a) for a, b in pairs]
     side = df.sparkSession.createDataFrame(both, "_a long, _b long")
-    target = df.select(F.col(key).alias("_b"), F.col(island).alias("_to"))
-    moves = F.broadcast(side.join(target, "_b").select("_a", "_to", F.col("_b").alias("_key")))
+    stay = [c for c in stay if c in df.columns]
+    target = df.select(F.col(key).alias("_b"), F.col(island).alias("_to"), *(F.col(c).alias(f"_stay_{c}") for c in stay))
+    # Two rows a pair of islands.
+    moves = F.broadcast(side.join(target, "_b").select("_a", "_to", F.col("_b").alias("_key"), *(f"_stay_{c}" for c in stay)))
     out = df.join(moves, F.col(key) == F.col("_a"), "left")
-    return out.withColumns({island: F.coalesce("_to", island), key: F.coalesce("_key", key)}).drop("_a", "_to", "_key")
+    out = out.withColumns({c: F.when(F.col("_key").isNotNull(), F.col(f"_stay_{c}")).otherwise(F.col(c)) for c in stay}) if stay else out
+    return out.withColumns({island: F.coalesce("_to", island), key: F.coalesce("_key", key)}).select(*df.columns)
 
 
 def rejuvenated(df: DataFrame, fresh: DataFrame, share: float, fitness: str, key: str = "pid") -> DataFrame:
     """The lowest max(1, int(share n)) rows take sequences from ``fresh`` (slot, seq); their ancestor starts anew.
 
-    Both sides grow with the population, so they meet by shuffle.
+    Where ``fresh`` has an ``origin`` it becomes the ancestor (a sequence that was
+    mutated since it was drawn). Both sides grow with the population, so they meet by shuffle.
     """
     order = numbered(df.withColumn("_o", F.struct(fitness, key)), "_o", "_slot").drop("_o")
     k = max(1, int(share * order.count()))
-    new = fresh.where(F.col("slot") < k).select(F.col("slot").alias("_slot"), F.col("seq").alias("_new"), (F.col(fitness) if fitness in fresh.columns else F.lit(None)).alias("_fit"))
+    start = F.col("origin") if "origin" in fresh.columns else F.col("seq")
+    new = fresh.where(F.col("slot") < k).select(F.col("slot").alias("_slot"), F.col("seq").alias("_new"), start.alias("_start"), (F.col(fitness) if fitness in fresh.columns else F.lit(None)).alias("_fit"))
     out = order.join(new, "_slot", "left")
-    return out.withColumns({"seq": F.coalesce("_new", "seq"), "origin": F.coalesce("_new", "origin"), fitness: F.coalesce("_fit", fitness)}).drop("_slot", "_new", "_fit")
+    return out.withColumns({"seq": F.coalesce("_new", "seq"), "origin": F.coalesce("_start", "origin"), fitness: F.coalesce("_fit", fitness)}).drop("_slot", "_new", "_start", "_fit")
+
+
+def diverse_source(df: DataFrame, n: int, key: str = "pid") -> DataFrame:
+    """(slot, seq): the n rows of the largest mean distance to the whole population, the smallest key on ties."""
+    far = profiles.mean_distance(df.select(key, "seq"), key).orderBy(F.desc("mean_distance"), key).limit(n)
+    return numbered(far.withColumn("_o", F.struct((-F.col("mean_distance")).alias("d"), key)), "_o", "slot").select("slot", "seq")
+
+
+def pool_source(pool: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """(slot, seq): n draws with replacement from a pool of seeds."""
+    return sample_with_replacement(pool.select(key, "seq"), n, key, seed).select(F.col("draw").alias("slot"), "seq")
 
 
 def uniform_source(spark, n: int, length: int, seed: int, stream: str = "src") -> DataFrame:

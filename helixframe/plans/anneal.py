@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import rng, schedule
@@ -47,6 +47,9 @@ class AnnealConfig:
     gc_least: int = 0
     diversity: float = 0.0
     rejuvenate_share: float = 0.0
+    #: Where fresh rows come from: ``uniform``, ``diverse`` (those farthest from the population) or ``pool``; and their noise.
+    rejuvenate_from: str = "uniform"
+    rejuvenate_noise: float = 0.0
     patience: int = 0
     noise_boost: float = 0.0
     noise_max: float = 0.5
@@ -80,6 +83,10 @@ PRESETS = {
 }
 
 
+#: A column of the scorer's by name or expression, or a list with one for each island.
+Fitness = str | Column | list
+
+
 @dataclass
 class AnnealResult:
     population: DataFrame
@@ -91,14 +98,22 @@ class AnnealResult:
 class _Scoring:
     """The scorer with the fitness on top, and the memo of known sequences if one is kept."""
 
-    def __init__(self, scorer: proposals.Scorer, fitness: str | Callable, memo: bool):
+    def __init__(self, scorer: proposals.Scorer, fitness: Fitness, memo: bool, island: Callable[[], Column]):
         self.scorer, self.keep = scorer, memo
-        self.fit = F.col(fitness) if isinstance(fitness, str) else fitness
+        one = lambda f: F.col(f) if isinstance(f, str) else f
+        if isinstance(fitness, list | tuple):
+            # Rows beyond the last whole island, and fresh ones without a place, go by the first.
+            own, each = island(), [one(f) for f in fitness]
+            self.fit, self.by_island = F.coalesce(*(F.when(own == i, f) for i, f in enumerate(each)), each[0]), True
+        else:
+            self.fit, self.by_island = one(fitness), False
         self.known: DataFrame | None = None
 
     def __call__(self, df: DataFrame) -> DataFrame:
         """``df`` (with ``seq``) and ``fitness``; what else a scorer adds doesn't travel."""
         names = df.columns
+        if self.by_island and "pid" not in names:
+            return self(df.withColumn("pid", F.lit(-1).cast("long"))).drop("pid")
         if not self.keep:
             return self.scorer.score(df).withColumn("fitness", self.fit).select(*names, "fitness")
         new = df.select("seq").distinct()
@@ -112,7 +127,7 @@ class _Scoring:
 def _copies(rows: DataFrame, config: AnnealConfig, n: int, u0: float) -> DataFrame:
     """Adds ``copies``: by GC bins, by islands (rows beyond the last whole island stay once), or over all."""
     if config.gc_edges:
-        return resample.stratified_copies(rows.withColumn("_gc", gc("seq")), "weight", "pid", "_gc", "fitness", config.gc_edges, n, u0, config.gc_mode, least=config.gc_least).drop("_gc", "bin")
+        return resample.stratified_copies(rows.withColumn("_gc", gc("seq")), "weight", "pid", "_gc", "selection", config.gc_edges, n, u0, config.gc_mode, least=config.gc_least).drop("_gc", "bin")
     if not config.islands:
         return resample.systematic_copies(rows, "weight", "pid", u0)
     inside = resample.systematic_copies(rows.where("island is not null"), "weight", "pid", u0, group="island")
@@ -126,6 +141,38 @@ def _island(config: AnnealConfig, n: int):
     return F.when(at < config.islands, at)
 
 
+def _selection(now: DataFrame, config: AnnealConfig, n: int) -> DataFrame:
+    """Adds ``selection``: the fitness less the penalty for likeness to the consensus, of all rows or of the row's island.
+
+    Steps and weights go by it; ``fitness`` stays what the scorer gave, so that
+    a row that is kept isn't penalised again for the steps before.
+    """
+    if not config.diversity:
+        return now.withColumn("selection", F.col("fitness"))
+    if config.islands:
+        rows = profiles.conformity(now.withColumn("island", _island(config, n)), group="island").drop("island")
+    else:
+        rows = profiles.conformity(now)
+    return rows.withColumn("selection", F.col("fitness") - config.diversity * F.coalesce("conformity", F.lit(0.0))).drop("conformity")
+
+
+def _fresh(kept: DataFrame, config: AnnealConfig, propose, pool: DataFrame | None, many: int, length: int, step: int) -> DataFrame:
+    """(slot, seq, origin) of rows that start anew: the most diverse ones, draws from a pool, or random ones; mutated at once if ``rejuvenate_noise`` says so."""
+    if config.rejuvenate_from == "diverse":
+        fresh = resample.diverse_source(kept, many)
+    elif config.rejuvenate_from == "pool":
+        if pool is None:
+            raise ValueError("rejuvenation from a pool needs one")
+        fresh = resample.pool_source(pool, many, "pid", config.seed + step)
+    else:
+        fresh = resample.uniform_source(kept.sparkSession, many, length, config.seed + step, "rejuvenate")
+    fresh = fresh.withColumn("origin", F.col("seq"))
+    if not config.rejuvenate_noise:
+        return fresh
+    boosted = propose(config.rejuvenate_noise, config.seed * 1000 + step + 900).expand(fresh.withColumnRenamed("slot", "pid"), 1, step)
+    return boosted.select(F.col("pid").alias("slot"), "seq", "origin")
+
+
 def _exchanged(kept: DataFrame, config: AnnealConfig, beta: float, step: int, draws) -> DataFrame:
     """One row of each island, drawn by hash, may change places with one of the next island."""
     order = F.struct(rng.order_key(config.seed, F.lit("swap"), F.lit(step), "pid"), "pid")
@@ -153,19 +200,25 @@ def anneal(
     seeds: DataFrame,
     scorer: proposals.Scorer,
     config: AnnealConfig,
-    fitness: str | Callable = "score",
+    fitness: Fitness = "score",
     proposal: Callable[[float, int], proposals.Proposal] | None = None,
     accept: Callable | None = None,
     on_step: Callable[[int, DataFrame, dict], None] | None = None,
     state: str | None = None,
+    pool: DataFrame | None = None,
 ) -> AnnealResult:
     """seeds: (pid, seq). ``accept`` maps a sequence column to a condition; a proposal that fails it is reverted.
 
+    ``fitness``: a column of the scorer's, or one for each island. ``pool``: (pid, seq) that rejuvenation draws from.
+    A proposal that adds ``log_ratio`` (the log of how much likelier an unguided draw was) has it counted in the weights
+    under ``branch_correction``.
     ``state``: a folder where each step is written; a run that finds steps there goes on after the last.
     """
     spark = seeds.sparkSession
     propose = proposal or (lambda rate, seed: proposals.Masked(rate, seed))
-    scoring = _Scoring(scorer, fitness, config.memo)
+    if not isinstance(fitness, str | Column) and not callable(fitness) and (len(fitness) != config.islands or config.memo):
+        raise ValueError("fitness by island needs one for each island, and no memo")
+    scoring = _Scoring(scorer, fitness, config.memo, lambda: _island(config, seeds.count()))
     at = _Scalars(noise=config.noise, limit=config.max_steps)
     told: list[dict] = []
     found = read_state(spark, state) if state else None
@@ -185,13 +238,13 @@ def anneal(
         remaining = config.max_beta - at.beta
         if config.beta_cap is not None:
             remaining = min(remaining, config.beta_cap)
-        rows = profiles.conformity(now).withColumn("fitness", F.col("fitness") - config.diversity * F.col("conformity")).drop("conformity") if config.diversity else now
-        delta = resample.largest_step(rows, "fitness", remaining, config.ess_share)
+        rows = _selection(now, config, n)
+        delta = resample.largest_step(rows, "selection", remaining, config.ess_share)
         if delta < 1e-4:
             break
         at.beta += delta
-        at.log_z += profiles.effective_size(rows.withColumn("_lw", delta * F.col("fitness")), "_lw").first()["log_mean_exp"]
-        rows = rows.withColumn("_lw", delta * F.col("fitness") - (F.col("log_p") if config.branch_correction else 0.0))
+        at.log_z += profiles.effective_size(rows.withColumn("_lw", delta * F.col("selection")), "_lw").first()["log_mean_exp"]
+        rows = rows.withColumn("_lw", delta * F.col("selection") - (F.col("log_p") if config.branch_correction else 0.0))
         real_ess = profiles.effective_size(rows, "_lw").first()["ess"]
         heat = config.temperature
         if config.islands:
@@ -205,7 +258,7 @@ def anneal(
         kept = resample.expand(copies.select("pid", "seq", "origin", "fitness", "copies"))
         kept = cut(numbered(kept.withColumn("_o", F.struct("pid", "copy")), "_o", "_new").select(F.col("_new").alias("pid"), "seq", "origin", "fitness"))
         if config.rejuvenate_share and step > 0:
-            fresh = resample.uniform_source(spark, max(1, int(config.rejuvenate_share * n)), length, config.seed + step, "rejuvenate")
+            fresh = _fresh(kept, config, propose, pool, max(1, int(config.rejuvenate_share * n)), length, step)
             kept = cut(resample.rejuvenated(kept, scoring(fresh), config.rejuvenate_share, "fitness"))
         if config.islands and config.temperatures and step % config.swap_every == 0:
             kept = _exchanged(kept.withColumn("island", _island(config, n)), config, at.beta, step, draws).drop("island")
@@ -222,11 +275,14 @@ def anneal(
             if surrogate is None or step % config.surrogate_every == 0:
                 surrogate = proposals.ridge_surrogate(now, "fitness")
             grown = proposals.prefiltered(grown.withColumn("_guess", proposals.surrogate_score(surrogate)), config.surrogate_keep, "_guess").drop("_guess")
-        scored = scoring(grown.select("pid", "k", "seq", "parent", "origin", "parent_fitness"))
+        ratio = F.col("log_ratio") if "log_ratio" in grown.columns else F.lit(0.0)
+        scored = scoring(grown.select("pid", "k", "seq", "parent", "origin", "parent_fitness", ratio.alias("log_ratio")))
         picked = proposals.chosen_branch(scored, "fitness", length, cap, config.step_cap, config.criterion, config.tau, config.seed, step)
         # A reverted row has its parent's fitness, which is known: nothing is scored twice.
         value = F.when(F.col("valid"), F.col("fitness")).otherwise(F.col("parent_fitness"))
-        now = cut(picked.select("pid", "seq", "origin", value.alias("fitness"), "log_p"))
+        # Weights are divided by exp(log_p): what a guided draw was too likely counts there, too.
+        log_p = F.col("log_p") - F.when(F.col("valid") & (F.col("seq") != F.col("parent")), F.col("log_ratio")).otherwise(0.0)
+        now = cut(picked.select("pid", "seq", "origin", value.alias("fitness"), log_p.alias("log_p")))
         if config.spread_below:
             now = _spread(now, config, propose, scoring, accept, rate, n, length, step)
         one = now.agg(F.avg("fitness").alias("mean"), F.max("fitness").alias("max"), F.stddev_pop("fitness").alias("std"), F.count_distinct("seq").alias("n_unique"), F.count(F.lit(1)).alias("n")).first().asDict()

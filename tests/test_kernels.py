@@ -149,6 +149,8 @@ def test_copy_cap_and_rejuvenation(spark):
 
 def test_swaps_keep_both_rows(spark):
     df = spark.createDataFrame([(i, f"s{i}", i // 3) for i in range(6)], "pid long, seq string, island int")
+    old = {r["pid"]: (r["seq"], r["origin"]) for r in resample.swapped(df.withColumn("origin", F.concat(F.lit("o"), "pid")), [(1, 4)]).collect()}
+    assert old == {i: (f"s{ {1: 4, 4: 1}.get(i, i)}", f"o{i}") for i in range(6)}
     assert resample.swap_map([(1, 0.0), (4, 9.0)], [1.0, 3.0], 2.0, [0.5]) == [(1, 4)]
     assert resample.swap_map([(1, 9.0), (4, 0.0)], [1.0, 3.0], 2.0, [0.5]) == []
     got = {r["pid"]: (r["seq"], r["island"]) for r in resample.swapped(df, [(1, 4)]).collect()}
@@ -266,3 +268,56 @@ def test_budget_by_group(spark):
         alone = archives.budget(df.where(F.col("run") == g), 25, ["a", "b"])
         assert sorted(r["row_id"] for r in together.where(F.col("run") == g).collect()) == sorted(r["row_id"] for r in alone.collect())
     assert archives.budget(df.limit(0), 5, ["a"]).count() == 0
+
+
+def test_fitness_stays_the_scorers_under_a_diversity_penalty(spark, pool):
+    """With a cap that makes every branch invalid, rows are only resampled: no penalty may pile up on them."""
+    for islands in (0, 3):
+        run = anneal.anneal(pool, proposals.MotifScorer("GA"), anneal.with_preset("toy", max_steps=3, branches=2, step_cap=0, diversity=0.5, islands=islands, seed=2))
+        assert all(r["fitness"] == _gata([r["seq"]])[0] for r in run.population.collect())
+
+
+def test_largest_step_by_bins_equals_a_plain_search(spark):
+    rng = np.random.default_rng(9)
+    for f, lw, most in ((rng.normal(size=400), np.zeros(400), 50.0), (np.r_[rng.normal(size=300), 40.0], np.zeros(301), 2000.0), (rng.exponential(size=200) * 1e-3, rng.normal(size=200) * 0.3, 1e5)):
+        df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(f, lw, strict=True))], "pid long, f double, lw double")
+        got = resample.largest_step(df, "f", most, 0.5, "lw")
+
+        def effective(d, f=f, lw=lw):
+            w = np.exp(lw - lw.max() + d * (f - f.max()))
+            return w.sum() ** 2 / (w * w).sum()
+
+        assert effective(got) >= 0.5 * len(f) * (1 - 1e-9) and (got == most or effective(got * (1 + 1e-6)) < 0.5 * len(f))
+    flat = spark.range(5).select("id", F.lit(2.0).alias("f"))
+    assert resample.largest_step(flat, "f", 7.0, 0.9) == 7.0
+
+
+def test_mean_distance_and_fresh_rows(spark, pool):
+    rows = {r["pid"]: r["seq"] for r in pool.collect()}
+    want = {i: np.mean([sum(a != b for a, b in zip(s, t, strict=True)) for t in rows.values()]) for i, s in rows.items()}
+    assert {r["pid"]: r["mean_distance"] for r in profiles.mean_distance(pool).collect()} == pytest.approx(want)
+    far = sorted(rows, key=lambda i: (-want[i], i))[:5]
+    assert {r["slot"]: r["seq"] for r in resample.diverse_source(pool, 5).collect()} == {k: rows[i] for k, i in enumerate(far)}
+    drawn = resample.pool_source(pool, 9, "pid", 3).collect()
+    assert sorted(r["slot"] for r in drawn) == list(range(9)) and all(r["seq"] in rows.values() for r in drawn)
+    for source in ("diverse", "pool"):
+        config = anneal.with_preset("toy", max_steps=2, branches=2, rejuvenate_share=0.2, rejuvenate_from=source, rejuvenate_noise=0.3, seed=3)
+        run = anneal.anneal(pool, proposals.MotifScorer("GA"), config, pool=pool)
+        assert run.population.count() == len(rows) and all(r["fitness"] == _gata([r["seq"]])[0] for r in run.population.collect())
+    with pytest.raises(ValueError):
+        anneal.anneal(pool, proposals.MotifScorer("GA"), anneal.with_preset("toy", max_steps=2, rejuvenate_share=0.2, rejuvenate_from="pool"))
+
+
+def test_anneal_with_a_fitness_for_each_island_and_guided_weights(spark, pool):
+    from helixframe.operators.markov import MarkovModel, MarkovProposal
+    from helixframe.operators.mutagenesis import WindowScorer
+
+    model, ga = MarkovModel.of(pool, 1), WindowScorer.of_motifs({"GA": 1})
+    guide = lambda rate, seed: MarkovProposal(model, rate, seed, "guided", scorer=ga, budget=0.5)
+    config = anneal.with_preset("toy", max_steps=2, branches=2, islands=2, branch_correction=True, seed=5)
+    run = anneal.anneal(pool, proposals.MotifScorer("GA"), config, ["score", -F.col("score")], guide)
+    half = pool.count() // 2
+    assert all(r["fitness"] == (1 if r["pid"] < half else -1) * _gata([r["seq"]])[0] for r in run.population.collect())
+    assert run.population.where("log_p <> 0").count() > 0
+    with pytest.raises(ValueError):
+        anneal.anneal(pool, proposals.MotifScorer("GA"), config, ["score"])
