@@ -13,7 +13,7 @@ from helixframe.functions import fitness as fit
 from helixframe.functions import rng
 from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut, new_path
-from helixframe.operators import archives, markov, mutagenesis, profiles, proposals, ranking, relational, resample
+from helixframe.operators import archives, markov, mutagenesis, neighbours, profiles, proposals, ranking, relational, resample
 from helixframe.sources import hdf5
 from helixframe.sources.sequences import from_documents, seed_pool
 
@@ -508,6 +508,20 @@ def stratified_resample(spark, sf):
     return resample.stratified_copies(rows, "w", "pid", "gc", "c1", _EDGES, rows.count(), 0.5, "minshift", least=20).where("copies > 0").select("pid", "bin", "copies")
 
 
+@query(f"""WITH {_TILES}, u AS (SELECT seq, count(*) AS n, [substr(seq, 1, 50), substr(seq, 51, 50), substr(seq, 101, 50), substr(seq, 151, 50)] AS parts FROM s GROUP BY 1),
+p AS (SELECT seq, k, parts[k] AS part FROM u, range(1, 5) r(k)),
+h AS (SELECT DISTINCT a.seq FROM p a JOIN p b ON a.k = b.k AND a.part = b.part AND a.seq <> b.seq WHERE hamming(a.seq, b.seq) < 4)
+SELECT pid, n > 1 OR h.seq IS NOT NULL AS near FROM s JOIN u USING (seq) LEFT JOIN h ON h.seq = s.seq""")
+def exact_near_duplicates(spark, sf):
+    return neighbours.near_mask(seqs(spark, sf).select("pid", "seq"), 4)
+
+
+@query(f"""WITH {_TILES}, p AS (SELECT pid, i, substr(seq, i, 1) AS b FROM s, range(1, 201) r(i)), c AS (SELECT i, b, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT count(*) AS n FROM s)
+SELECT pid, round(sum(t.n - c.n)::DOUBLE / any_value(t.n), 6) AS mean_distance FROM p JOIN c USING (i, b), t GROUP BY 1""")
+def mean_distances(spark, sf):
+    return profiles.mean_distance(seqs(spark, sf)).select("pid", r6("mean_distance").alias("mean_distance"))
+
+
 # --------------------------------------------------------------- HDF5 pools
 
 
