@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from helixframe.functions import rng
+from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut
 from helixframe.operators import profiles
 from helixframe.operators.ranking import prefix_sum
@@ -310,6 +314,47 @@ def uniform_source(spark, n: int, length: int, seed: int, stream: str = "src") -
     return spark.range(n).select(F.col("id").alias("slot"), F.array_join(base, "").alias("seq"))
 
 
+def uniform_rows(df: DataFrame, key: str, length: Column, seed: int, stream: str = "rows") -> DataFrame:
+    """``df`` with a random sequence of its own ``length`` for each row, by the hash PRNG."""
+    base = lambda i: F.substring(F.lit(S.BASES), (F.floor(rng.uniform(seed, stream, key, i) * 4) + 1).cast("int"), F.lit(1))
+    places = F.when(length > 0, F.sequence(F.lit(0), length.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("seq", F.array_join(F.transform(places, base), ""))
+
+
+def gc_rejected_rows(df: DataFrame, key: str, bin_col: str, length: int, edges: list[float], seed: int, attempts: int = 100) -> DataFrame:
+    """``df`` with a random sequence for each row whose GC share lies in the row's bin, the top edge left out.
+
+    Uniform sequences are drawn until one fits, two bits a base of
+    md5(seed:balanced:key:attempt:block). A row that none of ``attempts`` fits
+    repeats the sequence of the smallest key of its bin that has one; if the bin
+    has none, it stays null. Each row is drawn where it is.
+    """
+    blocks = -(-length // 64)
+
+    @F.arrow_udf(StringType())
+    def drawn(keys: pa.Array, which: pa.Array) -> pa.Array:
+        names, out = keys.to_pylist(), [None] * len(keys)
+        low, high = (np.array([edges[b + k] if b is not None and 0 <= b < len(edges) - 1 else np.nan for b in which.to_pylist()]) for k in (0, 1))
+        left = np.flatnonzero(~np.isnan(low))
+        for t in range(attempts):
+            if not len(left):
+                break
+            raw = b"".join(hashlib.md5(f"{seed}:balanced:{names[i]}:{t}:{b}".encode()).digest() for i in left.tolist() for b in range(blocks))
+            two = np.frombuffer(raw, np.uint8)[:, None] >> np.array([6, 4, 2, 0], np.uint8) & 3
+            codes = two.reshape(len(left), -1)[:, :length]
+            share = ((codes == 1) | (codes == 2)).sum(1) / length
+            fits = (share >= low[left]) & (share < high[left])
+            for i, c in zip(left[fits].tolist(), np.frombuffer(S.BASES.encode(), np.uint8)[codes[fits]], strict=True):
+                out[i] = c.tobytes().decode()
+            left = left[~fits]
+        return pa.array(out, pa.string())
+
+    rows = cut(df.withColumn("seq", drawn(F.col(key).cast("string"), F.col(bin_col).cast("int"))))
+    # A row a bin.
+    first = F.broadcast(rows.where("seq is not null").groupBy(F.col(bin_col).alias("_b")).agg(F.min_by("seq", key).alias("_s")))
+    return rows.join(first, F.col(bin_col) == F.col("_b"), "left").withColumn("seq", F.coalesce("seq", "_s")).drop("_b", "_s")
+
+
 def gc_balanced_source(spark, n: int, length: int, edges: list[float], seed: int, oversample: int = 4) -> DataFrame:
     """n random sequences spread evenly over GC bins: candidates by the PRNG, a quota of each bin.
 

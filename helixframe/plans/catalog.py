@@ -15,7 +15,7 @@ from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut, new_path
 from helixframe.operators import archives, markov, mutagenesis, neighbours, profiles, proposals, ranking, relational, resample
 from helixframe.sources import hdf5
-from helixframe.sources.sequences import from_documents, seed_pool
+from helixframe.sources.sequences import from_documents, seed_pool, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -770,16 +770,24 @@ def archive_budget(spark, sf):
     return archives.budget(rows, 100, ["value", "other"])
 
 
-@query(f"SELECT id, list_aggregate(list_transform(range(0, 100), lambda i: substr('ACGT', (floor({uniform_sql(9, 'src', 'id', 'i')} * 4) + 1)::BIGINT, 1)), 'string_agg', '') AS seq FROM range(0, 5000) r(id)")
+@query(f"SELECT doc_id AS id, coalesce(list_aggregate(list_transform(range(0, n_chars % 120), lambda i: substr('ACGT', (floor({uniform_sql(9, 'rows', 'doc_id', 'i')} * 4) + 1)::BIGINT, 1)), 'string_agg', ''), '') AS seq FROM documents")
 def uniform_source(spark, sf):
-    return resample.uniform_source(spark, 5000, 100, 9).select(F.col("slot").alias("id"), "seq")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "n_chars"))
+    return resample.uniform_rows(docs, "doc_id", F.pmod("n_chars", F.lit(120)), 9).select(F.col("doc_id").alias("id"), "seq")
 
 
-@query(None)
+_GC_EDGES = [0.40, 0.48, 0.54, 0.62]
+
+
+@query(f"""WITH d AS (SELECT doc_id, (doc_id % 3)::INT AS bin FROM documents),
+h AS (SELECT doc_id, bin, t, md5('9:balanced:' || doc_id || ':' || t || ':0') || md5('9:balanced:' || doc_id || ':' || t || ':1') AS h FROM d, range(0, 40) r(t)),
+q AS (SELECT doc_id, bin, t, list_aggregate(list_transform(range(0, 100), lambda i: substr('ACGT', 1 + ((strpos('0123456789abcdef', substr(h, (1 + i // 2)::BIGINT, 1)) - 1) >> (2 - 2 * (i % 2))::INT) % 4, 1)), 'string_agg', '') AS seq FROM h),
+g AS (SELECT *, (200 - length(replace(replace(seq, 'C', ''), 'G', '')) - 100) / 100 AS gc FROM q),
+f AS (SELECT doc_id, bin, arg_min(seq, t) AS seq FROM g WHERE gc >= {_GC_EDGES}[bin + 1] AND gc < {_GC_EDGES}[bin + 2] GROUP BY 1, 2)
+SELECT d.doc_id AS id, d.bin, coalesce(f.seq, o.seq) AS seq FROM d LEFT JOIN f USING (doc_id) LEFT JOIN (SELECT bin, arg_min(seq, doc_id) AS seq FROM f GROUP BY 1) o ON o.bin = d.bin""")
 def random_sources(spark, sf):
-    a = resample.uniform_source(spark, 200, 100, 9).select(F.lit("uniform").alias("kind"), F.col("slot").alias("id"), "seq")
-    b = resample.gc_balanced_source(spark, 200, 100, [0.2, 0.4, 0.6, 0.8], 9).select(F.lit("balanced").alias("kind"), "id", "seq")
-    return a.unionByName(b)
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.pmod("doc_id", F.lit(3)).cast("int").alias("bin")))
+    return resample.gc_rejected_rows(docs, "doc_id", "bin", 100, _GC_EDGES, 9, 40).select(F.col("doc_id").alias("id"), "bin", "seq")
 
 
 @query(None)

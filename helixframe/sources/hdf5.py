@@ -273,7 +273,7 @@ def _field(name: str, d: Dataset) -> StructField:
 class Hdf5Source(DataSource):
     """``index`` (the row's number over all files) and a column a dataset; rows of several dimensions are flat arrays, the last dimension first.
 
-    Options: ``path``; ``datasets``, names separated by commas (else all with as many rows as the first).
+    Options: ``path``; ``datasets``, names separated by commas (else all with as many rows as the first); ``part_rows``, rows of a partition.
     """
 
     @classmethod
@@ -298,12 +298,12 @@ class Hdf5Source(DataSource):
         return StructType([StructField("index", LongType()), *(_field(n, d) for n, d in self._first()[1].items())])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema)
+        return _Reader(self.options["path"], schema, int(self.options.get("part_rows", PART_ROWS)))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.fields = path, schema.fields
+    def __init__(self, path: str, schema: StructType, part_rows: int):
+        self.path, self.fields, self.part_rows = path, schema.fields, part_rows
 
     def partitions(self) -> list[Rows]:
         out, first = [], 0
@@ -311,7 +311,7 @@ class _Reader(DataSourceReader):
             fs, at = opened(file)
             with fs.open_input_file(at) as f:
                 n = Hdf5(f).dataset(self.fields[1].name).shape[0]
-            out += [Rows(file, first, k, min(n, k + PART_ROWS)) for k in range(0, n, PART_ROWS)]
+            out += [Rows(file, first, k, min(n, k + self.part_rows)) for k in range(0, n, self.part_rows)]
             first += n
         return out or [Rows("", 0, 0, 0)]
 
@@ -340,9 +340,9 @@ def _arrow(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), one)
 
 
-def read_hdf5(spark: SparkSession, path: str, datasets: list[str] | None = None) -> DataFrame:
+def read_hdf5(spark: SparkSession, path: str, datasets: list[str] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     spark.dataSource.register(Hdf5Source)
-    return spark.read.format("hdf5_rows").option("path", path).option("datasets", ",".join(datasets or [])).load()
+    return spark.read.format("hdf5_rows").option("path", path).option("datasets", ",".join(datasets or [])).option("part_rows", part_rows).load()
 
 
 def datasets_of(path: str) -> dict[str, tuple[int, ...]]:
@@ -370,7 +370,7 @@ def _argmax(shape: tuple[int, ...], axis: int):
     return largest
 
 
-def read_pool(spark: SparkSession, path: str) -> DataFrame:
+def read_pool(spark: SparkSession, path: str, part_rows: int = PART_ROWS) -> DataFrame:
     """A seed pool: index, seq, and its other one-number datasets.
 
     Codes come from ``indices`` (n, L), or else from the first largest channel
@@ -381,7 +381,7 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
     if key is None:
         raise ValueError(f"neither indices nor arr_0 in {path}; there are {sorted(have)}")
     more = [n for n, shape in have.items() if len(shape) == 1 and shape[0] == have[key][0]]
-    rows = read_hdf5(spark, path, [key, *more])
+    rows = read_hdf5(spark, path, [key, *more], part_rows)
     codes = F.col(key) if key == "indices" else _argmax(have[key][1:], 1)(key)
     return rows.select("index", _spelled(codes).alias("seq"), *more)
 

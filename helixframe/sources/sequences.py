@@ -24,7 +24,11 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str | StructType | None = None, columns: list[str] | None = None) -> DataFrame:
-    """By suffix: .csv, .tsv, .json, .parquet, or a Parquet folder; columns beyond the asked ones stay unread."""
+    """By suffix: .csv, .tsv, .json, .h5 (datasets are columns), .parquet, or a Parquet folder; columns beyond the asked ones stay unread."""
+    if path.rstrip("/").lower().endswith((".h5", ".hdf5")):
+        from helixframe.sources.hdf5 import read_hdf5
+
+        return require_columns(read_hdf5(spark, path, columns), columns or [])
     reader = spark.read.schema(schema) if schema else spark.read
     name = path.rstrip("/").lower()
     if name.endswith((".csv", ".tsv", ".txt")):
