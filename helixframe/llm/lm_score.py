@@ -327,7 +327,8 @@ def _trained_once(dealt: DataFrame, weights: np.ndarray, rate: float) -> np.ndar
 def trained(texts: DataFrame, total: int, rounds: int = ROUNDS, shard: int = SHARD) -> np.ndarray:
     """Weights learnt from all tokens of the ``coded`` texts, ``total`` of them; the same for any partitioning."""
     weights, shards = Network.start(), max(1, -(-total // shard))
-    dealt = texts.where("n_tokens > 0").select(F.pmod("mark", F.lit(shards)).alias("shard"), "mark", "classes")
+    # By text and id: the copies of a text, however many, are dealt over all shards.
+    dealt = texts.where("n_tokens > 0").select(F.pmod(F.xxhash64("mark", "doc_id"), F.lit(shards)).alias("shard"), "mark", "classes")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "mark").select("shard", "classes")
     for r in range(rounds):
         weights = _trained_once(dealt, weights, RATE / (1 + r))
