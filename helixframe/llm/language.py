@@ -7,11 +7,11 @@ has several centroids, found by spherical k-means over its labelled rows; the
 nearest centroid by cosine names the language. A text that is farther from its
 centroid than nearly all labelled rows are is rejected.
 
-The classifier is fitted on at most ``SAMPLE`` labelled rows of each of the
-``LANGUAGES`` commonest languages, those with the smallest hash of their id.
-Their whole texts are counted where they are; what comes to the driver is a row
-of ``CELLS`` counts for each. Prediction reads every whole text in one pass
-without a shuffle.
+The classifier is fitted on at most ``SAMPLE`` labelled rows of each language,
+those with the smallest hash of their id, however many languages there are.
+Their whole texts are counted where they are, and each language's centroids are
+found in a task of their own; what comes to the driver is the model, ``CENTROIDS``
+rows a language. Prediction reads every whole text in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import arrow_map, flat, rows_by_bytes
+from helixframe.llm.shared import arrow_map, drop_staged, flat, rows_by_bytes, staged
 
 #: Cells of the hashed n-gram vector; labelled rows and centroids of each language.
-CELLS, SAMPLE, CENTROIDS, LANGUAGES = 4096, 300, 4, 64
+CELLS, SAMPLE, CENTROIDS = 4096, 300, 4
+#: Rows of the sample whose texts are picked by broadcast; beyond it they meet by shuffle.
+PICKED_ROWS = 500_000
 #: Labelled rows that a centroid's rejection distance may leave out, a factor of slack on it, and the
 #: rows that a centroid needs for a distance of its own.
 LEFT_OUT, SLACK, OWN_ROWS = 0.002, 0.5, 20
@@ -115,63 +117,46 @@ def has_letter(column: pa.Array, body: np.ndarray, offsets: np.ndarray) -> np.nd
     return out
 
 
-def fit(c: np.ndarray, langs: list[str], k: int = CENTROIDS) -> Model:
-    """Centroids of each language from rows of counts; ties and order are settled by position."""
-    cells = c.shape[1]
-    languages = sorted(set(langs))
-    if not languages:
-        return Model(np.ones(cells), np.zeros((0, cells)), [], np.zeros(0, int), np.zeros(0))
-    idf = np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 0.05
-    model = Model(idf, np.zeros((0, cells)), languages, np.zeros(0, int), np.zeros(0))
-    v = model.vectors(c)
-    centers, owner = [], []
-    which = np.array([languages.index(x) for x in langs])
-    for i in range(len(languages)):
-        rows = v[which == i]
-        rows = rows[rows.any(1)]
-        if not len(rows):
-            continue
-        # Start from rows far apart: each next one is the row least like those chosen.
-        start = [int((rows @ rows.sum(0)).argmax())]
-        while len(start) < min(k, len(rows)):
-            start.append(int((rows @ rows[start].T).max(1).argmin()))
-        mid = rows[start]
-        for _ in range(12):
-            near = (rows @ mid.T).argmax(1)
-            mid = np.stack([rows[near == j].sum(0) if (near == j).any() else mid[j] for j in range(len(mid))])
-            mid /= np.sqrt((mid * mid).sum(1, keepdims=True))
-        centers.append(mid)
-        owner += [i] * len(mid)
-    if not centers:
-        return Model(idf, np.zeros((0, cells)), [], np.zeros(0, int), np.zeros(0))
-    model.centroids, model.owner = np.concatenate(centers), np.array(owner)
-    # A centroid's rejection distance: what all but a few of the labelled rows that are nearest to it stay within.
-    own = np.where(model.owner[None] == which[:, None], v @ model.centroids.T, -1)
-    near, best = own.argmax(1), own.max(1)
-    distance = lambda x: SLACK * float(np.quantile(x, LEFT_OUT)) if len(x) else 0.0
-    every = distance(best[best > 0])
-    mine = [best[(near == j) & (best > 0)] for j in range(len(owner))]
-    model.least = np.array([distance(x) if len(x) >= OWN_ROWS else every for x in mine])
-    return model
+def centroids(rows: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
+    """Spherical k-means over normalised rows, which have at least one; ties and order are settled by position."""
+    # Start from rows far apart: each next one is the row least like those chosen.
+    start = [int((rows @ rows.sum(0)).argmax())]
+    while len(start) < min(k, len(rows)):
+        start.append(int((rows @ rows[start].T).max(1).argmin()))
+    mid = rows[start]
+    for _ in range(12):
+        near = (rows @ mid.T).argmax(1)
+        mid = np.stack([rows[near == j].sum(0) if (near == j).any() else mid[j] for j in range(len(mid))])
+        mid /= np.sqrt((mid * mid).sum(1, keepdims=True))
+    return mid
+
+
+def _distance(cosines: np.ndarray) -> float:
+    """What all but a few labelled rows stay within, with slack."""
+    return SLACK * float(np.quantile(cosines, LEFT_OUT))
 
 
 def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
-def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, languages: int = LANGUAGES, cells: int = CELLS) -> tuple[np.ndarray, list[str]]:
-    """Counts and languages of at most ``sample`` labelled rows of each language outside the held-out fold, by hash of the id.
+def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, cells: int = CELLS) -> DataFrame:
+    """(lang, id, mark, counts) of at most ``sample`` labelled rows of each language outside the held-out fold, by hash of the id.
 
     Rows that agree in id and text count once; other rows may share an id.
     """
     rows = df.where(f"{lang_col} is not null and {text_col} is not null and {id_col} is not null").where(fold(id_col) != 1)
     rows = rows.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # A uniform number of each id lets through some four times the sample, so that no task gets all rows of a language.
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.drop("text").join(F.broadcast(size), "lang").where(chance <= F.greatest(4 * sample / F.col("n"), F.lit(1e-9)))
+    told = staged(size, "languages", 1)
+    few = told.count() <= PICKED_ROWS
+    some = rows.drop("text").join(F.broadcast(told) if few else told, "lang").where(chance <= F.greatest(4 * sample / F.col("n"), F.lit(1e-9)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "mark")
     picked = some.select("id", "mark", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
+    picked = staged(picked, "picked", 1)
+    few = picked.count() <= PICKED_ROWS
 
     def run(batches):
         for whole in batches:
@@ -179,15 +164,53 @@ def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: i
                 c = counts(*flat(batch.column("text")), cells).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("lang", "id", "mark")), pa.array([r.tobytes() for r in c], pa.binary())], ["lang", "id", "mark", "counts"])
 
-    found = rows.join(F.broadcast(picked), ["id", "mark", "lang"], "left_semi").select("lang", "id", "mark", "text")
-    told = arrow_map(found, run, f"lang string, id {dict(rows.dtypes)['id']}, mark long, counts binary").dropDuplicates(["lang", "id", "mark"]).orderBy("lang", "id", "mark")
-    told = told.collect()
-    c = np.array([np.frombuffer(r["counts"], np.int32) for r in told]) if told else np.zeros((0, cells), np.int64)
-    return c, [r["lang"] for r in told]
-
-
-def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    return fit(*labelled(df, id_col, text_col, lang_col))
+    found = rows.join(F.broadcast(picked) if few else picked, ["id", "mark", "lang"], "left_semi").select("lang", "id", "mark", "text")
+    return arrow_map(found, run, f"lang string, id {dict(rows.dtypes)['id']}, mark long, counts binary").dropDuplicates(["lang", "id", "mark"])
+
+
+def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, cells: int = CELLS) -> Model:
+    """The classifier of ``df``: a bounded sample of each language, one task a language."""
+    rows = staged(labelled(df, id_col, text_col, lang_col, sample, cells), "labelled")
+
+    def present(batches):
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for x in batch.column("counts").to_pylist():
+                total += np.frombuffer(x, np.int32) > 0
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    seen, n = np.zeros(cells, np.int64), rows.count()
+    for r in arrow_map(rows.select("counts"), present, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        seen[r["cell"]] = r["n"]
+    model = Model(np.log((1 + n) / (1 + seen)) + 0.05, np.zeros((0, cells)), [], np.zeros(0, int), np.zeros(0))
+
+    def one(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("id", "ascending"), ("mark", "ascending")])
+        v = model.vectors(np.array([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()]))
+        lang, told = group.column("lang")[0].as_py(), []
+        if v.any():
+            mid = centroids(v[v.any(1)])
+            cosine = v @ mid.T
+            near, best = cosine.argmax(1), cosine.max(1)
+            for j, m in enumerate(mid):
+                mine = best[(near == j) & (best > 0)]
+                told.append((lang, j, m.tobytes(), _distance(mine) if len(mine) >= OWN_ROWS else None, best[best > 0].tolist() if not j else []))
+        columns = list(zip(*told, strict=True)) if told else [[]] * 5
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.float64(), pa.list_(pa.float64())), strict=True)], ["lang", "j", "mid", "least", "best"])
+
+    found = staged(rows.groupBy("lang").applyInArrow(one, "lang string, j int, mid binary, least double, best array<double>"), "centroids")
+    # A centroid of few rows takes the distance of all languages' rows.
+    every = found.select(F.explode("best").alias("b")).agg(F.percentile("b", F.lit(LEFT_OUT))).first()[0]
+    told = found.select("lang", "j", "mid", "least").orderBy("lang", "j").collect()
+    if told:
+        model.languages = sorted({r["lang"] for r in told})
+        model.centroids = np.array([np.frombuffer(r["mid"]) for r in told])
+        place = {x: i for i, x in enumerate(model.languages)}
+        model.owner = np.array([place[r["lang"]] for r in told])
+        model.least = np.array([SLACK * every if r["least"] is None else r["least"] for r in told])
+    drop_staged(df.sparkSession, rows, found)
+    return model
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -199,8 +199,8 @@ def test_language(spark, sf):
         assert name == model.languages[model.owner[best]] and s == pytest.approx(cosine[best], abs=1e-9) and r == (cosine[best] < model.least[best])
     # Rows that share an id don't swell the sample; texts are whole.
     same = docs.withColumn("doc_id", F.lit(5).cast("long"))
-    c, langs = language.labelled(same, "doc_id", "text", "lang", sample=7)
-    assert len(c) == len(langs) <= 7 * len(set(langs))
+    langs = [r["lang"] for r in language.labelled(same, "doc_id", "text", "lang", sample=7).collect()]
+    assert 0 < len(langs) <= 7 * len(set(langs))
     long = docs.where("lang = 'en'").limit(1).withColumn("text", F.repeat("text", 500))
     assert language.predict(long, model).first()["lang_pred"] == "en"
     clash = docs.withColumns({"id": F.lit(1), "lang_pred": F.lit("x"), "held_out": F.lit(2)})
@@ -209,6 +209,22 @@ def test_language(spark, sf):
     assert {r["lang_pred"] for r in language.predict(docs, empty).collect()} == {"und"}
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(70):
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9, replace=False)
+        words = ["".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(30)]
+        rows += [(1000 * g + i, " ".join(rng.choice(words, 60)), f"l{g:02d}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (language.PICKED_ROWS, 0):
+        monkeypatch.setattr(language, "PICKED_ROWS", most)
+        model = language.trained(df)
+        assert len(model.languages) == 70
+        got = language.predict(df, model).join(df.select("doc_id", "lang"), "doc_id").toPandas()
+        assert set(got["lang_pred"]) == set(got["lang"]) and (got["lang_pred"] == got["lang"]).mean() > 0.97
+
+
 def _shingles(text, k=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
