@@ -198,7 +198,7 @@ def test_language(spark, sf):
         best = int(cosine.argmax())
         assert name == model.languages[model.owner[best]] and s == pytest.approx(cosine[best], abs=1e-9) and r == (cosine[best] < model.least[best])
     # Rows that share an id don't swell the sample; texts are whole.
-    same = docs.withColumn("doc_id", F.lit(5).cast("long"))
+    same = docs.withColumn("doc_id", F.lit(7).cast("long"))
     langs = [r["lang"] for r in language.labelled(same, "doc_id", "text", "lang", sample=7).collect()]
     assert 0 < len(langs) <= 7 * len(set(langs))
     long = docs.where("lang = 'en'").limit(1).withColumn("text", F.repeat("text", 500))
