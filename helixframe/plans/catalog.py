@@ -522,6 +522,17 @@ def mean_distances(spark, sf):
     return profiles.mean_distance(seqs(spark, sf)).select("pid", r6("mean_distance").alias("mean_distance"))
 
 
+@query(TILES + """, x AS (SELECT pid, unnest(list_transform(range(1, 199), lambda j: substr(seq, j, 3))) AS kmer FROM s)
+SELECT pid, kmer, round(count(*) / 198, 6) AS share FROM x GROUP BY 1, 2""")
+def sequence_profiles(spark, sf):
+    return profiles.sequence_profile(seqs(spark, sf)).select("pid", "kmer", r6("share").alias("share"))
+
+
+@query(TILES + "SELECT pid, 'AGGACCGGATCAACT' || seq || 'CATTGCGTGAACCGA' || 'TCCATTATATACCCT' || 'ACGT' AS whole FROM s")
+def constructs(spark, sf):
+    return seqs(spark, sf).select("pid", S.construct("seq", "TCCATTATATACCCT", "ACGT").alias("whole"))
+
+
 # --------------------------------------------------------------- HDF5 pools
 
 

@@ -72,6 +72,11 @@ def with_columns_from(df: DataFrame, more: DataFrame, key: str) -> DataFrame:
     return df.drop(*news).join(more, key, "left")
 
 
+def write_history(df: DataFrame, path: str, step: str = "step") -> None:
+    """A history as lines of JSON in the order of its steps: one row a step, so one file is enough."""
+    df.coalesce(1).sortWithinPartitions(step).write.mode("overwrite").json(path)
+
+
 def cached(spark, path: str, make) -> DataFrame:
     """Read a small table of statistics; make and write it the first time."""
     try:
