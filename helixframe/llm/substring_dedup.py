@@ -20,8 +20,11 @@ document with a smaller id.
 5. A group with very many distinct strings is cut before it comes to one task:
    the hashes of its windows are counted over the cluster, and only the
    stretches between shared ones go on. Strings that differ outside such a
-   stretch become one, so what reaches the suffix array is as small as the
-   group's shared text.
+   stretch become one. A group that is large even then is dealt by a longer
+   anchor, the smallest hash of the substrings of 35 bytes of each window, and
+   what is still large by the windows' own hashes, of which a group has one
+   string. So no suffix array is over more than ``LARGE`` strings of at most
+   ``STRETCH`` windows, whatever the documents share.
 6. Each string's result joins its occurrences; windows whose smallest id is
    smaller than their document's give the removed intervals. Strings, windows
    and texts that very many places share are joined where the places are.
@@ -226,7 +229,41 @@ def _by_suffix_array(strings: DataFrame, width: int) -> DataFrame:
     return arrow_map(dealt, run, "m long, h long, n long, lows array<long>")
 
 
-def _lows_of_large(strings: DataFrame, width: int) -> DataFrame:
+def _by_anchors(strings: DataFrame, width: int, anchors: tuple[int, ...], large: int) -> DataFrame:
+    """The same, with groups of over ``large`` strings dealt by longer anchors until they fit.
+
+    Equal windows have equal anchors of any length, so they stay together. The
+    last anchor is the whole window: a group has one string there.
+    """
+    big = staged(strings.groupBy("m").count().where(F.col("count") > large).select("m"), "large-groups", strings.count() // large)
+    if not anchors or big.isEmpty():
+        return _by_suffix_array(strings, width)
+
+    def anchored(batches):
+        for whole in batches:
+            for batch in rows_by_bytes(whole, "piece", 1 << 18):
+                body, offsets = flat(batch.column("piece"))
+                a, row, start, size = stretches(body, offsets, width, anchors[0])
+                m, h, low = (batch.column(c).to_numpy()[row] for c in ("m", "h", "low_id"))
+                a = (mix(m.astype(np.uint64) + np.uint64(1)) ^ a.astype(np.uint64)).view(np.int64)
+                parts = _strings(body, offsets[row] + start, size + width - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(h), pa.array(low), pa.array(start), pa.array(a), parts], ["m", "h", "low_id", "k", "a", "part"])
+
+    side = F.broadcast(big) if big.count() <= BROADCAST_MARKS else big
+    held = strings.join(side, "m", "left_semi").select("m", "h", "low_id", "piece")
+    places = staged(arrow_map(held, anchored, "m long, h long, low_id long, k long, a long, part binary").withColumn("b", F.xxhash64("part")), "anchored")
+    finer = places.groupBy(F.col("a").alias("m"), F.col("b").alias("h")).agg(F.first("part").alias("piece"), F.min("low_id").alias("low_id"), F.count(F.lit(1)).alias("n"))
+    lows = _by_anchors(staged(finer, "finer"), width, anchors[1:], large)
+    lows = staged(lows.withColumnsRenamed({"m": "a", "h": "b"}), "finer-lows")
+    told = split_join(places.select("m", "h", "k", "a", "b"), lows, ["a", "b"], "n", places.count())
+    # A string has STRETCH windows at most, so its list is short.
+    again = told.groupBy("m", "h").agg(F.array_sort(F.collect_list(F.struct("k", "lows"))).alias("at"))
+    again = again.select("m", "h", F.flatten(F.transform("at", lambda s: s["lows"])).alias("lows"))
+    split = strings.select("m", "h", "n").join(again, ["m", "h"])
+    return _by_suffix_array(strings.join(side, "m", "left_anti"), width).unionByName(split)
+
+
+def _lows_of_large(strings: DataFrame, width: int, mer: int, large: int) -> DataFrame:
     """The same for large groups, whose strings are first cut to their shared stretches over the cluster."""
 
     def hashed(batches):
@@ -250,7 +287,7 @@ def _lows_of_large(strings: DataFrame, width: int) -> DataFrame:
     cut = staged(cut.select("m", "h", F.col("n").alias("rows"), "low_id", "all", "first", "last", part.alias("part")).withColumn("g", F.xxhash64("part")), "cut-strings")
     parts = cut.where("part is not null").groupBy("m", F.col("g").alias("h")).agg(F.first("part").alias("piece"), F.min("low_id").alias("low_id"), F.count(F.lit(1)).alias("n"))
     parts = staged(parts, "parts")
-    lows = staged(_by_suffix_array(parts, width).withColumnRenamed("h", "g"), "part-lows")
+    lows = staged(_by_anchors(parts, width, ((mer + width) // 2, width), large).withColumnRenamed("h", "g"), "part-lows")
     told = split_join(cut, lows, ["m", "g"], "n", cut.count(), "left")
     own = lambda n: F.array_repeat("low_id", n.cast("int"))
     whole = F.when(F.col("lows").isNull(), own(F.col("all"))).otherwise(F.concat(own(F.col("first")), "lows", own(F.col("all") - F.col("last") - 1)))
@@ -328,7 +365,7 @@ def marked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     if big.isEmpty():
         lows = _by_suffix_array(strings, width)
     else:
-        lows = _by_suffix_array(strings.join(side, "m", "left_anti"), width).unionByName(_lows_of_large(strings.join(side, "m", "left_semi"), width))
+        lows = _by_suffix_array(strings.join(side, "m", "left_anti"), width).unionByName(_lows_of_large(strings.join(side, "m", "left_semi"), width, mer, large))
     lows = staged(lows, "lows")
     found = _intervals(split_join(places, lows, ["m", "h"], "n", places.count()), width)
     marks = staged(found.groupBy(F.col("id").alias("mid"), F.col("f").alias("mf")).agg(F.collect_list(F.struct("a", "b")).alias("marks")), "marks", rows)

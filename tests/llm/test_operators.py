@@ -494,6 +494,29 @@ def test_substring_dedup_of_rows_that_share_an_id(spark, large):
     assert told == [(0, 70, 0, 0), (1, 71, 0, 0), (2, 70, 0, 0), (2, 71, 70, 1), (3, 71, 70, 1), (3, 74, 0, 0), (3, 74, 0, 0), (4, 49, 0, 0)]
 
 
+def test_substring_dedup_behind_one_header(spark, monkeypatch):
+    """Titles that occur twice behind a header that all share: every group that is sorted fits, and nothing is lost."""
+    large, header = 40, "The same header stands before each and every title of this table: "
+    rows = [(2 * i + k, header + hashlib.sha256(str(i).encode()).hexdigest()[: 30 + i % 30] + str(k) * 9) for i in range(150) for k in range(2)]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    sizes = []
+    sort = substring_dedup._by_suffix_array
+
+    def watched(strings, width):
+        sizes.append(strings.groupBy("m").count().agg(F.max("count")).first()[0] or 0)
+        return sort(strings, width)
+
+    monkeypatch.setattr(substring_dedup, "_by_suffix_array", watched)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.report(_docs(spark, rows), large=large).collect()}
+    for i, t in rows:
+        gone = {k + j for k in range(len(t) - 49) if first[t[k : k + 50]] < i for j in range(50)}
+        assert got[i] == len(gone)
+    assert len(sizes) > 2 and max(sizes) <= large
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
