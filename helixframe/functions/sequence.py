@@ -39,6 +39,16 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, o - o[0]
 
 
+def padded(body: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """A row of ``width`` bytes for each string, cut or filled up with zeros."""
+    size = np.minimum(np.diff(offsets), width)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros((len(size), int(width)), np.uint8)
+    out[row, at] = body[offsets[:-1][row] + at]
+    return out
+
+
 def kmer_codes(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, base-4 number) of every k-mer of a batch; k-mers never cross rows."""
     body, offsets = _joined(column)

@@ -6,6 +6,9 @@ whatever the partitioning.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,22 +116,55 @@ def memo_misses(wanted: DataFrame, memo: DataFrame, on: str) -> DataFrame:
     return wanted.select(on).distinct().join(memo, on, "left_anti")
 
 
-#: Rows of a query set that distances are taken to.
-QUERY_ROWS = 10_000
+#: Rows of a query set that distances are taken to, and rows that are compared with all of it at once.
+QUERY_ROWS, BLOCK_ROWS = 10_000, 512
 
 
 def distances_to(df: DataFrame, sample: DataFrame, key: str = "pid", seq: str = "seq") -> DataFrame:
     """(key, least, mean): Hamming distances of every row to a query set of at most ``QUERY_ROWS`` rows.
 
-    The set is broadcast, so a larger one is refused; the least distance leaves
-    the row itself out, the mean does not.
+    The set goes to the tasks with the function, so a larger one is refused; no
+    row is shuffled or copied. The least distance leaves the row itself out, the
+    mean does not. Null sequences are at no distance from anything; a row
+    without a distance has nulls.
     """
-    sample = cut(sample.select(key, seq))
-    if sample.count() > QUERY_ROWS:
+    return df.select(key, _to_sample(sample, key, seq)(F.col(key), F.col(seq)).alias("_d")).select(key, "_d.least", "_d.mean")
+
+
+def _to_sample(sample: DataFrame, key: str, seq: str):
+    """A function of (key, seq): least and mean distance to the rows of ``sample``."""
+    rows = sample.select(key, seq).limit(QUERY_ROWS + 1).toArrow()
+    if rows.num_rows > QUERY_ROWS:
         raise ValueError(f"a query set has at most {QUERY_ROWS} rows")
-    side = F.broadcast(sample.select(F.col(key).alias("_sid"), F.col(seq).alias("_sseq")))
-    d = df.select(key, seq).join(side, how="cross").withColumn("_d", S.hamming(seq, "_sseq"))
-    return d.groupBy(key).agg(F.min(F.when(F.col("_sid") != F.col(key), F.col("_d"))).alias("least"), F.avg("_d").alias("mean"))
+    rows = rows.filter(pc.is_valid(rows.column(seq)))
+    names = pc.unique(rows.column(key))
+    owner = pc.index_in(rows.column(key), value_set=names).to_numpy()
+    body, offsets = S._joined(rows.column(seq).combine_chunks())
+    size = np.diff(offsets)
+    letters = np.unique(body)
+    planes = [S.padded(body, offsets, size.max()) == x for x in letters]
+
+    @F.arrow_udf("least long, mean double")
+    def told(keys: pa.Array, column: pa.Array) -> pa.Array:
+        text, at = S._joined(column)
+        own = pc.index_in(keys, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+        dead = column.is_null().to_numpy(zero_copy_only=False) | (len(size) == 0)
+        least, mean = np.zeros(len(column), np.int64), np.zeros(len(column))
+        alone = dead.copy()
+        for low in range(0, len(column) if len(size) else 0, BLOCK_ROWS):
+            s = slice(low, min(low + BLOCK_ROWS, len(column)))
+            long = np.diff(at[s.start : s.stop + 1])
+            here = S.padded(text[at[s.start] : at[s.stop]], at[s.start : s.stop + 1] - at[s.start], size.max())
+            # Counts below 2^24 are exact in single precision.
+            same = sum((here == x).astype(np.float32) @ p.T.astype(np.float32) for x, p in zip(letters, planes, strict=True))
+            gap = np.maximum(long[:, None], size[None]) - np.asarray(same, np.int64)
+            mean[s] = gap.mean(1)
+            other = owner[None] != own[s, None]
+            least[s] = np.where(other, gap, np.iinfo(np.int64).max).min(1)
+            alone[s] |= ~other.any(1)
+        return pa.StructArray.from_arrays([pa.array(least, mask=alone), pa.array(mean, mask=dead)], ["least", "mean"])
+
+    return told
 
 
 def near_duplicates(df: DataFrame, threshold: int, n: int, length: int, seed: int, key: str = "pid", seq: str = "seq") -> DataFrame:
@@ -137,9 +173,8 @@ def near_duplicates(df: DataFrame, threshold: int, n: int, length: int, seed: in
     The sample shrinks as rows grow: min(max(10, 1e8 / (n length)), n) rows, so at most 10,000.
     """
     size = min(max(10, 100_000_000 // max(1, n * length)), n)
-    told = distances_to(df, sample_without_replacement(df, size, key, seed), key, seq)
-    near = told.select(F.col(key).alias("_k"), (F.coalesce(F.col("least"), F.lit(threshold)) < threshold).alias("near"))
-    return df.join(near, F.col(key) == F.col("_k")).drop("_k")
+    told = _to_sample(sample_without_replacement(df, size, key, seed), key, seq)(F.col(key), F.col(seq))
+    return df.withColumn("near", F.coalesce(told["least"], F.lit(threshold)) < threshold)
 
 
 # ------------------------------------------------------------------- order

@@ -14,7 +14,7 @@ from helixframe.functions import rng
 from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut, new_path
 from helixframe.operators import archives, markov, mutagenesis, neighbours, profiles, proposals, ranking, relational, resample
-from helixframe.sources import hdf5
+from helixframe.sources import hdf5, sequences, sinks
 from helixframe.sources.sequences import from_documents, seed_pool, spread
 
 QUERIES: dict = {}
@@ -709,10 +709,10 @@ def oracle_ranges(spark, sf):
     return profiles.ranges(cells(spark, sf), ["c1", "c2", "c3"], 5000, "pid", 42).select("cell", *(r6(x).alias(x) for x in ("min", "max", "mean")))
 
 
-@query(CELLS + """, g AS (SELECT tile AS generation, c1, hamming(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS edits FROM c WHERE tile < 5), z AS (SELECT max(generation) AS last FROM g)
+@query(CELLS + """, g AS (SELECT tile AS generation, c1, hamming(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS edits FROM c), z AS (SELECT max(generation) AS last FROM g)
 SELECT count(*) AS n, round(avg(c1), 6) AS mean, round(max(c1), 6) AS max, round(stddev_samp(c1), 6) AS std, round(avg(edits), 6) AS edits FROM g, z WHERE generation = last""")
 def last_generation(spark, sf):
-    rows = cells(spark, sf).where("tile < 5").select(F.col("tile").alias("generation"), "c1", S.hamming("seq", S.reverse_complement("seq")).alias("edits"))
+    rows = cells(spark, sf).select(F.col("tile").alias("generation"), "c1", S.hamming("seq", S.reverse_complement("seq")).alias("edits"))
     return profiles.last_generation(rows, "c1", "edits").select("n", *(r6(x).alias(x) for x in ("mean", "max", "std", "edits")))
 
 
@@ -809,6 +809,201 @@ def anneal_toy(spark, sf):
     return anneal.history_frame(spark, run)
 
 
+# ------------------------------------------------- files, reports and archives
+
+
+@query(TILES + "SELECT pid, seq, lang FROM s")
+def csv_by_language(spark, sf):
+    path = f"{new_path(spark, 'by-language')}.csv"
+    sinks.write_csv(seqs(spark, sf).select("pid", "seq", "source", "lang"), path, "lang")
+    return sequences.read_table(spark, path, "pid long, seq string, source string, lang string", ["pid", "seq", "lang"])
+
+
+@query(CELLS + "SELECT pid, seq, round(c1, 6) AS score FROM c")
+def tsv_by_position(spark, sf):
+    path = new_path(spark, "positional")
+    cells(spark, sf).select("pid", "seq", "c1").write.csv(path, sep="\t")
+    return sequences.read_positional_tsv(spark, path, ["pid", "seq", "score", "rev"]).select("pid", "seq", r6("score").alias("score"))
+
+
+@query(TILES + "SELECT * FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS idx FROM s) WHERE idx >= 100 AND idx < 5000")
+def row_slice(spark, sf):
+    return sequences.rows_between(relational.numbered(seqs(spark, sf).select("pid"), "pid"), "idx", "100:5000").select("pid", "idx")
+
+
+@query(CELLS + ", u AS (SELECT unnest(['c1', 'c2', 'c3']) AS cell, unnest([c1, c2, c3]) AS v FROM c) SELECT cell, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean FROM u GROUP BY 1")
+def ranges_file(spark, sf):
+    path = new_path(spark, "ranges")
+    names = ["c1", "c2", "c3"]
+    sinks.write_json(cells(spark, sf).agg(*(F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean")).alias(c) for c in names)), path)
+    return sequences.read_ranges(spark, path, names).select("cell", r6("min").alias("min"), r6("max").alias("max"), r6("mean").alias("mean"))
+
+
+@query(f"WITH {_TILES}, {ALL_KMERS}, n AS (SELECT left(seq, 3) AS kmer, count(*) AS n FROM s GROUP BY 1) SELECT kmer, coalesce(n, 0) AS n FROM dim LEFT JOIN n USING (kmer)")
+def first_kmer_profile(spark, sf):
+    counts = seqs(spark, sf).groupBy(F.left("seq", F.lit(3)).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    return sequences.dense_profile(counts)
+
+
+@query(TILES + "SELECT pid, seq, 'final' AS name, 42 AS seed FROM s")
+def final_population(spark, sf):
+    run = new_path(spark, "run")
+    sinks.write_population(seqs(spark, sf).select("pid", "seq"), run, "final", seed=42)
+    meta = spark.read.parquet(f"{run}/final_meta").select("name", F.get_json_object("meta", "$.seed").cast("int").alias("seed"))
+    return spark.read.parquet(f"{run}/final").join(F.broadcast(meta), how="cross")
+
+
+@query(CELLS + """, b AS (SELECT doc_id, arg_min(pid, struct_pack(v := -c1, p := pid)) AS pid, max(c1) AS score FROM c GROUP BY 1)
+SELECT doc_id, pid, round(score, 6) AS score FROM b WHERE (SELECT avg(score) FROM b) > (SELECT avg(c1) FROM c) + 0.01""")
+def best_population(spark, sf):
+    run, final = new_path(spark, "run"), cells(spark, sf).select("doc_id", "pid", F.col("c1").alias("score"))
+    best = relational.distinct_best(final, "doc_id", "score", "pid")
+    kept = sinks.write_best(final, best, run, "score")
+    return (spark.read.parquet(f"{run}/best") if kept else best.limit(0)).select("doc_id", "pid", r6("score").alias("score"))
+
+
+@query(f"""WITH {_CHECKPOINTS} SELECT 'threshold' AS archive, event_id, value, step, NULL::DOUBLE AS rank FROM e WHERE value > 50
+UNION ALL SELECT 'per_step', event_id, NULL, step, rank::DOUBLE FROM (SELECT step, event_id, row_number() OVER (PARTITION BY step ORDER BY value DESC, event_id) AS rank FROM e) WHERE rank <= 3
+UNION ALL SELECT 'top', event_id, value, step, NULL FROM (SELECT * FROM e ORDER BY value DESC, event_id LIMIT 60)""")
+def archive_tables(spark, sf):
+    rows, run = checkpoints(spark, sf), new_path(spark, "run")
+    every = {
+        "threshold": archives.threshold(rows, "value", 50.0).select("event_id", "value", "step"),
+        "per_step": archives.per_step(rows, 3, "value", "event_id").select("step", "event_id", F.col("rank").cast("double").alias("rank")),
+        "top": relational.top_k(rows, 60, "value", "event_id").select("event_id", "value", "step"),
+    }
+    sinks.write_archives(every, run)
+    return spark.read.parquet(f"{run}/archives").select("archive", "event_id", "value", "step", "rank")
+
+
+@query(CELLS + "SELECT seq, round(max(c1), 6) AS score, min(tile) AS step FROM c WHERE c1 > 0 GROUP BY 1")
+def threshold_file(spark, sf):
+    path = new_path(spark, "threshold")
+    sinks.write_threshold_archive(cells(spark, sf).select("seq", F.col("c1").alias("score"), F.col("tile").alias("step")), path, 0.0)
+    return spark.read.parquet(path).select("seq", r6("score").alias("score"), "step")
+
+
+@query(f"WITH {_CHECKPOINTS} SELECT step, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS best, (SELECT max(step) + 1 FROM e) AS resume FROM e GROUP BY 1")
+def history_files(spark, sf):
+    told = checkpoints(spark, sf).groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("best"))
+    table_path, lines = new_path(spark, "history"), new_path(spark, "history-lines")
+    for part in (told.where("step % 2 = 0"), told.where("step % 2 <> 0")):
+        sinks.append_history(part, table_path)
+    sinks.write_history(spark.read.parquet(table_path), lines)
+    rows = spark.read.schema("step long, n long, mean double, best double").json(lines)
+    return rows.select("step", "n", r6("mean").alias("mean"), r6("best").alias("best"), F.lit(sinks.resume_step(spark, table_path)).cast("long").alias("resume"))
+
+
+@query("SELECT d.doc_id, d.n_chars, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def added_columns(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.lit(-1).alias("quality"))
+    return sinks.with_columns_from(docs, table(spark, sf, "labels"), "doc_id").select("doc_id", "n_chars", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("quality", "toxic")))
+
+
+@query(METRICS + "SELECT lang, count(*) AS n, round(avg(gc), 6) AS gc FROM m GROUP BY 1")
+def cached_statistics(spark, sf):
+    path = new_path(spark, "statistics")
+
+    def make():
+        return seqs(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(S.gc("seq")).alias("gc"))
+
+    sinks.cached(spark, path, make)
+    # The second call must find the table, so it has nothing to make it from.
+    return sinks.cached(spark, path, None).select("lang", "n", r6("gc").alias("gc"))
+
+
+@query("""WITH f AS (SELECT l_returnflag AS flag, count(*) AS n, avg(l_quantity) AS mean FROM lineitem GROUP BY 1)
+SELECT '| flag | n | mean |' || chr(10) || '|-|-|-|' || chr(10) || string_agg('| ' || flag || ' | ' || n || ' | ' || printf('%.3f', mean) || ' |', chr(10) ORDER BY flag) AS report FROM f""")
+def markdown_report(spark, sf):
+    told = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean"))
+    return spark.createDataFrame([(sinks.markdown(told.orderBy("flag")),)], "report string")
+
+
+# ------------------------------------------------- rows, ranks, steps, choices
+
+
+@query("SELECT event_id, value * 2 AS b FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND isfinite(value)")
+def complete_rows(spark, sf):
+    odd = lambda k, v: F.when(F.col("event_id") % k == 0, F.lit(v).cast("double"))
+    rows = table(spark, sf, "events").select("event_id", odd(5, float("nan")).when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value")).alias("a"), odd(11, float("inf")).otherwise(F.col("value") * 2).alias("b"))
+    return relational.finite_pairs(relational.drop_incomplete(rows, ["a"]), "a", "b").select("event_id", "b")
+
+
+@query(TILES + "SELECT pid, CASE WHEN pid % 2 = 0 THEN 'forward' ELSE 'reverse' END AS orientation FROM s")
+def known_orientations(spark, sf):
+    whole = S.inject_adapters("seq")
+    rows = seqs(spark, sf).select("pid", F.when(F.col("pid") % 2 == 0, whole).otherwise(S.reverse_complement(whole)).alias("whole"))
+    return relational.require_known_orientation(rows, "whole").select("pid", "orientation")
+
+
+@query("""SELECT p_partkey, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0
+  + rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS rank_sum FROM part""")
+def rank_sums(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    return ranking.rank_sum(rows, ["p_retailprice", "p_size"]).select("p_partkey", "rank_sum")
+
+
+@query(f"""WITH z AS (SELECT count(*) AS n FROM supplier), n AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS best FROM supplier),
+d AS (SELECT floor({uniform_sql(4, 'draw', 'd')} * (SELECT n FROM z))::BIGINT AS idx FROM range(0, 5000) r(d) WHERE d < 5000 - (SELECT n FROM z)),
+u AS (SELECT s_suppkey FROM n WHERE best <= 5000 UNION ALL SELECT s_suppkey FROM d JOIN n USING (idx)) SELECT s_suppkey, count(*) AS copies FROM u GROUP BY 1""")
+def top_or_fill(spark, sf):
+    rows = relational.top_k_or_fill(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), 5000, "s_acctbal", "s_suppkey", 4)
+    return rows.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("copies"))
+
+
+#: Bisection, as the effective size falls while the step grows.
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT 0.05::DOUBLE * value - (SELECT max(0.05::DOUBLE * value) FROM events) AS f FROM events),
+b AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 10.0::DOUBLE AS high UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END FROM (
+    SELECT i, low, high, (low + high) / 2 AS mid, (SELECT pow(sum(exp((b.low + b.high) / 2 * f)), 2) / sum(exp((b.low + b.high) * f)) >= 0.5 * count(*) FROM v) AS ok FROM b WHERE i < 44))
+SELECT round(low, 6) AS step FROM b WHERE i = 44""")
+def temperature_step(spark, sf):
+    rows = table(spark, sf, "events").select((F.lit(0.05) * F.col("value")).alias("fitness"))
+    return spark.createDataFrame([(round(resample.largest_step(rows, "fitness", 10.0, 0.5), 6),)], "step double")
+
+
+@query(METRICS + "SELECT round(greatest(0, 0.5 + 2.0 * (abs(avg(gc) - 0.5) - 0.02)), 6) AS multiplier FROM m")
+def constraint_step(spark, sf):
+    mean = seqs(spark, sf).agg(F.avg(S.gc("seq"))).first()[0]
+    return spark.createDataFrame([(round(profiles.lagrange_step(0.5, mean, 0.5, 0.02, 2.0), 6),)], "multiplier double")
+
+
+_BRANCHES = "b AS (SELECT doc_id AS pid, tile AS k, seq, c1 FROM c)"
+
+
+def branches(spark, sf):
+    """The tiles of a document as the branches of one row."""
+    return cells(spark, sf).select(F.col("doc_id").alias("pid"), F.col("tile").alias("k"), "seq", "c1")
+
+
+@query(f"WITH {_TILES}, {_CELLS}, {_BRANCHES} SELECT pid, k FROM b QUALIFY row_number() OVER (PARTITION BY pid ORDER BY c1 DESC, k) <= 3")
+def branch_prefilter(spark, sf):
+    return proposals.prefiltered(branches(spark, sf), 3, "c1").select("pid", "k")
+
+
+@query(f"""WITH {_TILES}, {_CELLS}, {_BRANCHES}, f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY pid ORDER BY c1 DESC, k) <= 2)
+SELECT pid, k, list_sum(list_transform(range(1, 198), lambda j: (substr(seq, j, 4) = 'GATA')::BIGINT))::DOUBLE AS score FROM f""")
+def scorer_cascade(spark, sf):
+    rows = branches(spark, sf).drop("c1")
+    return proposals.cascade(rows, proposals.CellScorer(("c1",)), proposals.MotifScorer(), 2, "score_c1").select("pid", "k", "score")
+
+
+@query(f"""WITH {_TILES}, {_CELLS}, {_BRANCHES}, w AS (SELECT pid, k, exp((c1 - max(c1) OVER (PARTITION BY pid)) / 0.05) AS w FROM b),
+t AS (SELECT pid, k, w, sum(w) OVER (PARTITION BY pid ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY pid) AS total FROM w)
+SELECT pid, k, round(ln(greatest(w / total, 1e-30)), 6) + 0.0 AS log_p FROM t WHERE upto / total > {uniform_sql(8, 'tau', 'pid', "'0'")} QUALIFY row_number() OVER (PARTITION BY pid ORDER BY k) = 1""")
+def softmax_choice(spark, sf):
+    rows = branches(spark, sf).withColumns({"parent": F.col("seq"), "origin": F.col("seq")})
+    return proposals.chosen_branch(rows, "c1", 200, tau=0.05, seed=8).select("pid", "k", (r6("log_p") + 0.0).alias("log_p"))
+
+
+@query(CELLS + f""", d AS (SELECT c1, c1 + 0.01 * {uniform_sql(3, 'noise', 'pid')} AS known FROM c ORDER BY md5('12:' || pid), pid LIMIT 2000)
+SELECT count(*) AS n, round(max(abs(c1 - known)), 6) AS largest, round(avg(abs(c1 - known)), 6) AS mean, round(corr(c1, known), 6) AS r FROM d""")
+def scorer_check(spark, sf):
+    rows = cells(spark, sf).select("pid", "seq", (F.col("c1") + 0.01 * rng.uniform(3, "noise", "pid")).alias("known"))
+    told = proposals.sampled_check(rows, proposals.CellScorer(("c1",)), "known", 2000, 12, "score_c1")
+    return told.select("n", r6("largest").alias("largest"), r6("mean").alias("mean"), r6("r").alias("r"))
+
+
 # ------------------------------------------------------------------- flagship
 
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from helixframe.operators import neighbours
+from helixframe.operators import neighbours, relational
 
 
 def _near(rows, t):
@@ -28,3 +29,22 @@ def test_near_mask(spark, kind):
     for t, size in ((1, 256), (3, 40), (4, 40), (3, 256)):
         assert {r["pid"]: r["near"] for r in neighbours.near_mask(df, t, group_rows=size).collect()} == _near(rows, t), (t, size)
     assert neighbours.near_mask(df, 0).where("near").isEmpty() and neighbours.near_mask(df.limit(0), 3).count() == 0
+
+
+def test_distances_to_a_sample_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(0, 9, 60)]
+    pool = [(i, t) for i, t in enumerate(texts)] + [(3, "ACG"), (60, None), (None, "ACGT")]
+    sample = [*pool[:7], (60, None)]
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b))
+    want = []
+    for key, a in pool:
+        every = [(k, far(a, b)) for k, b in sample if a is not None and b is not None]
+        want.append((key, a, min((d for k, d in every if k != key), default=None), sum(d for _, d in every) / len(every) if every else None))
+    df = spark.createDataFrame(pool, "pid long, seq string")
+    few = spark.createDataFrame(sample, "pid long, seq string")
+    shown = lambda rows: sorted(map(repr, rows))
+    got = [tuple(r) for r in relational.distances_to(df, few).select("pid", "least", F.round("mean", 9)).collect()]
+    assert shown(got) == shown((k, m, None if a is None else round(a, 9)) for k, _, m, a in want)
+    assert all(r["least"] is None and r["mean"] is None for r in relational.distances_to(df, few.limit(0)).collect())
+    assert relational.distances_to(df.limit(0), few).count() == 0
