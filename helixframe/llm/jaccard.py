@@ -438,16 +438,18 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, words: int, order: Order) -> D
 def _round(df: DataFrame, classes: DataFrame, most: int | None, done: int, words: int, percent: int, block: int, keys: int, order: Order) -> DataFrame:
     """Links between classes of different components that share one of the first ``most`` prefix n-grams, but not of the first ``done``."""
     spark, total = df.sparkSession, classes.count()
-    rows = staged(_met(classes, most, done), "met", total * (most or 8))
+    # Written as they come from the shuffle by n-gram; dealt anew for the files' sake, all of them would move twice.
+    rows = staged(_met(classes, most, done), "met")
     few = rows.count()
     release(spark)
     cells = _compatible(_dealt(rows, block, keys), percent)
     sketch = classes.select("rep", "cid", "n", F.col("prefix").alias("keys")).join(cells, "cid")
     maybe = staged(_joined(sketch, percent, False), "maybe", few)
+    drop_staged(spark, rows)
     wanted = staged(classes.select("rep", "rep_mark", "cid").join(maybe.select("cid").distinct(), "cid", "left_semi"), "wanted", min(few, total))
     sets = _whole_sets(df, wanted, words, order)
     links = staged(_joined(maybe.join(sets, "cid"), percent, True), "links", few)
-    drop_staged(spark, rows, maybe, wanted)
+    drop_staged(spark, maybe, wanted)
     return links.select(F.struct(F.col("ra").alias("rep"), F.col("a").alias("cid")).alias("a"), F.struct(F.col("rb").alias("rep"), F.col("b").alias("cid")).alias("b"))
 
 
