@@ -272,8 +272,15 @@ def _fingerprint(keys: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def _parity(keys: np.ndarray) -> bytes:
+    """Bits by hash, each flipped by every key that falls to it; between one and two bits a key, 64 at least."""
+    bits = 1 << max(6, (len(keys) - 1).bit_length())
+    odd = np.bincount((mix(keys) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def shingle_table(df: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
-    """id, mark (of the text), n, two fingerprints of the set, and the prefix's keys."""
+    """id, mark (of the text), n, two fingerprints of the set, its parity bits, and the prefix's keys."""
 
     def run(batches):
         for whole in batches:
@@ -281,12 +288,13 @@ def shingle_table(df: DataFrame, words: int, percent: int, order: Order) -> Data
                 sets = [order.keys(s) for s in shingle_sets(batch.column("text"), words)]
                 prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(len(sets), 2)
                 prefixes = [s[: prefix_length(len(s), percent)].astype(">u8").tobytes() if len(s) else b"" for s in sets]
+                bits = [_parity(s) if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(prefixes, pa.binary())],
-                    ["id", "mark", "n", "f1", "f2", "prefix"],
+                    [batch.column("id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())],
+                    ["id", "mark", "n", "f1", "f2", "parity", "prefix"],
                 )
 
-    return arrow_map(df.select("id", "mark", "text"), run, "id long, mark long, n int, f1 long, f2 long, prefix binary")
+    return arrow_map(df.select("id", "mark", "text"), run, "id long, mark long, n int, f1 long, f2 long, parity binary, prefix binary")
 
 
 def _prefix_rows(classes: DataFrame, most: int | None, common: bool) -> DataFrame:
@@ -312,61 +320,72 @@ def _prefix_rows(classes: DataFrame, most: int | None, common: bool) -> DataFram
     return arrow_map(some.select("cid", "comp", "n", "prefix"), run, "gram long, cid long, comp long, n int, pos int")
 
 
-def _met(classes: DataFrame, most: int | None, done: int) -> DataFrame:
-    """The prefix rows of n-grams that several components have, and that stand beyond the first ``done`` of some set.
+def _met(classes: DataFrame, most: int | None, done: int, block: int, keys: int) -> tuple[DataFrame, DataFrame]:
+    """The prefix rows of n-grams that several components have, and that stand beyond the first ``done`` of some set; of rare n-grams, then of frequent ones.
 
     ``old`` rows are those within: two of them met in the round before.
+    ``parts``: over how many parts the n-gram's rows are dealt.
 
     Frequent n-grams are counted with map-side partial sums and their list, of
-    a fixed length at most, goes back to the rows; all others meet by n-gram.
+    a fixed length at most, goes back to the rows; all others meet by n-gram,
+    and stand there in its order.
     """
-    mixed = f"low < high and far >= {done}"
+    figures = {"low": F.min("comp"), "high": F.max("comp"), "far": F.max("pos"), "k": F.count(F.lit(1)), "w": F.sum("n")}
+    mixed, cells = f"low < high and far >= {done}", F.ceil(F.greatest(F.col("k") / block, F.col("w") / keys))
+    parts = F.when(cells > 1, cells * 2).otherwise(1).cast("int")
     common = _prefix_rows(classes, most, True)
-    listed = common.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("pos").alias("far")).where(mixed).select("gram")
+    listed = common.groupBy("gram").agg(*(c.alias(name) for name, c in figures.items())).where(mixed).select("gram", parts.alias("parts"))
     every = Window.partitionBy("gram")
-    rare = _prefix_rows(classes, most, False).withColumns({"low": F.min("comp").over(every), "high": F.max("comp").over(every), "far": F.max("pos").over(every)})
-    met = common.join(F.broadcast(listed), "gram", "left_semi").unionByName(rare.where(mixed).drop("low", "high", "far"))
-    return met.withColumn("old", F.col("pos") < done)
-
-
-def _dealt(rows: DataFrame, block: int, keys: int) -> DataFrame:
-    """The grid cells of the rows. Of n-grams with the very same documents, the first in the order keeps its group."""
-    groups = rows.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.expr("bit_xor(xxhash64(cid, 1))").alias("h1"), F.expr("bit_xor(xxhash64(cid, 2))").alias("h2")
-    )
-    first = F.min_by(F.struct("gram", "w"), F.struct(F.col("gram") < 0, F.col("gram"))).alias("first")
-    groups = groups.groupBy("k", "h1", "h2").agg(first).select("first.gram", "k", F.ceil(F.greatest(F.col("k") / block, F.col("first.w") / keys)).alias("cells"))
-    parts = staged(groups.select("gram", "k", F.when(F.col("cells") > 1, F.col("cells") * 2).otherwise(1).cast("int").alias("parts")), "groups", rows.count())
-    dealt = split_join(rows, parts, ["gram"], "k", rows.count())
-    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(cid, 5), parts) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.select("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "comp", "n", "pos", "old")
+    rare = _prefix_rows(classes, most, False).withColumns({name: c.over(every) for name, c in figures.items()})
+    rare = rare.where(mixed).withColumn("parts", parts).drop(*figures).sortWithinPartitions("gram")
+    old = F.col("pos") < done
+    return rare.withColumn("old", old), common.join(F.broadcast(listed), "gram").withColumn("old", old)
 
 
 _CELL = ["gram", "lo", "hi"]
+_ROW = "gram long, lo int, hi int, own int, cid long, comp long, n int, pos int, old boolean"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The grid cells of the rows, together and in order."""
+    dealt = rows.withColumn("own", F.expr("cast(pmod(xxhash64(cid, 5), parts) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select("gram", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "comp", "n", "pos", "old", F.lit(1).alias("parts"))
+    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+
+def _fits(n, left, comp, own, old, some, split, percent):
+    """Which of the rows ``some`` and all rows of a cell may be a pair, by component, size and position."""
+    ok = (comp[some, None] != comp[None]) & ~(old[some, None] & old[None])
+    if split:
+        ok &= own[some, None] != own[None]
+    ok &= 100 * np.minimum.outer(n[some], n) >= percent * np.maximum.outer(n[some], n)
+    return ok & ((100 + percent) * np.minimum.outer(left[some], left) >= percent * np.add.outer(n[some], n))
+
+
+def _figures(table: pa.Table):
+    comp, own, n, pos = (table.column(c).to_numpy() for c in ("comp", "own", "n", "pos"))
+    return n.astype(np.int64), (n - pos).astype(np.int64), comp, own, table.column("old").to_numpy(zero_copy_only=False)
 
 
 def _compatible(cells: DataFrame, percent: int) -> DataFrame:
-    """The rows with a partner of another component whose size and position leave room for the overlap."""
-    names = [*_CELL, "own", "cid", "comp", "old"]
+    """The rows with a partner of another component whose size and position leave room for the overlap.
 
-    def fits(n, left, comp, own, old, some, split):
-        ok = (comp[some, None] != comp[None]) & ~(old[some, None] & old[None])
-        if split:
-            ok &= own[some, None] != own[None]
-        ok &= 100 * np.minimum.outer(n[some], n) >= percent * np.maximum.outer(n[some], n)
-        return (ok & ((100 + percent) * np.minimum.outer(left[some], left) >= percent * np.add.outer(n[some], n))).any(1)
+    Rows that are still to be dealt over several parts all stay. ``s1``, ``s2``:
+    a cell's rows that stay, as two sums over their numbers.
+    """
+    names = [x.split()[0] for x in _ROW.split(", ")] + ["parts"]
 
     def run(batches):
         for table, bounds in runs(batches, _CELL):
-            comp, own, n, pos = (table.column(c).to_numpy() for c in ("comp", "own", "n", "pos"))
-            lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
-            old = table.column("old").to_numpy(zero_copy_only=False)
-            n, left, keep = n.astype(np.int64), (n - pos).astype(np.int64), np.zeros(table.num_rows, bool)
+            figures, keep = _figures(table), np.zeros(table.num_rows, bool)
+            lo, hi, parts = (table.column(c).to_numpy() for c in ("lo", "hi", "parts"))
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if parts[s] > 1:
+                    keep[s:e] = True
+                    continue
                 for k in range(s, e, 128):
-                    keep[k : min(k + 128, e)] = fits(n[s:e], left[s:e], comp[s:e], own[s:e], old[s:e], slice(k - s, min(k + 128, e) - s), lo[s] != hi[s])
-            # A cell's rows that stay, as two sums over their numbers.
+                    keep[k : min(k + 128, e)] = _fits(*(x[s:e] for x in figures), slice(k - s, min(k + 128, e) - s), lo[s] != hi[s], percent).any(1)
             cid, cell = table.column("cid").to_numpy().astype(U64), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             prints = []
             for salt in (1, 2):
@@ -375,12 +394,75 @@ def _compatible(cells: DataFrame, percent: int) -> DataFrame:
             out = table.select(names).append_column("s1", prints[0]).append_column("s2", prints[1])
             yield from out.filter(pa.array(keep)).to_batches()
 
-    dealt = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
-    found = arrow_map(dealt, run, "gram long, lo int, hi int, own int, cid long, comp long, old boolean, s1 long, s2 long")
-    # Of cells with the very same rows left, the one of the first n-gram in the order is where all their pairs belong.
+    return arrow_map(cells.select(*names), run, f"{_ROW}, parts int, s1 long, s2 long")
+
+
+def _once(cells: DataFrame) -> DataFrame:
+    """Of cells with the very same rows left, the one of the first n-gram in the order is where all their pairs belong."""
     place = F.struct(F.col("gram") < 0, *_CELL)
     same = Window.partitionBy("s1", "s2", "cid")
-    return found.withColumn("first", F.min(place).over(same)).where(F.col("first") == place).drop("first", "s1", "s2")
+    return cells.withColumn("first", F.min(place).over(same)).where(F.col("first") == place).drop("first", "s1", "s2", "parts")
+
+
+def _differing(bits: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many parity bits the sets of each pair differ, the longer bits folded to the shorter; never more than keys that only one has."""
+    size = np.array([len(x) for x in bits])
+    out, least = np.zeros(len(a), np.int64), np.minimum(size[a], size[b])
+    for w in np.unique(least).tolist():
+        at = np.flatnonzero(least == w)
+        rows, where = np.unique(np.r_[a[at], b[at]], return_inverse=True)
+        matrix = np.stack([np.bitwise_xor.reduce(bits[r].reshape(-1, w), axis=0) for r in rows.tolist()])
+        i, j = where[: len(at)], where[len(at) :]
+        step = max(1, (1 << 19) // w)
+        for k in range(0, len(at), step):
+            out[at[k : k + step]] = np.bitwise_count(matrix[i[k : k + step]] ^ matrix[j[k : k + step]]).sum(1)
+    return out
+
+
+#: Pairs whose bits are compared together.
+PAIRS = 1 << 20
+
+
+def _alike(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows with a partner whose parity bits leave room for the overlap.
+
+    Sets of sizes a and b with d differing bits share at most (a + b - d) / 2
+    keys, so nothing is lost, and some bits a key tell unlike sets apart
+    without their prefixes.
+    """
+
+    def run(batches):
+        for table, bounds in runs(batches, _CELL):
+            figures, keep = _figures(table), np.zeros(table.num_rows, bool)
+            n, lo, hi = figures[0], table.column("lo").to_numpy(), table.column("hi").to_numpy()
+            body, offsets = flat(table.column("parity").combine_chunks())
+            bits = [body[x:y].view(U64) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found: list = []
+
+            def told(found=found, n=n, bits=bits, keep=keep):
+                if found:
+                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                    # Twice the overlap's bound against twice the least overlap, in whole numbers.
+                    good = (100 + percent) * (n[a] + n[b] - _differing(bits, a, b)) >= 2 * percent * (n[a] + n[b])
+                    keep[a[good]] = keep[b[good]] = True
+                    found.clear()
+
+            many = 0
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for k in range(s, e, 128):
+                    i, j = np.nonzero(_fits(*(x[s:e] for x in figures), slice(k - s, min(k + 128, e) - s), lo[s] != hi[s], percent))
+                    one = i + k - s < j
+                    found.append((i[one] + k, j[one] + s))
+                    many += int(one.sum())
+                    if many > PAIRS:
+                        told()
+                        many = 0
+            told()
+            yield from table.drop_columns(["parity"]).filter(pa.array(keep)).to_batches()
+
+    names = [x.split()[0] for x in _ROW.split(", ")]
+    both = cells.select(*names).join(classes.select("cid", "parity"), "cid").select(*names, "parity")
+    return arrow_map(both.repartition(*_CELL).sortWithinPartitions(*_CELL), run, _ROW)
 
 
 def _joined(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
@@ -438,16 +520,24 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, words: int, order: Order) -> D
 def _round(df: DataFrame, classes: DataFrame, most: int | None, done: int, words: int, percent: int, block: int, keys: int, order: Order) -> DataFrame:
     """Links between classes of different components that share one of the first ``most`` prefix n-grams, but not of the first ``done``."""
     spark, total = df.sparkSession, classes.count()
-    rows = staged(_met(classes, most, done), "met", total * (most or 8))
-    few = rows.count()
+    rare, common = _met(classes, most, done, block, keys)
+    none = F.lit(0)
+    # The rows of rare n-grams meet once and are looked at where they are; few of them are written.
+    met = staged(_compatible(rare.withColumns({"lo": none, "hi": none, "own": none}), percent), "met")
+    release(spark)
+    wide = met.where("parts > 1").select(*common.columns).unionByName(common)
+    cells = _once(met.where("parts = 1").unionByName(_compatible(_dealt(wide), percent)))
+    near = staged(_alike(cells, classes, percent), "near")
     release(spark)
-    cells = _compatible(_dealt(rows, block, keys), percent)
-    sketch = classes.select("rep", "cid", "n", F.col("prefix").alias("keys")).join(cells, "cid")
+    few = near.count()
+    own = near.select("cid").distinct()
+    prefixes = classes.join(F.broadcast(own) if few <= BROADCAST_ROWS else own, "cid", "left_semi")
+    sketch = prefixes.select("rep", "cid", F.col("prefix").alias("keys")).join(near.drop("pos"), "cid")
     maybe = staged(_joined(sketch, percent, False), "maybe", few)
     wanted = staged(classes.select("rep", "rep_mark", "cid").join(maybe.select("cid").distinct(), "cid", "left_semi"), "wanted", min(few, total))
     sets = _whole_sets(df, wanted, words, order)
     links = staged(_joined(maybe.join(sets, "cid"), percent, True), "links", few)
-    drop_staged(spark, rows, maybe, wanted)
+    drop_staged(spark, met, near, maybe, wanted)
     return links.select(F.struct(F.col("ra").alias("rep"), F.col("a").alias("cid")).alias("a"), F.struct(F.col("rb").alias("rep"), F.col("b").alias("cid")).alias("b"))
 
 
@@ -471,10 +561,10 @@ def near_rows(
     every = staged(shingle_table(docs, words, percent, order), "shingles")
     # Equal sets are one class, named by its first row; the class's number tells apart those that share an id.
     some = every.where("n > 0 and id is not null")
-    one = some.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "mark")).alias("r"), F.count(F.lit(1)).alias("size"), F.min("prefix").alias("prefix"))
-    classes = staged(one.select(F.col("r.id").alias("rep"), F.col("r.mark").alias("rep_mark"), F.monotonically_increasing_id().alias("cid"), "n", "f1", "f2", "size", "prefix"), "shingle-classes")
+    one = some.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "mark")).alias("r"), F.count(F.lit(1)).alias("size"), F.min("parity").alias("parity"), F.min("prefix").alias("prefix"))
+    classes = staged(one.select(F.col("r.id").alias("rep"), F.col("r.mark").alias("rep_mark"), F.monotonically_increasing_id().alias("cid"), "n", "f1", "f2", "size", "parity", "prefix"), "shingle-classes")
     total = every.count()
-    narrow = staged(every.drop("prefix"), "documents", total)
+    narrow = staged(every.drop("prefix", "parity"), "documents", total)
     drop_staged(spark, every)
     known, roots = classes.withColumn("comp", F.col("cid")), None
     for done, most in zip((0, *ROUNDS), ROUNDS, strict=False):
