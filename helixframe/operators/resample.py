@@ -154,8 +154,9 @@ def weighted_draws(df: DataFrame, n: int, weight: str, key: str, seed: int, stre
     # A row stands just before the first point that is no longer its own.
     both = rows.select((F.col("_upto") - 1).alias("_x"), F.lit(None).cast("long").alias("draw"), F.struct(key).alias("_r")).unionByName(draws.withColumn("_r", F.lit(None).cast(f"struct<{key}:{dict(df.dtypes)[key]}>")))
     parts = range_parts(both.withColumn("_o", F.struct("_x", F.col("_r").isNotNull().alias("row"), "draw")), "_o")
-    ahead = Window.partitionBy("_part").orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
-    found = parts.withColumn("_r", F.first("_r", ignorenulls=True).over(ahead)).where("draw is not null")
+    # Backwards, so that the frame only grows: one that shrinks is gone through anew for every row.
+    ahead = Window.partitionBy("_part").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    found = parts.withColumn("_r", F.last("_r", ignorenulls=True).over(ahead)).where("draw is not null")
     # One row a range: its first row, for the draws that end the ranges before it.
     first = {r["_part"]: r["f"] for r in parts.where("_r is not null").groupBy("_part").agg(F.min_by("_r", "_at").alias("f")).collect()}
     side, after = [], None
