@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from helixframe.functions import sequence as S
 
 #: Candidates looked at together: rows of a batch times places times four bases.
 CELLS = 1 << 22
-#: No substitution at all.
-NEVER = np.iinfo(np.int64).min >> 1
+#: As many of a block of one length, which is gone through several times.
+BLOCK = 1 << 19
 
 STEP = StructType([StructField("position", IntegerType()), StructField("base", StringType()), StructField("candidate", StringType()), StructField("candidate_score", DoubleType())])
 
@@ -61,19 +61,20 @@ class WindowScorer:
     def gains(self, codes: np.ndarray) -> np.ndarray:
         """(rows, places, 4): what the unscaled score gains if a place gets a base."""
         rows, length = codes.shape
-        out = np.zeros((rows, length, 4), np.int64)
+        # What a place can gain is bounded by the tables; small numbers keep a block in a core's cache.
+        most = sum(2 * k * max(map(abs, values), default=0) for k, values in self.tables)
+        out = np.zeros((rows, length, 4), np.int32 if most < 1 << 29 else np.int64)
         for k, values in self.tables:
             n = length - k + 1
             if n <= 0:
                 continue
-            table, window = np.array(values, np.int64), _windows(codes, k)
-            now = table[window]
+            table, window, every = np.array(values, out.dtype), _windows(codes, k), np.arange(4**k)
             for j in range(k):
-                # The windows that have a place as their j-th base.
+                # The windows that have a place as their j-th base: what each gains from each base there.
                 unit = 4 ** (k - 1 - j)
-                rest = window - codes[:, j : j + n] * unit
-                for b in range(4):
-                    out[:, j : j + n, b] += table[rest + b * unit] - now
+                rest = every - every // unit % 4 * unit
+                change = table[rest[:, None] + np.arange(4) * unit] - table[:, None]
+                out[:, j : j + n] += change[window]
         return out
 
 
@@ -92,8 +93,10 @@ _BYTES = np.frombuffer(S.BASES.encode(), np.uint8)
 
 def _best(chars: np.ndarray, scorer: WindowScorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, base and gain of each row's best substitution; the leftmost place, then the first base settle ties."""
-    gains = scorer.gains(_CODE[chars])
-    gains[chars[:, :, None] == _BYTES] = NEVER
+    codes = _CODE[chars]
+    gains = scorer.gains(codes)
+    own = np.flatnonzero(S._IS_BASE[chars])
+    gains.reshape(-1, 4)[own, codes.reshape(-1)[own]] = np.iinfo(gains.dtype).min >> 1
     cells = gains.reshape(len(chars), -1)
     at = cells.argmax(1)
     return at // 4, at % 4, cells[np.arange(len(chars)), at]
@@ -105,7 +108,7 @@ def _blocks(column: pa.Array):
     size = np.diff(offsets)
     for length in np.unique(size[size > 0]).tolist():
         rows = np.flatnonzero(size == length)
-        step = max(1, CELLS // (4 * length))
+        step = max(1, BLOCK // (4 * length))
         for k in range(0, len(rows), step):
             part = rows[k : k + step]
             yield part, body[offsets[part][:, None] + np.arange(length)]
@@ -228,3 +231,33 @@ def with_candidates(df: DataFrame, seq: str = "seq", out: str = "candidates") ->
                 yield batch.append_column(out, pa.ListArray.from_arrays(pa.array(bounds), items))
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(item))]))
+
+
+BOUNDS = StructType([StructField("candidates", LongType()), StructField("first", StringType()), StructField("last", StringType())])
+
+
+@F.arrow_udf(BOUNDS)
+def _bounds(column: pa.Array) -> pa.Array:
+    count, ends = np.zeros(len(column), np.int64), [[None] * len(column), [None] * len(column)]
+    for rows, chars in _blocks(column):
+        count[rows] = 4 * chars.shape[1] - S._IS_BASE[chars].sum(1)
+        every, last = np.arange(len(chars)), chars.shape[1] - 1
+        for out, (to, instead) in zip(ends, ((_BYTES[0], _BYTES[1]), (_BYTES[3], _BYTES[2])), strict=True):
+            # The first place that the outermost base betters; without one, the last place loses the least.
+            better = chars > to if to == _BYTES[0] else chars < to
+            some = better.any(1)
+            place = np.where(some, better.argmax(1), last)
+            new = chars.copy()
+            new[every, place] = np.where(some | (chars[:, last] != to), to, instead)
+            for r, s in zip(rows.tolist(), _text(new), strict=True):
+                out[r] = s
+    return pa.StructArray.from_arrays([pa.array(count), *(pa.array(x, pa.string()) for x in ends)], ["candidates", "first", "last"])
+
+
+def candidate_bounds(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """``df`` with how many single substitutions each row has, and the first and the last of them in the alphabet.
+
+    The same as from ``with_candidates``, read off the row itself: none of the 3 L
+    candidates is written out. Rows without a base have none.
+    """
+    return df.withColumn("_b", _bounds(seq)).select(*df.columns, "_b.*")
