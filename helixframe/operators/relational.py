@@ -180,13 +180,29 @@ def near_duplicates(df: DataFrame, threshold: int, n: int, length: int, seed: in
 # ------------------------------------------------------------------- order
 
 
+#: Rows of a sorted limit, which one task reads in the end.
+ONE_TASK = 10_000
+
+
+def _first_k(df: DataFrame, k: int, by: str, ties: tuple[str, ...], down: bool) -> DataFrame:
+    """The first k rows: a sorted limit, or for many rows those up to the k-th in order, which is found over ranges of the order's columns alone."""
+    kind = dict(df.dtypes)[by]
+    if k <= ONE_TASK or not ties or not (kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")):
+        return df.orderBy(F.desc(by) if down else F.asc(by), *ties).limit(k)
+    # As ORDER BY does: nulls are less than all numbers, NaN is more.
+    none, high = F.col(by).isNull(), F.coalesce(F.isnan(by), F.lit(False)) if kind in ("float", "double") else F.lit(False)
+    place = F.struct((none if down else ~none).alias("none"), (~high if down else high).alias("high"), (-F.col(by) if down else F.col(by)).alias("by"), *ties)
+    last = numbered(df.select(place.alias("_last")), "_last", "_n").where(F.col("_n") < k).agg(F.max("_last").alias("_last"))
+    return df.join(F.broadcast(cut(last)), place <= F.col("_last")).drop("_last")
+
+
 def top_k(df: DataFrame, k: int, by: str, *ties: str) -> DataFrame:
-    """TakeOrderedAndProject: each task keeps k rows."""
-    return df.orderBy(F.desc(by), *ties).limit(k)
+    """The k rows of the largest values. Each task keeps k rows at most; the last of ``ties`` is unique where k is large."""
+    return _first_k(df, k, by, ties, True)
 
 
 def bottom_k(df: DataFrame, k: int, by: str, *ties: str) -> DataFrame:
-    return df.orderBy(F.asc(by), *ties).limit(k)
+    return _first_k(df, k, by, ties, False)
 
 
 def top_k_per_group(df: DataFrame, k: int, group: str, by: str, *ties: str) -> DataFrame:
