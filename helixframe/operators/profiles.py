@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -17,6 +18,8 @@ from helixframe.operators import ranking
 EPSILON = 1e-10
 # The reference correlation and its spread.
 R_MEAN, R_SD = 0.51, 0.14
+#: Rows whose profiles are counted together.
+PROFILES = 4096
 
 
 def dimension(spark, k: int = 3) -> DataFrame:
@@ -63,9 +66,43 @@ def kmer_counts(df: DataFrame, seq: str, k: int, group: list[str]) -> DataFrame:
 
 
 def sequence_profile(df: DataFrame, key: str = "pid", seq: str = "seq", k: int = 3) -> DataFrame:
-    """(key, kmer, share) of the k-mers that occur."""
-    rows = df.select(key, F.length(seq).alias("_l"), F.explode(S.kmers(seq, k)).alias("kmer"))
-    return rows.groupBy(key, "kmer").agg((F.count(F.lit(1)) / (F.max("_l") - (k - 1))).alias("share"))
+    """(key, kmer, share) of the k-mers that occur.
+
+    Rows meet by key as sequences, and a batch's k-mers are counted as one
+    array; rows that share a key have one profile.
+    """
+    names = np.array(["".join(p) for p in product(S.BASES, repeat=k)])
+    schema = StructType([df.select(key).schema[0], StructField("kmer", StringType()), StructField("share", DoubleType())])
+
+    def told(keys: pa.Array, n: np.ndarray, most: np.ndarray):
+        row, kmer = np.nonzero(n)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(names[kmer], pa.string()), pa.array(n[row, kmer] / (most[row] - (k - 1)))], schema.names)
+
+    def run(batches):
+        held = None  # the key at the end of a batch, whose rows may go on in the next
+        for whole in batches:
+            for at in range(0, whole.num_rows, PROFILES):
+                batch = whole.slice(at, PROFILES)
+                keys, column = batch.column(0), batch.column(1)
+                same = pc.if_else(pc.is_null(keys), "", pc.cast(keys, pa.string())).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False)
+                new = np.r_[True, (same[0][1:] != same[0][:-1]) | (same[1][1:] != same[1][:-1])]
+                group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+                row, number = S.kmer_codes(column, k)
+                n = np.bincount(group[row] * 4**k + number, minlength=len(begin) * 4**k).reshape(-1, 4**k)
+                most = np.maximum.reduceat(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), begin)
+                firsts = keys.take(pa.array(begin))
+                if held is not None:
+                    if held[0][0].equals(firsts[0]):
+                        n[0] += held[1][0]
+                        most[0] = max(most[0], held[2][0])
+                    else:
+                        yield told(*held)
+                held = firsts.slice(len(begin) - 1), n[-1:], most[-1:]
+                yield told(firsts.slice(0, len(begin) - 1), n[:-1], most[:-1])
+        if held is not None:
+            yield told(*held)
+
+    return df.select(key, seq).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def correlation_with(df: DataFrame, reference: DataFrame, key: str = "pid", seq: str = "seq", k: int = 3) -> DataFrame:
