@@ -9,7 +9,6 @@ results don't depend on partitions.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from helixframe.functions import digests
 from helixframe.functions import sequence as S
 from helixframe.operators.mutagenesis import WindowScorer
 from helixframe.operators.profiles import kmer_counts
@@ -75,8 +75,8 @@ class MarkovModel:
 def words(keys: list[str], n: int) -> np.ndarray:
     """n 32-bit words for each key, four of a digest."""
     blocks = -(-n // 4)
-    raw = b"".join(hashlib.md5(f"{k}:{b}".encode()).digest() for k in keys for b in range(blocks))
-    return np.frombuffer(raw, ">u4").reshape(len(keys), blocks * 4)[:, :n].astype(np.int64)
+    every = digests.every([f"{k}:".encode() for k in keys], [str(b).encode() for b in range(blocks)], 4)
+    return every.reshape(len(keys), blocks * 4)[:, :n].astype(np.int64)
 
 
 @dataclass
@@ -145,13 +145,17 @@ def tilted(base: np.ndarray, gain: np.ndarray, row: np.ndarray, rows: int, budge
     divergence is the sum over its places.
     """
     gain = gain - gain.max(1, keepdims=True)
+    log_base = np.log(base)
 
     def at(strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lines = np.log(base) + strength[row, None] * gain
-        lines -= lines.max(1, keepdims=True)
-        q = np.exp(lines)
-        q /= q.sum(1, keepdims=True)
-        kl = (q * (np.log(np.maximum(q, 1e-300)) - np.log(base))).sum(1)
+        lift = strength[row, None] * gain
+        lines = log_base + lift
+        top = lines.max(1, keepdims=True)
+        q = np.exp(lines - top)
+        whole = q.sum(1, keepdims=True)
+        q /= whole
+        # log q - log base is the lift less the log of the norm; what is lifted to nothing has q = 0.
+        kl = (q * lift).sum(1) - (top + np.log(whole))[:, 0]
         return q, np.bincount(row, kl, rows)
 
     low, high = np.zeros(rows), np.full(rows, most)
