@@ -7,22 +7,28 @@ model; ``PandasScorer`` is the seam for the latter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from helixframe.functions import digests, rng
 from helixframe.functions import fitness as fit
-from helixframe.functions import rng
 from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut
 from helixframe.operators import mutagenesis
 from helixframe.operators.mutagenesis import WindowScorer
 
+#: Rows of a batch that are drawn together.
+ROWS = 4096
+_BASES = np.frombuffer(S.BASES.encode(), np.uint8)
 # Multiplier and shift of the three linear 3-mer scorers.
 CELLS = {"c1": (5, 3), "c2": (7, 1), "c3": (11, 6)}
 
@@ -58,20 +64,35 @@ class Masked:
         if self.rates:  # a kernel for each row, drawn from a list of rates
             pick = F.floor(rng.uniform(self.seed, "kernel", pid, F.lit(step)) * len(self.rates)).cast("int")
             rate = F.get(F.array(*map(F.lit, self.rates)), pick)
-        hit: Callable[[Column], Column]
-        if self.exact:
-            n = F.greatest(F.lit(1), F.floor(rate * F.length(seq)).cast("int"))
-            order = F.array_sort(F.transform(F.sequence(F.lit(0), F.length(seq) - 1), lambda i: F.struct(rng.uniform(self.seed, "mask", *mask_keys, i).alias("u"), i.alias("i"))))
-            chosen = F.transform(F.slice(order, F.lit(1), n), lambda x: x["i"])
-            hit = lambda i: F.array_contains(chosen, i)
-        else:
-            hit = lambda i: rng.uniform(self.seed, "mask", *mask_keys, i) < rate
-
-        def one(base_now: Column, i: Column) -> Column:
-            base = F.substring(F.lit(S.BASES), (F.floor(rng.uniform(self.seed, "base", pid, k, F.lit(step), i) * 4) + 1).cast("int"), F.lit(1))
-            return F.when(hit(i), base).otherwise(base_now)
-
-        return F.array_join(F.transform(F.split(seq, ""), one), "")
+        return _redrawn(self.exact)(seq, rng.stem(self.seed, "mask", *mask_keys), rng.stem(self.seed, "base", pid, k, F.lit(step)), rate.cast("double"))
+
+
+@lru_cache(2)
+def _redrawn(exact: bool):
+    """Of (sequence, stem of the mask's draws, stem of the bases' draws, rate): the sequence with its masked places drawn anew."""
+
+    @F.arrow_udf(StringType())
+    def redrawn(seq: pa.Array, mask: pa.Array, base: pa.Array, rate: pa.Array) -> pa.Array:
+        body, offsets = S._joined(seq)
+        body, size, rates = body.copy(), np.diff(offsets), rate.to_numpy(zero_copy_only=False)
+        heads, bases = (rng.heads(x) for x in (mask, base))
+        for length in np.unique(size[size > 0]).tolist():
+            same, places = np.flatnonzero(size == length), rng.tails(length)
+            for at in range(0, len(same), ROWS):
+                part = same[at : at + ROWS]
+                u = digests.every([heads[r] for r in part.tolist()], places)[:, :, 0] / 2.0**32
+                hit = u < rates[part][:, None]
+                if exact:
+                    n = np.maximum(1, np.floor(rates[part] * length)).astype(np.int64)
+                    hit = np.zeros(u.shape, bool)
+                    np.put_along_axis(hit, np.argsort(u, axis=1, kind="stable"), np.arange(length) < n[:, None], 1)
+                row, place = np.nonzero(hit)
+                word = digests.some([bases[r] for r in part.tolist()], places, row, place)
+                body[offsets[part[row]] + place] = _BASES[word >> 30]
+        none = np.packbits(~seq.is_null().to_numpy(zero_copy_only=False), bitorder="little")
+        return pa.Array.from_buffers(pa.string(), len(seq), [pa.py_buffer(none), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
+
+    return redrawn
 
 
 def cell_scores(seq: Column | str = "seq") -> dict[str, Column]:
@@ -155,9 +176,25 @@ class NeighbourLikelihood:
 
     def score(self, df: DataFrame) -> DataFrame:
         n = {k: self.counts.get(k, 0) + 1 for k in (a + b + c for a in S.BASES for b in S.BASES for c in S.BASES)}
-        told = F.create_map(*(F.lit(x) for k in n for x in (k, float(np.log(n[k] / sum(n[k[0] + b + k[2]] for b in S.BASES))))))
-        masked = F.filter(F.sequence(F.lit(1), F.length("seq") - 2), lambda i: rng.uniform(self.seed, "ppl", "pid", i) < self.rate)
-        return df.withColumn("score", F.aggregate(masked, F.lit(0.0), lambda acc, i: acc + F.element_at(told, F.col("seq").substr(i, F.lit(3)))))
+        told = np.array([float(np.log(n[k] / sum(n[k[0] + b + k[2]] for b in S.BASES))) for k in n])
+        rate = self.rate
+
+        @F.arrow_udf(DoubleType())
+        def total(seq: pa.Array, stem: pa.Array) -> pa.Array:
+            row, number = S.kmer_codes(seq, 3)
+            size = np.bincount(row, minlength=len(seq))
+            heads, out = rng.heads(stem), np.zeros(len(seq))
+            first = np.cumsum(size) - size
+            for length in np.unique(size[size > 0]).tolist():
+                same, places = np.flatnonzero(size == length), rng.tails(length + 1)[1:]
+                for at in range(0, len(same), ROWS):
+                    part = same[at : at + ROWS]
+                    hit = digests.every([heads[r] for r in part.tolist()], places)[:, :, 0] / 2.0**32 < rate
+                    r, i = np.nonzero(hit)
+                    out[part] = np.bincount(r, told[number[first[part[r]] + i]], len(part))
+            return pa.array(out, mask=seq.is_null().to_numpy(zero_copy_only=False))
+
+        return df.withColumn("score", total("seq", rng.stem(self.seed, "ppl", "pid")))
 
 
 def mean_likelihood(df: DataFrame, counts: dict[str, int], rates: list[float], seed: int = 0) -> DataFrame:
@@ -262,8 +299,20 @@ def ridge_surrogate(df: DataFrame, score: str, alpha: float = 1.0, k: int = 3) -
 
 
 def surrogate_score(weights: np.ndarray, seq: str = "seq", k: int = 3) -> Column:
-    table = F.array(*map(F.lit, map(float, weights[:-1])))
-    return F.aggregate(S.kmer_indices(seq, k), F.lit(float(weights[-1])), lambda a, i: a + F.get(table, i))
+    """The intercept and the weights of all k-mers, added up on the bytes of a batch."""
+    return _weight_sum(tuple(map(float, weights)), k)(F.col(seq))
+
+
+@lru_cache(64)
+def _weight_sum(weights: tuple[float, ...], k: int):
+    table = np.array(weights[:-1])
+
+    @F.arrow_udf(DoubleType())
+    def total(column: pa.Array) -> pa.Array:
+        row, number = S.kmer_codes(column, k)
+        return pa.array(np.bincount(row, table[number], len(column)) + weights[-1], mask=column.is_null().to_numpy(zero_copy_only=False))
+
+    return total
 
 
 # ------------------------------------------------------------- mutagenesis
@@ -349,34 +398,54 @@ def branch_tokens_climb(df: DataFrame, predict: Callable[[list[str]], np.ndarray
     folded = df.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("k", "seq", "score"))).alias("b"), F.first("parent").alias("parent"), F.first("origin").alias("origin"))
 
     def differ(a: str, b: str) -> int:
-        return sum(x != y for x, y in zip(a, b, strict=True))
+        x, y = (np.frombuffer(t.encode("latin-1"), np.uint8) for t in (a, b))
+        if len(x) != len(y):
+            raise ValueError("sequences of one length")
+        return int(np.count_nonzero(x != y))
 
     def climbed(rows):
         now, value, order, bases, swaps = [], [], [], [], [0] * len(rows)
-        for branches in rows["b"]:
+        parents, origins = rows["parent"].tolist(), rows["origin"].tolist()
+        # Edits of the parent and of the origin; a swap changes each by what it does at its place.
+        steps, edits = [0] * len(rows), [0] * len(rows)
+        for r, branches in enumerate(rows["b"]):
             best = max(branches, key=lambda r: (r["score"], -r["k"]))
             now.append(best["seq"]), value.append(best["score"])
-            shown = [list(dict.fromkeys(column)) for column in zip(*(r["seq"] for r in branches), strict=True)]
-            order.append(sorted((i for i, x in enumerate(shown) if len(x) > 1), key=lambda i: (-len(shown[i]), i)))
+            texts = [x["seq"] for x in branches]
+            if len(set(map(len, texts))) > 1:
+                raise ValueError("sequences of one length")
+            grid = np.frombuffer("".join(texts).encode("latin-1"), np.uint8).reshape(len(texts), -1)
+            shown = {i: list(dict.fromkeys(t[i] for t in texts)) for i in np.flatnonzero((grid != grid[0]).any(0)).tolist()}
+            order.append(sorted(shown, key=lambda i, shown=shown: (-len(shown[i]), i)))
             bases.append(shown)
+            if step_cap:
+                steps[r] = differ(best["seq"], parents[r])
+            if total_cap is not None:
+                edits[r] = differ(best["seq"], origins[r])
         for rank in range(max(map(len, order), default=0)):
             trials = []
             for r, places in enumerate(order):
-                if rank >= len(places) or step_cap and differ(now[r], rows["parent"].iloc[r]) >= step_cap:
+                if rank >= len(places) or step_cap and steps[r] >= step_cap:
                     continue
-                at = places[rank]
+                at, seq = places[rank], now[r]
                 for base in bases[r][at]:
-                    new = now[r][:at] + base + now[r][at + 1 :]
-                    if base != now[r][at] and (accept is None or accept(new)):
-                        trials.append((r, new))
+                    if base != seq[at]:
+                        new = seq[:at] + base + seq[at + 1 :]
+                        if accept is None or accept(new):
+                            trials.append((r, new))
             if not trials:
                 continue
             gained: dict[int, tuple[float, str]] = {}
-            for (r, new), v in zip(trials, np.asarray(predict([x for _, x in trials]), float), strict=True):
+            for (r, new), v in zip(trials, np.asarray(predict([x for _, x in trials]), float).tolist(), strict=True):
                 if v > gained.get(r, (value[r], ""))[0]:
-                    gained[r] = (float(v), new)
+                    gained[r] = (v, new)
             for r, (v, new) in gained.items():
-                if total_cap is None or differ(new, rows["origin"].iloc[r]) <= total_cap:
+                at = order[r][rank]
+                more = 0 if total_cap is None else (new[at] != origins[r][at]) - (now[r][at] != origins[r][at])
+                if total_cap is None or edits[r] + more <= total_cap:
+                    if step_cap:
+                        steps[r] += (new[at] != parents[r][at]) - (now[r][at] != parents[r][at])
+                    edits[r] += more
                     value[r], now[r] = v, new
                     swaps[r] += 1
         return rows[["pid"]].assign(seq=now, score=value, swaps=swaps)
@@ -399,8 +468,8 @@ def tree_search(df: DataFrame, predict: Callable[[list[str]], np.ndarray], round
             return next((i for i, k in enumerate(tree["kids"]) if not k and tree["depth"][i] < depth), -1)
         at = 0
         while tree["kids"][at]:
-            logs = np.log(tree["visits"][at])
-            at = max(tree["kids"][at], key=lambda c: tree["total"][c] / tree["visits"][c] + explore * np.sqrt(logs / tree["visits"][c]))
+            logs, total, visits = math.log(tree["visits"][at]), tree["total"], tree["visits"]
+            at = max(tree["kids"][at], key=lambda c: total[c] / visits[c] + explore * math.sqrt(logs / visits[c]))
         return at if tree["depth"][at] < depth else -1
 
     def run(batches):
@@ -413,11 +482,14 @@ def tree_search(df: DataFrame, predict: Callable[[list[str]], np.ndarray], round
                 news = []
                 for r, tree in enumerate(trees):
                     at = descend(tree)
-                    for _ in range(branches if at >= 0 else 0):
-                        chars = np.array(list(tree["seq"][at]))
-                        hit = draws[r].random(len(chars)) < rate
-                        chars[hit] = np.array(list(S.BASES))[draws[r].integers(0, 4, hit.sum())]
-                        news.append((r, at, "".join(chars)))
+                    if at < 0:
+                        continue
+                    draw, parent = draws[r], np.frombuffer(tree["seq"][at].encode("latin-1"), np.uint8)
+                    for _ in range(branches):
+                        chars = parent.copy()
+                        hit = np.flatnonzero(draw.random(len(chars)) < rate)
+                        chars[hit] = _BASES[draw.integers(0, 4, len(hit))]
+                        news.append((r, at, chars.tobytes().decode("latin-1")))
                 if not news:
                     break
                 top: dict[tuple[int, int], float] = {}
