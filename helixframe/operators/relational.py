@@ -289,7 +289,7 @@ def split_half(df: DataFrame, key: str, seed: int = 42, share: float = 0.5) -> D
     sizes = sorted((r["d"], r["n"]) for r in rows.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
     left, at = int(share * sum(n for _, n in sizes)), ""
     for at, n in sizes:
-        if n > left:
+        if n >= left:
             break
         left -= n
     told = rows.where(digits != at).withColumn("half", F.when(digits < at, "A").otherwise("B"))
