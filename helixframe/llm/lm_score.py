@@ -43,6 +43,8 @@ SIDES = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 4096, 8.0
 #: Tokens to a shard of the training, and weights to a row when they are averaged.
 SHARD, CHUNK = 1 << 20, 1 << 12
+#: Places of a class in a batch that are added row by row.
+SHORT = 4
 #: Word counts that a task holds before it hands them on.
 HELD = 1 << 20
 #: Words with more than one in COMMON of all tokens aren't shuffled; there are fewer than COMMON of them.
@@ -67,22 +69,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (hash), grp, n of every word of all documents; exact."""
 
     def run(batches):
-        keys, grp, count = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        held = merged = 0
 
-        def told():
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(grp), pa.array(count)], ["word", "grp", "n"])
+        def together():
+            key, group, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keys, at, where = np.unique(key, return_index=True, return_inverse=True)
+            return keys, group[at], np.bincount(where, n, len(keys)).astype(np.int64)
+
+        def told(keys, group, n):
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(group), pa.array(n)], ["word", "grp", "n"])
 
         for whole in batches:
             for batch in rows_by_bytes(whole, "text"):
                 key, group, _ = words(batch.column("text"))
                 new, first, n = np.unique(key, return_index=True, return_counts=True)
-                keys, at, where = np.unique(np.r_[keys, new], return_index=True, return_inverse=True)
-                grp = np.r_[grp, group[first]][at]
-                count = np.bincount(where, np.r_[count, n], len(keys)).astype(np.int64)
-                if len(keys) > HELD:
-                    yield told()
-                    keys, grp, count = keys[:0], grp[:0], count[:0]
-        yield told()
+                parts.append((new, group[first], n))
+                held += len(new)
+                # Sorted again only once it has doubled, so a task sorts a count a few times in all.
+                if held > max(2 * merged, HELD // 4):
+                    parts = [together()]
+                    held = merged = len(parts[0][0])
+                    if held > HELD:
+                        yield told(*parts[0])
+                        parts, held, merged = [tuple(x[:0] for x in parts[0])], 0, 0
+        yield told(*together())
 
     return arrow_map(docs.select("text"), run, "word long, grp long, n long").groupBy("word").agg(F.first("grp").alias("grp"), F.sum("n").alias("n"))
 
@@ -156,9 +167,9 @@ class Network:
 
     def hidden(self, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.ones((len(at), WIDTH + 1), np.float32)
-        total = self.embed[0][y[at + SIDES[0]]]
+        total = self.embed[0].take(y[at + SIDES[0]], 0)
         for s in range(1, len(SIDES)):
-            total += self.embed[s][y[at + SIDES[s]]]
+            total += self.embed[s].take(y[at + SIDES[s]], 0)
         np.tanh(total, out=out[:, :WIDTH])
         return out
 
@@ -172,14 +183,19 @@ class Network:
         cluster, member = np.divmod(y[at[order]].astype(np.int64), MEMBERS)
         return order, cluster, member, np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
 
-    def log_probability(self, y: np.ndarray, at: np.ndarray, bounded: bool = False) -> np.ndarray:
-        order, cluster, member, ends = self.by_cluster(y, at)
-        h = self.hidden(y, at[order])
-        out = _log_softmax(h @ self.top, cluster, bounded)
+    def members(self, h: np.ndarray, ends: list[int]) -> np.ndarray:
+        """Scores of the members of each place's cluster, end to end."""
+        out = np.empty((len(h), MEMBERS), np.float32)
         for g in range(CLUSTERS):
             a, b = ends[g], ends[g + 1]
             if a < b:
-                out[a:b] += _log_softmax(h[a:b] @ self.inner[g], member[a:b], bounded)
+                np.matmul(h[a:b], self.inner[g], out=out[a:b])
+        return out
+
+    def log_probability(self, y: np.ndarray, at: np.ndarray, bounded: bool = False) -> np.ndarray:
+        order, cluster, member, ends = self.by_cluster(y, at)
+        h = self.hidden(y, at[order])
+        out = _log_softmax(h @ self.top, cluster, bounded) + _log_softmax(self.members(h, ends), member, bounded)
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -191,31 +207,50 @@ class Network:
         h = self.hidden(y, at)
         z = _residual(h @ self.top, cluster, n, bounded)
         back = z @ self.top[:WIDTH].T
+        every = _residual(self.members(h, ends), member, n, bounded)
         for g in range(CLUSTERS):
             a, b = ends[g], ends[g + 1]
             if a < b:
-                u = _residual(h[a:b] @ self.inner[g], member[a:b], n, bounded)
+                u = every[a:b]
                 back[a:b] += u @ self.inner[g, :WIDTH].T
                 self.inner[g] -= rate * (h[a:b].T @ u)
         self.top -= rate * (h.T @ z)
         h *= h
         back *= np.subtract(1, h[:, :WIDTH])
-        # A class's place in the text tells which places saw it on which side.
-        edge = SIDES[-1]
+        # A class's place in the text tells which places saw it on which side: those from 2 before it to 2 behind, end to end in a row.
+        edge, wide = SIDES[-1], 2 * SIDES[-1] + 1
         seen = np.zeros((len(y) + 2 * edge, WIDTH), np.float32)
         seen[at + edge] = back
+        around = np.lib.stride_tricks.as_strided(seen, (len(y), wide * WIDTH), seen.strides, writeable=False)
         places = np.argsort(y, kind="stable")
         first = np.flatnonzero(np.diff(y[places].astype(np.int32), prepend=-1))
         who = y[places[first]]
+        slope = _sums(around, places, first).reshape(-1, wide, WIDTH)
         for s, d in enumerate(SIDES):
-            self.embed[s][who] -= rate * np.add.reduceat(seen[places + (edge - d)], first)
+            self.embed[s][who] -= rate * slope[:, edge - d]
+
+
+def _sums(rows: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows at ``places`` from each of ``first`` to the next: short runs a row of each at once, long ones as products."""
+    sizes = np.diff(first, append=len(places))
+    out = rows[places[first]]
+    for k in range(1, SHORT):
+        more = np.flatnonzero((sizes > k) & (sizes <= SHORT))
+        out[more] += rows[places[first[more] + k]]
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        out[i] = np.ones(sizes[i], np.float32) @ rows[places[first[i] : first[i] + sizes[i]]]
+    return out
 
 
 def _log_softmax(z: np.ndarray, target: np.ndarray, bounded: bool) -> np.ndarray:
     if not bounded:
         z -= z.max(1, keepdims=True)
     mine = z[np.arange(len(target)), target]
-    return mine - np.log(np.exp(z, out=z).sum(1))
+    return mine - np.log(_row_sums(np.exp(z, out=z)))
+
+
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], np.float32)
 
 
 def _residual(z: np.ndarray, target: np.ndarray, n: int, bounded: bool) -> np.ndarray:
@@ -223,7 +258,7 @@ def _residual(z: np.ndarray, target: np.ndarray, n: int, bounded: bool) -> np.nd
     if not bounded:
         z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z *= 1 / (n * z.sum(1, keepdims=True))
+    z *= (1 / (n * _row_sums(z)))[:, None]
     z[np.arange(len(target)), target] -= np.float32(1 / n)
     return z
 
@@ -269,10 +304,11 @@ def coded(df: DataFrame, vocab: np.ndarray, shares: Shares, id_col: str = "doc_i
                 rare, each = y >= CLASSES - GROUPS, np.zeros(len(y))
                 each[rare] = -size[group[rare]]
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    held = rare & (known[at] == key)
-                    each[held] += logs[at[held]]
-                    rare &= ~held
+                    grouped = np.flatnonzero(rare)
+                    at = np.minimum(np.searchsorted(known, key[grouped]), len(known) - 1)
+                    held = known[at] == key[grouped]
+                    each[grouped[held]] += logs[at[held]]
+                    rare[grouped[held]] = False
                 n = np.bincount(row, minlength=m)
                 bounds = np.r_[0, np.cumsum(n)].astype(np.int32)
                 ends = np.r_[0, np.cumsum(np.bincount(row[rare], minlength=m))].astype(np.int32)
