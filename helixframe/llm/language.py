@@ -33,6 +33,9 @@ PICKED_ROWS = 500_000
 #: rows that a centroid needs for a distance of its own.
 LEFT_OUT, SLACK, OWN_ROWS = 0.002, 0.5, 20
 UNKNOWN = "und"
+#: Bytes of an Arrow batch here, and bytes and rows of texts whose vectors a worker holds at once: a row of counts has ``CELLS`` numbers of
+#: 8 bytes, and some ten such arrays are alive together.
+HANDED, TEXT_BYTES, TEXT_ROWS = 1 << 20, 1 << 18, 64
 
 
 def _letters() -> np.ndarray:
@@ -160,12 +163,12 @@ def labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: i
 
     def run(batches):
         for whole in batches:
-            for batch in rows_by_bytes(whole, "text", rows=256):
+            for batch in rows_by_bytes(whole, "text", TEXT_BYTES, TEXT_ROWS):
                 c = counts(*flat(batch.column("text")), cells).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("lang", "id", "mark")), pa.array([r.tobytes() for r in c], pa.binary())], ["lang", "id", "mark", "counts"])
 
     found = rows.join(F.broadcast(picked) if few else picked, ["id", "mark", "lang"], "left_semi").select("lang", "id", "mark", "text")
-    return arrow_map(found, run, f"lang string, id {dict(rows.dtypes)['id']}, mark long, counts binary").dropDuplicates(["lang", "id", "mark"])
+    return arrow_map(found, run, f"lang string, id {dict(rows.dtypes)['id']}, mark long, counts binary", HANDED).dropDuplicates(["lang", "id", "mark"])
 
 
 def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, cells: int = CELLS) -> Model:
@@ -225,7 +228,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for whole in batches:
-            for batch in rows_by_bytes(whole, "text", rows=256):
+            for batch in rows_by_bytes(whole, "text", TEXT_BYTES, TEXT_ROWS):
                 names, score, rejected = model.predict(batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
@@ -233,7 +236,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 )
 
     source = df.select(F.col(id_col).alias("id"), F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return arrow_map(source, run, f"doc_id {dict(source.dtypes)['id']}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return arrow_map(source, run, f"doc_id {dict(source.dtypes)['id']}, held_out boolean, lang_pred string, score double, rejected boolean", HANDED)
 
 
 def keep_known(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -247,11 +250,11 @@ def keep_known(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", la
 
     def run(batches):
         for whole in batches:
-            for batch in rows_by_bytes(whole, text_col, rows=256):
-                rejected = model.predict(batch.column(text_col))[2]
-                yield batch.filter(pa.array(~rejected))
+            parts = [model.predict(batch.column(text_col))[2] for batch in rows_by_bytes(whole, text_col, TEXT_BYTES, TEXT_ROWS)]
+            if parts:
+                yield whole.filter(pa.array(~np.concatenate(parts)))
 
-    return arrow_map(df, run, df.schema)
+    return arrow_map(df, run, df.schema, HANDED)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

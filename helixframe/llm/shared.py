@@ -148,13 +148,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable, schema, most: int = BATCH_BYTES) -> DataFrame:
     """``mapInArrow`` for a ``fn(batches) -> batches``.
 
-    From here on the session hands Python workers batches of ``BATCH_BYTES``, as
+    From here on the session hands Python workers batches of ``most`` bytes, as
     a worker and its executor hold a few copies of one each.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return df.mapInArrow(fn, schema)
 
 
