@@ -44,7 +44,7 @@ ROUNDS, BATCH, RATE = 2, 4096, 8.0
 #: Tokens to a shard of the training, and weights to a row when they are averaged.
 SHARD, CHUNK = 1 << 20, 1 << 12
 #: Places of a class in a batch that are added row by row.
-SHORT = 4
+SHORT = 8
 #: Word counts that a task holds before it hands them on.
 HELD = 1 << 20
 #: Words with more than one in COMMON of all tokens aren't shuffled; there are fewer than COMMON of them.
@@ -52,16 +52,16 @@ COMMON = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_FOLDED = Rolling.LUT[_LOWER]
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, group of unknown words, row) of each word."""
     body, offsets = flat(column)
     start, end, row = tokens(body, offsets)
-    low = _LOWER[body]
-    key = Rolling(Rolling.LUT[low]).of(start, end) ^ mix((end - start).astype(U64))
+    key = Rolling(_FOLDED[body]).of(start, end) ^ mix((end - start).astype(U64))
     size = np.minimum(end - start, 16)
-    group = ((low[end - 1].astype(np.int64) * 31 + size) * 0x9E3779B1 >> 7) % GROUPS if len(end) else np.zeros(0, np.int64)
+    group = ((_LOWER[body[end - 1]].astype(np.int64) * 31 + size) * 0x9E3779B1 >> 7) % GROUPS if len(end) else np.zeros(0, np.int64)
     return key, group, row
 
 
@@ -146,8 +146,8 @@ class Network:
     and after them; ``at``: the places to predict.
     """
 
-    #: Position embeddings; then weights of both levels, the last row of each being what is added whatever stands around.
-    SHAPES = ((len(SIDES), CLASSES, WIDTH), (WIDTH + 1, CLUSTERS), (CLUSTERS, WIDTH + 1, MEMBERS))
+    #: Position embeddings, a class's own beside each other and its last side first; then weights of both levels, the last row of each being what is added whatever stands around.
+    SHAPES = ((CLASSES, len(SIDES), WIDTH), (WIDTH + 1, CLUSTERS), (CLUSTERS, WIDTH + 1, MEMBERS))
 
     def __init__(self, flat_weights: np.ndarray):
         self.flat = flat_weights.astype(np.float32)
@@ -156,21 +156,24 @@ class Network:
             n = int(np.prod(shape))
             parts.append(self.flat[begin : begin + n].reshape(shape))
             begin += n
-        self.embed, self.top, self.inner = parts
+        self.beside, self.top, self.inner = parts
+        #: By side and class.
+        self.embed = self.beside.transpose(1, 0, 2)[::-1]
 
     @classmethod
     def start(cls, seed: int = 5) -> np.ndarray:
         rng = np.random.default_rng(seed)
-        embed, top, inner = (rng.normal(0, 0.1, s) for s in cls.SHAPES)
+        embed, top, inner = (rng.normal(0, 0.1, s) for s in ((len(SIDES), CLASSES, WIDTH), *cls.SHAPES[1:]))
         top[-1] = inner[:, -1] = 0
-        return np.concatenate([embed.ravel(), top.ravel(), inner.ravel()])
+        return np.concatenate([embed[::-1].transpose(1, 0, 2).ravel(), top.ravel(), inner.ravel()])
 
     def hidden(self, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.ones((len(at), WIDTH + 1), np.float32)
-        total = self.embed[0].take(y[at + SIDES[0]], 0)
+        table, rows = self.beside.reshape(-1, WIDTH), y.astype(np.int64) * len(SIDES)
+        total = table.take(rows[at + SIDES[-1]], 0)
         for s in range(1, len(SIDES)):
-            total += self.embed[s].take(y[at + SIDES[s]], 0)
-        np.tanh(total, out=out[:, :WIDTH])
+            total += table.take(rows[at + SIDES[-1 - s]] + s, 0)
+        out[:, :WIDTH] = _tanh(total)
         return out
 
     def bounded(self) -> bool:
@@ -179,8 +182,9 @@ class Network:
 
     def by_cluster(self, y: np.ndarray, at: np.ndarray):
         """Places in the order of their classes' clusters, both parts of the classes, and each cluster's bounds."""
-        order = np.argsort((y[at] // MEMBERS).astype(np.uint8), kind="stable")
-        cluster, member = np.divmod(y[at[order]].astype(np.int64), MEMBERS)
+        mine = y[at]
+        order = np.argsort((mine // MEMBERS).astype(np.uint8), kind="stable")
+        cluster, member = np.divmod(mine[order].astype(np.int64), MEMBERS)
         return order, cluster, member, np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
 
     def members(self, h: np.ndarray, ends: list[int]) -> np.ndarray:
@@ -203,49 +207,64 @@ class Network:
     def step(self, y: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One step on the mean loss of all places ``at``."""
         order, cluster, member, ends = self.by_cluster(y, at)
-        at, n, bounded = at[order], len(at), self.bounded()
+        at, bounded, scale = at[order], self.bounded(), rate / len(at)
         h = self.hidden(y, at)
-        z = _residual(h @ self.top, cluster, n, bounded)
+        z = _residual(h @ self.top, cluster, scale, bounded)
         back = z @ self.top[:WIDTH].T
-        every = _residual(self.members(h, ends), member, n, bounded)
+        every = _residual(self.members(h, ends), member, scale, bounded)
+        inside, slope = np.empty_like(back), np.zeros_like(self.inner)
         for g in range(CLUSTERS):
             a, b = ends[g], ends[g + 1]
             if a < b:
                 u = every[a:b]
-                back[a:b] += u @ self.inner[g, :WIDTH].T
-                self.inner[g] -= rate * (h[a:b].T @ u)
-        self.top -= rate * (h.T @ z)
+                np.matmul(u, self.inner[g, :WIDTH].T, out=inside[a:b])
+                np.matmul(h[a:b].T, u, out=slope[g])
+        back += inside
+        self.inner -= slope
+        self.top -= h.T @ z
         h *= h
         back *= np.subtract(1, h[:, :WIDTH])
-        # A class's place in the text tells which places saw it on which side: those from 2 before it to 2 behind, end to end in a row.
-        edge, wide = SIDES[-1], 2 * SIDES[-1] + 1
+        # A class's place in the text tells which places saw it on which side: the two before it and the two behind.
+        edge = SIDES[-1]
         seen = np.zeros((len(y) + 2 * edge, WIDTH), np.float32)
         seen[at + edge] = back
-        around = np.lib.stride_tricks.as_strided(seen, (len(y), wide * WIDTH), seen.strides, writeable=False)
         places = np.argsort(y, kind="stable")
-        first = np.flatnonzero(np.diff(y[places].astype(np.int32), prepend=-1))
-        who = y[places[first]]
-        slope = _sums(around, places, first).reshape(-1, wide, WIDTH)
-        for s, d in enumerate(SIDES):
-            self.embed[s][who] -= rate * slope[:, edge - d]
+        who = y[places]
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        around = np.stack([places + (edge - d) for d in SIDES[::-1]], 1)
+        self.beside[who[first]] -= _sums(seen, around, first).reshape(-1, len(SIDES), WIDTH)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """tanh in place, by an exponential; one too large for 32 bits gives 1."""
+    x *= 2
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
 
 
 def _sums(rows: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows at ``places`` from each of ``first`` to the next: short runs a row of each at once, long ones as products."""
-    sizes = np.diff(first, append=len(places))
-    out = rows[places[first]]
+    """Sums of the rows at ``places``, or of several side by side, from each of ``first`` to the next: short runs a row of each at once, long ones as products."""
+    held = rows.take(places, 0).reshape(len(places), -1)
+    ends = np.append(first[1:], len(places))
+    sizes = ends - first
+    out = held[first]
     for k in range(1, SHORT):
         more = np.flatnonzero((sizes > k) & (sizes <= SHORT))
-        out[more] += rows[places[first[more] + k]]
-    for i in np.flatnonzero(sizes > SHORT).tolist():
-        out[i] = np.ones(sizes[i], np.float32) @ rows[places[first[i] : first[i] + sizes[i]]]
+        out[more] += held[first[more] + k]
+    ones, long = np.ones(int(sizes.max(initial=0)), np.float32), np.flatnonzero(sizes > SHORT)
+    for i, a, b in zip(long.tolist(), first[long].tolist(), ends[long].tolist(), strict=True):
+        np.dot(ones[: b - a], held[a:b], out=out[i])
     return out
 
 
 def _log_softmax(z: np.ndarray, target: np.ndarray, bounded: bool) -> np.ndarray:
     if not bounded:
         z -= z.max(1, keepdims=True)
-    mine = z[np.arange(len(target)), target]
+    mine = z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + target]
     return mine - np.log(_row_sums(np.exp(z, out=z)))
 
 
@@ -253,13 +272,13 @@ def _row_sums(z: np.ndarray) -> np.ndarray:
     return z @ np.ones(z.shape[1], np.float32)
 
 
-def _residual(z: np.ndarray, target: np.ndarray, n: int, bounded: bool) -> np.ndarray:
-    """The mean loss's slope by the scores ``z``: softmax less the target, over n."""
+def _residual(z: np.ndarray, target: np.ndarray, scale: float, bounded: bool) -> np.ndarray:
+    """``scale`` times the slope of the summed losses by the scores ``z``: softmax less the target."""
     if not bounded:
         z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z *= (1 / (n * _row_sums(z)))[:, None]
-    z[np.arange(len(target)), target] -= np.float32(1 / n)
+    z *= (scale / _row_sums(z))[:, None]
+    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + target] -= np.float32(scale)
     return z
 
 
