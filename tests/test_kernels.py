@@ -270,6 +270,30 @@ def test_budget_by_group(spark):
     assert archives.budget(df.limit(0), 5, ["a"]).count() == 0
 
 
+@pytest.mark.parametrize("folded, block", [(0, 10_000), (0, 150), (0, 0), (120, 100)])
+def test_budget_of_large_checkpoints_sees_candidates_only(spark, folded, block):
+    """By blocks of candidates, by single ranked checkpoints and by small checkpoints together: as in one task."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for s in range(6):
+        for i in range((300, 3, 90, 700, 40, 200)[s]):
+            a = None if i % 41 == 0 else float("nan") if i % 43 == 0 else float(np.round(rng.normal(s % 3), 1 if s % 2 else 6))
+            rows.append((s if s else None, s * 1000 + int(i), a, float(rng.integers(0, 5)) if s != 2 else float(-i), f"x{i}"))
+    df = spark.createDataFrame(rows, "step long, row_id long, a double, b double, text string").repartition(5)
+    want = sorted((r["row_id"], r["text"]) for r in archives.budget(df, 12, ["a", "b"]).collect())
+    got = archives.budget(df, 12, ["a", "b"], folded=folded, block=block)
+    assert got.columns == df.columns and sorted((r["row_id"], r["text"]) for r in got.collect()) == want and len(want) == 12
+
+
+def test_budget_of_one_large_checkpoint_has_few_candidates(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(0).cast("long").alias("_t"), F.col("id").alias("_key"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("_s0"), (F.col("id") % 17).cast("double").alias("_s1"), F.col("id").alias("_id"))
+    ranks = archives.ranking.rank_sum(df, ["_s0", "_s1"], "_rank").select("_id", "_rank")
+    told = archives._with_reach(df, ["_s0", "_s1"], 1).join(ranks, "_id")
+    assert told.where("_low <= _rank and _rank <= _high").count() == n
+    assert told.where("_high - _low > 300").count() == 0
+
+
 def test_fitness_stays_the_scorers_under_a_diversity_penalty(spark, pool):
     """With a cap that makes every branch invalid, rows are only resampled: no penalty may pile up on them."""
     for islands in (0, 3):
