@@ -207,6 +207,22 @@ def _with_reach(rows: DataFrame, names: list[str], steps: int) -> DataFrame:
     return rows.mapInArrow(run, rows.withColumns({"_low": F.lit(0.0), "_high": F.lit(0.0)}).schema)
 
 
+def _largest(rows: DataFrame, k: int) -> DataFrame:
+    """_t and the k largest ``_low`` of each checkpoint in each task, without a sort of its rows."""
+
+    def run(batches):
+        best = {}
+        for batch in batches:
+            low = batch.column("_low").to_numpy()
+            for t, mine in _by_step(batch):
+                some = np.r_[best[t], low[mine]] if t in best else low[mine]
+                best[t] = np.partition(some, len(some) - k)[-k:] if len(some) > k else some
+        for t, some in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t)), pa.array(some)], ["_t", "_low"])
+
+    return rows.select("_t", "_low").mapInArrow(run, "_t long, _low double")
+
+
 def _by_candidates(df: DataFrame, capacity: int, signals: list[str], step: str, key: str, sizes: list, folded: int, block: int) -> DataFrame:
     """The budget archive where no task holds a checkpoint's population.
 
@@ -226,7 +242,7 @@ def _by_candidates(df: DataFrame, capacity: int, signals: list[str], step: str,
     whole = _kept(rows.withColumn("_id", F.monotonically_increasing_id()), "budget-rows")
     narrow = whole.select("_t", F.col(key).alias("_key"), *names, "_id")
     reach = _kept(_with_reach(narrow, names, len(sizes)), "budget-reach")
-    lines = relational.top_k_per_group(reach.select("_t", "_low"), capacity, "_t", "_low").groupBy("_t")
+    lines = relational.top_k_per_group(_largest(reach, capacity), capacity, "_t", "_low").groupBy("_t")
     lines = lines.agg(F.when(F.count(F.lit(1)) == capacity, F.min("_low") - len(names) * capacity).otherwise(0.0).alias("_line"))
     same = Window.partitionBy("_t", *names).orderBy("_key", "_id")
     told = reach.join(F.broadcast(lines), "_t").where("_high >= _line").withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= capacity)
