@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,3 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def delete(spark: SparkSession, path: str, release: bool = True) -> None:
+    """Deletes a folder that ``new_path`` named and no later job reads. ``release``: Spark deletes the shuffle files of plans that nothing refers to, too."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()

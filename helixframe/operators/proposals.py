@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from helixframe.functions import digests, rng
+from helixframe.functions import digests, draws, rng
 from helixframe.functions import fitness as fit
 from helixframe.functions import sequence as S
 from helixframe.functions.lineage import cut
@@ -38,6 +38,8 @@ class Proposal(Protocol):
 
 
 class Scorer(Protocol):
+    """One that also has ``values`` (a number for each row of a matrix of letters, ``score`` of the row) can be annealed by blocks."""
+
     def score(self, df: DataFrame) -> DataFrame: ...
 
 
@@ -95,6 +97,44 @@ def _redrawn(exact: bool):
     return redrawn
 
 
+@dataclass
+class Sparse:
+    """Each position is redrawn with probability ``rate``, as by ``Masked``, but only redrawn ones cost a draw.
+
+    A draw tells how many positions are passed over until the next one, and its
+    new base; ``functions/draws.py`` has the numbers, which are the same for any
+    partitioning. They are others than those of ``Masked``.
+    """
+
+    rate: float
+    seed: int
+
+    def expand(self, df: DataFrame, branches: int, step: int) -> DataFrame:
+        rows = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(branches - 1))))
+        return rows.withColumn("seq", _sparsely(self.rate, draws.key(self.seed, "sparse", step))(F.col("seq"), F.col("pid").cast("long"), F.col("k").cast("long")))
+
+
+@lru_cache(64)
+def _sparsely(rate: float, key: int):
+    @F.arrow_udf(StringType())
+    def redrawn(seq: pa.Array, pid: pa.Array, k: pa.Array) -> pa.Array:
+        body, offsets = S._joined(seq)
+        body, size = body.copy(), np.diff(offsets)
+        stems = draws.stems(key, *(np.asarray(x.fill_null(0)).astype(np.int64) for x in (pid, k)))
+        for length in np.unique(size[size > 0]).tolist():
+            same = np.flatnonzero(size == length)
+            for at in range(0, len(same), ROWS):
+                part = same[at : at + ROWS]
+                where = offsets[part][:, None] + np.arange(length)
+                grid = body[where]
+                draws.redraw(grid, stems[part], rate, _BASES)
+                body[where] = grid
+        none = np.packbits(~seq.is_null().to_numpy(zero_copy_only=False), bitorder="little")
+        return pa.Array.from_buffers(pa.string(), len(seq), [pa.py_buffer(none), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
+
+    return redrawn
+
+
 def cell_scores(seq: Column | str = "seq") -> dict[str, Column]:
     """Three linear 3-mer scorers: sums of whole numbers and one division."""
     s = F.col(seq) if isinstance(seq, str) else seq
@@ -120,6 +160,21 @@ class MotifScorer:
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumn("score", S.motif_count("seq", self.motif).cast("double"))
 
+    def values(self, letters: np.ndarray) -> np.ndarray:
+        """The scores of a batch: a row of ``letters`` is a sequence."""
+        motif, length = self.motif.encode(), letters.shape[1]
+        n = length - len(motif) + 1
+        if not motif or n <= 0:
+            return np.full(len(letters), float(0 if motif else length + 1))
+        # All rows end to end, for speed; places whose motif would begin beyond a row's last aren't counted.
+        flat = np.ascontiguousarray(letters).reshape(-1)
+        many = max(len(flat) - len(motif) + 1, 0)
+        hit = flat[:many] == motif[0]
+        for i, c in enumerate(motif[1:], 1):
+            hit &= flat[i : i + many] == c
+        row, place = np.divmod(np.flatnonzero(hit), length)
+        return np.bincount(row[place < n], minlength=len(letters)).astype(float)
+
 
 @dataclass
 class PandasScorer:

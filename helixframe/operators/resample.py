@@ -34,14 +34,14 @@ class _WeightSums:
     addition, so a task hands on a row a bin at most.
     """
 
-    def __init__(self, df: DataFrame, fitness: str, log_weight: str | None, at: float, top: float, low: float, start: float):
+    def __init__(self, df: DataFrame, fitness: str, log_weight: str | None, at: float, top: float, low: float, start: float, count: str | None = None):
         self.at, self.half = at, (top - low) / BINS / 2
         place = F.least(F.floor((F.col(fitness) - F.lit(low)) / F.lit(2 * self.half)), F.lit(BINS - 1)).cast("int")
         w = F.exp((F.lit(0.0) if log_weight is None else F.col(log_weight) - F.lit(start)) + F.lit(at) * (F.col(fitness) - F.lit(top)))
-        rows = df.where(F.col(fitness).isNotNull()).select(place.alias("bin"), w.alias("w"), (F.col(fitness) - F.lit(low)).alias("x"))
-        rows = rows.select("bin", "w", (F.col("x") - (F.col("bin") + 0.5) * F.lit(2 * self.half)).alias("x"))
+        rows = df.where(F.col(fitness).isNotNull()).select(place.alias("bin"), w.alias("w"), (F.col(fitness) - F.lit(low)).alias("x"), (F.col(count) if count else F.lit(1.0)).alias("c"))
+        rows = rows.select("bin", "w", "c", (F.col("x") - (F.col("bin") + 0.5) * F.lit(2 * self.half)).alias("x"))
         power = lambda j: F.lit(1.0) if j == 0 else F.pow("x", F.lit(float(j)))
-        sums = rows.groupBy("bin").agg(*(F.sum(F.col("w") * power(j)).alias(f"s{j}") for j in range(POWERS)), *(F.sum(F.col("w") * F.col("w") * power(j)).alias(f"q{j}") for j in range(POWERS)))
+        sums = rows.groupBy("bin").agg(*(F.sum(F.col("c") * F.col("w") * power(j)).alias(f"s{j}") for j in range(POWERS)), *(F.sum(F.col("c") * F.col("w") * F.col("w") * power(j)).alias(f"q{j}") for j in range(POWERS)))
         got = sums.orderBy("bin").collect()
         self.middle = low - top + (np.array([r["bin"] for r in got]) + 0.5) * 2 * self.half
         self.s, self.q = (np.array([[r[f"{c}{j}"] for j in range(POWERS)] for r in got]) for c in "sq")
@@ -60,29 +60,31 @@ class _WeightSums:
         return 0.0 if out[0] < 1e-300 or out[1] <= 0 else out[0] ** 2 / out[1]
 
 
-def largest_step(df: DataFrame, fitness: str, remaining: float, share: float, log_weight: str | None = None) -> float:
+def largest_step(df: DataFrame, fitness: str, remaining: float, share: float, log_weight: str | None = None, count: str | None = None) -> float:
     """The largest temperature step up to ``remaining`` whose effective size is ``share`` of the rows at least.
 
     One job sums the rows by bins; every round of the search lays ``WIDTH``
     candidates over the range that is left and reads them off the sums. If the
     answer is far from the step that the sums were made for, they are made anew
-    there, mostly once. The same search serves any number of rows.
+    there, mostly once. The same search serves any number of rows. ``count``: a
+    column that tells how many rows a row stands for.
     """
-    told = df.agg(F.count(F.lit(1)).alias("n"), F.max(fitness).alias("top"), F.min(fitness).alias("low"), F.max(log_weight or F.lit(0.0)).alias("lw")).first()
+    told = df.agg((F.sum(count) if count else F.count(F.lit(1))).alias("n"), F.max(fitness).alias("top"), F.min(fitness).alias("low"), F.max(log_weight or F.lit(0.0)).alias("lw")).first()
     if told["top"] is None or (told["top"] == told["low"] and log_weight is None):
         return remaining
     wanted, at = share * told["n"], 0.0
     spread = float(told["top"]) - float(told["low"]) or 1.0
     for _ in range(8):
-        sums = _WeightSums(df, fitness, log_weight, at, float(told["top"]), float(told["top"]) - spread, told["lw"])
-        found = _searched(sums, remaining, wanted)
+        sums = _WeightSums(df, fitness, log_weight, at, float(told["top"]), float(told["top"]) - spread, told["lw"], count)
+        found = searched(sums, remaining, wanted)
         if sums.near(found):
             break
         at = found
     return found
 
 
-def _searched(sums: _WeightSums, remaining: float, wanted: float) -> float:
+def searched(sums, remaining: float, wanted: float) -> float:
+    """The largest step whose effective size, as ``sums`` tells it, is ``wanted`` at least."""
     low, high = 0.0, remaining
     for _ in range(ROUNDS):
         steps = [low + (high - low) * (i + 1) / WIDTH for i in range(WIDTH)]

@@ -22,6 +22,7 @@ from helixframe.functions.lineage import cut
 from helixframe.functions.sequence import gc
 from helixframe.operators import profiles, proposals, relational, resample
 from helixframe.operators.relational import elite, numbered
+from helixframe.plans import blocks
 
 
 @dataclass
@@ -213,9 +214,14 @@ def anneal(
     A proposal that adds ``log_ratio`` (the log of how much likelier an unguided draw was) has it counted in the weights
     under ``branch_correction``.
     ``state``: a folder where each step is written; a run that finds steps there goes on after the last.
+    Without a proposal positions are redrawn as by ``Sparse``. Plain runs of a scorer with ``values`` go by blocks, with the same draws.
     """
     spark = seeds.sparkSession
-    propose = proposal or (lambda rate, seed: proposals.Masked(rate, seed))
+    if proposal is None and accept is None and state is None and fitness == "score" and hasattr(scorer, "values") and _plain(config):
+        start = blocks.Blocks.of(seeds.select("pid", "seq"), scorer.values)
+        if start is not None:
+            return _by_blocks(start, scorer.values, config, on_step)
+    propose = proposal or (lambda rate, seed: proposals.Sparse(rate, seed))
     if not isinstance(fitness, str | Column) and not callable(fitness) and (len(fitness) != config.islands or config.memo):
         raise ValueError("fitness by island needs one for each island, and no memo")
     scoring = _Scoring(scorer, fitness, config.memo, lambda: _island(config, seeds.count()))
@@ -299,6 +305,51 @@ def anneal(
     return AnnealResult(now, best, at.best_step, told)
 
 
+#: What a run by blocks heeds; all else must be as it is by default.
+_HEEDED = {"max_beta", "max_steps", "hard_max_steps", "ess_share", "beta_cap", "noise", "noise_end", "branches", "branch_schedule", "temperature"} | {"patience", "noise_boost", "noise_max", "extend_steps", "extend_beta", "seed"}
+
+
+def _plain(config: AnnealConfig) -> bool:
+    usual = AnnealConfig()
+    return all(getattr(config, k) == v for k, v in vars(usual).items() if k not in _HEEDED)
+
+
+def _by_blocks(start: blocks.Blocks, values: Callable[[np.ndarray], np.ndarray], config: AnnealConfig, on_step: Callable[[int, DataFrame, dict], None] | None) -> AnnealResult:
+    """``anneal`` for a ``_plain`` config: generations are files of blocks, and one that nothing reads any more is deleted."""
+    at, told = _Scalars(noise=config.noise, limit=config.max_steps), []
+    now = best = start
+    top = now.best()
+    while at.step < at.limit and not at.done:
+        step, draws = at.step, np.random.default_rng([config.seed, at.step])
+        remaining = config.max_beta - at.beta
+        if config.beta_cap is not None:
+            remaining = min(remaining, config.beta_cap)
+        delta = now.largest_step(remaining, config.ess_share)
+        if delta < 1e-4:
+            break
+        at.beta += delta
+        weighed, whole, real_ess, gain, sums = now.weighed(delta, top, config.temperature)
+        at.log_z += gain
+        rate = at.noise if config.noise_end is None else schedule.annealed(at.noise, config.noise_end, schedule.progress(at.beta, 0.0, config.max_beta))
+        k = schedule.branches(config.branch_schedule, config.branches, step, at.limit)
+        past, now = now, now.grown(weighed, whole, sums, float(draws.random()), values, rate, config.seed * 1000 + step, k, step)
+        one = now.summary()
+        top = one["max"]
+        told.append(one | {"step": step, "beta": at.beta, "delta_beta": delta, "ess": real_ess, "log_z": at.log_z, "branches": k, "noise": rate})
+        last = best
+        if one["mean"] > at.best_mean:
+            best, at.best_mean, at.best_step, at.stale = now, one["mean"], step, 0
+        else:
+            at.stale += 1
+        for path, x in {past.path: past, last.path: last}.items():
+            if path not in (start.path, now.path, best.path):
+                x.drop(release=step % 4 == 3)
+        if on_step:
+            on_step(step, now.rows(start), told[-1])
+        at.settle(config, delta)
+    return AnnealResult(now.rows(start), best.rows(start), at.best_step, told)
+
+
 @dataclass
 class _Scalars:
     """What a run carries from step to step beside the population."""
